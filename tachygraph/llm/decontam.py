@@ -22,24 +22,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tachygraph.llm.scratch import small, table
-from tachygraph.llm.textwords import INDEX_WORD, lower_ascii
+from tachygraph.llm.textwords import ANY_CASE_INDEX_GAP, INDEX_GAP, count_pieces, lower_ascii
 
 WINDOW = 13
 #: A document is contaminated if this many hundredths of its words, one at least, are hit.
 MIN_HIT_PERCENT = 5
-_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _words(text: Column) -> Column:
     """The words of ``text`` in order; ``text`` must have A-Z folded already."""
-    return F.filter(F.split(text, _BREAK), lambda x: x != "")
+    return F.filter(F.split(text, INDEX_GAP), lambda x: x != "")
 
 
 def _folded_tokens(docs: DataFrame) -> DataFrame:
     """(tid, pos, term) of each word, case folded wholly; ``tid`` is the text's hash."""
     #: A text that begins with a break has an empty first piece.
-    shift = F.when(F.col("text").rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
-    rows = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid"), shift.alias("shift"), F.split(F.lower("text"), _BREAK).alias("words"))
+    shift = F.when(F.col("text").rlike("^" + ANY_CASE_INDEX_GAP), 1).otherwise(0)
+    rows = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid"), shift.alias("shift"), F.split(F.lower("text"), INDEX_GAP).alias("words"))
     return rows.select("tid", "shift", F.posexplode("words").alias("pos", "term")).select("tid", (F.col("pos") - F.col("shift")).alias("pos"), "term")
 
 
@@ -113,7 +112,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, percen
     joined = joined.select("doc", F.when(F.col("found").isNotNull(), true).alias("true"))
     spots = F.flatten(F.transform("true", lambda x: F.sequence(x["begin"], x["begin"] + F.size(x["words"]) - 1)))
     ids = F.array_sort(F.array_distinct(F.transform("true", lambda x: x["item_id"].cast("string"))))
-    n_words = F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    n_words = F.when(text.isNull(), F.lit(0).cast("long")).otherwise(count_pieces(text, ANY_CASE_INDEX_GAP))
     out = joined.select("doc", n_words.alias("n_words"), F.coalesce(F.size(F.array_distinct(spots)), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
     return out.select("doc", "n_words", F.greatest("n_hit", F.lit(0)).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))
 
