@@ -16,6 +16,21 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(_read(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tachygraph.llm.sanitise import KINDS, personal_data, span_text
+
+    got = personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.coalesce(F.size(f"{k}_spans"), F.lit(0)).cast("long") for k in KINDS]
+    counts = [F.greatest(c, F.lit(0)).alias(f"n_{k}") for c, k in zip(counts, KINDS, strict=True)]
+    return got.select(F.col("doc.doc_id").alias("doc_id"), *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tachygraph.llm.shards import minimax_shards
+
+    return minimax_shards(_read(spark, sf_dir, "documents"))
+
+
 def op5_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tachygraph.llm.packing import best_fit
 
@@ -43,7 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_lines(docs, "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op5_best_fit, op6_decontam, op7_near_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fertility, op3_sanitise, op4_shards, op5_best_fit, op6_decontam, op7_near_dedup, op10_line_dedup)}
 
 ORACLES = {
     "op10_line_dedup": """
