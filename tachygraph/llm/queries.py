@@ -51,6 +51,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tachygraph.llm.toxicity import scored
+
+    return scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tachygraph.llm.line_dedup import drop_lines
 
@@ -58,7 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_lines(docs, "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op3_sanitise, op4_shards, op5_best_fit, op6_decontam, op7_near_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fertility, op3_sanitise, op4_shards, op5_best_fit, op6_decontam, op7_near_dedup, op8_toxicity, op10_line_dedup)}
 
 ORACLES = {
     "op10_line_dedup": """
