@@ -100,21 +100,29 @@ def phrase_candidates(docs: DataFrame, items: DataFrame, width: int = WINDOW) ->
     return full.groupBy("tid").agg(F.collect_list(F.struct("item_id", "begin", "words")).alias("found"))
 
 
+def confirmed(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(tid, n_hit, n_items, items_sha256) of the texts in which a candidate of ``found`` (tid, found) holds, word by word."""
+    tids = table(found.select(F.col("tid").alias("wanted")), "tids")
+    rows = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid"), "text")
+    texts = rows.join(small(tids), F.col("tid") == F.col("wanted"), "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    own = texts.join(found, "tid").select("tid", "found", _words(lower_ascii(F.col("text"))).alias("own"))
+    holds = F.filter("found", lambda x: F.slice(F.col("own"), x["begin"] + 1, F.size(x["words"])) == x["words"])
+    held = own.select("tid", holds.alias("holds")).filter("size(holds) > 0")
+    spots = F.flatten(F.transform("holds", lambda x: F.sequence(x["begin"], x["begin"] + F.size(x["words"]) - 1)))
+    ids = F.array_sort(F.array_distinct(F.transform("holds", lambda x: x["item_id"].cast("string"))))
+    held = held.select("tid", F.size(F.array_distinct(spots)).alias("n_hit"), ids.alias("ids"))
+    return held.select("tid", "n_hit", F.size("ids").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, percent: int = MIN_HIT_PERCENT) -> DataFrame:
     """All columns of ``docs`` in a struct ``doc``, with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    found = table(phrase_candidates(docs, items, width), "candidates")
+    hits = table(confirmed(docs, table(phrase_candidates(docs, items, width), "candidates")), "hits")
     rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("doc_tid"))
-    joined = rows.join(small(found), F.col("doc_tid") == F.col("tid"), "left").select("doc", "found")
+    joined = rows.join(small(hits), F.col("doc_tid") == F.col("tid"), "left")
     text = F.col("doc.text")
-    own = F.when(F.col("found").isNotNull(), _words(lower_ascii(text)))
-    joined = joined.select("doc", "found", own.alias("own"))
-    true = F.filter("found", lambda x: F.slice(F.col("own"), x["begin"] + 1, F.size(x["words"])) == x["words"])
-    joined = joined.select("doc", F.when(F.col("found").isNotNull(), true).alias("true"))
-    spots = F.flatten(F.transform("true", lambda x: F.sequence(x["begin"], x["begin"] + F.size(x["words"]) - 1)))
-    ids = F.array_sort(F.array_distinct(F.transform("true", lambda x: x["item_id"].cast("string"))))
     n_words = F.when(text.isNull(), F.lit(0).cast("long")).otherwise(count_pieces(text, ANY_CASE_INDEX_GAP))
-    out = joined.select("doc", n_words.alias("n_words"), F.coalesce(F.size(F.array_distinct(spots)), F.lit(0)).cast("long").alias("n_hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("ids"))
-    return out.select("doc", "n_words", F.greatest("n_hit", F.lit(0)).alias("n_hit"), F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"))
+    out = joined.select("doc", n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
