@@ -16,6 +16,12 @@ def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(_read(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op2_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tachygraph.llm.quotation import reply_order
+
+    return reply_order(_read(spark, sf_dir, "conversations"))
+
+
 def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tachygraph.llm.sanitise import KINDS, personal_data, span_text
 
@@ -57,6 +63,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tachygraph.llm.html_extract import extracted
+
+    return extracted(_read(spark, sf_dir, "pages"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tachygraph.llm.line_dedup import drop_lines
 
@@ -64,7 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_lines(docs, "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op3_sanitise, op4_shards, op5_best_fit, op6_decontam, op7_near_dedup, op8_toxicity, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fertility, op2_quotation, op3_sanitise, op4_shards, op5_best_fit, op6_decontam, op7_near_dedup, op8_toxicity, op9_html_extract, op10_line_dedup)}
 
 ORACLES = {
     "op10_line_dedup": """
