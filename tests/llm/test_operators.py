@@ -1,0 +1,439 @@
+"""Each operator against a brute-force version in plain Python, on rows with every edge case."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+LOW = {i: i + 32 for i in range(65, 91)}
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def pairs_of(df, *cols):
+    return [tuple(r[c] for c in cols) for r in df.select(*cols).collect()]
+
+
+# 1
+
+
+def test_fertility_base(docs):
+    from tachygraph.llm.fertility import measured, quality_filter
+
+    want = []
+    for doc_id, text in pairs_of(docs, "doc_id", "text"):
+        t = text or ""
+        w = WORD.findall(t)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        at = defaultdict(list)
+        for k in range(len(w) - 4):
+            at[tuple(w[k : k + 5])].append(k)
+        inside = {j for ks in at.values() if len(ks) > 1 for k in ks for j in range(k, k + 5)}
+        want.append((doc_id, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(inside), len(w) < 10 or 100 * len(inside) > 20 * len(w)))
+    got = measured(docs, ["doc_id"])
+    assert sorted(pairs_of(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), key=str) == sorted(want, key=str)
+    assert got.filter("kept and base_failed").isEmpty()
+    kept = quality_filter(docs)
+    assert kept.columns == docs.columns and kept.count() == got.filter("kept").count()
+
+
+def test_fertility_bands(spark, empty):
+    from tachygraph.llm.fertility import measured
+
+    rng = random.Random(4)
+    noise = " ".join("".join(chr(rng.randint(0x2500, 0x2BFF)) for _ in range(8)) for _ in range(60))
+    plain = "The committee will meet again on Thursday to discuss the budget and the plans for the new library building. " * 1
+    rows = [(1, plain + "Members may send written comments before then, and all of them will be read.", "en"), (2, noise, "en")]
+    got = {r["doc_id"]: r for r in measured(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+    assert got[1]["kept"] and not got[2]["kept"] and got[2]["fallback_share"] > 0.5
+    assert measured(empty, ["doc_id"]).count() == 0
+
+
+# 2
+
+
+def test_quotation(spark):
+    from tachygraph.llm.quotation import reply_order
+
+    rows = [(1, 0, "u", "Hello there, world.\nSecond line"), (1, 1, "a", "> hello  there, World.\nI agree"), (1, 2, "u", ">> Hello there, world.\n> I agree\nNo"), (1, 3, "a", "fresh words"), (2, 0, "u", "> fresh words\nfrom elsewhere"), (2, 1, "x", None), (None, 3, "x", "> y"), (1, None, "x", "z"), (1, 3, "a", "fresh words"), (3, 0, "u", "> nobody wrote this")]
+    got = reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit(9)))
+    by = {(r["conv_id"], r["turn"]): r for r in got.collect()}
+    assert got.count() == len(rows)
+    assert (by[1, 1]["parent_turn"], by[1, 1]["depth"], by[1, 1]["text"]) == (0, 1, "I agree")
+    assert (by[1, 2]["parent_turn"], by[1, 2]["thread"], by[1, 2]["depth"], by[1, 2]["n_linked"]) == (1, 0, 2, 2)
+    assert by[2, 0]["n_linked"] == 1 and by[2, 0]["parent_turn"] is None and by[2, 0]["text"] == "from elsewhere"
+    assert by[3, 0]["n_quotes"] == 1 and by[3, 0]["n_linked"] == 0 and by[2, 1]["text"] == ""
+    whole = reply_order(spark.read.parquet(f"{SF}/conversations.parquet"))
+    assert whole.count() == spark.read.parquet(f"{SF}/conversations.parquet").count()
+    assert reply_order(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+# 3
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(s):
+    return sum((int(c) * 2 - 9 * (c > "4")) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def base_spans(t):
+    out = []
+    for r, (k, p) in enumerate(KINDS.items()):
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            if {"email": True, "ip": k == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[k]:
+                out.append((m.start(), r, m.end(), k))
+    return sorted(out)
+
+
+def test_sanitise_base(docs, empty):
+    from tachygraph.llm.sanitise import personal_data, sanitised, span_text
+
+    got = personal_data(docs)
+    want = [(i, ",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(t or ""))) for i, t in pairs_of(docs, "doc_id", "text")]
+    rows = got.select(F.col("doc.doc_id").alias("doc_id"), span_text("base").alias("b"))
+    assert sorted(pairs_of(rows, "doc_id", "b"), key=str) == sorted(want, key=str)
+    clean = {r[0]: r[1] for r in sanitised(got).select("doc.doc_id", "clean").collect()}
+    assert "[EMAIL]" in clean[900_010] and "4111" not in clean[900_010]
+    assert personal_data(empty).count() == 0
+
+
+def test_sanitise_terms(spark):
+    from tachygraph.llm.sanitise import personal_data, sanitised, span_text
+
+    rows = [(k, f"the usual words {k} about zanzibarproject write to boss@corp.example please number {k}") for k in range(8)] + [(100 + k, f"the usual words please number {k} and about more write to") for k in range(200)]
+    got = personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = {r[0]: r[1] for r in got.select("doc.doc_id", span_text("spans").alias("s")).collect()}
+    text = dict(rows)
+    for k in range(8):
+        found = {(a.split(":")[0], text[k][int(a.split(":")[1]) : int(a.split(":")[2])]) for a in spans[k].split(",")}
+        assert found == {("email", "boss@corp.example"), ("term", "zanzibarproject")}
+    assert all(not spans[100 + k] for k in range(200))
+    assert "zanzibar" not in sanitised(got).filter("doc.doc_id = 3").first()["clean"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_spans_property(spark, seed):
+    from tachygraph.llm.sanitise import personal_data, span_text
+
+    rng = random.Random(seed)
+    rows = [(k, "".join(rng.choice("a.@-_1 25+().\né漢") for _ in range(rng.randint(0, 400)))) for k in range(150)]
+    got = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select(F.col("doc.doc_id").alias("doc_id"), span_text("base").alias("b"))
+    assert dict(pairs_of(got, "doc_id", "b")) == {i: ",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(t)) for i, t in rows}
+
+
+# 4
+
+
+def test_shards(docs, empty):
+    from tachygraph.llm.shards import minimax_shards
+
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in pairs_of(docs, "doc_id", "text"))
+    for block in (7, 100_000):
+        got = minimax_shards(docs, block=block).collect()
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+        slots, load = defaultdict(list), Counter()
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+            load[r["shard"]] += r["size"]
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(16))
+        group = defaultdict(int)
+        for _, t in pairs_of(docs, "doc_id", "text"):
+            group["" if t is None else hashlib.sha256(t.encode()).hexdigest()] += len((t or "").encode()) + 1
+        sizes = [group[k] for k in sorted(group)]
+
+        def need(c, sizes=sizes):
+            n, s = 1, 0
+            for x in sizes:
+                if s + x > c:
+                    n, s = n + 1, 0
+                s += x
+            return n
+
+        best = next(c for c in range(max(sizes), sum(sizes) + 1, 1) if need(c) <= 16)
+        assert max(load.values()) == best
+    assert minimax_shards(empty).count() == 0
+
+
+# 5
+
+
+def test_packing(docs, empty):
+    from tachygraph.llm.packing import best_fit, pack
+
+    rng = random.Random(6)
+    for _ in range(60):
+        n = rng.randint(0, 60)
+        sizes = sorted((rng.randint(0, 100) for _ in range(n)), reverse=True)
+        sources, clusters = [rng.randint(-1, 4) for _ in range(n)], [rng.randint(-1, 20) for _ in range(n)]
+        bins, want = [], []
+        for size, s, c in zip(sizes, sources, clusters):
+            fit = [k for k, b in enumerate(bins) if b[0] >= size and not (s >= 0 and s in b[1]) and not (c >= 0 and c in b[2])]
+            if fit:
+                k = min(fit, key=lambda k: (bins[k][0], k))
+            else:
+                bins.append([100, set(), set()])
+                k = len(bins) - 1
+            bins[k][0] -= size
+            bins[k][1].add(s)
+            bins[k][2].add(c)
+            want.append(k)
+        assert pack(sizes, sources, clusters, 100) == want
+    got = best_fit(docs, capacity=500).collect()
+    load, sources, words = Counter(), defaultdict(list), Counter()
+    source = {i: s for i, s in pairs_of(docs, "doc_id", "source")}
+    for r in got:
+        load[r["bin"]] += r["n_words"]
+        words[r["doc_id"]] += r["n_words"]
+        if source.get(r["doc_id"]) and r["n_words"] < 500:
+            sources[r["bin"]].append(source[r["doc_id"]])
+    assert max(load.values()) <= 500 and all(len(v) == len(set(v)) for v in sources.values())
+    want = Counter()
+    for i, t in pairs_of(docs, "doc_id", "text"):
+        want[i] += len(WORD.findall(t or ""))
+    assert +words == +want
+    assert best_fit(empty).count() == 0
+
+
+# 6
+
+
+def test_decontamination(docs, empty, bench_items):
+    from tachygraph.llm.decontam import contamination, keep_clean
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = defaultdict(set)
+    for i, t in pairs_of(bench_items, "item_id", "text"):
+        w = word.findall((t or "").translate(LOW))
+        for k in range(max(1, len(w) - 12) if w else 0):
+            windows[tuple(w[k : k + 13])].add(i)
+    want = []
+    for i, t in pairs_of(docs, "doc_id", "text"):
+        w, hit, items = word.findall((t or "").translate(LOW)), set(), set()
+        for n in {len(k) for k in windows}:
+            for k in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    items |= found
+        want.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    got = contamination(docs, bench_items).select(F.col("doc.doc_id").alias("doc_id"), F.col("n_words"), "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted(pairs_of(got, *got.columns), key=str) == sorted(want, key=str)
+    assert any(x[5] for x in want)
+    clean = keep_clean(docs, bench_items)
+    assert clean.columns == docs.columns and clean.count() == sum(not x[5] for x in want)
+    assert contamination(empty, bench_items).count() == 0
+    assert contamination(docs, bench_items.limit(0)).filter("contaminated").count() == 0
+
+
+def test_proximity(spark):
+    from tachygraph.llm.decontam import index, probes, proximity, term_counts, windows
+
+    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha x x beta gamma delta x"), (2, "alpha beta gamma delta"), (3, "delta only")], "doc_id long, text string")
+    wins = windows(items).withColumn("wid", F.xxhash64("item_id", "words"))
+    terms = wins.select(F.explode("words").alias("term")).distinct()
+    rare = probes(wins, term_counts(docs, terms))
+    posts = index(docs, rare.select("term").distinct())
+    near = {s: proximity(posts, rare, s).select("tid").distinct().count() for s in (0, 5)}
+    assert near[0] >= 1 and near[5] >= near[0]
+
+
+# 7
+
+
+def shingles(t):
+    w = WORD.findall((t or "").translate(LOW))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute_components(rows):
+    root = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and min(len(x), len(y)) * 100 >= 85 * max(len(x), len(y)) and 100 * len(x & y) >= 85 * len(x | y):
+                p, q = find(sets[a][0]), find(sets[b][0])
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in root}
+
+
+def check_near(df):
+    from tachygraph.llm.near_dedup import keep_one, near_duplicates
+
+    rows = pairs_of(df, "doc_id", "text")
+    component = brute_components(rows)
+    want = [(i, len(shingles(t)), component.get(i), i is None or component[i] == i) for i, t in rows]
+    got = near_duplicates(df)
+    assert sorted(pairs_of(got, "doc_id", "n_shingles", "component_id", "kept"), key=str) == sorted(want, key=str)
+    kept = keep_one(df)
+    assert kept.columns == df.columns and kept.count() == sum(x[3] for x in want)
+
+
+def test_near_duplicates(docs, empty):
+    check_near(docs)
+    from tachygraph.llm.near_dedup import near_duplicates
+
+    assert near_duplicates(empty).count() == 0
+
+
+def test_near_duplicate_families(spark):
+    """Families of copies at all distances from the limit, in chains and stars."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    rows, n = [], 0
+    for _ in range(25):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(3, 160))]
+        for _ in range(rng.randint(1, 12)):
+            text = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 25))):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            rows.append((n, " ".join(text)))
+            n += 1
+            if rng.random() < 0.3:
+                base = text
+    rng.shuffle(rows)
+    check_near(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string"))
+
+
+# 8
+
+
+def test_lexicon_against_edit_distance():
+    from tachygraph.llm.lexicon import Lexicon
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row
+
+    rng = random.Random(12)
+    terms = [("idiotic", False, 3.0, True), ("worthless", False, 2.0, True), ("lostra", True, 4.0, True), ("scum", False, 5.0, True)]
+    lex = Lexicon(terms)
+    for _ in range(3000):
+        term = rng.choice(terms)[0]
+        word = list(term + ("".join(rng.choice("abst") for _ in range(rng.randint(0, 3))) if rng.random() < 0.4 else ""))
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(word))
+            word[k : k + 1] = rng.choice([[], [rng.choice("aiost")], [word[k], rng.choice("aiost")]])
+            if not word:
+                word = ["a"]
+        word = "".join(word)
+        want = [(t, w) for t, stem, w, _ in terms if len(t) >= 6 and (min(distance(t, word)) if stem else distance(t, word)[-1]) == 1]
+        got = lex.fuzzy(word)
+        assert (got[0] if got else None) == (max(want, key=lambda x: x[1])[0] if want else None), word
+    assert lex.exact("lostraschaft")[0] == "lostra" and lex.exact("scums") is None
+
+
+def test_toxicity(spark, docs, empty):
+    from tachygraph.llm.toxicity import scored
+
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = scored(d, labels).join(labels, "doc_id").filter("held_out").select("score", "predicted", "toxic").collect()
+    one, zero = [r["score"] for r in got if r["toxic"]], [r["score"] for r in got if not r["toxic"]]
+    auc = sum((a > b) + 0.5 * (a == b) for a in one for b in zero) / (len(one) * len(zero))
+    assert auc > 0.8 and sum(r["predicted"] and not r["toxic"] for r in got) <= 0.02 * len(got)
+    odd = labels.unionByName(spark.createDataFrame([(None, 1, 1), (900_001, 0, None)], labels.schema))
+    rows = scored(docs, odd).collect()
+    assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 for r in rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows if r["doc_id"] is not None)
+    assert scored(empty, labels).count() == 0 and scored(d, labels.limit(0)).filter("predicted = 1").count() == 0
+
+
+# 9
+
+
+def test_html_marginals():
+    """Messages give the marginals that summing over all labellings gives."""
+    import itertools
+    import math
+
+    from tachygraph.llm.dom import Node
+    from tachygraph.llm.html_extract import marginals
+
+    rng = random.Random(3)
+    for _ in range(30):
+        n = rng.randint(1, 9)
+        nodes = [Node("x", "", -1 if k == 0 else rng.randrange(k)) for k in range(n)]
+        own = [rng.uniform(-3, 3) for _ in nodes]
+        tables = [tuple(rng.uniform(0.1, 2) for _ in range(4)) for _ in nodes]
+        total = [[0.0, 0.0] for _ in nodes]
+        for y in itertools.product((0, 1), repeat=n):
+            p = math.exp(sum(o * v for o, v in zip(own, y)))
+            for k in range(1, n):
+                p *= tables[nodes[k].parent][2 * y[nodes[k].parent] + y[k]]
+            for k in range(n):
+                total[k][y[k]] += p
+        assert marginals(nodes, own, tables) == pytest.approx([math.log(b / a) for a, b in total])
+
+
+def test_html_extraction(spark):
+    from tachygraph.llm.html_extract import extracted
+
+    page = """<html><body><div class="cookie-notice"><p>We use cookies on this site.</p></div><nav><a href=a>Home</a></nav><header>Site name</header>
+    <div class="post-content"><h1>A &amp; B</h1><p>First   line,<br>second &eacute; one.<p>Unclosed <b>bold</b> text.<div class="ad-box">Buy now</div><script>var x = "<p>no</p>"</script><p>Last one.</div>
+    <div id="comments"><p>Nice post!</p></div><form><label>Search</label></form><aside>Other things to read</aside><footer>&copy; 2020</footer></body></html>"""
+    rows = [(1, "u", page), (2, None, None), (None, "v", ""), (3, "w", "just text < 5 & more"), (3, "w", "<p"), (4, "x", "<div>" * 3000 + "deep"), (5, "y", "<!-- open <p>x</p>")]
+    got = extracted(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
+    assert len(got) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert next(r["text"] for r in got if r["page_id"] == 1) == "A & B\n\nFirst line, second é one.\n\nUnclosed bold text.\n\nLast one."
+    assert next(r["text"] for r in got if r["page_id"] == 2) == ""
+
+
+def test_html_on_made_pages():
+    from tachygraph.llm.html_extract import labelled_nodes, marginals, trained
+
+    model, rng, good, n = trained(), random.Random(77), 0, 0
+    for _ in range(100):
+        nodes, y = labelled_nodes(rng)
+        odds = marginals(nodes, *model.potentials(nodes))
+        runs = [(o >= 0) == bool(v) for node, o, v in zip(nodes, odds, y) if node.text is not None]
+        good, n = good + sum(runs), n + len(runs)
+    assert good / n > 0.95
+
+
+# 10
+
+
+def test_line_dedup(docs, empty):
+    from tachygraph.llm.line_dedup import drop_lines
+
+    rows = pairs_of(docs, "doc_id", "source", "text")
+    pages = defaultdict(set)
+    for _, s, t in rows:
+        if t is not None:
+            pages[s].add(t)
+    bad = {}
+    for s, texts in pages.items():
+        n = Counter(x for t in texts for x in {x.strip(" ") for x in t.split("\n")} if x)
+        bad[s] = {x for x, k in n.items() if k >= 3 and k > 0.1 * len(texts)}
+    want = []
+    for i, s, t in rows:
+        lines = None if t is None else t.split("\n")
+        left = None if t is None else [x for x in lines if not x.strip(" ") or x.strip(" ") not in bad.get(s, ())]
+        want.append((i, s, None if t is None else "\n".join(left), 0 if t is None else len(lines) - len(left)))
+    got = drop_lines(docs, "source", max_ratio=0.1, min_pages=3)
+    assert sorted(pairs_of(got.drop("n_dropped_lines") if False else got.select("doc_id", "source", "text", got.columns[-1]).toDF("doc_id", "source", "text", "n"), "doc_id", "source", "text", "n"), key=str) == sorted(want, key=str)
+    assert sum(x[3] for x in want) > 0 and drop_lines(empty, "source").count() == 0
