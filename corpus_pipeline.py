@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines; ``n_chars`` counts what is left."""
     got = drop_lines(docs, "source")
-    chars = F.when(F.col("n_dropped_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    chars = F.when(F.col(got.columns[-1]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return got.select(*[chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
