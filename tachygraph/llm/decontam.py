@@ -104,8 +104,9 @@ def confirmed(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(tid, n_hit, n_items, items_sha256) of the texts in which a candidate of ``found`` (tid, found) holds, word by word."""
     tids = table(found.select(F.col("tid").alias("wanted")), "tids")
     rows = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid"), "text")
-    texts = rows.join(small(tids), F.col("tid") == F.col("wanted"), "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    own = texts.join(found, "tid").select("tid", "found", _words(lower_ascii(F.col("text"))).alias("own"))
+    #: Words come before the grouping, so that they are split once for each text and not again for each candidate.
+    own = rows.join(small(tids), F.col("tid") == F.col("wanted"), "left_semi").select("tid", _words(lower_ascii(F.col("text"))).alias("own"))
+    own = own.groupBy("tid").agg(F.first("own").alias("own")).join(found, "tid")
     holds = F.filter("found", lambda x: F.slice(F.col("own"), x["begin"] + 1, F.size(x["words"])) == x["words"])
     held = own.select("tid", holds.alias("holds")).filter("size(holds) > 0")
     spots = F.flatten(F.transform("holds", lambda x: F.sequence(x["begin"], x["begin"] + F.size(x["words"]) - 1)))
