@@ -21,6 +21,7 @@ from tachygraph.functions.spectral import spectral_features
 
 STEP_MS = 5000
 MEDIAN_BEATS = 7
+CHUNK_BEATS = 50_000
 #: Fixed values of the triangular index: bin width and the last bin's index.
 BIN_MS, LAST_BIN = 7.8125, 318
 
@@ -39,13 +40,20 @@ def in_windows(rr: DataFrame, seconds: int) -> DataFrame:
     return counted.withColumn("row", F.explode(F.sequence("first_", "last_"))).drop("first_", "last_", "rows")
 
 
-def looked_back(rr: DataFrame) -> DataFrame:
-    """``rr`` with the interval before, the running median of MEDIAN_BEATS and the one before, and where each begins."""
-    w = Window.partitionBy("record_id").orderBy("seq")
+def looked_back(rr: DataFrame, chunk: int = CHUNK_BEATS) -> DataFrame:
+    """``rr`` with the interval before, the running median of MEDIAN_BEATS and the one before, and where each begins.
+
+    Records are cut into chunks of beats, each with a few beats of the chunk before, so that a long record is many tasks' work.
+    """
+    own = F.floor(F.col("seq") / chunk)
+    reach = F.when(F.col("seq") % chunk >= chunk - MEDIAN_BEATS, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = rr.withColumn("own_", own).withColumn("chunk_", F.explode(reach))
+    w = Window.partitionBy("record_id", "chunk_").orderBy("seq")
     run = w.rowsBetween(1 - MEDIAN_BEATS, 0)
-    out = rr.withColumn("prev", F.lag("rr_ms").over(w)).withColumn("prev_left", F.lag("left_ms").over(w))
+    out = rows.withColumn("prev", F.lag("rr_ms").over(w)).withColumn("prev_left", F.lag("left_ms").over(w))
     out = out.withColumn("med", F.percentile("rr_ms", F.lit(0.5)).over(run)).withColumn("med_left", F.lag("left_ms", MEDIAN_BEATS - 1).over(w))
-    return out.withColumn("prev_med", F.lag("med").over(w)).withColumn("prev_med_left", F.lag("left_ms", MEDIAN_BEATS).over(w))
+    out = out.withColumn("prev_med", F.lag("med").over(w)).withColumn("prev_med_left", F.lag("left_ms", MEDIAN_BEATS).over(w))
+    return out.filter("chunk_ = own_").drop("own_", "chunk_")
 
 
 def _pair(sd: Column, sd_diff: Column) -> tuple[Column, Column]:

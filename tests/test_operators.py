@@ -114,6 +114,14 @@ def test_scaling_metamorphic(spark):
     assert all(two[k] == pytest.approx(2 * one[k]) for k in ("avg", "sd", "rmssd")) and all(two[k] == pytest.approx(one[k]) for k in ("skew", "kurt", "csi"))
 
 
+def test_chunks_make_no_difference(spark):
+    rng = random.Random(2)
+    x = [rng.randint(600, 1100) for _ in range(100)]
+    df = spark.createDataFrame([(r, k, sum(x[:k]), sum(x[: k + 1]), a) for r in (0, 1) for k, a in enumerate(x)], "record_id long, seq long, left_ms long, right_ms long, rr_ms long")
+    rows = lambda n: sorted(map(str, features.looked_back(df, n).collect()))
+    assert rows(13) == rows(8) == rows(1000)
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "record_id long, seq long, left_ms long, right_ms long, rr_ms long")
     assert features.time_features(empty, 30).count() == 0 and rr.validated(empty).count() == 0
