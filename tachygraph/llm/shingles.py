@@ -9,7 +9,7 @@ import pyarrow as pa
 
 WORDS = 5
 #: Bytes of text handled at once; a longer single text is handled alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
