@@ -154,12 +154,12 @@ def disclosing_terms(docs: DataFrame, min_texts: int = MIN_TEXTS, min_disclosure
     pairs = few.join(inside, "term").join(with_shared, "tid").groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_in").alias("n_in"))
     pairs = table(pairs.filter((F.col("n_et") >= min_texts) & (disclosure("n_et", "n_in") >= min_disclosure)), "pairs")
     wanted = table(pairs.select("term").distinct(), "wanted")
-    #: A text that stands in n rows counts 1 / n in each, so that no distinct is needed over the corpus; sums first, then the join.
+    #: A text that stands in n rows counts 1 / n in each, so that no distinct is needed over the corpus. An inner join stays above the sums.
     copies = by_hash.groupBy("tid").agg(F.count("*").alias("n")).filter("n > 1")
     copies = table(copies.select(F.col("tid").alias("copied"), (1.0 / F.col("n")).alias("weight")), "copies")
     weighed = by_hash.join(small(copies), F.col("tid") == F.col("copied"), "left").select(F.coalesce("weight", F.lit(1.0)).alias("weight"), F.explode(_terms(F.col("text"))).alias("term"))
     counts = weighed.groupBy("term").agg(F.sum("weight").alias("n"))
-    counts = table(counts.join(small(wanted), "term", "left_semi").select("term", F.greatest(F.round("n"), F.lit(1.0)).alias("n_t")), "counts")
+    counts = table(counts.join(small(wanted), "term").select("term", F.greatest(F.round("n"), F.lit(1.0)).alias("n_t")), "counts")
     told = pairs.join(counts, "term").select("term", disclosure("n_et", "n_t").alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= min_disclosure)
     told = table(told, "told_terms")
     places = by_hash.select("tid", F.explode(_terms(F.col("text"))).alias("term")).join(small(told), "term").distinct()
