@@ -53,3 +53,19 @@ def cohort_metrics(patients: DataFrame) -> DataFrame:
         F.median("f1").alias("med_F1"), F.median("far").alias("med_FAR"), F.median("n_fp").alias("med_FP"), F.median("ppv").alias("med_PPV"), F.median("sensitivity").alias("med_Sensitivity"),
         F.sum("n_tp").alias("n_tp"), F.sum("n_fn").alias("n_fn"), F.sum("n_fp").alias("n_fp"), F.sum(F.col("n_tp") + F.col("n_fn")).alias("n_seizures"),
     )
+
+
+def seizure_rows(onsets: DataFrame) -> DataFrame:
+    """(patient_id, record_id, seizure_id, is_detected) of flagged onsets."""
+    return onsets.select("patient_id", "record_id", "seizure_id", "is_detected")
+
+
+def detection_rows(found: DataFrame, records: DataFrame) -> DataFrame:
+    """(patient_id, record_id, result) of flagged detections."""
+    return found.join(records.select("record_id", "patient_id"), "record_id", "left").select("patient_id", "record_id", "result")
+
+
+def seizure_evaluations(seizures: DataFrame) -> DataFrame:
+    """Seizures with the five flags of an evaluation, all false where they are not given."""
+    flags = ("is_correct_type", "has_valid_data", "is_event", "is_detectable", "is_detected")
+    return seizures.withColumns({f: F.coalesce(F.col(f), F.lit(False)) if f in seizures.columns else F.lit(False) for f in flags})

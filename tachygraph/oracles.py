@@ -177,6 +177,13 @@ ORACLES: dict[str, str] = {
       select record_id, (k - 1)::bigint as k, round(t, 4) as t_s from acc""",
     "ig_log_density": _with(_RR) + " select record_id, seq, round(ln(greatest(sqrt(12.0 / (2 * pi() * pow(d, 3))) * exp(least(greatest(-12.0 * pow(d - 0.8, 2) / (2 * 0.8 * 0.8 * d), -700), 700)), 1e-30)), 4) as log_f from (select record_id, seq, right_ms / 1000.0 - left_ms / 1000.0 as d from rr)",
     "missed_beat": _with(_DIRTY) + " select record_id, seq, round((left_ms + right_ms) / 2.0, 6) as tau, round(8 * (rr_ms / 100.0) / (pow(1 + rr_ms / 100.0, 2) + 1), 6) as shape from rr where rr_ms > 2000",
+    "local_loglik": _with(_RR) + """, u as (select record_id, seq as idx, right_ms / 1000.0::double as t from rr),
+      h as (select *, t - lag(t) over w as d, 0.4 * (lag(t, 2) over w - lag(t, 3) over w) + 0.2 * (lag(t, 3) over w - lag(t, 4) over w) + 0.2 * (lag(t, 4) over w - lag(t, 5) over w) + 0.1 * (lag(t, 5) over w - lag(t, 6) over w) + 0.1 * (lag(t, 6) over w - lag(t, 7) over w) as m from u window w as (partition by record_id order by idx)),
+      f as (select *, ln(greatest(sqrt(12.0 / (2 * pi() * pow(d, 3))) * exp(least(greatest(-12.0 * pow(d - m, 2) / (2 * m * m * d), -700), 700)), 1e-30)) as lf from h),
+      p as (select a.record_id, a.t as ev, b.idx, b.t, b.lf, min(b.idx) over (partition by a.record_id, a.t) as lo from u a left join f b on a.record_id = b.record_id and b.t >= a.t - 60 and b.t < a.t where a.idx % 50 = 0)
+      select record_id, round(ev, 3) as t_s, round(coalesce(sum(case when idx >= lo + 7 then exp(-0.02 * (ev - t)) * lf end), 0), 4) as loglik from p group by record_id, ev""",
+    "corrected_samples": _with(_RR) + " select record_id, seq, floor(right_ms / 1000.0::double * 250)::bigint as sample from rr",
+    "record_filter": _with(_RR) + " select record_id, seq, rr_ms from rr where record_id = 2",
     "prediction_rows": _with(_DIRTY, _windows(30), _PEAKS, _RULES, _TABLE) + " select record_id, row, round(avg, 6) as avg from tab where quality >= 75",
     "event_filter": _with(_RR, _windows(30)) + ", f as (select record_id, row, avg(x) as avg from inw group by 1, 2), s as (select record_id, row, avg((60000.0 / avg > 71.0)::int) over w as share, count(*) over w as n from f window w as (partition by record_id order by row rows between current row and 54 following)) select record_id, row, share > 0.5 as is_event from s where n = 55",
     "sampling_windows": _with(_DIRTY, _windows(30), _PEAKS, _RULES, _TABLE) + ', a as (select record_id, event_id as seizure_id, left_ms // 5000 as row from rr where event_type = \'error\') select a.record_id, tab.row, w as "window", seizure_id from a, unnest([-6, -3, 0]) as u(w), tab where tab.record_id = a.record_id and tab.row = a.row + w and quality >= 75 and is_event',
@@ -198,6 +205,16 @@ ORACLES: dict[str, str] = {
     "smooth_runs": _with(_RR, _SCORE, _FILL, _SMOOTH) + " select record_id, row, value::int as value from v2",
     "detection_blocks": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + " select record_id, start_row from blocks",
     "detections": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + " select record_id, start_row * 5 as start_s, start_row * 5 + 300 as end_s from blocks",
+    "detections_e2e": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + " select record_id, start_row * 5 as start_s, start_row * 5 + 300 as end_s from blocks",
+    "evaluation_e2e": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + """, d as (select record_id, start_row * 5000 as ms from blocks), o as (select event_id, record_id, record_id % 2 as patient_id, left_ms from rr where event_type = 'error' and seq % 40 = 0),
+      h as (select patient_id, exists (select 1 from d where d.record_id = o.record_id and abs(d.ms - o.left_ms) <= 300000) as hit from o),
+      sp as (select patient_id, count(*) filter (hit) as n_tp, count(*) filter (not hit) as n_fn from h group by 1),
+      fp as (select record_id % 2 as patient_id, count(*) as n_fp from d where not exists (select 1 from o where o.record_id = d.record_id and abs(d.ms - o.left_ms) <= 300000) group by 1),
+      rp as (select record_id % 2 as patient_id, sum(s) / 86400.0 as days from (select record_id, (max(right_ms) - min(left_ms)) // 1000 as s from rr group by 1) group by 1),
+      pj as (select patient_id, coalesce(n_tp, 0) as n_tp, coalesce(n_fn, 0) as n_fn, coalesce(n_fp, 0) as n_fp, days from rp left join sp using (patient_id) left join fp using (patient_id)),
+      pm as (select *, coalesce(2 * ppv * sensitivity / nullif(ppv + sensitivity, 0), 0) as f1 from (select *, coalesce(n_tp::double / nullif(n_tp + n_fp, 0), 0) as ppv, coalesce(n_tp::double / nullif(n_tp + n_fn, 0), 0) as sensitivity, coalesce(n_fp / nullif(days, 0), 0) as far from pj))
+      select patient_id, n_tp, n_fn, n_fp, """ + _r("days", "ppv", "sensitivity", "f1", "far") + " from pm",
+    "seizure_flags": _with(_EVAL.format(tol=21600000)) + " select onset_id, record_id, is_detected, false as is_correct_type, false as has_valid_data, false as is_event, false as is_detectable from hits",
     "match_detections": _with(_EVAL.format(tol=300000)) + " select record_id, onset_id, onset_ms, det_id, start_ms from pairs",
     "match_detections_wide": _with(_EVAL.format(tol=21600000)) + " select record_id, onset_id, det_id from pairs",
     "seizure_hit_flags": _with(_EVAL.format(tol=21600000)) + " select * from hits",

@@ -308,8 +308,29 @@ def ig_log_density(spark, sf_dir):
 @query
 def missed_beat(spark, sf_dir):
     e = fixtures.rr_dirty(spark, sf_dir).filter("rr_ms > 2000")
-    shape = F.col("rr_ms") / 100
-    return _rounded(e.select("record_id", "seq", ((F.col("left_ms") + F.col("right_ms")) / 2).alias("tau"), (8 * shape / (F.pow(1 + shape, F.lit(2.0)) + 1)).alias("shape")))
+    tau, shape = point_process.missed_beat_columns(F.col("left_ms"), F.col("right_ms"), F.col("rr_ms") / 100)
+    return _rounded(e.select("record_id", "seq", tau.alias("tau"), shape.alias("shape")))
+
+
+@query
+def local_loglik(spark, sf_dir):
+    beats = fixtures.rr(spark, sf_dir).select("record_id", F.col("seq").alias("idx"), (F.col("right_ms") / 1000).alias("t_s"))
+    at = beats.filter("idx % 50 = 0").select("record_id", "t_s")
+    got = correction.local_log_likelihoods(beats, at, [0.1, 0.1, 0.2, 0.2, 0.4, 12.0])
+    return got.select("record_id", F.round("t_s", 3).alias("t_s"), F.round("loglik", 4).alias("loglik"))
+
+
+@query
+def corrected_samples(spark, sf_dir):
+    from tachygraph.sources.recordings import corrected_peaks
+
+    beats = fixtures.rr(spark, sf_dir).select("record_id", "seq", (F.col("right_ms") / 1000).alias("t_s"))
+    return corrected_peaks(beats, 250).select("record_id", "seq", "sample")
+
+
+@query
+def record_filter(spark, sf_dir):
+    return records.of_record(fixtures.rr(spark, sf_dir), 2).select("record_id", "seq", "rr_ms")
 
 
 # sampling
@@ -464,6 +485,21 @@ def detections(spark, sf_dir):
     return detect.detections(detection_blocks(spark, sf_dir))
 
 
+@query
+def detections_e2e(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    rows = _score_rows(spark, sf_dir)
+    scores = rows.filter("valid").select("record_id", (F.row_number().over(Window.partitionBy("record_id").orderBy("row")) - 1).cast("long").alias("i"), F.col("hit").alias("score"))
+    return detect.detect(rows, scores, F.col("valid"), 0.5)
+
+
+@query
+def seizure_flags(spark, sf_dir):
+    onsets, _, pairs = _pairs(spark, sf_dir, 21_600_000)
+    return evaluate.seizure_evaluations(evaluate.flagged_onsets(onsets, pairs, "onset_id")).drop("onset_ms")
+
+
 def _events(spark, sf_dir, kind):
     e = fixtures.table(spark, sf_dir, "events").filter(F.col("event_type") == kind)
     return e.select("event_id", F.col("user_id").alias("record_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
