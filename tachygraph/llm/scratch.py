@@ -34,9 +34,24 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Deletes all tables that this process has written so, once the results that read them are stored; gives their number."""
+    jvm, n = spark.sparkContext._jvm, len(_written)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    _written.clear()
+    return n
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (a written table) with a broadcast hint if it has at most ``rows`` rows; larger ones join by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

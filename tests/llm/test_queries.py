@@ -64,3 +64,10 @@ def test_pipeline_stages(spark, docs):
     last = corpus_pipeline.STAGES[-1][1](spark, have, SF)
     assert sorted({r[0] for r in last.select("doc_id").collect()}) == ids(have)
     assert corpus_pipeline.run(spark, SF).count() == last.count()
+
+
+def test_tables_can_be_dropped(spark):
+    from tachygraph.llm.scratch import drop_tables, table
+
+    path = table(spark.range(3), "x").inputFiles()[0]
+    assert drop_tables(spark) >= 1 and not Path(path.removeprefix("file:")).exists()
