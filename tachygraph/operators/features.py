@@ -61,6 +61,17 @@ def _pair(sd: Column, sd_diff: Column) -> tuple[Column, Column]:
     return sd_diff / F.sqrt(F.lit(2.0)), F.when(inner >= 0, F.sqrt(inner))
 
 
+def _most_equal(values: Column) -> Column:
+    """How often the most frequent value of a sorted array stands in it; a window's array is short."""
+    start = F.struct(F.lit(-1).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(x == a["last"], a["run"] + 1).otherwise(1)
+        return F.struct(x.cast("long").alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+
+    return F.aggregate(values, start, step, lambda a: a["best"])
+
+
 def time_features(rr: DataFrame, seconds: int) -> DataFrame:
     """(record_id, row, n_beats, ...): the 28 time-domain and geometric features of each window with beats."""
     rows = in_windows(looked_back(rr), seconds)
@@ -74,17 +85,15 @@ def time_features(rr: DataFrame, seconds: int) -> DataFrame:
     pair_m = F.when(F.col("md").isNotNull(), F.col("med") + F.col("prev_med"))
     seq_if = lambda c: F.when(c.isNotNull(), F.col("seq"))
     slope = F.regr_slope("x", F.col("seq").cast("double"))
+    bin_ = F.when(F.col("rr_ms").between(0, BIN_MS * (LAST_BIN + 1)), F.least(F.floor(F.col("rr_ms") / BIN_MS), F.lit(LAST_BIN)))
     a = rows.groupBy("record_id", "row").agg(
         F.count("*").alias("n_beats"), F.avg("x").alias("avg"), F.stddev_pop("x").alias("sd"), F.var_pop("x").alias("variance"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"),
         F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmssd"), F.avg("d").alias("d_avg"), F.avg(F.col("d") * F.col("d")).alias("d_sq"), F.count("d").alias("n_d"), slope.alias("trend"),
         F.count_if(F.abs("d") >= 50).alias("nnx"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_pop("d").alias("sd_d"),
         F.regr_slope("m", F.col("seq").cast("double")).alias("slope"), F.stddev_pop("m").alias("sd_m"), F.stddev_pop("md").alias("sd_md"), F.count("m").alias("n_m"),
-        F.max_by(pair, seq_if(pair)).alias("last_two"), F.min_by(pair, seq_if(pair)).alias("first_two"), F.max_by(pair_m, seq_if(pair_m)).alias("last_m"), F.min_by(pair_m, seq_if(pair_m)).alias("first_m"),
+        F.max_by(pair, seq_if(pair)).alias("last_two"), F.min_by(pair, seq_if(pair)).alias("first_two"), F.max_by(pair_m, seq_if(pair_m)).alias("last_m"), F.min_by(pair_m, seq_if(pair_m)).alias("first_m"), F.sort_array(F.collect_list(bin_)).alias("bins"),
     )
-    bin_ = F.least(F.floor(F.col("rr_ms") / BIN_MS), F.lit(LAST_BIN))
-    h = rows.filter(F.col("rr_ms").between(0, BIN_MS * (LAST_BIN + 1))).groupBy("record_id", "row", bin_.alias("bin")).agg(F.count("*").alias("h"))
-    h = h.groupBy("record_id", "row").agg((F.sum("h") / F.max("h")).alias("triangular_index"))
-    a = a.join(h, ["record_id", "row"], "left")
+    a = a.withColumn("triangular_index", F.try_divide(F.size("bins"), _most_equal(F.col("bins")))).drop("bins")
     sd1, sd2 = _pair(F.col("sd"), F.col("sd_d"))
     fsd1, fsd2 = _pair(F.col("sd_m"), F.col("sd_md"))
     csi, csim = F.try_divide(F.col("sd2"), F.col("sd1")), F.try_divide(F.pow(4 * F.col("sd2"), F.lit(2)), 4 * F.col("sd1"))
