@@ -43,6 +43,8 @@ _TERM_CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 MIN_TEXTS = 5
 MIN_DISCLOSURE = 0.9
 REMOVE = 0.97
+#: Texts with disclosing terms up to which their lists are broadcast.
+LIST_ROWS = 100_000
 #: Matches that are laid out at once; two levels keep a text of very many matches linear.
 _BLOCK = 256
 _SPAN = "struct<start:int,rank:int,end:int,value:string>"
@@ -172,7 +174,7 @@ def personal_data(docs: DataFrame, min_texts: int = MIN_TEXTS, min_disclosure: f
     told = table(disclosing_terms(docs, min_texts, min_disclosure), "told")
     lists = table(told.groupBy("tid").agg(F.collect_list(F.struct("term", "disclosure")).alias("risks")), "lists")
     rows = docs.select(F.struct("*").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("doc_tid"))
-    rows = base_spans(rows.join(small(lists), F.col("doc_tid") == F.col("tid"), "left").drop("tid", "doc_tid"))
+    rows = base_spans(rows.join(small(lists, LIST_ROWS), F.col("doc_tid") == F.col("tid"), "left").drop("tid", "doc_tid"))
     rows = rows.withColumn("base", _all_spans(*(f"{k}_spans" for k in KINDS)))
     words = F.array_join(F.array_sort(F.transform("risks", lambda x: x["term"])), "|")
     pattern = F.concat(F.lit(f"(?<!{_TERM_CHAR})(?:"), words, F.lit(f")(?!{_TERM_CHAR})"))

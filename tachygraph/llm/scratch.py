@@ -52,6 +52,7 @@ def drop_tables(spark: SparkSession) -> int:
     return n
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if it has at most ``rows`` rows; larger ones join by shuffle."""
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if it has at most ``rows`` rows (BROADCAST_ROWS); larger ones join by shuffle."""
+    rows = BROADCAST_ROWS if rows is None else min(rows, BROADCAST_ROWS)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

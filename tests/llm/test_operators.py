@@ -435,5 +435,28 @@ def test_line_dedup(docs, empty):
         left = None if t is None else [x for x in lines if not x.strip(" ") or x.strip(" ") not in bad.get(s, ())]
         want.append((i, s, None if t is None else "\n".join(left), 0 if t is None else len(lines) - len(left)))
     got = drop_lines(docs, "source", max_ratio=0.1, min_pages=3)
-    assert sorted(pairs_of(got.drop("n_dropped_lines") if False else got.select("doc_id", "source", "text", got.columns[-1]).toDF("doc_id", "source", "text", "n"), "doc_id", "source", "text", "n"), key=str) == sorted(want, key=str)
+    assert sorted(pairs_of(got.select("doc_id", "source", "text", got.columns[-1]).toDF("doc_id", "source", "text", "n"), "doc_id", "source", "text", "n"), key=str) == sorted(want, key=str)
     assert sum(x[3] for x in want) > 0 and drop_lines(empty, "source").count() == 0
+
+
+# the ways beyond a broadcast
+
+
+@pytest.mark.parametrize("test", [test_sanitise_terms, test_quotation, test_near_duplicate_families])
+def test_without_broadcast(spark, monkeypatch, test):
+    from tachygraph.llm import scratch
+
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        test(spark)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("test", [test_decontamination, test_line_dedup])
+def test_tables_without_broadcast(spark, monkeypatch, docs, empty, bench_items, test):
+    from tachygraph.llm import scratch
+
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", 0)
+    test(docs, empty, bench_items) if test is test_decontamination else test(docs, empty)
