@@ -2,8 +2,11 @@
 
 Public vocabularies are run over whole texts. Three measures come out: characters per token (of each vocabulary), the
 share of byte-fallback tokens (of a piece vocabulary with byte fallback), and the entropy of the token ids in bits. A
-band per language or script says which values are ordinary; a text outside its band is rejected. The base rule rejects
-very short texts and texts that mostly repeat themselves.
+text outside its band is rejected. Bands are of two sorts: wide ones by script, given as parameters, and narrow ones by
+language (without one, by script), learned from all texts: the median of the characters per token, and the spread of
+what a text is off it times the root of its tokens. A text is outside its narrow band if with both vocabularies it is off on
+the same side by more than WIDTH spreads and by more than a share LEAST_OFF of the median. A language of fewer than
+MIN_TEXTS texts has no narrow band. The base rule rejects very short texts and texts that mostly repeat themselves.
 
 Nulls: a null text counts as empty (no words, base_failed). A null or unknown ``lang`` falls back to the script's band.
 Texts without tokens have null measures. Repeated rows each get their own equal row; an empty table gives an empty one.
@@ -19,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tachygraph.llm import shingles
+from tachygraph.llm.scratch import small, table
 
 #: Where the vocabulary files lie; the driver reads them and ships their bytes with the tasks.
 VOCABULARY_DIR = "/opt/tokenizers"
@@ -35,6 +40,12 @@ MAX_REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
 
 
+#: Narrow bands: their width, the share of the median that counts at all, and the texts that they need.
+WIDTH = 6.0
+LEAST_OFF = 0.05
+MIN_TEXTS = 100
+
+
 @dataclass(frozen=True)
 class Band:
     """Ordinary values; entropy is held against the least share of the entropy that so many tokens could have."""
@@ -129,7 +140,7 @@ def base_counts(text: str, hashes: np.ndarray) -> tuple[int, int]:
     return dup, int((np.cumsum(inside[:-1]) > 0).sum())
 
 
-_FIELDS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "script": pa.string(), "chars_per_token": pa.float64(), "chars_per_piece": pa.float64(), "fallback_share": pa.float64(), "token_entropy": pa.float64()}
+_FIELDS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "script": pa.string(), "n_tokens": pa.int64(), "n_pieces": pa.int64(), "chars_per_token": pa.float64(), "chars_per_piece": pa.float64(), "fallback_share": pa.float64(), "token_entropy": pa.float64()}
 _TYPES = {pa.int64(): "long", pa.bool_(): "boolean", pa.string(): "string", pa.float64(): "double"}
 MEASURES = tuple(_FIELDS)
 
@@ -157,14 +168,17 @@ def measure_batch(batch: pa.RecordBatch, files: tuple[bytes, bytes], bands: dict
             if len(ids) and len(ids2):
                 chars, chars2, fallback, bits = n_chars / len(ids), n_chars / len(ids2), float(is_byte[ids2].mean()), entropy(ids)
                 good = in_band(languages.get(langs[at + i]) or bands.get(script, bands["other"]), len(ids), chars, chars2, fallback, bits)
-            row = (n_words, n_chars - spaces, int(counts[list(SYMBOLS)].sum()), dup, repeated, failed, good and not failed, script, chars, chars2, fallback, bits)
+            row = (n_words, n_chars - spaces, int(counts[list(SYMBOLS)].sum()), dup, repeated, failed, good and not failed, script, len(ids), len(ids2), chars, chars2, fallback, bits)
             for k, v in zip(_FIELDS, row, strict=True):
                 out[k].append(v)
     return out
 
 
 def measured(docs: DataFrame, keep: list[str], folder: str = VOCABULARY_DIR, bands: dict[str, Band] | None = None, languages: dict[str, Band] | None = None) -> DataFrame:
-    """``keep``'s columns of ``docs`` with MEASURES; one row for each row of ``docs``, in one pass without a shuffle."""
+    """``keep``'s columns of ``docs`` with MEASURES; one row for each row of ``docs``, in one pass without a shuffle.
+
+    A measure with the name of a kept column has m_ before it. ``kept`` is the verdict of the base rule and the wide bands.
+    """
     files, bands, languages = vocabularies(folder), bands or BANDS, LANGUAGE_BANDS if languages is None else languages
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("kept_row"), F.col("text"), lang.alias("lang"))
@@ -179,8 +193,50 @@ def measured(docs: DataFrame, keep: list[str], folder: str = VOCABULARY_DIR, ban
     return out.select(*[F.col("kept_row")[c].alias(c) for c in keep], *[F.col(k).alias(f"m_{k}" if k in keep else k) for k in _FIELDS])
 
 
+def _quantiles(values: DataFrame, step: float, shares: dict[str, float]) -> DataFrame:
+    """(key, n, name...): quantiles of ``x`` for each key by counts of bins ``step`` wide, so that equal rows give equal results."""
+    bins = values.filter("x is not null").groupBy("key", F.floor(F.col("x") / step).alias("bin")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("key").orderBy("bin"))
+    whole = F.sum("n").over(Window.partitionBy("key"))
+    bins = bins.withColumn("upto", upto).withColumn("whole", whole)
+    picked = [((F.min(F.when(F.col("upto") >= share * F.col("whole"), F.col("bin"))) + 0.5) * step).alias(name) for name, share in shares.items()]
+    return bins.groupBy("key").agg(F.first("whole").alias("n"), *picked)
+
+
+_VOCABULARIES = (("chars_per_token", "n_tokens"), ("chars_per_piece", "n_pieces"))
+
+
+def language_bands(rows: DataFrame) -> DataFrame:
+    """(key, centre0, spread0, centre1, spread1) of each language with enough texts: rows have key, base_failed and the measures."""
+    good = rows.filter("not base_failed")
+    out = None
+    for k, (chars, n) in enumerate(_VOCABULARIES):
+        values = good.select("key", F.col(chars).alias("x"), F.col(n).alias("tokens"))
+        centre = table(_quantiles(values, 0.01, {f"centre{k}": 0.5}).filter(F.col("n") >= MIN_TEXTS).drop("n"), "centres")
+        off = values.join(small(centre), "key").select("key", ((F.col("x") - F.col(f"centre{k}")) * F.sqrt("tokens")).alias("x"))
+        spread = _quantiles(off, 0.05, {"low": 0.25, "high": 0.75}).select("key", F.greatest((F.col("high") - F.col("low")) / 1.349, F.lit(0.05)).alias(f"spread{k}"))
+        both = centre.join(spread, "key")
+        out = both if out is None else out.join(both, "key")
+    return out
+
+
+def judged(docs: DataFrame, keep: list[str], folder: str = VOCABULARY_DIR) -> DataFrame:
+    """``measured`` with the verdict of all bands in ``kept``: the measures are written once, the narrow bands learned from all of them."""
+    renamed = {c: f"m_{c}" if c in keep else c for c in MEASURES}
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    whole = docs.select(F.struct(*keep).alias("doc"), "text", lang.alias("lang"))
+    rows = table(measured(whole, ["doc", "lang"], folder), "fertility").withColumn("key", F.coalesce("lang", "script"))
+    bands = table(language_bands(rows), "bands")
+    off = []
+    for k, (chars, n) in enumerate(_VOCABULARIES):
+        d = F.col(chars) - F.col(f"centre{k}")
+        off.append(F.when((F.abs(d) > LEAST_OFF * F.col(f"centre{k}")) & (F.abs(d) * F.sqrt(n) > WIDTH * F.col(f"spread{k}")), F.signum(d)).otherwise(0))
+    outside = F.coalesce((off[0] == off[1]) & (off[0] != 0), F.lit(False))
+    got = rows.join(small(bands), "key", "left").withColumn("kept", F.col("kept") & ~outside)
+    return got.select(*[F.col("doc")[c].alias(c) for c in keep], *[F.col(c).alias(renamed[c]) for c in MEASURES])
+
+
 def quality_filter(docs: DataFrame, folder: str = VOCABULARY_DIR) -> DataFrame:
     """The rows of ``docs`` that the base rule and the bands keep, with the same columns."""
-    got = measured(docs, docs.columns, folder)
-    kept = "m_kept" if "kept" in docs.columns else "kept"
-    return got.filter(F.col(kept)).select(*docs.columns)
+    got = judged(docs, docs.columns, folder)
+    return got.filter(F.col("m_kept" if "kept" in docs.columns else "kept")).select(*docs.columns)

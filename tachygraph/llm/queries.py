@@ -11,9 +11,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tachygraph.llm.fertility import measured
+    from tachygraph.llm.fertility import judged
 
-    return measured(_read(spark, sf_dir, "documents"), ["doc_id"])
+    return judged(_read(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op2_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def pairs_of(df, *cols):
 
 
 def test_fertility_base(docs):
-    from tachygraph.llm.fertility import measured, quality_filter
+    from tachygraph.llm.fertility import judged, quality_filter
 
     want = []
     for doc_id, text in pairs_of(docs, "doc_id", "text"):
@@ -40,7 +40,7 @@ def test_fertility_base(docs):
             at[tuple(w[k : k + 5])].append(k)
         inside = {j for ks in at.values() if len(ks) > 1 for k in ks for j in range(k, k + 5)}
         want.append((doc_id, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(inside), len(w) < 10 or 100 * len(inside) > 20 * len(w)))
-    got = measured(docs, ["doc_id"])
+    got = judged(docs, ["doc_id"])
     assert sorted(pairs_of(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"), key=str) == sorted(want, key=str)
     assert got.filter("kept and base_failed").isEmpty()
     kept = quality_filter(docs)
@@ -59,6 +59,40 @@ def test_fertility_bands(spark, empty):
     assert measured(empty, ["doc_id"]).count() == 0
 
 
+def test_fertility_learned_bands(spark, empty, monkeypatch):
+    """The narrow bands against the same rule in plain Python."""
+    import math
+
+    from tachygraph.llm import fertility
+
+    monkeypatch.setattr(fertility, "MIN_TEXTS", 50)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = fertility.judged(docs, ["doc_id", "lang"]).collect()
+    plain = {r["doc_id"]: r["kept"] for r in fertility.measured(docs, ["doc_id"]).collect()}
+    by = defaultdict(list)
+    for r in got:
+        if not r["base_failed"] and r["n_tokens"]:
+            by[r["lang"]].append(r)
+
+    def quantile(xs, step, share):
+        bins = sorted(math.floor(x / step) for x in xs)
+        return (next(b for k, b in enumerate(bins, 1) if k >= share * len(bins)) + 0.5) * step
+
+    sides = defaultdict(list)
+    for lang, rows in by.items():
+        for chars, n in (("chars_per_token", "n_tokens"), ("chars_per_piece", "n_pieces")):
+            centre = quantile([r[chars] for r in rows], 0.01, 0.5)
+            off = [(r[chars] - centre) * math.sqrt(r[n]) for r in rows]
+            spread = max(0.05, (quantile(off, 0.05, 0.75) - quantile(off, 0.05, 0.25)) / 1.349)
+            for r, z in zip(rows, off):
+                d = r[chars] - centre
+                sides[r["doc_id"]].append((d > 0) - (d < 0) if len(rows) >= 50 and abs(d) > 0.05 * centre and abs(z) > 6 * spread else 0)
+    want = {i: plain[i] and not (len(sides[i]) == 2 and sides[i][0] == sides[i][1] != 0) for i in plain}
+    assert {r["doc_id"]: r["kept"] for r in got} == want
+    assert 0 < sum(plain.values()) - sum(want.values()) < 0.1 * len(plain)
+    assert fertility.judged(empty, ["doc_id"]).count() == 0
+
+
 # 2
 
 

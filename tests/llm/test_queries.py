@@ -43,7 +43,7 @@ def test_pipeline_stages(spark, docs):
     """Each stage keeps the columns, works on what came before, and equals its operator."""
     import corpus_pipeline
     from tachygraph.llm.decontam import contamination
-    from tachygraph.llm.fertility import measured
+    from tachygraph.llm.fertility import judged
     from tachygraph.llm.near_dedup import near_duplicates
     from tachygraph.llm.scratch import table
 
@@ -56,7 +56,7 @@ def test_pipeline_stages(spark, docs):
         assert have.columns == columns
         counts[name] = (before, have)
     ids = lambda df: sorted(r[0] for r in df.select("doc_id").collect())
-    assert ids(counts["quality_rules"][1]) == ids(measured(counts["quality_rules"][0], ["doc_id"]).filter("kept"))
+    assert ids(counts["quality_rules"][1]) == ids(judged(counts["quality_rules"][0], ["doc_id"]).filter("kept"))
     assert ids(counts["line_dedup"][1]) == ids(counts["line_dedup"][0])
     assert ids(counts["near_dedup"][1]) == ids(near_duplicates(counts["near_dedup"][0]).filter("kept"))
     found = contamination(counts["decontamination"][0], spark.read.parquet(f"{SF}/benchmark.parquet"))
