@@ -53,7 +53,7 @@ inp as (select record_id, u.row, t from pk, unnest(range(greatest(t // 5000 - 3,
 _RULES = """
 gp as (select record_id, row, t, t - lag(t) over (partition by record_id, row order by t) as gap from inp),
 rules as (select record_id, row, count(*) as n, avg(case when gap is not null then 60000.0 / greatest(gap, 1e-6) end) as mean_rate, max(gap)::double as longest, min(gap)::double as shortest from gp group by record_id, row),
-q as (select *, case when n < 3 or mean_rate <= 40 or mean_rate >= 180 or longest > 3000 or longest / greatest(shortest, 1e-6) >= 2.2 then 0.0 else 100.0 end as quality from rules)"""
+q as (select *, case when n < 3 or mean_rate <= 40 or mean_rate >= 180 or longest > 3000 or longest / greatest(shortest, 1e-6) >= 2.2 then 0.0 else 100.0 end::double as quality from rules)"""
 
 _SCORE = """
 n_ as (select record_id, greatest((max(right_ms) // 1000 - 30) // 5, 1)::bigint as rows from rr group by record_id),
