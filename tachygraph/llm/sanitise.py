@@ -19,6 +19,7 @@ an empty one. Patterns are written so that no text makes them backtrack beyond i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -50,25 +51,38 @@ _BLOCK = 256
 _SPAN = "struct<start:int,rank:int,end:int,value:string>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it, in inner lambdas too."""
+    return F.transform(F.array(value), lambda x: body(x))[0]
+
+
 def spans_of(text: str, pattern: Column, rank: int) -> Column:
     """Array of (start, rank, end, value) of the pattern's matches in the column ``text``, in order; code points, end exclusive.
 
     Splitting gives the gaps between the matches, so the lengths of both, added up, give the places.
     """
     t = F.col(text)
-    found = F.regexp_extract_all(t, pattern, F.lit(0))
-    gaps = F.split(t, pattern, -1)
-    pieces = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("l"), m.alias("v")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _BLOCK).cast("int")), lambda b: F.slice(pieces, b * _BLOCK + 1, _BLOCK))
-    sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y["g"] + y["l"]))
     empty = F.array().cast(f"array<{_SPAN}>")
+    matched = F.struct(F.regexp_extract_all(t, pattern, F.lit(0)).alias("found"), F.split(t, pattern, -1).alias("gaps"))
+
+    def pieces_of(m: Column) -> Column:
+        return F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["found"])), m["found"], lambda g, v: F.struct(F.length(g).alias("g"), F.length(v).alias("l"), v.alias("v")))
+
+    def blocks_of(pieces: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _BLOCK).cast("int")), lambda b: F.slice(pieces, b * _BLOCK + 1, _BLOCK))
+
+    def sums_of(blocks: Column) -> Column:
+        return F.transform(blocks, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + y["g"] + y["l"]))
+
+    def laid(blocks: Column, sums: Column) -> Column:
+        def lay(x: Column, i: Column) -> Column:
+            start = F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda a, y: a + y)
+            step = lambda a, y: F.struct((a["p"] + y["g"] + y["l"]).alias("p"), F.concat(a["out"], F.array(F.struct((a["p"] + y["g"]).alias("start"), F.lit(rank).alias("rank"), (a["p"] + y["g"] + y["l"]).alias("end"), y["v"].alias("value")))).alias("out"))
+            return F.aggregate(x, F.struct(start.alias("p"), empty.alias("out")), step, lambda a: a["out"])
 
-    def lay(x: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda a, y: a + y)
-        step = lambda a, y: F.struct((a["p"] + y["g"] + y["l"]).alias("p"), F.concat(a["out"], F.array(F.struct((a["p"] + y["g"]).alias("start"), F.lit(rank).alias("rank"), (a["p"] + y["g"] + y["l"]).alias("end"), y["v"].alias("value")))).alias("out"))
-        return F.aggregate(x, F.struct(start.alias("p"), empty.alias("out")), step, lambda a: a["out"])
+        return F.flatten(F.transform(blocks, lay))
 
-    return F.flatten(F.transform(blocks, lay))
+    return _let(matched, lambda m: _let(pieces_of(m), lambda pieces: _let(blocks_of(pieces), lambda blocks: _let(sums_of(blocks), lambda sums: laid(blocks, sums)))))
 
 
 def _digits(value: Column) -> Column:
@@ -180,7 +194,7 @@ def personal_data(docs: DataFrame, min_texts: int = MIN_TEXTS, min_disclosure: f
     pattern = F.concat(F.lit(f"(?<!{_TERM_CHAR})(?:"), words, F.lit(f")(?!{_TERM_CHAR})"))
     rows = rows.withColumn("pattern", F.when(F.size("risks") > 0, pattern))
     laid = spans_of("text", F.col("pattern"), len(KINDS))
-    free = F.filter(laid, lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
+    free = _let(F.col("base"), lambda base: F.filter(laid, lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"]))))
     rows = rows.withColumn("term_spans", F.when(F.col("pattern").isNotNull() & F.rlike("text", F.col("pattern")), free))
     return rows.withColumn("spans", _all_spans("base", "term_spans"))
 

@@ -157,6 +157,20 @@ def test_sanitise_terms(spark):
     assert "zanzibar" not in sanitised(got).filter("doc.doc_id = 3").first()["clean"]
 
 
+def test_sanitise_very_long_text(spark):
+    """Twenty thousand matches in one text stay cheap."""
+    import time
+
+    from tachygraph.llm.sanitise import personal_data, span_text
+
+    text = " ".join(f"user{k}@mail{k % 9}.example.com 10.0.{k % 250}.{k % 200}" for k in range(20_000))
+    began = time.time()
+    got = personal_data(spark.createDataFrame([(1, text), (2, "1" * 300_000), (3, "a" * 300_000 + "@")], "doc_id long, text string"))
+    rows = dict(pairs_of(got.select(F.col("doc.doc_id").alias("doc_id"), span_text("base").alias("b")), "doc_id", "b"))
+    assert rows[1] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(text)) and rows[2] == rows[3] == ""
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_spans_property(spark, seed):
     from tachygraph.llm.sanitise import personal_data, span_text
