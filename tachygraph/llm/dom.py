@@ -13,7 +13,7 @@ _SPACE = re.compile(r"\s+")
 #: Elements without an end tag, whose text is no text, and that stand within a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math object select datalist canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var nobr blink center".split()) - {"center"}
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var nobr blink".split())
 #: An element of the first sort ends an open one of the second.
 _CLOSERS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol pre section table ul".split())
@@ -50,9 +50,10 @@ def parse(html: str) -> list[Node]:
     def close(until: int) -> None:
         del stack[until:]
 
+    last = html.rfind(">")
     while True:
-        m = _TOKEN.search(html, at)
-        piece = html[at : m.start() if m else len(html)]
+        m = _TOKEN.search(html, at) if at <= last else None
+        piece = html[at : m.start()] if m else html[at:].split("<!--", 1)[0]
         if piece:
             run.append(piece)
             if in_link:
@@ -98,7 +99,7 @@ def parse(html: str) -> list[Node]:
         while len(stack) > 1 and nodes[stack[-1]].tag in ended:
             close(len(stack) - 1)
         in_link = False
-        if tag in ("html",):
+        if tag == "html":
             continue
         nodes.append(Node(tag, m[3] or m[6] or "", stack[-1]))
         stack.append(len(nodes) - 1)

@@ -34,6 +34,7 @@ class Lexicon:
             else:
                 self.tails.add(term[-3:])
         self.lengths = sorted({len(x) for x in self.stems})
+        self.longest = max((len(x) for x in (*self.stems, *self.words)), default=0)
 
     def exact(self, word: str) -> tuple[str, float] | None:
         """The heaviest term that ``word`` is, or stem that it begins with."""
@@ -54,6 +55,9 @@ class Lexicon:
         """The heaviest term of MIN_FUZZY letters or more at distance 1 from ``word`` (a stem: from a beginning of it)."""
         if len(word) < MIN_FUZZY - 1 or not self._may(word):
             return None
+        #: What stands beyond the longest term and one edit can't matter to a stem, and rules out a word.
+        cut = len(word) > self.longest + 1
+        word = word[: self.longest + 1]
         best, n = None, len(word)
         todo = [(self.root, [min(k, 2) for k in range(n + 1)])]
         while todo:
@@ -61,7 +65,7 @@ class Lexicon:
             for letter, below in node.items():
                 if letter in ("stem", "word"):
                     weight = below[1]
-                    near = min(row) if letter == "stem" else row[n]
+                    near = min(row) if letter == "stem" else 2 if cut else row[n]
                     if near == 1 and (best is None or weight > best[1]):
                         best = below
                     continue

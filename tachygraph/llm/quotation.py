@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 from tachygraph.llm.scratch import small, table
 
 _MARK = r"^[ \t]*>"
-_MARKS = r"^((?:[ \t]*>)++)[ \t]?(.*)$"
+_MARKS = r"(?s)^((?:[ \t]*>)++)[ \t]?(.*)$"
 
 
 def normal(text: Column) -> Column:
