@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 ORDERS = np.linspace(-10, 10, 20)
 DROPPED = 4
 
 
+@lru_cache(maxsize=1024)
+def _fit_matrix(lag: int, degree: int) -> np.ndarray:
+    """The matrix that takes segments of ``lag`` points to their least-squares polynomials."""
+    basis = np.vander(np.arange(lag), degree + 1)
+    return (basis @ np.linalg.pinv(basis)).T
+
+
 def fluctuations(x: np.ndarray, lags: np.ndarray, orders: np.ndarray, degree: int = 1) -> np.ndarray:
     """F_q(lag): rows are lags, columns orders. The profile is cut into segments of ``lag`` from both ends and detrended in each."""
     profile = np.cumsum(x - x.mean())
@@ -15,8 +24,7 @@ def fluctuations(x: np.ndarray, lags: np.ndarray, orders: np.ndarray, degree: in
     for lag in lags:
         n = len(profile) // lag
         parts = np.concatenate([profile[: n * lag].reshape(n, lag), profile[len(profile) - n * lag :].reshape(n, lag)])
-        basis = np.vander(np.arange(lag), degree + 1)
-        fit = parts @ (basis @ np.linalg.pinv(basis)).T
+        fit = parts @ _fit_matrix(int(lag), degree)
         var = ((parts - fit) ** 2).mean(axis=1)
         if (var <= 0).any():
             out.append(np.zeros(len(orders)))
