@@ -255,10 +255,13 @@ def deficiency(spark, sf_dir):
 # correction
 
 
+def _bad_times(beats):
+    return beats.filter("rr_ms > 2500").select("record_id", (F.col("left_ms") / 1000).cast("double").alias("t_s"))
+
+
 @query
 def time_pairs(spark, sf_dir):
-    beats = fixtures.rr_dirty(spark, sf_dir)
-    bad = beats.filter("rr_ms > 2500").select("record_id", (F.col("left_ms") / 1000).cast("double").alias("t_s"))
+    bad = _bad_times(fixtures.rr_dirty(spark, sf_dir))
     return _rounded(correction.time_pairs(bad).select("record_id", "segment_id", "start", "end"))
 
 
@@ -294,8 +297,10 @@ def interpolated_outliers(spark, sf_dir):
 
 @query
 def rr_correct(spark, sf_dir):
-    beats = fixtures.rr_dirty(spark, sf_dir).filter("left_ms < 120000").select("record_id", F.lit(0).cast("long").alias("segment_id"), (F.col("right_ms") / 1000).alias("t_s"))
-    return correction.corrected(beats, point_process.Config(window_beats=60, iterations=60)).select("record_id", "segment_id", "quality_before", "quality_after", F.size("peaks").alias("n_peaks"), "error")
+    beats = fixtures.rr_dirty(spark, sf_dir)
+    peaks = beats.select("record_id", F.col("seq").alias("idx"), (F.col("right_ms") / 1000).alias("t_s"))
+    slices = correction.segments(peaks, correction.time_pairs(_bad_times(beats)))
+    return correction.corrected(slices).select("record_id", "segment_id", "quality_before", "quality_after", F.size("peaks").alias("n_peaks"), "error")
 
 
 @query
