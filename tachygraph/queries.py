@@ -326,14 +326,23 @@ def missed_beat(spark, sf_dir):
     return _rounded(e.select("record_id", "seq", tau.alias("tau"), shape.alias("shape")))
 
 
-@query
-def local_loglik(spark, sf_dir):
+def _log_likelihoods(spark, sf_dir, which):
     beats = fixtures.rr(spark, sf_dir).select("record_id", F.col("seq").alias("idx"), (F.col("right_ms") / 1000).alias("t_s"))
-    at = beats.filter("idx % 50 = 0").select("record_id", "t_s")
-    got = correction.local_log_likelihoods(beats, at, [0.1, 0.1, 0.2, 0.2, 0.4, 12.0])
+    got = correction.local_log_likelihoods(beats, beats.filter(which).select("record_id", "t_s"), [0.1, 0.1, 0.2, 0.2, 0.4, 12.0])
     return got.select("record_id", F.round("t_s", 3).alias("t_s"), F.round("loglik", 4).alias("loglik"))
 
 
+@query
+def local_loglik(spark, sf_dir):
+    """At every 50th beat, as its SQL has it."""
+    return _log_likelihoods(spark, sf_dir, F.col("idx") % 50 == 0)
+
+
+@query
+def local_loglik_whole(spark, sf_dir):
+    return _log_likelihoods(spark, sf_dir, F.lit(True))
+
+
 @query
 def corrected_samples(spark, sf_dir):
     from tachygraph.sources.recordings import corrected_peaks
