@@ -2,16 +2,18 @@ r"""Information-theoretic sanitisation of personal data, in DataFrame functions
 
 Base: e-mail addresses, IP addresses, card and phone numbers by pattern, each kind leftmost and without overlap. They are
 the protected entities. Method: the corpus tells how strongly a term reveals an entity. With p(e) the share of distinct
-texts that hold entity e, and p(e|t) that among the texts that hold term t,
+texts that hold entity e, and p(e|t) that among the texts that hold term t, as the other texts of t tell it when one that holds
+both is left out, (n_et - 1) / (n_t - 1),
 
     disclosure(t, e) = PMI(t; e) / IC(e) = 1 + log2 p(e|t) / -log2 p(e)
 
-which is 1 if t gives e away and 0 if t says nothing about it. Terms at or above MIN_DISCLOSURE that share MIN_TEXTS
-distinct texts or more with e become spans of kind ``term`` wherever they stand: at or above REMOVE they are removed, below it
-generalised to their class. All counts are over distinct texts, so copies add no evidence.
+which is 1 if t gives e away and 0 if t says nothing about it. Terms at or above MIN_DISCLOSURE for an entity of any support become
+spans of kind ``term`` wherever they stand: at or above REMOVE they are removed, below it generalised to their class. A pair that
+shares one text has an estimate of 0, as no other text bears it out. All counts are over distinct texts, so copies add no evidence.
 
-To count pairs without forming all of them: only entities of MIN_TEXTS texts count; a first pass counts terms in their
-texts, which bounds p(e|t) from above and leaves few pairs; only then are those terms counted in the whole corpus.
+To count pairs without forming all of them: entities and terms of one text have only estimates of 0 and are left out; a first
+pass counts terms in the entities' texts, which bounds p(e|t) from above and leaves few pairs; only then are those terms counted in
+the whole corpus.
 
 Nulls: a null text is empty (no spans). A null doc_id keeps its row. Repeated rows each get theirs; an empty table gives
 an empty one. Patterns are written so that no text makes them backtrack beyond its own runs. Other columns are ignored.
@@ -41,7 +43,6 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 TERM_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TERM_CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
-MIN_TEXTS = 5
 MIN_DISCLOSURE = 0.9
 REMOVE = 0.97
 #: Texts with disclosing terms up to which their lists are broadcast.
@@ -151,12 +152,12 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.split(shaped, TERM_GAP))
 
 
-def disclosing_terms(docs: DataFrame, min_texts: int = MIN_TEXTS, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
+def disclosing_terms(docs: DataFrame, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
     """(tid, term, disclosure) for each text (by hash) of ``docs`` (text) and each disclosing term in it."""
     texts = base_spans(docs.filter(F.col("text").isNotNull()).select("text"))
     holds = texts.filter(" or ".join(f"size({k}_spans) > 0" for k in KINDS)).select(F.xxhash64("text").alias("tid"), "text", _entities().alias("entities"))
     entities = table(holds.select("tid", F.explode("entities").alias("entity")).distinct(), "entities")
-    shared = table(entities.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_texts), "shared")
+    shared = table(entities.groupBy("entity").agg(F.count("*").alias("n_e")).filter("n_e > 1"), "shared")
     with_shared = table(entities.join(small(shared), "entity"), "with_shared")
     tids = table(with_shared.select("tid").distinct(), "tids")
     by_hash = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid"), "text")
@@ -165,11 +166,11 @@ def disclosing_terms(docs: DataFrame, min_texts: int = MIN_TEXTS, min_disclosure
     n_texts = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid")).distinct().count()
 
     def disclosure(n_et: str, n_t: str) -> Column:
-        return F.expr(f"case when n_e < {n_texts} then 1 + log2({n_et} / {n_t}) / -log2(n_e / {n_texts}) else 0D end")
+        return F.expr(f"case when n_e < {n_texts} then 1 + log2(({n_et} - 1) / ({n_t} - 1)) / -log2(n_e / {n_texts}) else 0D end")
 
-    inside = few.groupBy("term").agg(F.count("*").alias("n_in")).filter(F.col("n_in") >= min_texts)
+    inside = few.groupBy("term").agg(F.count("*").alias("n_in")).filter("n_in > 1")
     pairs = few.join(inside, "term").join(with_shared, "tid").groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_in").alias("n_in"))
-    pairs = table(pairs.filter((F.col("n_et") >= min_texts) & (disclosure("n_et", "n_in") >= min_disclosure)), "pairs")
+    pairs = table(pairs.filter((F.col("n_et") > 1) & (disclosure("n_et", "n_in") >= min_disclosure)), "pairs")
     wanted = table(pairs.select("term").distinct(), "wanted")
     #: A text that stands in n rows counts 1 / n in each, so that no distinct is needed over the corpus. An inner join stays above the sums.
     copies = by_hash.groupBy("tid").agg(F.count("*").alias("n")).filter("n > 1")
@@ -183,9 +184,9 @@ def disclosing_terms(docs: DataFrame, min_texts: int = MIN_TEXTS, min_disclosure
     return places.select("tid", "term", "disclosure")
 
 
-def personal_data(docs: DataFrame, min_texts: int = MIN_TEXTS, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
+def personal_data(docs: DataFrame, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
     """``docs`` in a struct ``doc`` with the kinds' spans, ``base`` and ``spans`` (arrays of start, rank, end, value; rank 4 is a term), and ``risks``."""
-    told = table(disclosing_terms(docs, min_texts, min_disclosure), "told")
+    told = table(disclosing_terms(docs, min_disclosure), "told")
     lists = table(told.groupBy("tid").agg(F.collect_list(F.struct("term", "disclosure")).alias("risks")), "lists")
     rows = docs.select(F.struct("*").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("doc_tid"))
     rows = base_spans(rows.join(small(lists, LIST_ROWS), F.col("doc_tid") == F.col("tid"), "left").drop("tid", "doc_tid"))

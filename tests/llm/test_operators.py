@@ -157,6 +157,16 @@ def test_sanitise_terms(spark):
     assert "zanzibar" not in sanitised(got).filter("doc.doc_id = 3").first()["clean"]
 
 
+def test_sanitise_terms_of_rare_entities(spark):
+    from tachygraph.llm.sanitise import personal_data, span_text
+
+    rows = [(k, f"ask quillfeather {k} at rare@corp.example") for k in range(2)] + [(9, "quillwort writes to single@corp.example")] + [(100 + k, f"ask at usual {k}") for k in range(200)]
+    got = {r[0]: r[1] for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.doc_id", span_text("spans")).collect()}
+    assert got[0] == got[1] == "term:4:16,email:22:39"
+    assert got[9] == "email:20:39"
+    assert not any(got[100 + k] for k in range(200))
+
+
 def test_sanitise_very_long_text(spark):
     """Twenty thousand matches in one text stay cheap."""
     import time
