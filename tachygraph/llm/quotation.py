@@ -3,7 +3,7 @@ r"""Quotation linking of conversations, in DataFrame functions only.
 1. Lines that begin with ``>`` are quoted; their level is the number of ``>`` before the text. Lines of one level on end are a
    passage.
 2. A passage is normalised (case, white space) and hashed. Messages are hashed whole, by paragraph and by line, without what
-   they quote themselves.
+   they quote themselves; and, where a passage of several lines or paragraphs may begin, by as many consecutive ones.
 3. A passage is joined to the originals of its hash: the latest earlier turn of its own conversation, else the first message
    of any other one. Only hashes that are quoted are looked up, and each hash is one row for each conversation and turn, so a
    common line costs no pairs.
@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from tachygraph.llm.scratch import small, table
 
 _MARK = r"^[ \t]*>"
+_PARAGRAPH = r"\n[ \t]*\n"
 _MARKS = r"(?s)^((?:[ \t]*>)++)[ \t]?(.*)$"
 
 
@@ -55,13 +56,44 @@ def passages(messages: DataFrame) -> DataFrame:
     return runs.filter(normal(F.col("passage")) != "").select("conv_id", "turn", "at", "level", "passage")
 
 
+def _sequences(text: Column) -> Column:
+    """The normalised lines of ``text`` and its normalised paragraphs: two arrays without empty ones."""
+    return F.array(*[F.filter(F.transform(F.split(text, by), normal), lambda u: u != "") for by in ("\n", _PARAGRAPH)])
+
+
+def _stretch_key(units: Column) -> Column:
+    """Key of consecutive units; a line feed is in no key of one unit."""
+    return F.sha2(F.array_join(units, "\n"), 256)
+
+
+def _stretches(own: DataFrame, quoted: DataFrame) -> DataFrame:
+    """(conv_id, turn, key): stretches of two or more consecutive lines or paragraphs of ``own`` (body) that begin and are as long as a passage's.
+
+    Two units lead to the places where a stretch begins, so that each place meets only the lengths that are asked for there.
+    """
+    asked = quoted.select(F.explode(_sequences(F.col("passage"))).alias("units")).filter("size(units) > 1")
+    asked = table(asked.select(_stretch_key(F.slice("units", 1, 2)).alias("begin"), F.size("units").alias("n")).distinct(), "asked")
+    pieces = own.select("conv_id", "turn", F.sha2("body", 256).alias("message"), F.posexplode(_sequences(F.col("body"))).alias("grain", "units")).filter("size(units) > 1")
+    begins = F.zip_with(F.slice("units", F.lit(1), F.size("units") - 1), F.slice("units", F.lit(2), F.size("units") - 1), lambda a, b: _stretch_key(F.array(a, b)))
+    places = pieces.select("conv_id", "turn", "message", "grain", F.posexplode(begins).alias("place", "begin")).join(small(asked), "begin")
+    places = table(places.select("conv_id", "turn", "message", "grain", "place", "n").distinct(), "places")
+    whole = pieces.join(small(places), ["conv_id", "turn", "message", "grain"]).filter(F.col("place") + F.col("n") <= F.size("units"))
+    return whole.select("conv_id", "turn", _stretch_key(F.slice("units", F.col("place") + 1, F.col("n"))).alias("key"))
+
+
 def links(messages: DataFrame, quoted: DataFrame) -> DataFrame:
-    """``quoted`` with the original's origin_conv and origin_turn, null where none is found."""
-    keyed = quoted.withColumn("key", _hash(F.col("passage")))
+    """``quoted`` with the original's origin_conv and origin_turn, null where none is found.
+
+    A passage is found as a whole message, paragraph or line, or as consecutive lines or paragraphs of a message.
+    """
+    many = F.filter(_sequences(F.col("passage")), lambda units: F.size(units) > 1)
+    keys = F.array_distinct(F.concat(F.array(_hash(F.col("passage"))), F.transform(many, _stretch_key)))
+    keyed = quoted.withColumn("keys", keys).select(*quoted.columns, F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
     wanted = table(keyed.select("key").distinct(), "wanted")
     own = messages.filter("conv_id is not null and turn is not null").select("conv_id", "turn", without_quotes(F.col("text")).alias("body")).filter("body <> ''")
-    units = F.array_distinct(F.transform(F.concat(F.array("body"), F.split("body", r"\n[ \t]*\n"), F.split("body", "\n")), normal))
+    units = F.array_distinct(F.transform(F.concat(F.array("body"), F.split("body", _PARAGRAPH), F.split("body", "\n")), normal))
     originals = own.select("conv_id", "turn", F.explode(units).alias("unit")).filter("unit <> ''").select("conv_id", "turn", F.sha2("unit", 256).alias("key"))
+    originals = originals.unionByName(_stretches(own, quoted))
     originals = table(originals.join(small(wanted), "key", "left_semi").distinct(), "originals")
     #: Quotes and originals of one hash in one conversation in the order of turns: the last original before a quote is its own.
     both = originals.select("key", "conv_id", "turn", F.col("turn").alias("origin"), F.lit(None).cast("int").alias("at")).unionByName(keyed.select("key", "conv_id", "turn", F.lit(None).cast(originals.schema["turn"].dataType).alias("origin"), F.col("at")))
@@ -69,6 +101,9 @@ def links(messages: DataFrame, quoted: DataFrame) -> DataFrame:
     near = both.withColumn("near", F.max("origin").over(before)).filter("at is not null and near is not null").select("key", "conv_id", "turn", "at", F.col("near").alias("near_turn")).distinct()
     first = originals.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
     joined = keyed.join(near, ["key", "conv_id", "turn", "at"], "left").join(first, "key", "left")
+    #: The keys of a passage as one row again; equal passages of several messages stay as many.
+    joined = joined.groupBy(*quoted.columns).agg(F.max("near_turn").alias("near_turn"), F.min("first").alias("first"), F.try_divide(F.count("*"), F.first("n_keys")).cast("int").alias("copies"))
+    joined = joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     other = F.col("near_turn").isNull() & (F.col("first.conv_id") != F.col("conv_id"))
     return joined.select("conv_id", "turn", "at", "level", "passage", F.when(F.col("near_turn").isNotNull(), F.col("conv_id")).when(other, F.col("first.conv_id")).alias("origin_conv"), F.coalesce("near_turn", F.when(other, F.col("first.turn"))).alias("origin_turn"))
 

@@ -112,6 +112,19 @@ def test_quotation(spark):
     assert reply_order(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_partial_quotation(spark):
+    from tachygraph.llm.quotation import reply_order
+
+    lines, paragraphs = "first line\nsecond line\nthird line", "one two\nthree\n\nfour five six\n\nseven"
+    rows = [(1, 0, "u", lines), (1, 1, "a", "> First  line\n> second line\nyes"), (1, 2, "u", "> first line\n> third line\nno"), (1, 3, "a", "> second line\n>\n> third line\nalso"), (1, 4, "a", "> third line\n> fourth line")]
+    rows += [(2, 0, "u", paragraphs), (2, 1, "a", "> one two three\n>\n> four five\n> six\nyes"), (2, 2, "a", "> one two three\n>\n> seven\nno")]
+    rows += [(3, 0, "u", "root"), (3, 1, "a", "alpha\nbeta\n> root\ngamma"), (3, 2, "u", "> alpha\n> beta\nyes"), (4, 0, "u", "> second line\n> third line")]
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["depth"], r["n_quotes"], r["n_linked"]) for r in reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 1] == got[1, 3] == (0, 1, 1, 1) and got[1, 2] == got[1, 4] == (None, 0, 1, 0)
+    assert got[2, 1] == (0, 1, 1, 1) and got[2, 2] == (None, 0, 1, 0)
+    assert got[3, 2] == (1, 2, 1, 1) and got[4, 0] == (None, 0, 1, 1)
+
+
 # 3
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
