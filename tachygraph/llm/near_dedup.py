@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tachygraph.llm import shingles
 from tachygraph.llm.components import components
@@ -71,11 +72,11 @@ def sketch(shingle_set: np.ndarray) -> np.ndarray:
     return np.packbits(np.stack([(least >> np.uint64(k)) & np.uint64(1) for k in range(PLANES)]).astype(np.uint8), axis=1).view(np.int64).ravel()
 
 
-_SIGNATURES = "doc_id long, n_shingles long, set_hash string, tuples array<long>, bits array<long>"
+_SIGNATURES = "doc_id long, n_shingles long, set_hash string, tuples array<long>, bits array<long>, tid long"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, tuples, bits) of each row; equal sets have equal set_hash. Empty sets have nulls."""
+    """(doc_id, n_shingles, set_hash, tuples, bits, tid) of each row; ``tid`` is the text's hash; equal sets have equal set_hash. Empty sets have nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,9 +93,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                     keys.append(None)
                     bits.append(None)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.string()), pa.array(keys, longs), pa.array(bits, longs)], ["doc_id", "n_shingles", "set_hash", "tuples", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.string()), pa.array(keys, longs), pa.array(bits, longs), batch.column("tid")], ["doc_id", "n_shingles", "set_hash", "tuples", "bits", "tid"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SIGNATURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tid")).mapInArrow(run, _SIGNATURES)
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -191,19 +192,37 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
+    return _judged(docs).drop("tid")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
     rows = table(signatures(docs), "signatures")
     classes = table(rows.filter("doc_id is not null and set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("tuples").alias("tuples"), F.first("bits").alias("bits"), F.count("*").alias("n")), "classes")
     linked = class_components(classes.select("id", "size", "tuples", "bits"), docs)
     placed = classes.join(small(linked), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"), F.col("n").alias("copies"), F.col("component").isNotNull().alias("linked"))
     #: Only classes that are larger than one row or linked with others need a lookup.
     placed = table(placed.filter("copies > 1 or linked").select("set_hash", "component_id"), "placed")
-    out = rows.select("doc_id", "n_shingles", "set_hash").join(small(placed), "set_hash", "left")
+    out = rows.select("doc_id", "n_shingles", "set_hash", "tid").join(small(placed), "set_hash", "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "tid")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group of near duplicates (its smallest doc_id; of rows that share it, each distinct text once), with all columns."""
-    found = table(near_duplicates(docs), "groups")
-    gone = table(found.filter("not kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(small(gone), docs["doc_id"] == gone["gone_id"], "left_anti")
+def keep_one(docs: DataFrame, repeats: bool = True) -> DataFrame:
+    """One document of each group of near duplicates (its smallest doc_id), with all columns.
+
+    Each row is judged by its own text, so a row stays if only another text of its doc_id goes. Rows that repeat a doc_id and text are
+    all kept, or one of them without ``repeats``.
+    """
+    found = table(_judged(docs), "groups")
+    gone = table(found.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("tid").alias("gone_tid")).distinct(), "gone")
+    tid = F.xxhash64("text")
+    out = docs.join(small(gone), (docs["doc_id"] == gone["gone_id"]) & (tid == gone["gone_tid"]), "left_anti")
+    if repeats:
+        return out
+    twice = table(found.filter("kept").groupBy(F.col("doc_id").alias("twice_id"), F.col("tid").alias("twice_tid")).count().filter("count > 1").drop("count"), "twice")
+    if twice.isEmpty():
+        return out
+    same = F.col("doc_id").eqNullSafe(F.col("twice_id")) & (tid == F.col("twice_tid"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
+    one = out.join(small(twice), same, "left_semi").withColumn("place_", place).filter("place_ = 1").drop("place_")
+    return out.join(small(twice), same, "left_anti").unionByName(one)

@@ -365,6 +365,20 @@ def test_near_duplicates(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_keep_one_judges_rows(spark):
+    """Repeated rows go to one; a clean text stays if another text of its doc_id goes."""
+    from corpus_pipeline import near_dedup
+    from tachygraph.llm.near_dedup import keep_one
+
+    rng = random.Random(8)
+    one, two, three, four = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(4))
+    rows = [(1, one, "x"), (5, one, "x"), (5, two, "x"), (7, three, "x"), (7, three, "x"), (None, four, "b"), (None, four, "a"), (8, None, "x"), (8, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once = [(1, one, "x"), (5, two, "x"), (7, three, "x"), (None, four, "a"), (8, None, "x")]
+    assert sorted(map(tuple, near_dedup(spark, df, SF).collect()), key=str) == sorted(once, key=str)
+    assert sorted(map(tuple, keep_one(df).collect()), key=str) == sorted([x for x in rows if x[:2] != (5, one)], key=str)
+
+
 def test_near_duplicate_families(spark):
     """Families of copies at all distances from the limit, in chains and stars."""
     rng = random.Random(9)
