@@ -4,36 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-#: Terms shorter than this are matched exactly only.
-MIN_FUZZY = 6
+#: The fewest letters with which a whole word and a stem are looked for with one edit; shorter ones are matched exactly only.
+MIN_FUZZY = 4
+MIN_FUZZY_STEM = 6
+
+Term = tuple[str, bool, float, bool]
+
+
+def shorter(word: str) -> list[str]:
+    """``word`` without each of its letters in turn."""
+    return [word[:k] + word[k + 1 :] for k in range(len(word))]
 
 
 class Lexicon:
     """Terms (whole words) and stems (beginnings of words): tables for exact hits, a trie of the fuzzy ones for hits with one edit."""
 
-    def __init__(self, terms: Iterable[tuple[str, bool, float, bool]]):
-        """terms: (letters, whether a stem, weight, whether one edit is allowed)."""
+    def __init__(self, terms: Iterable[Term], never: frozenset[str] = frozenset()):
+        """terms: (letters, whether a stem, weight, whether one edit is allowed). never: words that are no misspelling of a term, whatever their letters."""
+        self.never = never
         self.words: dict[str, tuple[str, float]] = {}
         self.stems: dict[str, tuple[str, float]] = {}
         self.root: dict = {}
         self.heads: set[str] = set()
-        self.tails: set[str] = set()
-        self.inner: set[str] = set()
+        self.seconds: set[str] = set()
+        self.near_words: set[str] = set()
+        self.near_stems: dict[int, set[str]] = {}
         for term, stem, weight, fuzzy in terms:
             (self.stems if stem else self.words)[term] = term, weight
-            if not fuzzy or len(term) < MIN_FUZZY:
+            if not fuzzy or len(term) < (MIN_FUZZY_STEM if stem else MIN_FUZZY):
                 continue
             node = self.root
             for letter in term:
                 node = node.setdefault(letter, {})
             node["stem" if stem else "word"] = (term, weight)
-            half = len(term) // 2
-            self.heads.add(term[:3])
-            if stem:
-                self.inner.add(term[half : half + 3])
-            else:
-                self.tails.add(term[-3:])
+            self.heads.add(term[:2])
+            self.seconds.add(term[2:4])
+            (self.near_stems.setdefault(len(term), set()) if stem else self.near_words).update((term, *shorter(term)))
         self.lengths = sorted({len(x) for x in self.stems})
+        self.longest_word = max((len(x) for x in self.words), default=0)
         self.longest = max((len(x) for x in (*self.stems, *self.words)), default=0)
 
     def exact(self, word: str) -> tuple[str, float] | None:
@@ -46,14 +54,19 @@ class Lexicon:
         return best
 
     def _may(self, word: str) -> bool:
-        """One edit leaves the first or the second half of a term whole; without either no walk is needed."""
-        if word[:3] in self.heads or word[-3:] in self.tails:
+        """One edit leaves a term's first two letters or the next two whole, and words at distance 1 are equal once one or both lose a letter; others are spared the walk."""
+        if word[:2] not in self.heads and self.seconds.isdisjoint((word[1:3], word[2:4], word[3:5])):
+            return False
+        if len(word) <= self.longest_word + 1 and (word in self.near_words or any(x in self.near_words for x in shorter(word))):
             return True
-        return any(word[k : k + 3] in self.inner for k in range(1, min(len(word) - 2, 12))) if self.inner else False
+        for n, near in self.near_stems.items():
+            if word[: n - 1] in near or any(x in near for x in shorter(word[:n])) or any(x in near for x in shorter(word[: n + 1])):
+                return True
+        return False
 
     def fuzzy(self, word: str) -> tuple[str, float] | None:
-        """The heaviest term of MIN_FUZZY letters or more at distance 1 from ``word`` (a stem: from a beginning of it)."""
-        if len(word) < MIN_FUZZY - 1 or not self._may(word):
+        """The heaviest term that is long enough and at distance 1 from ``word`` (a stem: from a beginning of it)."""
+        if len(word) < MIN_FUZZY - 1 or word in self.never or not self._may(word):
             return None
         #: What stands beyond the longest term and one edit can't matter to a stem, and rules out a word.
         cut = len(word) > self.longest + 1

@@ -2,10 +2,15 @@
 
 1. A bounded sample of labelled rows (SAMPLE_ROWS, by hash, training folds only) gives for each word and each beginning of
    a word the numbers of toxic and other texts that hold it. Those that stand out become the lexicon's terms and stems.
-2. A trie of them is intersected with the Levenshtein automaton of each word, so that words at distance 1 from a longer
-   term are found too.
+2. A trie of them is intersected with the Levenshtein automaton of each word, so that words at distance 1 from a term (of
+   four letters, a stem of six) are found too. Words of the sample that stand in other texts as often are no misspellings; nor is
+   a stem looked for with an edit if its near words do.
 3. A window of words around each hit says whether it stands in quotation or reported speech, and whether it is addressed to
-   someone. Hits of each sort, their weights and the text's length are the inputs of a logistic model, fitted on the sample.
+   someone. The model's inputs are sums over nested sets of hits: all, the exact ones, those that are not quoted, and
+   those of them that are addressed. Their weights are bounded from below by LEAST, so that by construction a quoted hit
+   counts more than none and less than an open one, and a misspelled one more than none and less than an exact one.
+4. The model is logistic, fitted on the sample and on two changed copies of each of its toxic texts: one with every hit
+   misspelled, which stays toxic, and one with every hit quoted, which is not.
 
 Labels, language, source and doc_id are no inputs of a score. Nulls: a null text is scored as an empty one; a label row
 with a null doc_id or a null label is not used; a document with a null doc_id is not held out. A document with several label
@@ -18,28 +23,31 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tachygraph.llm.lexicon import Lexicon
+from tachygraph.llm.lexicon import Lexicon, Term
 from tachygraph.llm.scratch import small, table
 
-#: Bounds of what is learned: labelled rows, terms kept, texts that a term must stand in, and its log-odds.
+#: Bounds of what is learned: labelled rows, texts that a term must stand in, and its log-odds.
 SAMPLE_ROWS = 8_000
-MAX_TERMS = 5_000
 MIN_TEXTS = 5
 MIN_TEXTS_SHARE = 0.01
-#: Terms that stand in this share of the toxic texts are looked for with one edit as well.
-FUZZY_SHARE = 0.03
 MIN_WEIGHT = 2.5
 STEM_LETTERS = range(3, 9)
 HELD_OUT = 1
 FOLDS = 3
 THRESHOLD = 0.7
 WINDOW = 6
+#: Words that a quotation may be long; a mark without its like in so many words opens none.
+QUOTE_WORDS = 60
+#: What a hit adds at least (in log-odds, for a unit of its input), and what a misspelled one's weight is multiplied by.
+LEAST = 0.05
+FUZZY = 0.7
 #: Words remembered by a worker.
 CACHE_WORDS = 200_000
 
@@ -60,8 +68,8 @@ def bare(word: str) -> str:
     return word if word.isalpha() else _EDGE.sub("", word)
 
 
-def learn_terms(texts: list[str], toxic: list[int]) -> list[tuple[str, bool, float, bool]]:
-    """The terms and stems that tell toxic texts from others, with their log-odds, and whether one edit is allowed.
+def learn_terms(texts: list[str], toxic: list[int]) -> tuple[list[Term], frozenset[str]]:
+    """The terms and stems that tell toxic texts from others, with their log-odds, and the words that are no misspellings of them.
 
     A stem's counts are its words' added up, so that each word is looked at once. A stem begins several words, and is
     drawn out as long as hardly any of them drops off.
@@ -86,7 +94,7 @@ def learn_terms(texts: list[str], toxic: list[int]) -> list[tuple[str, bool, flo
         if n > stems[1].get(heirs.get(s[:-1], ""), 0):
             heirs[s[:-1]] = s
     kept: dict[str, float] = {}
-    out = []
+    out: list[Term] = []
     for s in sorted((s for s, n in stems[1].items() if n >= 2 * least), key=lambda s: (len(s), s)):
         w = weight(stems[1][s], stems[0][s])
         above = max((kept[s[:k]] for k in range(3, len(s)) if s[:k] in kept), default=None)
@@ -97,22 +105,61 @@ def learn_terms(texts: list[str], toxic: list[int]) -> list[tuple[str, bool, flo
             s = heirs[s]
         kept[s] = w
         if forms[s] >= 3:
-            out.append((s, True, w, stems[1][s] >= FUZZY_SHARE * n1))
+            out.append((s, True, w, True))
     for term, n in counts[1].items():
         if n >= least and (w := weight(n, counts[0][term])) >= MIN_WEIGHT:
-            out.append((term, False, w, n >= FUZZY_SHARE * n1))
-    return sorted(out, key=lambda x: (-x[2], x[0]))[:MAX_TERMS]
+            out.append((term, False, w, True))
+    #: Several stems may be drawn out to the same one, which keeps its greatest weight.
+    best = {(t, stem): w for t, stem, w, _ in sorted(out, key=lambda x: x[2])}
+    out = sorted(((t, stem, w, True) for (t, stem), w in best.items()), key=lambda x: (-x[2], x[0]))
+    #: Near words that clean texts hold as well: a word is left out by itself, a stem with all its near words.
+    lexicon, never, near = Lexicon(out), set(), Counter()
+    for word in counts[0].keys() | counts[1].keys():
+        if lexicon.exact(word) is None and (found := lexicon.fuzzy(word)):
+            a, b = counts[1][word], counts[0][word]
+            near[found[0], 1] += a
+            near[found[0], 0] += b
+            if b and weight(a, b) < MIN_WEIGHT:
+                never.add(word)
+    barred = {t for t, stem, _, _ in out if stem and near[t, 0] and weight(near[t, 1], near[t, 0]) < MIN_WEIGHT}
+    return [(t, stem, w, not (stem and t in barred)) for t, stem, w, _ in out], frozenset(never)
+
+
+@dataclass(frozen=True)
+class Hit:
+    """A hit of the word at ``at``: exact or with one edit, its term's weight, and its context."""
+
+    at: int
+    exact: bool
+    weight: float
+    quoted: bool
+    addressed: bool
+
+
+def quoted_places(words: list[str]) -> set[int]:
+    """Places of the words between quotation marks that open and close within QUOTE_WORDS."""
+    inside: set[int] = set()
+    opened: int | None = None
+    for i, w in enumerate(words):
+        if opened is not None and i - opened >= QUOTE_WORDS:
+            opened = None
+        if opened is None and w[0] in _OPEN:
+            opened = i
+        if opened is not None and (bare_end := w.rstrip(".,;:!?"))[-1:] and bare_end[-1] in _CLOSE and (i > opened or len(bare_end) > 1):
+            inside.update(range(opened, i + 1))
+            opened = None
+    return inside
 
 
 class Scorer:
-    """Counts the hits of texts, with what has been found for each word kept for the next text."""
+    """Finds the hits of texts, with what has been found for each word kept for the next text."""
 
-    def __init__(self, terms: list[tuple[str, bool, float, bool]]):
-        self.lexicon = Lexicon(terms)
-        self.cache: dict[str, tuple[int, float] | None] = {}
+    def __init__(self, terms: list[Term], never: frozenset[str] = frozenset()):
+        self.lexicon = Lexicon(terms, never)
+        self.cache: dict[str, tuple[bool, float] | None] = {}
 
-    def hit(self, word: str) -> tuple[int, float] | None:
-        """(0 for an exact and 1 for a fuzzy hit, its weight) of a lower-case token, or none."""
+    def hit(self, word: str) -> tuple[bool, float] | None:
+        """(whether exact, weight) of a lower-case token, or none."""
         try:
             return self.cache[word]
         except KeyError:
@@ -123,53 +170,60 @@ class Scorer:
         if len(letters) > 2:
             exact = self.lexicon.exact(letters)
             if exact:
-                found = (0, exact[1])
+                found = (True, exact[1])
             elif near := self.lexicon.fuzzy(letters):
-                found = (1, near[1])
+                found = (False, near[1])
         self.cache[word] = found
         return found
 
-    def features(self, text: str) -> list[float]:
-        """Inputs of the model: hits of each sort, their weights and the length."""
-        words = text.lower().split()
-        hits = {w: h for w in set(words) if (h := self.hit(w)) is not None}
-        if not hits:
-            return [0.0] * (N_FEATURES - 1) + [float(np.log1p(len(words)))]
-        n = [0, 0]
-        quoted = addressed = 0
-        inside = False
-        top: Counter = Counter()
+    def hits(self, words: list[str]) -> list[Hit]:
+        """The hits among a text's lower-case tokens, in order."""
+        found = {w: h for w in set(words) if (h := self.hit(w)) is not None}
+        if not found:
+            return []
+        quoted = quoted_places(words)
+        out = []
         for i, w in enumerate(words):
-            if w[0] in _OPEN:
-                inside = True
-            if w in hits:
-                kind, weight = hits[w]
-                n[kind] += 1
-                top[w] = max(top[w], weight * (1.0 if kind == 0 else 0.5))
+            if w in found:
                 near = words[max(0, i - WINDOW) : i + WINDOW + 1]
-                quoted += inside or not REPORTING.isdisjoint(near)
-                addressed += not ADDRESSING.isdisjoint(near)
-            if w[-1] in _CLOSE or w[-1] in ".!?" and w[:-1][-1:] in _CLOSE:
-                inside = False
-        total = n[0] + n[1]
-        weights = sorted(top.values(), reverse=True)
-        return [float(np.log1p(n[0])), float(np.log1p(n[1])), quoted / total, addressed / total, weights[0], sum(weights[1:4]), min(20.0, 100 * total / len(words)), float(np.log1p(len(words)))]
+                out.append(Hit(i, *found[w], i in quoted or not REPORTING.isdisjoint(near), not ADDRESSING.isdisjoint(near)))
+        return out
 
 
-N_FEATURES = 8
+def inputs(words: list[str], hits: list[Hit]) -> list[float]:
+    """Inputs of the model: numbers and weights of hits in nested sets, and the text's length."""
+    strength = lambda h: h.weight if h.exact else FUZZY * h.weight
+    top: dict[str, float] = {}
+    for h in hits:
+        if not h.quoted:
+            top[words[h.at]] = strength(h)
+    weights = sorted(top.values(), reverse=True)
+    free = [h for h in hits if not h.quoted]
+    sums = [sum(strength(h) for h in hits), sum(h.exact for h in hits), len(free), sum(h.exact for h in free), sum(h.addressed for h in free)]
+    return [*(float(np.log1p(x)) for x in sums), weights[0] if weights else 0.0, float(sum(weights[1:4])), min(20.0, 100 * len(free) / max(len(words), 1)), float(np.log1p(len(words)))]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Weights of a logistic model (the last one is the constant), by Newton's method."""
+#: The last input, the length, is the only one whose weight may have either sign.
+N_INPUTS = 9
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, cycles: int = 500) -> np.ndarray:
+    """Weights of a logistic model (the last one is the constant), all but the last two at least LEAST, by Newton steps for one at a time."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, slope)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+    n = x.shape[1]
+    least = np.array([LEAST] * (n - 2) + [-np.inf] * 2)
+    w = np.maximum(np.zeros(n), least)
+    z = x @ w
+    for _ in range(cycles):
+        moved = 0.0
+        for k in range(n):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            slope = x[:, k] @ (p - y) + ridge * w[k]
+            curve = (x[:, k] ** 2 * p * (1 - p)).sum() + ridge
+            new = max(least[k], w[k] - float(np.clip(slope / curve, -2, 2)))
+            z += x[:, k] * (new - w[k])
+            moved, w[k] = max(moved, abs(new - w[k])), new
+        if moved < 1e-4:
             break
     return w
 
@@ -181,37 +235,60 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[tuple[str, bool, float, bool]], list[float]]:
-    """(terms, model weights) from a bounded sample, which is brought to the driver. Half of it chooses terms, all of it fits the weights."""
+def examples(scorer: Scorer, text: str, toxic: int) -> list[tuple[list[float], int]]:
+    """The inputs and label of a text, and of a toxic one's misspelled and quoted copies."""
+    words = text.lower().split()
+    hits = scorer.hits(words)
+    out = [(inputs(words, hits), toxic)]
+    if toxic and hits:
+        out.append((inputs(words, [replace(h, exact=False) for h in hits]), 1))
+        out.append((inputs(words, [replace(h, quoted=True) for h in hits]), 0))
+    return out
+
+
+Model = tuple[list[Term], frozenset[str], list[float]]
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
+    """(terms, words that are no misspellings, weights) from a bounded sample, which is brought to the driver."""
     got = sample(docs, labels, rows).orderBy("doc_id", "text").limit(rows).collect()
     texts, toxic = [r["text"] for r in got], [r["toxic"] for r in got]
     if not any(toxic):
-        return [], [0.0] * N_FEATURES + [-30.0]
+        return [], frozenset(), [0.0] * N_INPUTS + [-30.0]
     #: Weights are fitted where the terms were not chosen: each half is scored with the other half's terms.
     halves = [[i for i in range(len(texts)) if i % 2 == k] for k in (0, 1)]
-    x, y = [], []
+    made = []
     for one, other in (halves, halves[::-1]):
-        scorer = Scorer(learn_terms([texts[i] for i in one], [toxic[i] for i in one]))
-        x += [scorer.features(texts[i]) for i in other]
-        y += [toxic[i] for i in other]
-    return learn_terms(texts, toxic), fit_logistic(np.array(x), np.array(y, float)).tolist()
+        scorer = Scorer(*learn_terms([texts[i] for i in one], [toxic[i] for i in one]))
+        for i in other:
+            made += examples(scorer, texts[i], toxic[i])
+    return *learn_terms(texts, toxic), fit_logistic(np.array([x for x, _ in made]), np.array([y for _, y in made], float)).tolist()
 
 
 _scorers: dict[int, Scorer] = {}
 
 
-def scored(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted, hits_quoted) of each row of ``docs``; one pass without a shuffle after training."""
-    terms, weights = train(docs, labels, rows)
+def scored(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, model: Model | None = None) -> DataFrame:
+    """(doc_id, held_out, score, predicted, n_exact, n_fuzzy, n_quoted) of each row of ``docs``; one pass without a shuffle after training.
+
+    model: what ``train`` gave; without one it is trained from ``labels``.
+    """
+    terms, never, weights = train(docs, labels, rows) if model is None else model
     w = np.array(weights)
-    name = hash((tuple(terms), tuple(weights)))
+    name = hash((tuple(terms), never, tuple(weights)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _scorers.get(name) or _scorers.setdefault(name, Scorer(terms))
+        scorer = _scorers.get(name) or _scorers.setdefault(name, Scorer(terms, never))
         for pdf in frames:
-            x = np.array([scorer.features(t or "") for t in pdf["text"]]).reshape(-1, N_FEATURES)
-            score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": score, "predicted": (score >= THRESHOLD).astype("int32"), "quoted_share": x[:, 2]})
+            x, n = [], []
+            for text in pdf["text"]:
+                words = (text or "").lower().split()
+                hits = scorer.hits(words)
+                x.append(inputs(words, hits))
+                n.append((sum(h.exact for h in hits), sum(not h.exact for h in hits), sum(h.quoted for h in hits)))
+            score = 1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, N_INPUTS) @ w[:-1] + w[-1], -30, 30)))
+            counts = np.array(n, np.int64).reshape(-1, 3)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": score, "predicted": (score >= THRESHOLD).astype("int32"), "n_exact": counts[:, 0], "n_fuzzy": counts[:, 1], "n_quoted": counts[:, 2]})
 
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "text")
-    return rows_.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, quoted_share double")
+    return rows_.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, n_exact long, n_fuzzy long, n_quoted long")

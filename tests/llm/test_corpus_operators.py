@@ -414,9 +414,9 @@ def test_lexicon_against_edit_distance():
         return row
 
     rng = random.Random(12)
-    terms = [("idiotic", False, 3.0, True), ("worthless", False, 2.0, True), ("lostra", True, 4.0, True), ("scum", False, 5.0, True)]
-    lex = Lexicon(terms)
-    for _ in range(3000):
+    terms = [("idiotic", False, 3.0, True), ("worthless", False, 2.0, True), ("lostra", True, 4.0, True), ("scum", False, 5.0, True), ("los", False, 6.0, True), ("vequ", True, 7.0, True), ("scums", False, 9.0, False)]
+    lex = Lexicon(terms, frozenset(["lostre"]))
+    for _ in range(6000):
         term = rng.choice(terms)[0]
         word = list(term + ("".join(rng.choice("abst") for _ in range(rng.randint(0, 3))) if rng.random() < 0.4 else ""))
         for _ in range(rng.randint(0, 2)):
@@ -425,10 +425,10 @@ def test_lexicon_against_edit_distance():
             if not word:
                 word = ["a"]
         word = "".join(word)
-        want = [(t, w) for t, stem, w, _ in terms if len(t) >= 6 and (min(distance(t, word)) if stem else distance(t, word)[-1]) == 1]
+        want = [(t, w) for t, stem, w, one_edit in terms if one_edit and len(t) >= (6 if stem else 4) and word != "lostre" and (min(distance(t, word)) if stem else distance(t, word)[-1]) == 1]
         got = lex.fuzzy(word)
         assert (got[0] if got else None) == (max(want, key=lambda x: x[1])[0] if want else None), word
-    assert lex.exact("lostraschaft")[0] == "lostra" and lex.exact("scums") is None
+    assert lex.exact("lostraschaft")[0] == "lostra" and lex.exact("scumx") is None
 
 
 def test_toxicity(spark, docs, empty):
@@ -447,6 +447,79 @@ def test_toxicity(spark, docs, empty):
     assert scored(empty, labels).count() == 0 and scored(d, labels.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_context_and_spelling(spark):
+    """Clean, quoted, misspelled and open abuse of equal length stand in that order; every row's score is that of a plain scorer."""
+    import math
+
+    from tachygraph.llm.toxicity import ADDRESSING, FUZZY, REPORTING, WINDOW, quoted_places, scored, train
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    model = train(docs, labels)
+    terms, never, weights = model
+    words = [t for t, stem, _, _ in terms if not stem and len(t) >= 5 and t.isascii()][:3]
+    assert len(words) == 3
+    filler = "plans for another library and how it will be paid for by everyone next to"
+    made = {"clean": "x x x x", "quoted": 'said "' + " ".join(words) + '"', "misspelled": "x " + " ".join(w[:2] + "q" + w[3:] for w in words), "open": "x " + " ".join(words), "addressed": "you " + " ".join(words)}
+    own = spark.createDataFrame([(k, f"{filler} {v}") for k, v in enumerate(made.values())], "doc_id long, text string")
+    got = dict(zip(made, (r["score"] for r in scored(own, labels, model=model).orderBy("doc_id").collect())))
+    assert got["clean"] < got["quoted"] < got["misspelled"] < got["open"] <= got["addressed"] and got["open"] >= 0.7 and got["quoted"] < 0.5
+
+    def bare(w):
+        return re.sub(r"^[\W\d_]+|[\W\d_]+$", "", w)
+
+    def near(term, w, stem):
+        row = list(range(len(w) + 1))
+        for i, x in enumerate(term, 1):
+            new = [i]
+            for j, y in enumerate(w, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return (min(row) if stem else row[-1]) == 1
+
+    def find(w):
+        w = bare(w)
+        if len(w) <= 2:
+            return None
+        exact = [x for t, stem, x, _ in terms if w == t and not stem or stem and w.startswith(t)]
+        if exact:
+            return True, max(exact)
+        fuzzy = [x for t, stem, x, one_edit in terms if one_edit and w not in never and len(t) >= (6 if stem else 4) and near(t, w, stem)]
+        return (False, max(fuzzy)) if fuzzy else None
+
+    known = {}
+    own = own.withColumn("doc_id", F.col("doc_id") + 10_000_000)
+    both = docs.select("doc_id", "text").unionByName(own)
+    scores = dict(pairs_of(scored(both, labels, model=model), "doc_id", "score"))
+    rows = [(i, t) for i, t in pairs_of(both, "doc_id", "text") if t and len(t) < 1500 or i >= 10_000_000]
+    assert len(rows) > 100
+    for i, text in rows:
+        w = text.lower().split()
+        places, hits = quoted_places(w), []
+        for k, x in enumerate(w):
+            if x not in known:
+                known[x] = find(x)
+            if known[x]:
+                around = set(w[max(0, k - WINDOW) : k + WINDOW + 1])
+                hits.append((x, *known[x], k in places or bool(around & REPORTING), bool(around & ADDRESSING)))
+        free = [h for h in hits if not h[3]]
+        strength = {h[0]: h[2] * (1 if h[1] else FUZZY) for h in free}
+        top = sorted(strength.values(), reverse=True)
+        sums = [sum(h[2] * (1 if h[1] else FUZZY) for h in hits), sum(h[1] for h in hits), len(free), sum(h[1] for h in free), sum(h[4] for h in free)]
+        x = [math.log1p(s) for s in sums] + [top[0] if top else 0, sum(top[1:4]), min(20, 100 * len(free) / max(len(w), 1)), math.log1p(len(w)), 1]
+        z = max(-30, min(30, sum(a * b for a, b in zip(x, weights))))
+        assert scores[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9), (text, hits)
+    assert sum(v is not None and not v[0] for v in known.values()) > 2
+
+
+def test_quoted_places():
+    from tachygraph.llm.toxicity import quoted_places
+
+    words = 'he "said so" and "then. ' + "x " * 70 + "'one' «deux trois», end\""
+    words = words.split()
+    assert {words[i] for i in quoted_places(words)} == {'"said', 'so"', "'one'", "«deux", "trois»,"}
+
+
 # 9
 
 
