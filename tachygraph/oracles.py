@@ -138,7 +138,7 @@ ORACLES: dict[str, str] = {
       all_ as (select record_start, string_agg(seizure_id::varchar, ',' order by seizure_id) as seizures, max(seizure_id)::varchar || '/unmasked' as unmasked from cat group by 1)
       select record_start::varchar as record_id, patient_id, path, seizures, unmasked from first_ join all_ using (record_start)""",
     "records_by_patient": _with(_CAT) + " select patient_id, count(distinct record_start) as n_records, count(*) as n_seizures from cat group by 1",
-    "patients_distinct": _with(_CAT) + " select distinct patient_id from cat where seizure_id % 7 = 0",
+    "patients_distinct": _with(_CAT) + " select distinct patient_id from cat",
     "seizure_times": _with(_CAT) + " select cat.seizure_id::varchar as seizure_id, e.ts as onset, e.ts + interval 60 seconds as offset from cat left join events e on e.event_id * 3 = cat.seizure_id",
     "seizures_of_record": _with(_CAT, _BUILD) + ' select record_id, cat.seizure_id, e.ts as onset, e.ts + interval 60 seconds as "offset", true as has_valid_data, true as is_event from built join cat using (patient_id, record_start) left join events e on e.event_id * 3 = cat.seizure_id',
     "patient_of_samples": _with(_CAT, _BUILD) + " select record_id, cat.seizure_id, patient_id from built join cat using (patient_id, record_start)",
@@ -162,25 +162,25 @@ ORACLES: dict[str, str] = {
       p as (select record_id, min(t) - 60 as a, max(t) + 300 as z from s group by record_id, g), m as (select *, max(z) over (partition by record_id order by a, z rows between unbounded preceding and 1 preceding) as r from p),
       x as (select *, sum(case when a <= r then 0 else 1 end) over (partition by record_id order by a, z) as k from m), y as (select record_id, min(a) as a, max(z) as z from x group by record_id, k)
       select record_id, row_number() over (partition by record_id order by a) - 1 as segment_id, round(a, 6) as start, round(z, 6) as "end" from y""",
-    "correction_segments": _with(_DIRTY) + """, b as (select record_id, left_ms as t from rr where rr_ms > 4000), c as (select *, count(*) over (partition by record_id) as n from b),
-      s as (select *, sum(f) over (partition by record_id order by t) as g from (select *, case when t - lag(t) over (partition by record_id order by t) <= 5000 then 0 else 1 end as f from c where n >= 2)),
-      p as (select record_id, min(t) - 60000 as a, max(t) + 300000 as z from s group by record_id, g), m as (select *, max(z) over (partition by record_id order by a, z rows between unbounded preceding and 1 preceding) as r from p),
-      x as (select *, sum(case when a <= r then 0 else 1 end) over (partition by record_id order by a, z) as k from m), y as (select record_id, min(a) as a, max(z) as z from x group by record_id, k)
-      select y.record_id, a as start, z as "end", count(*) as n, min(seq) as first_seq, max(seq) as last_seq from y join rr on rr.record_id = y.record_id and right_ms > a and right_ms < z group by 1, 2, 3 having count(*) >= 2""",
+    "correction_segments": _with(_DIRTY) + """, b as (select record_id, left_ms / 1000.0 as t from rr where rr_ms > 2500), c as (select *, count(*) over (partition by record_id) as n from b),
+      s as (select *, sum(f) over (partition by record_id order by t) as g from (select *, case when t - lag(t) over (partition by record_id order by t) <= 5 then 0 else 1 end as f from c where n >= 2)),
+      p as (select record_id, min(t) - 60 as a, max(t) + 300 as z from s group by record_id, g), m as (select *, max(z) over (partition by record_id order by a, z rows between unbounded preceding and 1 preceding) as r from p),
+      x as (select *, sum(case when a <= r then 0 else 1 end) over (partition by record_id order by a, z) as k from m), y as (select record_id, k, min(a) as a, max(z) as z from x group by record_id, k),
+      i as (select *, row_number() over (partition by record_id order by a) - 1 as segment_id from y)
+      select i.record_id, segment_id, count(*) as n, min(seq) as first_seq, max(seq) as last_seq from i join rr on rr.record_id = i.record_id and right_ms / 1000.0 > a and right_ms / 1000.0 < z group by 1, 2 having count(*) >= 2""",
     "splice_segments": _with(_RR) + """, s as (select *, case when seq < 150 then 0 else 1 end as g, row_number() over (partition by record_id, seq < 150 order by seq) - 1 as k from rr where seq between 100 and 140 or seq between 200 and 205),
       k as (select record_id, seq, right_ms::double as t_s from rr where not (seq between 100 and 140 or seq between 200 and 205) union all select record_id, seq, right_ms::double from s where k % 2 = 0)
       select record_id, row_number() over (partition by record_id order by seq) - 1 as seq, t_s from k""",
     "negative_rr_audit": _with(_RR) + " select record_id, count(*) filter (d <= 0) as n_negative from (select record_id, t - lag(t) over (partition by record_id order by seq) as d from (select record_id, seq, right_ms - case when seq % 50 = 0 then 3000 else 0 end as t from rr)) group by 1",
-    "interpolated_outliers": _with(_DIRTY) + """, p as (select record_id, list(right_ms / 1000.0 order by seq) as l, median(rr_ms / 1000.0) filter (seq > 0) as med from rr where seq < 200 group by 1),
-      o as (select record_id, list_reduce(list_transform(l, lambda x: [x, med]), lambda a, x: case when x[1] - a[-2] >= 0.3 and x[1] - a[-2] <= 2.0 then list_concat(a[:-2], [x[1], med]) else list_concat(a[:-2], [a[-2] + med, med]) end) as f from (select record_id, l, med from p)),
+    "interpolated_outliers": _with(_DIRTY) + """, p as (select record_id, list(right_ms / 1000.0 order by seq) as l, median(rr_ms / 1000.0) filter (seq > 0) as med from rr group by 1),
       acc as (with recursive w as (select record_id, 1 as k, l[1] as t, l, med from p union all select record_id, k + 1, case when l[k + 1] - t between 0.3 and 2.0 then l[k + 1] else t + med end, l, med from w where k < len(l)) select record_id, k, t from w)
       select record_id, (k - 1)::bigint as k, round(t, 4) as t_s from acc""",
     "ig_log_density": _with(_RR) + " select record_id, seq, round(ln(greatest(sqrt(12.0 / (2 * pi() * pow(d, 3))) * exp(least(greatest(-12.0 * pow(d - 0.8, 2) / (2 * 0.8 * 0.8 * d), -700), 700)), 1e-30)), 4) as log_f from (select record_id, seq, right_ms / 1000.0 - left_ms / 1000.0 as d from rr)",
     "missed_beat": _with(_DIRTY) + " select record_id, seq, round((left_ms + right_ms) / 2.0, 6) as tau, round(8 * (rr_ms / 100.0) / (pow(1 + rr_ms / 100.0, 2) + 1), 6) as shape from rr where rr_ms > 2000",
     "local_loglik": _with(_RR) + """, u as (select record_id, seq as idx, right_ms / 1000.0::double as t from rr),
-      h as (select *, t - lag(t) over w as d, 0.4 * (lag(t, 2) over w - lag(t, 3) over w) + 0.2 * (lag(t, 3) over w - lag(t, 4) over w) + 0.2 * (lag(t, 4) over w - lag(t, 5) over w) + 0.1 * (lag(t, 5) over w - lag(t, 6) over w) + 0.1 * (lag(t, 6) over w - lag(t, 7) over w) as m from u window w as (partition by record_id order by idx)),
+      h as (select *, lag(t) over w as pt, t - lag(t) over w as d, 0.4 * (lag(t, 2) over w - lag(t, 3) over w) + 0.2 * (lag(t, 3) over w - lag(t, 4) over w) + 0.2 * (lag(t, 4) over w - lag(t, 5) over w) + 0.1 * (lag(t, 5) over w - lag(t, 6) over w) + 0.1 * (lag(t, 6) over w - lag(t, 7) over w) as m from u window w as (partition by record_id order by idx)),
       f as (select *, ln(greatest(sqrt(12.0 / (2 * pi() * pow(d, 3))) * exp(least(greatest(-12.0 * pow(d - m, 2) / (2 * m * m * d), -700), 700)), 1e-30)) as lf from h),
-      p as (select a.record_id, a.t as ev, b.idx, b.t, b.lf, min(b.idx) over (partition by a.record_id, a.t) as lo from u a left join f b on a.record_id = b.record_id and b.t >= a.t - 60 and b.t < a.t where a.idx % 50 = 0)
+      p as (select a.record_id, a.t as ev, b.idx, b.t, b.lf, min(b.idx) over (partition by a.record_id, a.t) as lo from u a left join f b on a.record_id = b.record_id and b.t >= a.t - 60 and coalesce(b.pt, b.t) < a.t)
       select record_id, round(ev, 3) as t_s, round(coalesce(sum(case when idx >= lo + 7 then exp(-0.02 * (ev - t)) * lf end), 0), 4) as loglik from p group by record_id, ev""",
     "corrected_samples": _with(_RR) + " select record_id, seq, floor(right_ms / 1000.0::double * 250)::bigint as sample from rr",
     "record_filter": _with(_RR) + " select record_id, seq, rr_ms from rr where record_id = 2",
@@ -206,7 +206,7 @@ ORACLES: dict[str, str] = {
     "detection_blocks": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + " select record_id, start_row from blocks",
     "detections": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + " select record_id, start_row * 5 as start_s, start_row * 5 + 300 as end_s from blocks",
     "detections_e2e": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + " select record_id, start_row * 5 as start_s, start_row * 5 + 300 as end_s from blocks",
-    "evaluation_e2e": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + """, d as (select record_id, start_row * 5000 as ms from blocks), o as (select event_id, record_id, record_id % 2 as patient_id, left_ms from rr where event_type = 'error' and seq % 40 = 0),
+    "evaluation_e2e": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + """, d as (select record_id, start_row * 5000 as ms from blocks), o as (select event_id, record_id, record_id % 2 as patient_id, left_ms from rr where event_type = 'error'),
       h as (select patient_id, exists (select 1 from d where d.record_id = o.record_id and abs(d.ms - o.left_ms) <= 300000) as hit from o),
       sp as (select patient_id, count(*) filter (hit) as n_tp, count(*) filter (not hit) as n_fn from h group by 1),
       fp as (select record_id % 2 as patient_id, count(*) as n_fp from d where not exists (select 1 from o where o.record_id = d.record_id and abs(d.ms - o.left_ms) <= 300000) group by 1),

@@ -118,7 +118,7 @@ def records_by_patient(spark, sf_dir):
 @query
 def patients_distinct(spark, sf_dir):
     cat = fixtures.catalogue(spark, sf_dir)
-    return records.patients_of(cat.filter("seizure_id % 7 = 0").select("seizure_id"), cat)
+    return records.patients_of(cat.select("seizure_id"), cat)
 
 
 def _info(spark, sf_dir):
@@ -267,10 +267,9 @@ def time_pairs(spark, sf_dir):
 
 @query
 def correction_segments(spark, sf_dir):
-    beats = fixtures.rr_dirty(spark, sf_dir)
-    spans = intervals.sessions(beats.filter("rr_ms > 4000").select("record_id", "left_ms"), ["record_id"], "left_ms", 5000, 60_000, 300_000)
-    inside = intervals.contained(beats.select("record_id", "seq", "right_ms"), spans, ["record_id"], "right_ms")
-    return inside.groupBy("record_id", "start", "end").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).filter("n >= 2")
+    peaks, bad = _suspicious(spark, sf_dir)
+    inside = correction.segments(peaks, correction.time_pairs(bad))
+    return inside.groupBy("record_id", "segment_id").agg(F.count("*").alias("n"), F.min("idx").alias("first_seq"), F.max("idx").alias("last_seq"))
 
 
 @query
@@ -287,29 +286,28 @@ def negative_rr_audit(spark, sf_dir):
     return correction.negative_intervals(beats)
 
 
-def _without_outliers(beats):
-    arrays = beats.groupBy("record_id").agg(F.array_sort(F.collect_list((F.col("right_ms") / 1000).cast("double"))).alias("peaks"))
+@query
+def interpolated_outliers(spark, sf_dir):
+    arrays = fixtures.rr_dirty(spark, sf_dir).groupBy("record_id").agg(F.array_sort(F.collect_list((F.col("right_ms") / 1000).cast("double"))).alias("peaks"))
     out = correction.cleaned_by_bounds(arrays)
     return out.select("record_id", F.posexplode("peaks").alias("k", "t_s")).select("record_id", F.col("k").cast("long").alias("k"), F.round("t_s", 4).alias("t_s"))
 
 
-@query
-def interpolated_outliers(spark, sf_dir):
-    """The first 200 beats of each record, as its SQL has them."""
-    return _without_outliers(fixtures.rr_dirty(spark, sf_dir).filter("seq < 200"))
+def _suspicious(spark, sf_dir):
+    beats = fixtures.rr_dirty(spark, sf_dir)
+    return beats.select("record_id", F.col("seq").alias("idx"), (F.col("right_ms") / 1000).alias("t_s")), _bad_times(beats)
 
 
 @query
-def interpolated_outliers_whole(spark, sf_dir):
-    return _without_outliers(fixtures.rr_dirty(spark, sf_dir))
+def rr_correct(spark, sf_dir):
+    peaks, bad = _suspicious(spark, sf_dir)
+    fixed = correction.corrected(correction.segments(peaks, correction.time_pairs(bad)))
+    return fixed.select("record_id", "segment_id", "quality_before", "quality_after", F.size("peaks").alias("n_peaks"), "error")
 
 
 @query
-def rr_correct(spark, sf_dir):
-    beats = fixtures.rr_dirty(spark, sf_dir)
-    peaks = beats.select("record_id", F.col("seq").alias("idx"), (F.col("right_ms") / 1000).alias("t_s"))
-    slices = correction.segments(peaks, correction.time_pairs(_bad_times(beats)))
-    return correction.corrected(slices).select("record_id", "segment_id", "quality_before", "quality_after", F.size("peaks").alias("n_peaks"), "error")
+def corrected_recording(spark, sf_dir):
+    return correction.correct_recording(*_suspicious(spark, sf_dir)).select("record_id", "seq", F.round("t_s", 6).alias("t_s"))
 
 
 @query
@@ -326,21 +324,11 @@ def missed_beat(spark, sf_dir):
     return _rounded(e.select("record_id", "seq", tau.alias("tau"), shape.alias("shape")))
 
 
-def _log_likelihoods(spark, sf_dir, which):
-    beats = fixtures.rr(spark, sf_dir).select("record_id", F.col("seq").alias("idx"), (F.col("right_ms") / 1000).alias("t_s"))
-    got = correction.local_log_likelihoods(beats, beats.filter(which).select("record_id", "t_s"), [0.1, 0.1, 0.2, 0.2, 0.4, 12.0])
-    return got.select("record_id", F.round("t_s", 3).alias("t_s"), F.round("loglik", 4).alias("loglik"))
-
-
 @query
 def local_loglik(spark, sf_dir):
-    """At every 50th beat, as its SQL has it."""
-    return _log_likelihoods(spark, sf_dir, F.col("idx") % 50 == 0)
-
-
-@query
-def local_loglik_whole(spark, sf_dir):
-    return _log_likelihoods(spark, sf_dir, F.lit(True))
+    beats = fixtures.rr(spark, sf_dir).select("record_id", F.col("seq").alias("idx"), (F.col("right_ms") / 1000).alias("t_s"))
+    got = correction.local_log_likelihoods(beats, beats.select("record_id", "t_s"), [0.1, 0.1, 0.2, 0.2, 0.4, 12.0])
+    return got.select("record_id", F.round("t_s", 3).alias("t_s"), F.round("loglik", 4).alias("loglik"))
 
 
 @query
@@ -588,7 +576,7 @@ def evaluation_e2e(spark, sf_dir):
     from pyspark.sql.window import Window
 
     scores = rows.filter("valid").select("record_id", (F.row_number().over(Window.partitionBy("record_id").orderBy("row")) - 1).cast("long").alias("i"), F.col("hit").alias("score"))
-    onsets = beats.filter("event_type = 'error' and seq % 40 = 0").select(F.col("event_id").alias("onset_id"), "record_id", (F.col("record_id") % 2).alias("patient_id"), F.col("left_ms").alias("onset_ms"))
+    onsets = beats.filter("event_type = 'error'").select(F.col("event_id").alias("onset_id"), "record_id", (F.col("record_id") % 2).alias("patient_id"), F.col("left_ms").alias("onset_ms"))
     recs = rr.durations(beats).select("record_id", (F.col("record_id") % 2).alias("patient_id"), F.col("duration_s").alias("record_duration_s"))
     return _rounded(evaluate_plan(rows, scores, onsets, recs, F.col("valid"), 0.5, 50)["patients"])
 

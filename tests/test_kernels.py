@@ -89,14 +89,24 @@ def test_simplex():
     assert np.allclose(got, [3, -1], atol=1e-2)
 
 
-def test_correction_mends_and_leaves_clean_beats():
-    rng = np.random.default_rng(2)
-    beats = np.cumsum(0.8 + 0.02 * rng.normal(size=90))
-    c = point_process.Config(window_beats=30, window_s=30, iterations=150)
-    clean = point_process.correct(beats, c)
-    assert abs(len(clean) - len(beats)) <= 2
-    extra = np.sort(np.append(beats, (beats[60] + beats[61]) / 2))
-    assert len(point_process.correct(extra, c)) <= len(extra)
+@pytest.mark.parametrize("seed", range(3))
+def test_correction_mends_and_leaves_clean_beats(seed):
+    rng = np.random.default_rng(seed)
+    beats = np.cumsum(0.8 + 0.02 * rng.normal(size=120))
+    assert np.array_equal(point_process.correct(beats), beats)
+    extra = np.sort(np.append(beats, beats[90] + 0.35))
+    assert np.array_equal(point_process.correct(extra), beats)
+    missed = point_process.correct(np.delete(beats, 100))
+    assert len(missed) == len(beats) and missed[100] == pytest.approx((beats[99] + beats[101]) / 2)
+    assert np.array_equal(np.delete(missed, 100), np.delete(beats, 100))
+
+
+def test_correction_fails_as_documented():
+    with pytest.raises(IndexError):
+        point_process.correct(np.arange(60) * 0.8)
+    with pytest.raises(point_process.NoConvergence):
+        point_process.nelder_mead(lambda p: -abs(p[0]), np.array([1.0]), iterations=50)
+    assert point_process.log_density(1.0, 1.0, 0.8, 12.0) == pytest.approx(np.log(1e-10))
 
 
 def test_quality_flag():
