@@ -23,12 +23,12 @@ def op2_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tachygraph.llm.sanitise import KINDS, personal_data, span_text
+    from tachygraph.llm.sanitise import KINDS, personal_data, sanitised, span_text
 
-    got = personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = sanitised(personal_data(_read(spark, sf_dir, "documents").select("doc_id", "text")))
     counts = [F.coalesce(F.size(f"{k}_spans"), F.lit(0)).cast("long") for k in KINDS]
     counts = [F.greatest(c, F.lit(0)).alias(f"n_{k}") for c, k in zip(counts, KINDS, strict=True)]
-    return got.select(F.col("doc.doc_id").alias("doc_id"), *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+    return got.select(F.col("doc.doc_id").alias("doc_id"), *counts, F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"), "clean")
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

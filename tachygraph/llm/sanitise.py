@@ -1,19 +1,21 @@
 r"""Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Base: e-mail addresses, IP addresses, card and phone numbers by pattern, each kind leftmost and without overlap. They are
-the protected entities. Method: the corpus tells how strongly a term reveals an entity. With p(e) the share of distinct
-texts that hold entity e, and p(e|t) that among the texts that hold term t, as the other texts of t tell it when one that holds
-both is left out, (n_et - 1) / (n_t - 1),
+the protected entities. Method: the corpus tells how strongly a term reveals an entity. A term co-occurs with an entity in a text
+if it stands in the entity's context there, the CONTEXT characters before and after it (up to the next match of its kind). With
+n_e, n_t and n_et the numbers of distinct texts that hold entity e, hold term t, and hold t in a context of e, of n in all,
 
-    disclosure(t, e) = PMI(t; e) / IC(e) = 1 + log2 p(e|t) / -log2 p(e)
+    p(e) = n_e / n        p(e|t) = (n_et + SMOOTHING * p(e)) / (n_t + SMOOTHING)        IC(e) = -log2 p(e)
+    disclosure(t, e) = PMI(t; e) / IC(e) = 1 + log2 p(e|t) / IC(e)
 
-which is 1 if t gives e away and 0 if t says nothing about it. Terms at or above MIN_DISCLOSURE for an entity of any support become
-spans of kind ``term`` wherever they stand: at or above REMOVE they are removed, below it generalised to their class. A pair that
-shares one text has an estimate of 0, as no other text bears it out. All counts are over distinct texts, so copies add no evidence.
+which nears 1 if t gives e away and is 0 if t says nothing about it. Entities may have any support: smoothing, and no cut, takes
+the place of evidence that few texts can't give. Terms at or above MIN_DISCLOSURE for an entity, which must also be likelier
+than not in their texts (p(e|t) >= MIN_POSTERIOR, so that a larger corpus, which raises IC, marks no commoner terms), become
+spans of kind ``term`` wherever they stand: at or above REMOVE they are removed, below it generalised to their class. All counts are
+over distinct texts, so copies add no evidence.
 
-To count pairs without forming all of them: entities and terms of one text have only estimates of 0 and are left out; a first
-pass counts terms in the entities' texts, which bounds p(e|t) from above and leaves few pairs; only then are those terms counted in
-the whole corpus.
+To count pairs without forming all of them: only terms of contexts are paired; the number of texts in whose contexts a term
+stands bounds p(e|t) from above and leaves few terms; only they are counted in the whole corpus.
 
 Nulls: a null text is empty (no spans). A null doc_id keeps its row. Repeated rows each get theirs; an empty table gives
 an empty one. Patterns are written so that no text makes them backtrack beyond its own runs. Other columns are ignored.
@@ -43,7 +45,11 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 TERM_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TERM_CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
+#: Characters on either side of an entity, and the texts that smoothing adds to a term's.
+CONTEXT = 80
+SMOOTHING = 0.5
 MIN_DISCLOSURE = 0.9
+MIN_POSTERIOR = 0.5
 REMOVE = 0.97
 #: Texts with disclosing terms up to which their lists are broadcast.
 LIST_ROWS = 100_000
@@ -57,17 +63,30 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), lambda x: body(x))[0]
 
 
-def spans_of(text: str, pattern: Column, rank: int) -> Column:
+def _near(before: Column, after: Column, width: int) -> Column:
+    """The last ``width`` characters of ``before`` and the first of ``after``, without words that are cut."""
+    left = F.when(F.length(before) > width, F.regexp_replace(F.right(before, F.lit(width)), r"^\S*+", "")).otherwise(before)
+    right = F.when(F.length(after) > width, F.regexp_replace(F.left(after, F.lit(width)), r"\S+$", "")).otherwise(after)
+    return F.concat_ws(" ", left, right)
+
+
+def spans_of(text: str, pattern: Column, rank: int, context: int = 0) -> Column:
     """Array of (start, rank, end, value) of the pattern's matches in the column ``text``, in order; code points, end exclusive.
 
-    Splitting gives the gaps between the matches, so the lengths of both, added up, give the places.
+    Splitting gives the gaps between the matches, so the lengths of both, added up, give the places. With a ``context``,
+    ``value`` is followed by what stands so many characters before and after it.
     """
     t = F.col(text)
-    empty = F.array().cast(f"array<{_SPAN}>")
+    kind = _SPAN[:-1] + ",near:string>" if context else _SPAN
+    empty = F.array().cast(f"array<{kind}>")
     matched = F.struct(F.regexp_extract_all(t, pattern, F.lit(0)).alias("found"), F.split(t, pattern, -1).alias("gaps"))
 
     def pieces_of(m: Column) -> Column:
-        return F.zip_with(F.slice(m["gaps"], F.lit(1), F.size(m["found"])), m["found"], lambda g, v: F.struct(F.length(g).alias("g"), F.length(v).alias("l"), v.alias("v")))
+        n = F.size(m["found"])
+        if not context:
+            return F.zip_with(F.slice(m["gaps"], F.lit(1), n), m["found"], lambda g, v: F.struct(F.length(g).alias("g"), F.length(v).alias("l"), v.alias("v")))
+        gaps = F.zip_with(F.slice(m["gaps"], F.lit(1), n), F.slice(m["gaps"], F.lit(2), n), lambda g, h: F.struct(F.length(g).alias("g"), _near(g, h, context).alias("near")))
+        return F.zip_with(gaps, m["found"], lambda x, v: F.struct(x["g"].alias("g"), F.length(v).alias("l"), v.alias("v"), x["near"].alias("near")))
 
     def blocks_of(pieces: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / _BLOCK).cast("int")), lambda b: F.slice(pieces, b * _BLOCK + 1, _BLOCK))
@@ -78,7 +97,9 @@ def spans_of(text: str, pattern: Column, rank: int) -> Column:
     def laid(blocks: Column, sums: Column) -> Column:
         def lay(x: Column, i: Column) -> Column:
             start = F.aggregate(F.slice(sums, F.lit(1), i), F.lit(0), lambda a, y: a + y)
-            step = lambda a, y: F.struct((a["p"] + y["g"] + y["l"]).alias("p"), F.concat(a["out"], F.array(F.struct((a["p"] + y["g"]).alias("start"), F.lit(rank).alias("rank"), (a["p"] + y["g"] + y["l"]).alias("end"), y["v"].alias("value")))).alias("out"))
+            more = lambda y: [y["near"].alias("near")] if context else []
+            span = lambda a, y: F.struct((a["p"] + y["g"]).alias("start"), F.lit(rank).alias("rank"), (a["p"] + y["g"] + y["l"]).alias("end"), y["v"].alias("value"), *more(y))
+            step = lambda a, y: F.struct((a["p"] + y["g"] + y["l"]).alias("p"), F.concat(a["out"], F.array(span(a, y))).alias("out"))
             return F.aggregate(x, F.struct(start.alias("p"), empty.alias("out")), step, lambda a: a["out"])
 
         return F.flatten(F.transform(blocks, lay))
@@ -113,14 +134,14 @@ def _span_valid(kind: str, span: Column) -> Column:
     return valid(kind, span["value"])
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (with a column ``text``) and a column for each kind: its array of spans, null where no match is."""
+def base_spans(docs: DataFrame, context: int = 0) -> DataFrame:
+    """``docs`` (with a column ``text``) and a column for each kind: its array of spans (``spans_of``), null where no match is."""
     out = docs
     #: What every match holds; plain searches that spare most texts the patterns.
     hints = {"email": F.contains("text", F.lit("@")), "ip": F.col("text").rlike(r"[0-9]\.[0-9]"), "card": F.col("text").rlike("[0-9]"), "phone": F.contains("text", F.lit("+"))}
     for rank, kind in enumerate(KINDS):
         pattern = F.lit(PATTERNS[kind])
-        own = F.filter(spans_of("text", pattern, rank), partial(_span_valid, kind))
+        own = F.filter(spans_of("text", pattern, rank, context), partial(_span_valid, kind))
         out = out.withColumn(f"{kind}_spans", F.when(hints[kind] & F.col("text").rlike(PATTERNS[kind]), own))
     return out
 
@@ -135,11 +156,11 @@ def _entity(kind: str, span: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), {"email": F.lower(value), "ip": value}.get(kind, _digits(value)))
 
 
-def _entities() -> Column:
-    """The protected entities of a row, by kind and normal form."""
-    empty = F.array().cast(f"array<{_SPAN}>")
-    parts = [F.transform(F.coalesce(f"{k}_spans", empty), partial(_entity, k)) for k in KINDS]
-    return F.array_distinct(F.concat(*parts))
+def _mentions() -> Column:
+    """(entity, near) of each span of a row: the entity by kind and normal form, and its context."""
+    empty = F.array().cast("array<struct<entity:string,near:string>>")
+    parts = [F.coalesce(F.transform(f"{k}_spans", partial(lambda kind, x: F.struct(_entity(kind, x).alias("entity"), x["near"].alias("near")), k)), empty) for k in KINDS]
+    return F.concat(*parts)
 
 
 def _terms(text: Column) -> Column:
@@ -154,31 +175,30 @@ def _terms(text: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, min_disclosure: float = MIN_DISCLOSURE) -> DataFrame:
     """(tid, term, disclosure) for each text (by hash) of ``docs`` (text) and each disclosing term in it."""
-    texts = base_spans(docs.filter(F.col("text").isNotNull()).select("text"))
-    holds = texts.filter(" or ".join(f"size({k}_spans) > 0" for k in KINDS)).select(F.xxhash64("text").alias("tid"), "text", _entities().alias("entities"))
-    entities = table(holds.select("tid", F.explode("entities").alias("entity")).distinct(), "entities")
-    shared = table(entities.groupBy("entity").agg(F.count("*").alias("n_e")).filter("n_e > 1"), "shared")
-    with_shared = table(entities.join(small(shared), "entity"), "with_shared")
-    tids = table(with_shared.select("tid").distinct(), "tids")
     by_hash = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid"), "text")
-    few = by_hash.join(small(tids), "tid", "left_semi").select("tid", F.explode(_terms(F.col("text"))).alias("term")).filter("term <> ''").distinct()
-    few = table(few, "few")
-    n_texts = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid")).distinct().count()
-
-    def disclosure(n_et: str, n_t: str) -> Column:
-        return F.expr(f"case when n_e < {n_texts} then 1 + log2(({n_et} - 1) / ({n_t} - 1)) / -log2(n_e / {n_texts}) else 0D end")
-
-    inside = few.groupBy("term").agg(F.count("*").alias("n_in")).filter("n_in > 1")
-    pairs = few.join(inside, "term").join(with_shared, "tid").groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_in").alias("n_in"))
-    pairs = table(pairs.filter((F.col("n_et") > 1) & (disclosure("n_et", "n_in") >= min_disclosure)), "pairs")
-    wanted = table(pairs.select("term").distinct(), "wanted")
+    texts = base_spans(by_hash, CONTEXT)
+    holds = texts.filter(" or ".join(f"size({k}_spans) > 0" for k in KINDS)).select("tid", F.explode(_mentions()).alias("x"))
+    mentions = table(holds.select("tid", "x.entity", "x.near"), "mentions")
+    entities = table(mentions.select("tid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e")), "entities")
+    met = table(mentions.select("tid", "entity", F.explode(_terms(F.col("near"))).alias("term")).filter("term <> ''").distinct(), "met")
+    pairs = table(met.groupBy("entity", "term").agg(F.count("*").alias("n_et")), "pairs")
+    n_texts = by_hash.select("tid").distinct().count()
+
+    def posterior(n_et: str, n_t: str, p_e: str) -> Column:
+        return F.expr(f"({n_et} + {SMOOTHING}D * {p_e}) / ({n_t} + {SMOOTHING}D)")
+
+    inside = met.select("tid", "term").distinct().groupBy("term").agg(F.count("*").alias("n_in"))
+    most = pairs.groupBy("term").agg(F.max("n_et").alias("most"))
+    wanted = table(inside.join(most, "term").filter(posterior("most", "n_in", "1") >= MIN_POSTERIOR).select("term"), "wanted")
     #: A text that stands in n rows counts 1 / n in each, so that no distinct is needed over the corpus. An inner join stays above the sums.
     copies = by_hash.groupBy("tid").agg(F.count("*").alias("n")).filter("n > 1")
     copies = table(copies.select(F.col("tid").alias("copied"), (1.0 / F.col("n")).alias("weight")), "copies")
     weighed = by_hash.join(small(copies), F.col("tid") == F.col("copied"), "left").select(F.coalesce("weight", F.lit(1.0)).alias("weight"), F.explode(_terms(F.col("text"))).alias("term"))
     counts = weighed.groupBy("term").agg(F.sum("weight").alias("n"))
     counts = table(counts.join(small(wanted), "term").select("term", F.greatest(F.round("n"), F.lit(1.0)).alias("n_t")), "counts")
-    told = pairs.join(counts, "term").select("term", disclosure("n_et", "n_t").alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= min_disclosure)
+    rated = pairs.join(small(counts), "term").join(small(entities), "entity").withColumn("p_e", F.col("n_e") / F.lit(n_texts)).filter("p_e < 1").withColumn("p_et", posterior("n_et", "n_t", "p_e"))
+    rated = rated.filter(F.col("p_et") >= MIN_POSTERIOR).select("term", (1 + F.log2("p_et") / -F.log2("p_e")).alias("disclosure"))
+    told = rated.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= min_disclosure)
     told = table(told, "told_terms")
     places = by_hash.select("tid", F.explode(_terms(F.col("text"))).alias("term")).join(small(told), "term").distinct()
     return places.select("tid", "term", "disclosure")
@@ -201,12 +221,37 @@ def personal_data(docs: DataFrame, min_disclosure: float = MIN_DISCLOSURE) -> Da
 
 
 def sanitised(found: DataFrame) -> DataFrame:
-    """``personal_data``'s rows with ``clean``: entities masked, terms removed or generalised to [WORD] or [NUMBER]."""
-    risk = F.map_from_entries("risks")
-    shown = lambda x: F.when(x["rank"] < len(KINDS), F.element_at(F.array(*[F.lit(v) for v in MASKS.values()], F.lit("")), x["rank"] + 1)).otherwise(F.when(risk[x["value"]] >= REMOVE, "").when(x["value"].rlike("^[0-9]+$"), "[NUMBER]").otherwise("[WORD]"))
-    step = lambda a, x: F.when(x["start"] < a["p"], a).otherwise(F.struct(x["end"].alias("p"), F.concat(a["out"], F.array(F.substring(F.col("text"), a["p"] + 1, x["start"] - a["p"]), shown(x))).alias("out")))
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("out")), step)
-    return found.withColumn("done", done).withColumn("clean", F.concat(F.array_join("done.out", ""), F.substring(F.col("text"), F.col("done.p") + 1, F.length("text")))).drop("done")
+    """``personal_data``'s rows with ``clean``: entities masked, terms removed or generalised to [WORD] or [NUMBER].
+
+    Spans that overlap are masked as the first of them. A block of spans is cut out of the text first, so that a text of very many
+    spans is not read again for each.
+    """
+    text, masks = F.col("text"), F.array(*[F.lit(v) for v in MASKS.values()], F.lit(""))
+
+    def done(risk: Column) -> Column:
+        term = lambda x: F.when(risk[x["value"]] >= REMOVE, "").when(x["value"].rlike("^[0-9]+$"), "[NUMBER]").otherwise("[WORD]")
+        shown = lambda x: F.when(x["rank"] < len(KINDS), F.element_at(masks, x["rank"] + 1)).otherwise(term(x))
+
+        def block(x: Column, start: Column, end: Column) -> Column:
+            def cut(own: Column) -> Column:
+                put = lambda a, y: F.concat(a["out"], F.array(F.substring(own, a["p"] - start + 1, y["start"] - a["p"]), shown(y)))
+                step = lambda a, y: F.when(y["start"] < a["p"], F.struct(F.greatest(a["p"], y["end"]).alias("p"), a["out"].alias("out"))).otherwise(F.struct(y["end"].alias("p"), put(a, y).alias("out")))
+                return F.array_join(F.aggregate(x, F.struct(start.alias("p"), F.array().cast("array<string>").alias("out")), step, lambda a: a["out"]), "")
+
+            return _let(F.substring(text, start + 1, end - start), cut)
+
+        def whole(blocks: Column) -> Column:
+            def laid(ends: Column) -> Column:
+                parts = F.transform(blocks, lambda x, i: block(x, F.when(i == 0, 0).otherwise(ends[i - 1]), ends[i]))
+                return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+
+            most = F.transform(blocks, lambda x: F.array_max(F.transform(x, lambda y: y["end"])))
+            return _let(_let(most, lambda m: F.transform(m, lambda _, i: F.array_max(F.slice(m, F.lit(1), i + 1)))), laid)
+
+        cuts = F.sequence(F.lit(0), F.floor((F.size("spans") - 1) / _BLOCK).cast("int"))
+        return _let(F.transform(cuts, lambda b: F.slice(F.col("spans"), b * _BLOCK + 1, _BLOCK)), whole)
+
+    return found.withColumn("clean", F.when(F.size("spans") == 0, text).otherwise(_let(F.map_from_entries("risks"), done)))
 
 
 def span_text(array: str) -> Column:

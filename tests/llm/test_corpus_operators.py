@@ -176,19 +176,75 @@ def test_sanitise_terms_of_rare_entities(spark):
     rows = [(k, f"ask quillfeather {k} at rare@corp.example") for k in range(2)] + [(9, "quillwort writes to single@corp.example")] + [(100 + k, f"ask at usual {k}") for k in range(200)]
     got = {r[0]: r[1] for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.doc_id", span_text("spans")).collect()}
     assert got[0] == got[1] == "term:4:16,email:22:39"
-    assert got[9] == "email:20:39"
+    assert got[9] == "term:0:9,term:10:16,term:17:19,email:20:39"
     assert not any(got[100 + k] for k in range(200))
 
 
+def test_sanitise_against_plain_counts(spark):
+    """Spans of kind term and the clean text, against counts in plain Python over a whole table."""
+    import math
+
+    from tachygraph.llm.sanitise import CONTEXT, KINDS as NAMES, MASKS, MIN_DISCLOSURE, MIN_POSTERIOR, REMOVE, SMOOTHING, personal_data, sanitised, span_text
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = dict(pairs_of(docs, "doc_id", "text"))
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+    def terms(t):
+        for p in KINDS.values():
+            t = re.sub(p, " ", t)
+        return set(word.findall(t))
+
+    texts = {t for t in rows.values() if t is not None}
+    holds, n_et = defaultdict(set), defaultdict(set)
+    for t in texts:
+        for k, p in KINDS.items():
+            found = list(re.finditer(p, t))
+            good = {(a, b) for a, _, b, kind in base_spans(t) if kind == k}
+            for i, m in enumerate(found):
+                if m.span() in good:
+                    entity = k + ":" + (m[0].lower() if k == "email" else m[0] if k == "ip" else re.sub("[^0-9]", "", m[0]))
+                    before, after = t[found[i - 1].end() if i else 0 : m.start()], t[m.end() : found[i + 1].start() if i + 1 < len(found) else len(t)]
+                    before = re.sub(r"^[^\s]*", "", before[-CONTEXT:], flags=re.A) if len(before) > CONTEXT else before
+                    after = re.sub(r"[^\s]+\Z", "", after[:CONTEXT], flags=re.A) if len(after) > CONTEXT else after
+                    holds[entity].add(t)
+                    for term in terms(before + " " + after):
+                        n_et[entity, term].add(t)
+    n_t = Counter(x for t in texts for x in terms(t))
+    told = {}
+    for (e, x), where in n_et.items():
+        p_e = len(holds[e]) / len(texts)
+        p = (len(where) + SMOOTHING * p_e) / (n_t[x] + SMOOTHING)
+        if p_e < 1 and p >= MIN_POSTERIOR and (d := 1 + math.log2(p) / -math.log2(p_e)) >= MIN_DISCLOSURE:
+            told[x] = max(d, told.get(x, 0))
+    got = sanitised(personal_data(docs)).select("doc.doc_id", span_text("spans").alias("spans"), "clean").collect()
+    assert len(got) == len(rows) and len(told) > 20
+    for r in got:
+        t = rows[r["doc_id"]] or ""
+        base = base_spans(t)
+        mine = terms(t)
+        more = [(m.start(), 4, m.end(), "term") for m in word.finditer(t) if m[0] in told and m[0] in mine and not any(m.start() < b and a < m.end() for a, _, b, _ in base)]
+        spans = sorted(base + more)
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+        out, p = "", 0
+        for a, rank, b, k in spans:
+            if a >= p:
+                out += t[p:a] + (MASKS[k] if rank < len(NAMES) else "" if told[t[a:b]] >= REMOVE else "[NUMBER]" if t[a:b].isascii() and t[a:b].isdigit() else "[WORD]")
+            p = max(p, b)
+        assert r["clean"] == out + t[p:]
+
+
 def test_sanitise_very_long_text(spark):
     """Twenty thousand matches in one text stay cheap."""
     import time
 
-    from tachygraph.llm.sanitise import personal_data, span_text
+    from tachygraph.llm.sanitise import personal_data, sanitised, span_text
 
     text = " ".join(f"user{k}@mail{k % 9}.example.com 10.0.{k % 250}.{k % 200}" for k in range(20_000))
     began = time.time()
     got = personal_data(spark.createDataFrame([(1, text), (2, "1" * 300_000), (3, "a" * 300_000 + "@")], "doc_id long, text string"))
+    clean = {r[0]: r[1] for r in sanitised(got).select("doc.doc_id", "clean").collect()}
+    assert clean[1] == " ".join(["[EMAIL] [IP]"] * 20_000) and clean[2] == "1" * 300_000
     rows = dict(pairs_of(got.select(F.col("doc.doc_id").alias("doc_id"), span_text("base").alias("b")), "doc_id", "b"))
     assert rows[1] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(text)) and rows[2] == rows[3] == ""
     assert time.time() - began < 60
@@ -277,6 +333,31 @@ def test_packing(docs, empty):
     assert best_fit(empty).count() == 0
 
 
+def test_packing_rounds(spark, docs, empty):
+    """Over a whole table: every part once, no bin too full, no two of a source or cluster in a bin, and as few bins as one unit gives."""
+    from tachygraph.llm.packing import best_fit
+
+    whole = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    one = best_fit(whole, unit_rows=10**9).select("bin").distinct().count()
+    assert best_fit(whole).select("bin").distinct().count() <= one + 1
+    got = best_fit(docs, capacity=300, unit_rows=40).collect()
+    rows = {}
+    for i, s, t in pairs_of(docs, "doc_id", "source", "text"):
+        rows[i] = (s, None if t is None else " ".join(t.translate(LOW).split(" ")).strip(" "))
+    counts = Counter((r["doc_id"], r["part"]) for r in got)
+    want = Counter((i, k) for i, t in pairs_of(docs, "doc_id", "text") for k in range(max(1, -(-len(WORD.findall(t or "")) // 300))))
+    assert counts == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["bin"]].append(r)
+    for members in bins.values():
+        assert sum(r["n_words"] for r in members) + members[0]["bin_free"] == 300 and members[0]["bin_free"] >= 0
+        sources = [rows[r["doc_id"]][0] for r in members if rows[r["doc_id"]][0] is not None]
+        texts = [re.sub(r"[\x20\x09-\x0D]+", " ", rows[r["doc_id"]][1].strip(" ")) for r in members if rows[r["doc_id"]][1] is not None]
+        assert len(sources) == len(set(sources)) and len(texts) == len(set(texts))
+    assert best_fit(empty, unit_rows=1).count() == 0
+
+
 # 6
 
 
