@@ -125,6 +125,100 @@ def test_partial_quotation(spark):
     assert got[3, 2] == (1, 2, 1, 1) and got[4, 0] == (None, 0, 1, 1)
 
 
+def test_quotation_against_plain_search(spark):
+    """Nested threads that quote any part: every passage finds the message that a plain search finds, and places are depth first."""
+    from tachygraph.llm.quotation import GRAM, reply_order
+
+    rng = random.Random(17)
+    rows = []
+    for conv in range(14):
+        bodies, raw = {}, {}
+        for turn in range(rng.randint(1, 25)):
+            body = "\n".join(" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 4)))
+            parts = []
+            if turn and rng.random() < 0.85:
+                for _ in range(rng.randint(1, 2)):
+                    source = bodies[rng.randrange(turn)].split()
+                    n = rng.randint(min(GRAM, len(source)), len(source))
+                    k = rng.randint(0, len(source) - n)
+                    words, level = source[k : k + n], rng.choice(["> ", ">> ", "> > "])
+                    cut = rng.randint(1, n)
+                    parts += [level + " ".join(words[:cut]).upper()] + ([level + " ".join(words[cut:])] if cut < n else []) + [""]
+            bodies[turn], raw[turn] = body, "\n".join([*parts, body])
+            rows.append((conv, turn, "u", raw[turn]))
+    rows.append((99, 0, "u", "> " + " ".join(bodies[0].split())))
+
+    def norm(t):
+        return " ".join(t.lower().split())
+
+    body = {(c, t): "\n".join(x for x in text.split("\n") if not x.startswith(">")).strip() for c, t, _, text in rows}
+
+    def holds(key, passage):
+        units = [norm(x) for x in passage.split("\n") if norm(x)]
+        lines = [norm(x) for x in body[key].split("\n") if norm(x)]
+        paragraphs = [norm(x) for x in re.split(r"\n[ \t]*\n", body[key])]
+        if norm(passage) in [norm(body[key]), *lines, *paragraphs]:
+            return True
+        if len(units) > 1 and any(lines[k : k + len(units)] == units for k in range(len(lines))):
+            return True
+        return len(norm(passage).split()) >= GRAM and f" {norm(passage)} " in f" {norm(body[key])} "
+
+    want, parent = {}, {}
+    for c, t, _, text in rows:
+        runs, last = [], 0
+        for at, line in enumerate(text.split("\n")):
+            level = line.replace(" ", "")[: 2 if line.startswith((">>", "> >")) else 1].count(">") if line.startswith(">") else 0
+            if level:
+                words = line.lstrip("> ")
+                if level == last:
+                    runs[-1][2].append(words)
+                else:
+                    runs.append((level, at, [words]))
+            last = level
+        linked = 0
+        best = None
+        for level, at, lines in runs:
+            near = [x for x in range(t) if (c, x) in body and holds((c, x), "\n".join(lines))]
+            far = min((k for k in body if holds(k, "\n".join(lines))), default=None)
+            linked += bool(near) or far is not None and far[0] != c
+            if near and (best is None or (level, at) < best[:2]):
+                best = (level, at, max(near))
+        want[c, t] = (len(runs), linked, best[2] if best else None)
+        parent[c, t] = best[2] if best else None
+    children = defaultdict(list)
+    for (c, t), p in parent.items():
+        if p is not None:
+            children[c, p].append(t)
+    place = {}
+
+    def walk(c, t, root, n):
+        place[c, t] = (root, n)
+        n += 1
+        for x in sorted(children[c, t]):
+            n = walk(c, x, root, n)
+        return n
+
+    for (c, t), p in parent.items():
+        if p is None:
+            walk(c, t, t, 0)
+    got = {(r["conv_id"], r["turn"]): r for r in reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {k: (r["n_quotes"], r["n_linked"], r["parent_turn"]) for k, r in got.items()} == want
+    assert {k: (r["thread"], r["place"]) for k, r in got.items()} == place
+    assert {k: r["text"] for k, r in got.items()} == body
+    assert max(p for _, p in place.values()) > 4 and sum(w[1] for w in want.values()) > 100
+
+
+def test_quotation_ties_and_hot_passages(spark):
+    """Repeated rows and a passage that most messages quote."""
+    from tachygraph.llm import quotation
+
+    rows = [(c, 0, "u", "one two three four five six") for c in range(40)] + [(c, k, "u", "> two three four five six\n\nyes") for c in range(40) for k in (1, 1, 2, 9000)]
+    got = quotation.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    assert all((r["parent_turn"], r["depth"], r["text"]) == (0, 1, "yes") for r in got if r["turn"])
+    assert {(r["turn"], r["place"]) for r in got} == {(0, 0), (1, 1), (2, 2), (9000, 3)}
+
+
 # 3
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
