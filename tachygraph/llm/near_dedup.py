@@ -11,8 +11,9 @@ member with the one that shares most of those buckets, and at last all pairs who
 thousands of near copies so costs a few comparisons for each member, and no link between components is lost.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing; a row with null doc_id is linked with
-nothing, has a null component_id and is kept. Rows that share a doc_id count as one node and each get a row. Empty
-tables give empty ones. Other columns are ignored.
+nothing, has a null component_id and is kept. Rows that share a doc_id count as one node, whatever their texts, and each get a
+row: a link of one of them is a link of all. ``keep_one`` judges texts instead. Empty tables give empty ones. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -155,8 +156,8 @@ def side(classes: DataFrame, name: str, tuples: bool) -> DataFrame:
     return classes.select(F.col("id").alias(name), *flat, *[F.col("tuples")[k].alias(f"{name}_t{k}") for k in range(2 * TUPLES if tuples else 0)])
 
 
-def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, component) of the classes (id, size, tuples, bits) that are linked with another one; ``docs`` has their texts."""
+def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that hold the components of the classes (id, size, tuples, bits) together; ``docs`` has their texts."""
     keys = buckets(classes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1")
     members = table(keys.join(shared.select("key", "leader"), "key"), "members")
@@ -171,7 +172,7 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
         placed = table(placed.join(mixed, "key", "left_semi"), "mixed")
         if placed.isEmpty():
-            return labels
+            return links
         if turn < LEADER_ROUNDS:
             popular = placed.groupBy("id").agg(F.count("*").alias("weight"))
             leader = placed.join(popular, "id").groupBy("key").agg(F.max(F.struct("weight", "id")).alias("x")).select("key", F.col("x.id").alias("lead"))
@@ -187,19 +188,38 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
         tested = tested.union(pairs)
         links = table(links.union(confirm(pairs, docs)), "links")
         rows = placed.select("key", "id", "i", "j")
-    return components(links)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text)."""
-    return _judged(docs).drop("tid")
-
-
-def _judged(docs: DataFrame) -> DataFrame:
+    rows, classes, links = _linked(docs)
+    #: A doc_id of several sets is one node, so its classes are linked; each class is named by its least doc_id.
+    several = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("set_hash", F.lit(""))).alias("lo"), F.max(F.coalesce("set_hash", F.lit(""))).alias("hi")).filter("lo <> hi")
+    several = table(several.select(F.col("doc_id").alias("shared_id")), "several")
+    if several.isEmpty():
+        return _placed(rows, classes, components(links)).select("doc_id", "n_shingles", "component_id", "kept")
+    own = rows.join(small(several), F.col("doc_id") == F.col("shared_id"), "left_semi").filter("set_hash is not null").select("doc_id", "set_hash").distinct()
+    ends = table(own.join(classes.select("set_hash", "id"), "set_hash").select(F.col("doc_id").alias("a"), F.col("id").alias("b")).filter("a <> b"), "shared")
+    labels = components(links.select("a", "b").union(ends))
+    out = _placed(rows, classes, labels)
+    #: Also rows without words of such a doc_id belong to its component.
+    named = several.join(labels, F.col("shared_id") == F.col("id"), "left").select("shared_id", F.coalesce("component", "shared_id").alias("shared_component"))
+    out = out.join(small(table(named, "named")), F.col("doc_id") == F.col("shared_id"), "left")
+    component = F.coalesce("shared_component", "component_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' signatures, the classes of equal sets, and the links (a, b) between classes."""
     rows = table(signatures(docs), "signatures")
     classes = table(rows.filter("doc_id is not null and set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("tuples").alias("tuples"), F.first("bits").alias("bits"), F.count("*").alias("n")), "classes")
-    linked = class_components(classes.select("id", "size", "tuples", "bits"), docs)
-    placed = classes.join(small(linked), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"), F.col("n").alias("copies"), F.col("component").isNotNull().alias("linked"))
+    return rows, classes, class_links(classes.select("id", "size", "tuples", "bits"), docs)
+
+
+def _placed(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, tid): each row with the component of its own set."""
+    placed = classes.join(small(labels), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"), F.col("n").alias("copies"), F.col("component").isNotNull().alias("linked"))
     #: Only classes that are larger than one row or linked with others need a lookup.
     placed = table(placed.filter("copies > 1 or linked").select("set_hash", "component_id"), "placed")
     out = rows.select("doc_id", "n_shingles", "set_hash", "tid").join(small(placed), "set_hash", "left")
@@ -213,7 +233,8 @@ def keep_one(docs: DataFrame, repeats: bool = True) -> DataFrame:
     Each row is judged by its own text, so a row stays if only another text of its doc_id goes. Rows that repeat a doc_id and text are
     all kept, or one of them without ``repeats``.
     """
-    found = table(_judged(docs), "groups")
+    rows, classes, links = _linked(docs)
+    found = table(_placed(rows, classes, components(links)), "groups")
     gone = table(found.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("tid").alias("gone_tid")).distinct(), "gone")
     tid = F.xxhash64("text")
     out = docs.join(small(gone), (docs["doc_id"] == gone["gone_id"]) & (tid == gone["gone_tid"]), "left_anti")
