@@ -5,8 +5,8 @@ share of byte-fallback tokens (of a piece vocabulary with byte fallback), and th
 text outside its band is rejected. Bands are of two sorts: wide ones by script, given as parameters, and narrow ones by
 language (without one, by script), learned from all texts: the median of the characters per token, and the spread of
 what a text is off it times the root of its tokens. A text is outside its narrow band if with both vocabularies it is off on
-the same side by more than WIDTH spreads and by more than a share LEAST_OFF of the median. A language of fewer than
-MIN_TEXTS texts has no narrow band. The base rule rejects very short texts and texts that mostly repeat themselves.
+the same side by more than WIDTH spreads and by more than a share LEAST_OFF of the median. A band learned from n texts is wider
+by the factor 1 + PRIOR_TEXTS / n, so that few texts of a language reject next to nothing. The base rule rejects very short texts and texts that mostly repeat themselves.
 
 Nulls: a null text counts as empty (no words, base_failed). A null or unknown ``lang`` falls back to the script's band.
 Texts without tokens have null measures. Repeated rows each get their own equal row; an empty table gives an empty one.
@@ -40,10 +40,10 @@ MAX_REPEAT_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
 
 
-#: Narrow bands: their width, the share of the median that counts at all, and the texts that they need.
+#: Narrow bands: their width, the share of the median that counts at all, and the texts at which they are twice as wide as with very many.
 WIDTH = 6.0
 LEAST_OFF = 0.05
-MIN_TEXTS = 100
+PRIOR_TEXTS = 100
 
 
 @dataclass(frozen=True)
@@ -207,14 +207,14 @@ _VOCABULARIES = (("chars_per_token", "n_tokens"), ("chars_per_piece", "n_pieces"
 
 
 def language_bands(rows: DataFrame) -> DataFrame:
-    """(key, centre0, spread0, centre1, spread1) of each language with enough texts: rows have key, base_failed and the measures."""
+    """(key, centre0, spread0, centre1, spread1) of each language: rows have key, base_failed and the measures."""
     good = rows.filter("not base_failed")
     out = None
     for k, (chars, n) in enumerate(_VOCABULARIES):
         values = good.select("key", F.col(chars).alias("x"), F.col(n).alias("tokens"))
-        centre = table(_quantiles(values, 0.01, {f"centre{k}": 0.5}).filter(F.col("n") >= MIN_TEXTS).drop("n"), "centres")
+        centre = table(_quantiles(values, 0.01, {f"centre{k}": 0.5}).drop("n"), "centres")
         off = values.join(small(centre), "key").select("key", ((F.col("x") - F.col(f"centre{k}")) * F.sqrt("tokens")).alias("x"))
-        spread = _quantiles(off, 0.05, {"low": 0.25, "high": 0.75}).select("key", F.greatest((F.col("high") - F.col("low")) / 1.349, F.lit(0.05)).alias(f"spread{k}"))
+        spread = _quantiles(off, 0.05, {"low": 0.25, "high": 0.75}).select("key", (F.greatest((F.col("high") - F.col("low")) / 1.349, F.lit(0.05)) * (1 + PRIOR_TEXTS / F.col("n"))).alias(f"spread{k}"))
         both = centre.join(spread, "key")
         out = both if out is None else out.join(both, "key")
     return out

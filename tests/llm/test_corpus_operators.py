@@ -59,13 +59,12 @@ def test_fertility_bands(spark, empty):
     assert measured(empty, ["doc_id"]).count() == 0
 
 
-def test_fertility_learned_bands(spark, empty, monkeypatch):
+def test_fertility_learned_bands(spark, empty):
     """The narrow bands against the same rule in plain Python."""
     import math
 
     from tachygraph.llm import fertility
 
-    monkeypatch.setattr(fertility, "MIN_TEXTS", 50)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = fertility.judged(docs, ["doc_id", "lang"]).collect()
     plain = {r["doc_id"]: r["kept"] for r in fertility.measured(docs, ["doc_id"]).collect()}
@@ -83,10 +82,10 @@ def test_fertility_learned_bands(spark, empty, monkeypatch):
         for chars, n in (("chars_per_token", "n_tokens"), ("chars_per_piece", "n_pieces")):
             centre = quantile([r[chars] for r in rows], 0.01, 0.5)
             off = [(r[chars] - centre) * math.sqrt(r[n]) for r in rows]
-            spread = max(0.05, (quantile(off, 0.05, 0.75) - quantile(off, 0.05, 0.25)) / 1.349)
+            spread = max(0.05, (quantile(off, 0.05, 0.75) - quantile(off, 0.05, 0.25)) / 1.349) * (1 + 100 / len(rows))
             for r, z in zip(rows, off):
                 d = r[chars] - centre
-                sides[r["doc_id"]].append((d > 0) - (d < 0) if len(rows) >= 50 and abs(d) > 0.05 * centre and abs(z) > 6 * spread else 0)
+                sides[r["doc_id"]].append((d > 0) - (d < 0) if abs(d) > 0.05 * centre and abs(z) > 6 * spread else 0)
     want = {i: plain[i] and not (len(sides[i]) == 2 and sides[i][0] == sides[i][1] != 0) for i in plain}
     assert {r["doc_id"]: r["kept"] for r in got} == want
     assert 0 < sum(plain.values()) - sum(want.values()) < 0.1 * len(plain)
@@ -504,6 +503,7 @@ def shingles(t):
 
 
 def brute_components(rows):
+    """Rows that share an id are one node."""
     root = {i: i for i, _ in rows if i is not None}
 
     def find(x):
@@ -554,6 +554,19 @@ def test_keep_one_judges_rows(spark):
     assert sorted(map(tuple, keep_one(df).collect()), key=str) == sorted([x for x in rows if x[:2] != (5, one)], key=str)
 
 
+def test_rows_that_share_an_id_are_one_node(spark):
+    from tachygraph.llm.near_dedup import near_duplicates
+
+    rng = random.Random(18)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(4))
+    rows = [(0, a), (1, a), (1, b), (3, b), (4, c), (4, d), (4, None), (6, d + " more"), (9, "solo words"), (9, ""), (None, a), (11, None)]
+    component = brute_components(rows)
+    want = [(i, len(shingles(t)), component.get(i), i is None or component[i] == i) for i, t in rows]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(pairs_of(got, "doc_id", "n_shingles", "component_id", "kept"), key=str) == sorted(want, key=str)
+    assert component[1] == component[3] == 0 and component[6] == 4
+
+
 def test_near_duplicate_families(spark):
     """Families of copies at all distances from the limit, in chains and stars."""
     rng = random.Random(9)
@@ -761,13 +774,13 @@ def test_line_dedup(docs, empty):
     bad = {}
     for s, texts in pages.items():
         n = Counter(x for t in texts for x in {x.strip(" ") for x in t.split("\n")} if x)
-        bad[s] = {x for x, k in n.items() if k >= 3 and k > 0.1 * len(texts)}
+        bad[s] = {x for x, k in n.items() if k > 0.1 * (len(texts) + 20)}
     want = []
     for i, s, t in rows:
         lines = None if t is None else t.split("\n")
         left = None if t is None else [x for x in lines if not x.strip(" ") or x.strip(" ") not in bad.get(s, ())]
         want.append((i, s, None if t is None else "\n".join(left), 0 if t is None else len(lines) - len(left)))
-    got = drop_lines(docs, "source", max_ratio=0.1, min_pages=3)
+    got = drop_lines(docs, "source", max_ratio=0.1, prior_pages=20)
     assert sorted(pairs_of(got.select("doc_id", "source", "text", got.columns[-1]).toDF("doc_id", "source", "text", "n"), "doc_id", "source", "text", "n"), key=str) == sorted(want, key=str)
     assert sum(x[3] for x in want) > 0 and drop_lines(empty, "source").count() == 0
 
