@@ -4,12 +4,13 @@
 2. Counts: how often each word of the items stands in the documents (all of them).
 3. Index: postings (term, text, position) of the probe terms: for each window, its rarest and its second rarest term.
 4. Intersection: a posting less the term's offset in the window is where the window would begin. Begins that both lists
-   share are candidates.
-5. Confirmation: the candidate's words are compared with the window's, on the document's whole text.
+   share are candidates of an exact phrase; begins that differ by SLOP words at most are candidates of a proximity match.
+5. Confirmation, on the document's whole text: an exact phrase has the window's words, one by one. A proximity match has
+   NEAR_PERCENT of the window's distinct words, in any order, in the window's place and SLOP words before and after it.
 
-The index folds case wholly, which finds more; step 5 folds A-Z only and decides. Postings name a text by its hash, so
-copies share them; step 5 reads each row's own text. The largest lists are those of the rarest terms of windows, and a
-task holds one document's candidates at most.
+The index folds case wholly, which finds more; step 5 folds A-Z only and decides. Postings name a text by a hash of 64 bits, so
+copies share them; step 5 tells texts apart by SHA-256. The largest lists are those of the rarest terms of windows, and a
+task holds one document's candidates at most. Proximity matches are counted in ``n_near``; only exact phrases contaminate.
 
 Nulls: a null text has no words and no hits; null or wordless items have no windows. Repeated documents each get their
 row, repeated item_ids count as one item. With an empty benchmark nothing is contaminated; an empty documents table gives
@@ -21,10 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tachygraph.llm.scratch import small, table
+from tachygraph.llm.scratch import is_small, small, table
 from tachygraph.llm.textwords import ANY_CASE_INDEX_GAP, INDEX_GAP, count_pieces, lower_ascii
 
 WINDOW = 13
+#: Words by which a proximity match may be displaced, and the hundredths of a window's distinct words that it must have.
+SLOP = 3
+NEAR_PERCENT = 80
+#: Windows up to which their words are broadcast.
+WINDOW_ROWS = 100_000
 #: A document is contaminated if this many hundredths of its words, one at least, are hit.
 MIN_HIT_PERCENT = 5
 
@@ -50,8 +56,11 @@ def windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, n): occurrences in ``docs`` of each of ``terms`` that occurs."""
-    return _folded_tokens(docs).join(small(terms), "term").groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n): occurrences in ``docs`` of each of ``terms`` that occurs. Terms that are too many to broadcast meet sums, not words."""
+    counts = lambda x: x.groupBy("term").agg(F.count("*").alias("n"))
+    if is_small(terms):
+        return counts(_folded_tokens(docs).join(F.broadcast(terms), "term"))
+    return counts(_folded_tokens(docs)).join(terms, "term")
 
 
 def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -67,63 +76,70 @@ def probes(wins: DataFrame, counts: DataFrame) -> DataFrame:
     return ranked.select("wid", F.posexplode("best").alias("rank", "x")).select("wid", (F.col("rank") + 1).alias("rank"), "x.term", "x.offset")
 
 
-def candidates(postings: DataFrame, rare: DataFrame) -> DataFrame:
-    """(tid, wid, begin): where both probe terms of a window stand at their offsets."""
-    near = postings.join(small(rare), "term").select("tid", "wid", "rank", (F.col("pos") - F.col("offset")).alias("begin")).filter("begin >= 0")
-    lists = rare.groupBy("wid").agg(F.max("rank").alias("lists"))
-    met = near.groupBy("tid", "wid", "begin").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
-    return met.join(small(lists), "wid").filter("lo = 1 and hi = lists").select("tid", "wid", "begin")
-
-
-def proximity(postings: DataFrame, rare: DataFrame, slop: int) -> DataFrame:
-    """(tid, wid, begin): where a window's two probe terms stand in ``slop`` words more or less of their distance.
+def candidates(postings: DataFrame, rare: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(tid, wid, begin, exact): where a window's two probe terms stand in ``slop`` words more or less of their distance, and whether in just that.
 
-    Positions are dealt into blocks of ``slop`` + 1 and each second term is looked for in its block and the two beside it.
+    Positions are dealt into blocks of ``slop`` + 1 and each second term is looked for in its block and the two beside it. A window
+    of one term is found by that.
     """
-    near = postings.join(small(rare), "term").select("tid", "wid", "rank", (F.col("pos") - F.col("offset")).alias("begin"))
+    lists = rare.groupBy("wid").agg(F.max("rank").alias("lists"))
+    near = postings.join(small(rare.join(lists, "wid")), "term").select("tid", "wid", "rank", "lists", (F.col("pos") - F.col("offset")).alias("begin"))
     block = F.floor(F.col("begin") / (slop + 1))
-    one = near.filter("rank = 1").select("tid", "wid", "begin", F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    two = near.filter("rank = 2").select("tid", "wid", F.col("begin").alias("begin2"), block.alias("block"))
-    return one.join(two, ["tid", "wid", "block"]).filter(F.abs(F.col("begin") - F.col("begin2")) <= slop).select("tid", "wid", "begin").distinct()
-
-
-def phrase_candidates(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(tid, found): for each text with candidates, an array of (item_id, begin, words)."""
+    #: One shuffle, on the window and the block; a block holds a few places of one text.
+    blocks = F.when(F.col("rank") == 1, F.array(block - 1, block, block + 1)).otherwise(F.array(block))
+    alone = near.filter("lists = 1").select("tid", "wid", "begin", F.lit(True).alias("exact"))
+    two = near.filter("lists = 2").select("tid", "wid", "rank", "begin", F.explode(blocks).alias("block"))
+    ends = two.groupBy("tid", "wid", "block").agg(F.collect_list(F.when(F.col("rank") == 1, F.col("begin"))).alias("one"), F.array_sort(F.collect_list(F.when(F.col("rank") == 2, F.col("begin")))).alias("other"))
+    ends = ends.filter("size(one) > 0 and size(other) > 0").select("tid", "wid", "other", F.explode("one").alias("begin"))
+    close = F.filter("other", lambda x: F.abs(x - F.col("begin")) <= slop)
+    met = ends.select("tid", "wid", "begin", close.alias("close")).filter("size(close) > 0")
+    met = met.groupBy("tid", "wid", "begin").agg(F.max(F.array_contains("close", F.col("begin"))).alias("exact"))
+    return met.unionByName(alone).select("tid", "wid", "begin", (F.col("exact") & (F.col("begin") >= 0)).alias("exact"))
+
+
+def phrase_candidates(docs: DataFrame, items: DataFrame, width: int = WINDOW, slop: int = SLOP) -> DataFrame:
+    """(tid, found): for each text with candidates, an array of (item_id, begin, words, exact)."""
     wins = windows(items, width)
     wins = table(wins.groupBy("item_id", "words").agg(F.min("at").alias("at")).withColumn("wid", F.xxhash64("item_id", "words")), "windows")
     terms = table(wins.select(F.explode("words").alias("word")).select(F.lower("word").alias("term")).distinct(), "terms")
     counts = table(term_counts(docs, terms), "counts")
     rare = table(probes(wins, counts), "probes")
     postings = table(index(docs, rare.select("term").distinct()), "postings")
-    met = candidates(postings.distinct(), rare)
-    full = met.join(small(wins.select("wid", "item_id", "words")), "wid")
-    return full.groupBy("tid").agg(F.collect_list(F.struct("item_id", "begin", "words")).alias("found"))
+    met = candidates(postings.distinct(), rare, slop)
+    full = met.join(small(wins.select("wid", "item_id", "words"), WINDOW_ROWS), "wid")
+    return full.groupBy("tid").agg(F.collect_list(F.struct("item_id", "begin", "words", "exact")).alias("found"))
 
 
-def confirmed(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(tid, n_hit, n_items, items_sha256) of the texts in which a candidate of ``found`` (tid, found) holds, word by word."""
+def confirmed(docs: DataFrame, found: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(tid, sha, n_hit, n_items, items_sha256, n_near) of the texts in which a candidate of ``found`` (tid, found) holds, word by word."""
     tids = table(found.select(F.col("tid").alias("wanted")), "tids")
     rows = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid"), "text")
     #: Words come before the grouping, so that they are split once for each text and not again for each candidate.
-    own = rows.join(small(tids), F.col("tid") == F.col("wanted"), "left_semi").select("tid", _words(lower_ascii(F.col("text"))).alias("own"))
-    own = own.groupBy("tid").agg(F.first("own").alias("own")).join(found, "tid")
-    holds = F.filter("found", lambda x: F.slice(F.col("own"), x["begin"] + 1, F.size(x["words"])) == x["words"])
-    held = own.select("tid", holds.alias("holds")).filter("size(holds) > 0")
-    spots = F.flatten(F.transform("holds", lambda x: F.sequence(x["begin"], x["begin"] + F.size(x["words"]) - 1)))
-    ids = F.array_sort(F.array_distinct(F.transform("holds", lambda x: x["item_id"].cast("string"))))
-    held = held.select("tid", F.size(F.array_distinct(spots)).alias("n_hit"), ids.alias("ids"))
-    return held.select("tid", "n_hit", F.size("ids").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
-
-
-def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, percent: int = MIN_HIT_PERCENT) -> DataFrame:
-    """All columns of ``docs`` in a struct ``doc``, with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    hits = table(confirmed(docs, table(phrase_candidates(docs, items, width), "candidates")), "hits")
-    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("doc_tid"))
-    joined = rows.join(small(hits), F.col("doc_tid") == F.col("tid"), "left")
+    own = rows.join(small(tids), F.col("tid") == F.col("wanted"), "left_semi").select("tid", F.sha2("text", 256).alias("sha"), _words(lower_ascii(F.col("text"))).alias("own"))
+    own = own.groupBy("tid", "sha").agg(F.first("own").alias("own")).join(found, "tid")
+    size = lambda x: F.size(x["words"])
+    holds = F.filter("found", lambda x: x["exact"] & (F.slice(F.col("own"), F.greatest(x["begin"], F.lit(0)) + 1, size(x)) == x["words"]))
+    place = lambda x: F.slice(F.col("own"), F.greatest(x["begin"] - slop, F.lit(0)) + 1, F.least(x["begin"], F.lit(slop)) + size(x) + slop)
+    shared = lambda x: F.size(F.array_intersect(place(x), x["words"]))
+    near = F.filter("found", lambda x: (x["begin"] + size(x) > 0) & (100 * shared(x) >= NEAR_PERCENT * F.size(F.array_distinct(x["words"]))))
+    held = own.select("tid", "sha", holds.alias("holds"), near.alias("near")).filter("size(near) > 0 or size(holds) > 0")
+    spots = F.flatten(F.transform("holds", lambda x: F.sequence(x["begin"], x["begin"] + size(x) - 1)))
+    ids = lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda x: x["item_id"].cast("string"))))
+    held = held.select("tid", "sha", F.size(F.array_distinct(spots)).alias("n_hit"), ids("holds").alias("ids"), F.size(ids("near")).alias("n_near"))
+    return held.select("tid", "sha", "n_hit", F.size("ids").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), "n_near")
+
+
+def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, percent: int = MIN_HIT_PERCENT, slop: int = SLOP) -> DataFrame:
+    """All columns of ``docs`` in a struct ``doc``, with n_words, n_hit, n_items, items_sha256, contaminated and n_near (items with a proximity match)."""
+    hits = table(confirmed(docs, table(phrase_candidates(docs, items, width, slop), "candidates"), slop), "hits")
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("doc_tid"), F.sha2("text", 256).alias("doc_sha"))
+    joined = rows.join(small(hits), (F.col("doc_tid") == F.col("tid")) & (F.col("doc_sha") == F.col("sha")), "left")
     text = F.col("doc.text")
     n_words = F.when(text.isNull(), F.lit(0).cast("long")).otherwise(count_pieces(text, ANY_CASE_INDEX_GAP))
-    out = joined.select("doc", n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    out = joined.select("doc", n_words.alias("n_words"), count("n_hit"), count("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), count("n_near"))
+    contaminated = (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))
+    return out.select("doc", "n_words", "n_hit", "n_items", "items_sha256", contaminated.alias("contaminated"), "n_near")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:

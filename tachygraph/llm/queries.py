@@ -48,7 +48,7 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     got = contamination(docs, _read(spark, sf_dir, "benchmark"))
-    return got.select(F.col("doc.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    return got.select(F.col("doc.doc_id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,12 @@ def drop_tables(spark: SparkSession) -> int:
     return n
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` (a written table) with a broadcast hint if it has at most ``rows`` rows (BROADCAST_ROWS); larger ones join by shuffle."""
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """``df`` (a written table) has at most ``rows`` rows (BROADCAST_ROWS)."""
     rows = BROADCAST_ROWS if rows is None else min(rows, BROADCAST_ROWS)
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return df.limit(rows + 1).count() <= rows
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if it is small; larger ones join by shuffle."""
+    return F.broadcast(df) if is_small(df, rows) else df

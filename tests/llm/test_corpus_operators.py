@@ -481,17 +481,62 @@ def test_decontamination(docs, empty, bench_items):
     assert contamination(docs, bench_items.limit(0)).filter("contaminated").count() == 0
 
 
-def test_proximity(spark):
-    from tachygraph.llm.decontam import index, probes, proximity, term_counts, windows
-
-    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "alpha x x beta gamma delta x"), (2, "alpha beta gamma delta"), (3, "delta only")], "doc_id long, text string")
-    wins = windows(items).withColumn("wid", F.xxhash64("item_id", "words"))
-    terms = wins.select(F.explode("words").alias("term")).distinct()
-    rare = probes(wins, term_counts(docs, terms))
-    posts = index(docs, rare.select("term").distinct())
-    near = {s: proximity(posts, rare, s).select("tid").distinct().count() for s in (0, 5)}
-    assert near[0] >= 1 and near[5] >= near[0]
+def test_proximity_against_plain_search(spark):
+    """Items with a proximity match: a window whose two rarest terms stand nearly at their distance, and most of whose words are there."""
+    from tachygraph.llm.decontam import NEAR_PERCENT, SLOP, candidates, contamination, index, probes, term_counts, windows
+
+    rng = random.Random(23)
+    vocabulary = [f"t{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 3, 13, 20])))) for k in range(30)]
+    rows = []
+    for k in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 2)):
+            part = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(part))
+                part[at : at + 1] = rng.choice([[], ["extra", part[at]], [rng.choice(vocabulary)]])
+                part = part or ["x"]
+            at = rng.randint(0, len(words))
+            words[at:at] = part
+        rows.append((k, " ".join(words)))
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    n = Counter(w for t in {t for _, t in rows} for w in t.split())
+    want = {}
+    for i, t in rows:
+        w, found = t.split(), set()
+        for item, text in items:
+            x = text.split()
+            for k in range(max(1, len(x) - 12)):
+                win = x[k : k + 13]
+                rare = sorted((n[v], v, o) for o, v in enumerate(win))[:2]
+                begins = [[p - o for p, v in enumerate(w) if v == term] for _, term, o in rare]
+                for b in begins[0]:
+                    if len(rare) == 1 or any(abs(b - c) <= SLOP for c in begins[1]):
+                        place = w[max(b - SLOP, 0) : max(0, b + len(win) + SLOP)]
+                        if b + len(win) > 0 and 100 * len(set(place) & set(win)) >= NEAR_PERCENT * len(set(win)):
+                            found.add(item)
+        want[i] = len(found)
+    rows_n = contamination(docs, bench).select("doc.doc_id", "n_near", "n_items").collect()
+    assert {r["doc_id"]: r["n_near"] for r in rows_n} == want
+    assert all(r["n_near"] >= r["n_items"] for r in rows_n) and any(r["n_near"] > r["n_items"] for r in rows_n)
+    one = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    texts = spark.createDataFrame([(1, "alpha x x beta gamma delta x"), (2, "alpha beta gamma delta"), (3, "delta only")], "doc_id long, text string")
+    wins = windows(one).withColumn("wid", F.xxhash64("item_id", "words"))
+    rare = probes(wins, term_counts(texts, wins.select(F.explode("words").alias("term")).distinct()))
+    posts = index(texts, rare.select("term").distinct())
+    assert [candidates(posts, rare, s).filter("exact").select("tid").distinct().count() for s in (0, 5)] == [1, 1]
+    assert candidates(posts, rare, 5).select("tid").distinct().count() == 2
+
+
+def test_texts_of_one_hash_are_told_apart(spark):
+    """Two texts that share the index' hash each get their own verdict."""
+    from tachygraph.llm.decontam import confirmed
+
+    docs = spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")
+    found = docs.select(F.xxhash64("text").alias("tid"), F.expr("array(struct(7L as item_id, 0 as begin, array('one', 'two') as words, true as exact), struct(8L as item_id, 1 as begin, array('one', 'two') as words, true as exact))").alias("found"))
+    got = confirmed(docs, found).collect()
+    assert [(r["n_hit"], r["n_items"], r["sha"]) for r in got] == [(2, 1, hashlib.sha256(b"one two three four").hexdigest())]
 
 
 # 7
