@@ -17,16 +17,18 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: An element of the first sort ends an open one of the second.
 _CLOSERS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol pre section table ul".split())
+#: What a reader fills in or presses.
+CONTROLS = frozenset("input select textarea button".split())
 _SCOPE = frozenset("table td th ul ol dl body html article section div main aside nav form".split())
 
 
 class Node:
-    """An element (``text`` is None) or a run of text. ``parent`` is its index, -1 for the root."""
+    """An element (``text`` is None) or a run of text. ``parent`` is its index, -1 for the root; ``controls`` counts an element's own inputs."""
 
-    __slots__ = ("attrs", "linked", "parent", "tag", "text")
+    __slots__ = ("attrs", "controls", "linked", "parent", "tag", "text")
 
     def __init__(self, tag: str, attrs: str, parent: int, text: str | None = None, linked: int = 0):
-        self.tag, self.attrs, self.parent, self.text, self.linked = tag, attrs, parent, text, linked
+        self.tag, self.attrs, self.parent, self.text, self.linked, self.controls = tag, attrs, parent, text, linked, 0
 
 
 def parse(html: str) -> list[Node]:
@@ -74,6 +76,8 @@ def parse(html: str) -> list[Node]:
             if tag == "br":
                 run.append(" ")
             continue
+        if not ending and tag in CONTROLS:
+            nodes[stack[-1]].controls += 1
         if not ending and tag in RAW:
             if m[0][-2:] != "/>" or tag in ("script", "style", "title", "textarea"):
                 end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(html, at)

@@ -1,8 +1,9 @@
 r"""Main text of web pages by a tree-structured graphical model.
 
 A page's DOM is a tree of binary variables (content or not): one for each element that holds blocks and one for each run of
-text. Each has a potential of its own, from its tag, its names, its length, punctuation and links; each parent and child
-share a potential. Sum-product messages go upward from the leaves and downward from the root, and give each run of text its
+text. Each has a potential of its own, from its tag, its names, its length, punctuation and links, and from its place: in,
+around or outside of the page's body (its ``main`` or ``article``, else the element that holds most text in paragraphs), with
+inputs, or as one of several elements of one make; each parent and child share a potential. Sum-product messages go upward from the leaves and downward from the root, and give each run of text its
 marginal. Runs with a marginal of one half or more are the content.
 
 The potentials are trained from labelled pages: LABELLED_PAGES pages made from templates by a fixed seed, whose runs are
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tachygraph.llm.dom import Node, hints, parse
-from tachygraph.llm.toxicity import fit_logistic
+from tachygraph.llm.logistic import fit
 
 LABELLED_PAGES = 400
 SEED = 11
@@ -36,8 +37,8 @@ _MARK = {True: "\ue000", False: "\ue001"}
 
 #: Sorts of tags, and words in class, id and role that name a part of a page.
 TAGS = {
-    "main": "article main", "box": "div section center td th body tr table tbody thead", "p": "p", "h1": "h1", "h": "h2 h3 h4 h5 h6 hgroup caption figcaption summary",
-    "li": "li dt dd", "list": "ul ol dl", "nav": "nav menu", "header": "header", "footer": "footer address", "aside": "aside dialog",
+    "main": "article main", "box": "div section center td th body tr table tbody thead address", "p": "p", "h1": "h1", "h": "h2 h3 h4 h5 h6 hgroup caption figcaption summary",
+    "li": "li dt dd", "list": "ul ol dl", "nav": "nav menu", "header": "header", "footer": "footer", "aside": "aside dialog",
     "form": "form button fieldset legend input output option", "quote": "blockquote pre figure details", "head": "head",
 }
 NAMES = {
@@ -54,8 +55,11 @@ NAMES = {
 }
 _TAG_OF = {t: k for k, v in TAGS.items() for t in v.split()}
 _NAMES = {k: frozenset(v.split()) for k, v in NAMES.items()}
+#: Places by the body's element, told by its tag or by its text; and what else a node's surroundings say.
+_PLACES = ["around told", "inside told", "outside told", "around found", "inside found", "outside found", "controls", "one of many"]
 _ELEMENT = [f"tag:{k}" for k in (*TAGS, "other")] + [f"name:{k}" for k in NAMES] + ["hidden"]
 _RUN = [f"in:{k}" for k in (*TAGS, "other")] + ["short", "medium", "long", "stop", "comma", "some links", "all links", "sign"]
+_PLACE_AT = {k: i for i, k in enumerate(_PLACES)}
 _SIGNS = ("©",)
 
 
@@ -90,6 +94,53 @@ def run_features(node: Node, parent_tag: str) -> list[int]:
     return out
 
 
+def body_of(nodes: list[Node]) -> tuple[int, bool]:
+    """The element that holds the page's body, and whether a tag tells so; without one, that whose paragraphs hold most text."""
+    mass = [0.0] * len(nodes)
+    votes = [0.0] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        node = nodes[i]
+        if node.text is not None:
+            mass[i] = max(0, len(node.text) - node.linked)
+            holder = node.parent
+            if _TAG_OF.get(nodes[holder].tag) in ("p", "h", "h1", "li", "quote") and nodes[holder].parent >= 0:
+                holder = nodes[holder].parent
+            votes[holder] += mass[i]
+            if nodes[holder].parent >= 0:
+                votes[nodes[holder].parent] += mass[i] / 4
+        mass[node.parent] += mass[i]
+    told = [i for i, n in enumerate(nodes) if n.tag == "main" and mass[i]] or [i for i, n in enumerate(nodes) if n.tag == "article" and mass[i]]
+    if told:
+        return max(told, key=lambda i: (mass[i], -i)), True
+    return max(range(len(nodes)), key=lambda i: (votes[i] if nodes[i].text is None else -1.0, -i)), False
+
+
+def place_features(nodes: list[Node]) -> list[list[int]]:
+    """For each node the indices of its features among _PLACES."""
+    body, told = body_of(nodes)
+    sort = "told" if told else "found"
+    around, k = set(), body
+    while k >= 0:
+        around.add(k)
+        k = nodes[k].parent
+    inside = [False] * len(nodes)
+    kin: dict[tuple[int, str, str], int] = {}
+    for node in nodes[1:]:
+        if node.text is None and _TAG_OF.get(node.tag, "other") in ("box", "other", "main"):
+            key = node.parent, node.tag, node.attrs
+            kin[key] = kin.get(key, 0) + 1
+    out = []
+    for i, node in enumerate(nodes):
+        inside[i] = i > 0 and (inside[node.parent] or node.parent == body)
+        own = [_PLACE_AT[f"{'around' if i in around else 'inside' if inside[i] else 'outside'} {sort}"]]
+        if node.controls:
+            own.append(_PLACE_AT["controls"])
+        if node.text is None and kin.get((node.parent, node.tag, node.attrs), 0) > 1:
+            own.append(_PLACE_AT["one of many"])
+        out.append(own)
+    return out
+
+
 def sort_of(tag: str, attrs: str) -> str:
     """The sort of parent that an element is: its tag's, for boxes also whether they are named as content or as something else."""
     sort = _TAG_OF.get(tag, "other")
@@ -133,7 +184,10 @@ class Model:
     def potentials(self, nodes: list[Node]) -> tuple[list[float], list[tuple[float, float, float, float]]]:
         """Each node's own log-odds, and its table as a parent."""
         own, pairs = [], []
-        for node in nodes:
+        first = len(_ELEMENT), len(_RUN)
+        for node, place in zip(nodes, place_features(nodes), strict=True):
+            weights, begin = (self.element, first[0]) if node.text is None else (self.run, first[1])
+            here = sum(weights[begin + k] for k in place)
             if node.text is None:
                 key = (node.tag, node.attrs)
                 known = self._known.get(key)
@@ -142,10 +196,10 @@ class Model:
                     known = value, self.pairs.get(sort_of(*key), self.pairs[""])
                     if len(self._known) < 50_000:
                         self._known[key] = known
-                own.append(known[0])
+                own.append(known[0] + here)
                 pairs.append(known[1])
             else:
-                own.append(self.run[-1] + sum(self.run[k] for k in run_features(node, nodes[node.parent].tag)))
+                own.append(here + self.run[-1] + sum(self.run[k] for k in run_features(node, nodes[node.parent].tag)))
                 pairs.append(self.pairs[""])
         return own, pairs
 
@@ -194,6 +248,8 @@ def labelled_page(rng: random.Random) -> str:
     def notice() -> str:
         if rng.random() < 0.25:
             return f'<div{rng.choice([" hidden", " style=display:none", " aria-hidden=true"])}><p>{run(False, 3, 40, True)}</p></div>'
+        if rng.random() < 0.3:
+            return f'<div{name("notice", 0.1)}><h3>{run(False, 1, 4)}</h3><p>{run(False, 4, 30, True)}</p><input name=e><button>{run(False, 1, 2)}</button></div>'
         return part("notice", f"<p>{run(False, 5, 40, True)}</p><button>{run(False, 1, 2)}</button>" if rng.random() < 0.6 else run(False, 4, 30, True), "div", "section", "aside")
 
     def form() -> str:
@@ -202,6 +258,10 @@ def labelled_page(rng: random.Random) -> str:
     def comments() -> str:
         one = lambda: f'<div{name("comment")}><p>{run(False, 1, 2)}</p><p>{run(False, 3, 60, True)}</p></div>'
         title = f"<h3>{run(False, 1, 3)}</h3>"
+        if rng.random() < 0.35:
+            own = name("comment", 0.1)
+            item = lambda: f"<div{own}><span>{run(False, 1, 2)}</span><p>{_words(rng, rng.randint(3, 60))}.</p></div>"
+            return f"<section{name('comment', 0.1)}>{title}{''.join(item().replace('<p>', '<p>' + _MARK[False]) for _ in range(rng.randint(1, 6)))}</section>"
         return part("comment", title + "".join(one() for _ in range(rng.randint(1, 6))), "div", "section", "div", "aside")
 
     def side() -> str:
@@ -238,6 +298,8 @@ def labelled_page(rng: random.Random) -> str:
             return f"<blockquote>{rng.choice(['', '<p>'])}{run(True, 4, 40, True)}</blockquote>"
         if x < 0.97:
             return f"<table><tr><td>{run(True, 1, 6)}</td><td>{run(True, 1, 6)}</td></tr></table>"
+        if rng.random() < 0.25:
+            return f"<address>{run(True, 2, 9)}</address>"
         return f"<pre>{run(True, 3, 20)}</pre>" if rng.random() < 0.5 else f"<figure><figcaption>{run(True, 3, 14)}</figcaption></figure>"
 
     title = f"<h1>{run(True, 2, 14)}</h1>"
@@ -292,9 +354,10 @@ def trained(pages: int = LABELLED_PAGES, seed: int = SEED) -> Model:
     counts: dict[str, np.ndarray] = {"": np.ones((2, 2))}
     for _ in range(pages):
         nodes, y = labelled_nodes(rng)
-        for i, node in enumerate(nodes):
+        for i, (node, place) in enumerate(zip(nodes, place_features(nodes), strict=True)):
             which = 0 if node.text is None else 1
-            rows[which].append(element_features(node.tag, node.attrs) if which == 0 else run_features(node, nodes[node.parent].tag))
+            own = element_features(node.tag, node.attrs) if which == 0 else run_features(node, nodes[node.parent].tag)
+            rows[which].append([*own, *(k + len((_ELEMENT, _RUN)[which]) for k in place)])
             labels[which].append(y[i])
             if i:
                 parent = nodes[node.parent]
@@ -302,11 +365,11 @@ def trained(pages: int = LABELLED_PAGES, seed: int = SEED) -> Model:
                     counts.setdefault(sort, np.full((2, 2), 2.0))[y[node.parent], y[i]] += 1
     share = [float(np.mean(x)) for x in labels]
     out = []
-    for which, width in ((0, len(_ELEMENT)), (1, len(_RUN))):
+    for which, width in ((0, len(_ELEMENT) + len(_PLACES)), (1, len(_RUN) + len(_PLACES))):
         x = np.zeros((len(rows[which]), width))
         for r, on in enumerate(rows[which]):
             x[r, list(on)] = 1
-        out.append(fit_logistic(x, np.array(labels[which], float), ridge=0.05))
+        out.append(fit(x, np.array(labels[which], float), ridge=0.05))
     #: A node's own potential is what its features say beyond the share of content; the pair's is p(child | parent) / p(child).
     prior = float(np.mean(labels[0] + labels[1]))
     for w, s in zip(out, share, strict=True):

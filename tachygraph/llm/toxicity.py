@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tachygraph.llm.lexicon import Lexicon, Term
+from tachygraph.llm.logistic import fit_above
 from tachygraph.llm.scratch import small, table
 
 #: Bounds of what is learned: labelled rows, texts that a term must stand in, and its log-odds.
@@ -207,27 +208,6 @@ def inputs(words: list[str], hits: list[Hit]) -> list[float]:
 N_INPUTS = 9
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, cycles: int = 500) -> np.ndarray:
-    """Weights of a logistic model (the last one is the constant), all but the last two at least LEAST, by Newton steps for one at a time."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    n = x.shape[1]
-    least = np.array([LEAST] * (n - 2) + [-np.inf] * 2)
-    w = np.maximum(np.zeros(n), least)
-    z = x @ w
-    for _ in range(cycles):
-        moved = 0.0
-        for k in range(n):
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            slope = x[:, k] @ (p - y) + ridge * w[k]
-            curve = (x[:, k] ** 2 * p * (1 - p)).sum() + ridge
-            new = max(least[k], w[k] - float(np.clip(slope / curve, -2, 2)))
-            z += x[:, k] * (new - w[k])
-            moved, w[k] = max(moved, abs(new - w[k])), new
-        if moved < 1e-4:
-            break
-    return w
-
-
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, toxic): up to ``rows`` labelled documents of the training folds, those with the smallest hashes of their ids."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -262,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         scorer = Scorer(*learn_terms([texts[i] for i in one], [toxic[i] for i in one]))
         for i in other:
             made += examples(scorer, texts[i], toxic[i])
-    return *learn_terms(texts, toxic), fit_logistic(np.array([x for x, _ in made]), np.array([y for _, y in made], float)).tolist()
+    return *learn_terms(texts, toxic), fit_above(np.array([x for x, _ in made]), np.array([y for _, y in made], float), np.array([LEAST] * (N_INPUTS - 1) + [-np.inf])).tolist()
 
 
 _scorers: dict[int, Scorer] = {}

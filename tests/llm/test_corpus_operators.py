@@ -793,6 +793,38 @@ def test_html_extraction(spark):
     assert next(r["text"] for r in got if r["page_id"] == 2) == ""
 
 
+def test_html_by_structure(spark):
+    """Comments, a sign-up box and an address without telling names."""
+    from tachygraph.llm.html_extract import extracted
+
+    text = "The committee met again on Thursday, and most members spoke about the new library, its cost and its plan."
+    rows = [
+        (1, f'<body><main><h1>Title here</h1><p>{text}</p><p>{text}</p></main><section class="responses"><h3>Three said</h3><div class="r1"><span>Ann</span><p>I liked this, and you?</p></div><div class="r1"><span>Bob</span><p>So did I, thank you.</p></div></section></body>'),
+        (2, f'<body><article><h1>Title here</h1><p>{text}</p><address>12 Long Street, Oldtown</address><p>{text}</p></article><div><h3>Stay in touch</h3><p>Get our letter each week, free.</p><input name="e"><button>Go</button></div></body>'),
+        (3, f'<body><div><h1>Title here</h1><p>{text}</p><p>{text}</p><p>{text}</p></div><section><h3>What people think</h3><div class="zz"><span>Ann</span><p>I liked this, and you?</p></div><div class="zz"><span>Bob</span><p>So did I, thank you.</p></div></section></body>'),
+    ]
+    got = {r["page_id"]: r["text"] for r in extracted(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")).collect()}
+    assert got[1] == f"Title here\n\n{text}\n\n{text}"
+    assert got[2] == f"Title here\n\n{text}\n\n12 Long Street, Oldtown\n\n{text}"
+    assert got[3] == f"Title here\n\n{text}\n\n{text}\n\n{text}"
+
+
+def test_html_on_given_pages(spark):
+    """Every page of a table against a reader that knows the article's tag; an empty table."""
+    from html import unescape
+
+    from tachygraph.llm.html_extract import extracted
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in extracted(pages).collect()}
+    assert len(got) == pages.count()
+    for i, html in pairs_of(pages, "page_id", "html"):
+        inner = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?(?:b|i|em|strong|a|span)[^>]*>", "", x))).split()) for x in re.split(r"</?(?:p|h\d|li|ul|div)\b[^>]*>", inner)]
+        assert got[i] == "\n\n".join(x for x in blocks if x)
+    assert extracted(pages.limit(0)).count() == 0
+
+
 def test_html_on_made_pages():
     from tachygraph.llm.html_extract import labelled_nodes, marginals, trained
 
