@@ -56,7 +56,7 @@ def replace_ordered(text: Column, table: dict[str, str]) -> Column:
 def check_windows(windows: list[int], least: int = -18) -> list[int]:
     """Sampling windows must lie in [least, 0]."""
     if windows and (min(windows) < least or max(windows) > 0):
-        raise ValueError(f"sampling windows must lie in [{least}, 0]")
+        raise RuntimeError(f"sampling windows must lie in [{least}, 0]")
     return windows
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from tachygraph.operators.intervals import islands, spaced
-
+from tachygraph.operators.intervals import spaced
 
 
 def _by_row() -> WindowSpec:
@@ -43,22 +42,24 @@ def gaps_filled(rows: DataFrame, max_gap: int = 2) -> DataFrame:
 
 
 def smoothed(rows: DataFrame, least: int = 3) -> DataFrame:
-    """Runs of ones are cut into tiles of ``least``: what is left over after the last full tile becomes 0, unless its tile would
-    reach past the end or holds a -1. (After gap filling a gap without -1 has at least ``least`` zeros.)"""
-    end = rows.groupBy("record_id").agg(F.max("row").alias("end_"))
-    runs = islands(rows.filter("value = 1"), ["record_id"], "row").withColumn("tail", F.col("first") + F.floor(F.col("n") / least) * least).filter(F.col("n") % least != 0)
-    tails = runs.join(end, "record_id").filter(F.col("tail") + least <= F.col("end_") + 1).select("record_id", F.col("tail"), F.col("last"))
-    steps = tails.select("record_id", "tail", "last", F.explode(F.sequence(F.col("tail"), F.col("tail") + least - 1)).alias("row")).join(rows.select("record_id", "row", F.col("value").alias("v_")), ["record_id", "row"])
-    clear = steps.groupBy("record_id", "tail", "last").agg(F.min("v_").alias("low")).filter("low >= 0")
-    gone = clear.select("record_id", F.explode(F.sequence("tail", "last")).alias("row"), F.lit(True).alias("gone_"))
+    """Ones are covered from the left by tiles of ``least`` rows; a tile that is not all ones becomes zeros.
+
+    A tile begins at a one, not before the last tile's end, and only where it stays within the record and holds no -1.
+    """
+    ahead = _by_row().rowsBetween(0, least - 1)
+    tiles = rows.withColumn("low_", F.min("value").over(ahead)).withColumn("n_", F.count("*").over(ahead)).withColumn("ones_", F.count_if(F.col("value") == 1).over(ahead))
+    may = tiles.filter((F.col("value") == 1) & (F.col("low_") >= 0) & (F.col("n_") == least))
+    begun = spaced(may.select("record_id", "row"), ["record_id"], "row", least)
+    short = may.filter(F.col("ones_") < least).select("record_id", "row").join(begun, ["record_id", "row"])
+    gone = short.select("record_id", F.explode(F.sequence("row", F.col("row") + least - 1)).alias("row"), F.lit(True).alias("gone_"))
     return rows.join(gone, ["record_id", "row"], "left").select("record_id", "row", F.when(F.col("gone_"), 0).otherwise(F.col("value")).alias("value"))
 
 
 def block_starts(rows: DataFrame, least: int = 3, jump: int = 60) -> DataFrame:
     """(record_id, start_row): from the left, rows that begin ``least`` ones, each at least ``jump`` after the one before."""
     full = F.sum((F.col("value") == 1).cast("int")).over(_by_row().rowsBetween(0, least - 1)) == least
-    starts = rows.withColumn("full_", full).filter("full_").groupBy("record_id").agg(F.array_sort(F.collect_list("row")).alias("rows_"))
-    return starts.select("record_id", F.explode(spaced(F.col("rows_"), jump)).alias("start_row"))
+    starts = rows.withColumn("full_", full).filter("full_").select("record_id", "row")
+    return spaced(starts, ["record_id"], "row", jump).withColumnRenamed("row", "start_row")
 
 
 def detections(starts: DataFrame, record_start: Column | None = None, row_s: int = 5, length_s: int = 300) -> DataFrame:

@@ -7,21 +7,20 @@ back on is inside. One shuffle by window then gives all time-domain and geometri
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tachygraph.functions.fractal import fractal_features
+from tachygraph.functions.fractal import fractal_batch
 from tachygraph.functions.registry import FRACTAL, SPECTRAL
-from tachygraph.functions.spectral import spectral_features
+from tachygraph.functions.spectral import spectral_batch
 
 STEP_MS = 5000
 MEDIAN_BEATS = 7
 CHUNK_BEATS = 50_000
+SHAPE_ROWS = 120
 #: Fixed values of the triangular index: bin width and the last bin's index.
 BIN_MS, LAST_BIN = 7.8125, 318
 
@@ -111,17 +110,32 @@ def time_features(rr: DataFrame, seconds: int) -> DataFrame:
     )
 
 
-def shape_features(rr: DataFrame, seconds: int = 300) -> DataFrame:
-    """(record_id, row, ...): the six spectral and four multifractal features of each window, by numpy on Arrow batches."""
-    names = (*SPECTRAL, *FRACTAL)
-    beats = in_windows(rr, seconds).groupBy("record_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "rr_ms"))), lambda x: x["rr_ms"].cast("double")).alias("x"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            got = [spectral_features(np.asarray(x)) | fractal_features(np.asarray(x)) for x in pdf["x"]]
-            yield pd.DataFrame({"record_id": pdf["record_id"], "row": pdf["row"], **{k: [g[k] for g in got] for k in names}})
+def shape_features(rr: DataFrame, seconds: int = 300, chunk_rows: int = SHAPE_ROWS) -> DataFrame:
+    """(record_id, row, ...): the six spectral and four multifractal features of each window with beats, by numpy.
 
-    return beats.mapInPandas(run, f"record_id long, row long, {', '.join(f'{k} double' for k in names)}")
+    A record is cut into chunks of ``chunk_rows`` windows. A beat goes once to each chunk whose windows may hold it (two at most, as
+    long as a chunk spans a window), and the windows slide over the chunk's sorted beats.
+    """
+    names = (*SPECTRAL, *FRACTAL)
+    step, width = chunk_rows * STEP_MS, seconds * 1000
+    first = F.greatest(F.floor((F.col("right_ms") - width) / step), F.lit(0))
+    last = F.floor(F.col("left_ms") / step)
+    beats = rr.join(window_counts(rr, seconds), "record_id").select("record_id", "rows", "seq", "left_ms", "right_ms", F.col("rr_ms").cast("double").alias("x"), F.explode(F.sequence(first, last)).alias("chunk"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        record, chunk = key
+        pdf = pdf.sort_values("seq")
+        left, right, x = (pdf[c].to_numpy() for c in ("left_ms", "right_ms", "x"))
+        rows = np.arange(chunk * chunk_rows, min((chunk + 1) * chunk_rows, int(pdf["rows"].iloc[0])))
+        a, b = np.searchsorted(left, rows * STEP_MS), np.searchsorted(right, rows * STEP_MS + width, side="right")
+        held = b > a
+        rows, windows = rows[held], [x[i:j] for i, j in zip(a[held], b[held], strict=True)]
+        if not len(rows):
+            return pd.DataFrame({"record_id": [], "row": [], **{k: [] for k in names}})
+        values = np.hstack([spectral_batch(windows), fractal_batch(windows)])
+        return pd.DataFrame({"record_id": record, "row": rows, **{k: values[:, i] for i, k in enumerate(names)}})
+
+    return beats.groupBy("record_id", "chunk").applyInPandas(run, f"record_id long, row long, {', '.join(f'{k} double' for k in names)}")
 
 
 def feature_steps(features: DataFrame, steps: int = 55) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,7 +48,25 @@ def contained(points: DataFrame, spans: DataFrame, by: list[str], at: str, width
     return points.withColumn("bucket_", F.floor(F.col(at) / width)).join(cover, [*by, "bucket_"]).filter((F.col(at) > F.col("start")) & (F.col(at) < F.col("end"))).drop("bucket_")
 
 
-def spaced(candidates: Column, least: int) -> Column:
-    """Of a sorted array, the first value and then each that is at least ``least`` after the last taken one."""
-    empty = F.slice(candidates, 1, 0)
-    return F.aggregate(candidates, empty, lambda taken, x: F.when((F.size(taken) == 0) | (x >= F.try_element_at(taken, F.lit(-1)) + least), F.concat(taken, F.array(x))).otherwise(taken))
+def spaced(points: DataFrame, by: list[str], at: str, least: int) -> DataFrame:
+    """(by..., at): of each key's integers in order, the first and then each that is at least ``least`` after the last taken one.
+
+    Each choice hangs on the one before, so a key's points are one array, of runs of consecutive integers; the pass over it is linear.
+    """
+    runs = islands(points, by, at).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs_"))
+    ends = runs.select(*by, F.transform("runs_", lambda x: x["first"]).alias("first_"), F.transform("runs_", lambda x: x["last"]).alias("last_"))
+
+    @F.pandas_udf("array<bigint>")
+    def taken(first: pd.Series, last: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(first, last, strict=True):
+            got, free = [], None
+            for begin, end in zip(a.tolist(), b.tolist(), strict=True):
+                k = begin if free is None else max(begin, free)
+                if k <= end:
+                    got.extend(range(k, end + 1, least))
+                    free = got[-1] + least
+            out.append(got)
+        return pd.Series(out)
+
+    return ends.select(*by, F.explode(taken("first_", "last_")).alias(at))

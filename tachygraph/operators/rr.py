@@ -33,11 +33,17 @@ def sliced(rr: DataFrame, start: Column | int, end: Column | int, inclusive_end:
     return inside.withColumn("last_", last).filter(F.col("seq") < F.col("last_")).drop("last_")
 
 
-def slice_or_missing(spans: DataFrame, rr: DataFrame) -> DataFrame:
-    """Each span (record_id, start, end) with its intervals, or one null interval as long as the span."""
-    x, y = spans.alias("x"), rr.alias("y")
-    joined = x.join(y, F.expr("x.record_id = y.record_id and y.left_ms >= x.start and y.right_ms <= x.end"), "left")
-    return joined.select("x.record_id", "x.start", "x.end", F.coalesce("y.left_ms", "x.start").alias("left_ms"), F.coalesce("y.right_ms", "x.end").alias("right_ms"), "y.rr_ms")
+def slice_or_missing(spans: DataFrame, rr: DataFrame, width: int = 600_000) -> DataFrame:
+    """Each span (record_id, start, end) with its intervals, or one null interval as long as the span.
+
+    Intervals meet spans in buckets of ``width`` ms, by where they begin.
+    """
+    key = ["record_id", "start", "end"]
+    cover = spans.select(*key).distinct().withColumn("bucket_", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
+    own = rr.select("record_id", "left_ms", "right_ms", "rr_ms").withColumn("bucket_", F.floor(F.col("left_ms") / width))
+    inside = cover.join(own, ["record_id", "bucket_"]).filter((F.col("left_ms") >= F.col("start")) & (F.col("right_ms") <= F.col("end"))).drop("bucket_")
+    joined = spans.select(*key).join(inside, key, "left")
+    return joined.select(*key, F.coalesce("left_ms", "start").alias("left_ms"), F.coalesce("right_ms", "end").alias("right_ms"), "rr_ms")
 
 
 def split_in_two(rr: DataFrame, which: Column, left: Column | None = None) -> DataFrame:

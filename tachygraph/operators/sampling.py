@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from tachygraph.functions.scalars import check_windows
 
+#: Records whose counts one task adds up.
+RECORDS_BLOCK = 10_000
 EVENT_FILTERS: dict[str, Callable[[dict], Column]] = {}
 
 
@@ -38,10 +40,13 @@ def with_event_filters(rows: DataFrame, filters: dict[str, dict], column: str =
     return rows.withColumn(column, ok)
 
 
-def filter_table(rows: DataFrame, n_filters: int = 1) -> DataFrame:
-    """Rows with the default flags."""
+def filter_table(rows: DataFrame, n_filters: int = 1, quality: DataFrame | None = None) -> DataFrame:
+    """Rows with the default flags and ``quality``: from ``quality`` (record_id, row, quality), 0 where it has none, or 1 without it."""
     flags = {"without_nan": F.lit(True), "without_seizure": F.lit(True), "label_seizures": F.lit(False)} | {f"event_filter_{k}": F.lit(True) for k in range(n_filters)}
-    return rows.withColumns(flags)
+    if quality is None:
+        return rows.withColumns(flags).withColumn("quality", F.lit(1.0))
+    scores = quality.select("record_id", "row", F.col("quality").alias("q_"))
+    return rows.join(scores, ["record_id", "row"], "left").withColumns(flags).withColumn("quality", F.coalesce("q_", F.lit(0.0))).drop("q_")
 
 
 def prediction_rows(rows: DataFrame, quality: float, filter_id: int | None = None) -> DataFrame:
@@ -67,11 +72,16 @@ def seizure_samples(onsets: DataFrame, rows: DataFrame, windows: list[int], qual
 def regular_samples(rows: DataFrame, n: int, quality: float, seed: int = 42) -> DataFrame:
     """(record_id, row, window, seizure_id, label 0): up to ``n`` rows, shuffled by hash in each record, records in order.
 
-    Each record's count before it decides how many it still gives, so no global sort is needed.
+    Each record's count before it decides how many it still gives, so no global sort is needed: counts are summed by blocks of
+    RECORDS_BLOCK ids, then within each block.
     """
     good = rows.filter(F.col("without_seizure") & (F.col("quality") >= quality))
     sizes = good.groupBy("record_id").agg(F.count("*").alias("n_"))
-    before = F.coalesce(F.sum("n_").over(Window.orderBy("record_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("block_", F.floor(F.col("record_id") / RECORDS_BLOCK))
+    upto = lambda w: F.coalesce(F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sizes.groupBy("block_").agg(F.sum("n_").alias("n_")).select("block_", upto(Window.orderBy("block_")).alias("blocks_before_"))
+    sizes = sizes.join(F.broadcast(blocks.filter(F.col("blocks_before_") < n)), "block_")
+    before = F.col("blocks_before_") + upto(Window.partitionBy("block_").orderBy("record_id"))
     quota = sizes.select("record_id", F.greatest(F.least(F.lit(n) - before, F.col("n_")), F.lit(0)).alias("quota_")).filter("quota_ > 0")
     shuffled = F.row_number().over(Window.partitionBy("record_id").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "record_id", "row")), "row"))
     drawn = good.join(quota, "record_id").withColumn("k_", shuffled).filter(F.col("k_") <= F.col("quota_"))

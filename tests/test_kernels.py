@@ -37,6 +37,65 @@ def test_spectrum_finds_a_tone():
     assert all(np.isnan(v) for v in spectral.spectral_features(np.array([800.0, 800.0])).values())
 
 
+def plain_spectrum(rr):
+    """From the definitions: a dense system for the spline's pieces, and the transform's sums written out."""
+    x = np.cumsum(rr / 1000) - rr[0] / 1000
+    n = len(x)
+    a, b = np.zeros((4 * (n - 1), 4 * (n - 1))), np.zeros(4 * (n - 1))
+    powers = lambda t, d: [t**3, t**2, t, 1.0] if d == 0 else [3 * t**2, 2 * t, 1.0, 0.0] if d == 1 else [6 * t, 2.0, 0.0, 0.0]
+    r = 0
+    for k in range(n - 1):
+        for t, y in ((0.0, rr[k]), (x[k + 1] - x[k], rr[k + 1])):
+            a[r, 4 * k : 4 * k + 4], b[r] = powers(t, 0), y
+            r += 1
+    for k in range(n - 2):
+        for d in (1, 2):
+            a[r, 4 * k : 4 * k + 4] = powers(x[k + 1] - x[k], d)
+            a[r, 4 * k + 4 : 4 * k + 8] = [-v for v in powers(0.0, d)]
+            r += 1
+    for k in (0, n - 3):
+        a[r, 4 * k], a[r, 4 * k + 4] = 1.0, -1.0
+        r += 1
+    c = np.linalg.solve(a, b).reshape(n - 1, 4)
+    grid = np.arange(0, x[-1], 1 / 7.0)
+    y = np.array([np.polyval(c[(k := min(int(np.searchsorted(x, t, side="right")) - 1, n - 2))], t - x[k]) for t in grid])
+    y = np.round(y / 1000, 4)
+    y = (y - y.mean()) / y.std()
+    size = 2 ** int(np.ceil(np.log2(len(y))))
+    k = np.arange(size // 2 + 1)
+    spectrum = 2 * np.abs(np.exp(-2j * np.pi * np.outer(k, np.arange(len(y))) / size) @ y) / len(y)
+    out = {name: spectrum[(k * 7.0 / size >= lo) & (k * 7.0 / size <= hi)].sum() for name, (lo, hi) in spectral.BANDS.items()}
+    return out | {"total_power": sum(out.values()), "lf_hf_ratio": round(out["lf"] / out["hf"] * 100) / 100}
+
+
+def plain_fractal(x):
+    """Segment by segment, with numpy's polynomial fits."""
+    profile, rows, used = np.cumsum(x - x.mean()), [], []
+    for lag in sorted({int(v) for v in np.linspace(1, (len(x) - 1) / 4, 10)}):
+        if lag <= 2:
+            continue
+        n, t = len(profile) // lag, np.arange(lag)
+        parts = [profile[k * lag : (k + 1) * lag] for k in range(n)] + [profile[len(profile) - (k + 1) * lag : len(profile) - k * lag] for k in range(n)]
+        var = np.array([np.mean((p - np.polyval(np.polyfit(t, p, 1), t)) ** 2) for p in parts])
+        rows.append([np.mean(var ** (q / 2)) ** (1 / q) for q in np.linspace(-10, 10, 20)])
+        used.append(lag)
+    h = np.array([np.polyfit(np.log(used), np.log(f), 1)[0] for f in np.array(rows).T])[4:]
+    q = np.linspace(-10, 10, 20)[4:]
+    return [h.max(), *(np.polyfit(q[a:b], h[a:b], 1)[0] for a, b in ((0, 5), (5, 10), (10, 16)))]
+
+
+def test_shape_kernels_against_the_definitions():
+    rng = np.random.default_rng(6)
+    many = [600 + 400 * rng.random(n) for n in (60, 75, 60, 91, 44)] + [np.full(50, 800.0), np.array([800.0]), np.array([800.0, 900.0]), np.array([])]
+    s, f = spectral.spectral_batch(many), fractal.fractal_batch(many)
+    for k, x in enumerate(many[:5]):
+        want = plain_spectrum(x)
+        assert np.allclose(s[k], [want[n] for n in spectral._NAMES], rtol=1e-6)
+        assert np.allclose(f[k], plain_fractal(x), rtol=1e-6)
+        assert np.allclose(list(spectral.spectral_features(x).values()), s[k]) and np.allclose(list(fractal.fractal_features(x).values()), f[k])
+    assert np.isnan(s[6:]).all() and (f[5:] == 0).all()
+
+
 def test_fractal():
     rng = np.random.default_rng(1)
     noise = fractal.hurst_exponents(rng.normal(size=4000))
@@ -117,8 +176,10 @@ def test_quality_flag():
 
 def test_windows():
     assert check_windows([-18, 0]) == [-18, 0]
-    with pytest.raises(ValueError):
+    with pytest.raises(RuntimeError):
         check_windows([1])
+    with pytest.raises(RuntimeError):
+        check_windows([-19])
 
 
 def test_mat_round_trip():

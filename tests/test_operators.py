@@ -32,25 +32,18 @@ def fill(x, gap=2):
 
 
 def smooth(x, n=3):
-    x, k = list(x), 0
-    while k < len(x):
-        if x[k] != 1:
-            k += 1
+    """Each one in turn begins a tile unless it lies in the last one."""
+    x, free = list(x), -1
+    for k in [k for k, v in enumerate(x) if v == 1]:
+        if k < free:
+            continue
+        if k + n > len(x):
+            break
+        if -1 in x[k : k + n]:
             continue
-        while k < len(x) and x[k] == 1:
-            if k + n > len(x):
-                return x
-            tile = x[k : k + n]
-            if -1 in tile:
-                while k < len(x) and x[k] == 1:
-                    k += 1
-                break
-            if tile != [1] * n:
-                while k < len(x) and x[k] == 1:
-                    x[k] = 0
-                    k += 1
-                break
-            k += n
+        if x[k : k + n] != [1] * n:
+            x[k : k + n] = [0] * n
+        free = k + n
     return x
 
 
@@ -79,6 +72,72 @@ def test_detection_steps(spark):
     assert got == [blocks(smooth(fill(x))) for x in vectors]
 
 
+@pytest.mark.parametrize(("least", "gap"), [(1, 0), (2, 3), (4, 0), (4, 2), (5, 6)])
+def test_detection_steps_with_other_parameters(spark, least, gap):
+    rng = random.Random(31)
+    vectors = [[rng.choices([1, 0, -1], [6, 4, 1])[0] for _ in range(rng.randint(1, 60))] for _ in range(80)]
+    filled = detect.gaps_filled(rows_of(spark, vectors), gap)
+    assert back(filled, len(vectors)) == [fill(x, gap) for x in vectors]
+    smoothed = detect.smoothed(filled, least)
+    assert back(smoothed, len(vectors)) == [smooth(fill(x, gap), least) for x in vectors]
+    got = [[] for _ in vectors]
+    for r in detect.block_starts(smoothed, least, 7).orderBy("record_id", "start_row").collect():
+        got[r[0]].append(r[1])
+    assert got == [blocks(smooth(fill(x, gap), least), least, 7) for x in vectors]
+
+
+def test_shape_features_slide_over_chunks(spark):
+    """However records are cut, each window has the features of its own beats."""
+    import numpy as np
+
+    from tachygraph.functions.registry import FRACTAL, SPECTRAL
+
+    rng = random.Random(12)
+    rows, windows = [], {}
+    for record in (0, 1):
+        t, beats = 0, []
+        for k in range(rng.randint(700, 900)):
+            x = rng.randint(500, 1200)
+            beats.append((record, k, t, t + x, x))
+            t += x
+        rows += beats
+        for row in range(max((t // 1000 - 300) // 5, 1)):
+            windows[record, row] = np.array([b[4] for b in beats if b[2] >= row * 5000 and b[3] <= row * 5000 + 300_000], float)
+    df = spark.createDataFrame(rows, "record_id long, seq long, left_ms long, right_ms long, rr_ms long")
+    one = {(r["record_id"], r["row"]): list(r)[2:] for r in features.shape_features(df).collect()}
+    assert one.keys() == windows.keys()
+    from tachygraph.functions.fractal import fractal_features
+    from tachygraph.functions.spectral import spectral_features
+
+    for key in list(windows)[::7]:
+        want = spectral_features(windows[key]) | fractal_features(windows[key])
+        assert one[key] == pytest.approx([want[k] for k in (*SPECTRAL, *FRACTAL)], rel=1e-9)
+    two = {(r["record_id"], r["row"]): list(r)[2:] for r in features.shape_features(df, chunk_rows=70).collect()}
+    assert two.keys() == one.keys() and all(two[k] == pytest.approx(one[k]) for k in one)
+    assert features.shape_features(df.limit(0)).count() == 0
+
+
+def test_regular_samples_across_blocks(spark, monkeypatch):
+    from tachygraph.operators import sampling
+
+    rows = spark.createDataFrame([(r, k, 100, True) for r in range(9) for k in range(5)], "record_id long, row long, quality int, without_seizure boolean")
+    whole = sorted(map(tuple, sampling.regular_samples(rows, 23, 50).select("record_id", "row").collect()))
+    monkeypatch.setattr(sampling, "RECORDS_BLOCK", 2)
+    assert sorted(map(tuple, sampling.regular_samples(rows, 23, 50).select("record_id", "row").collect())) == whole
+    assert [sum(r == k for r, _ in whole) for k in range(9)] == [5, 5, 5, 5, 3, 0, 0, 0, 0]
+
+
+def test_slices_or_missing(spark):
+    beats = spark.createDataFrame([(0, k, k * 400_000, k * 400_000 + 400_000, 400_000) for k in range(9)], "record_id long, seq long, left_ms long, right_ms long, rr_ms long")
+    spans = [(0, 0, 400_000), (0, 100, 900_000), (0, 399_999, 2_000_000), (1, 5, 9), (0, 0, 400_000), (0, 3_600_000, 9_000_000)]
+    got = sorted(map(tuple, rr.slice_or_missing(spark.createDataFrame(spans, "record_id long, start long, end long"), beats).collect()), key=str)
+    want = []
+    for r, a, z in spans:
+        inside = [(k * 400_000, k * 400_000 + 400_000, 400_000) for k in range(9) if r == 0 and k * 400_000 >= a and k * 400_000 + 400_000 <= z]
+        want += [(r, a, z, *x) for x in inside or [(a, z, None)]]
+    assert got == sorted(want, key=str)
+
+
 def test_sessions(spark):
     df = spark.createDataFrame([("a", t) for t in (0, 5, 10, 16)] + [("b", t) for t in (0, 5, 1000)] + [("c", 3)], "k string, t int")
     got = sorted(tuple(r) for r in intervals.sessions(df, ["k"], "t").select("k", "start", "end").collect())
