@@ -7,8 +7,9 @@ on full shingle sets.
 
 Texts with equal shingle sets form a class, linked whole without a pair. Among classes, each table's bucket is linked in
 rounds: first every member with the bucket's least id, then, in buckets that still hold more than one component, every
-member with the one that shares most of those buckets, and at last all pairs whose components still differ. A group of
-thousands of near copies so costs a few comparisons for each member, and no link between components is lost.
+member with the one that shares most of those buckets, and at last all pairs whose components still differ, those within
+a bucket's largest component left out. A group of thousands of near copies so costs a few comparisons for each member, and no
+link between components is lost.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing; a row with null doc_id is linked with
 nothing, has a null component_id and is kept. Rows that share a doc_id count as one node, whatever their texts, and each get a
@@ -181,9 +182,14 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
             pairs = placed.join(leader, "key").filter("component <> lead_component").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
             pairs = pairs.join(side(classes, "a", False), "a").join(side(classes, "b", False), "b").filter(can_link("a_", "b_")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         else:
-            full = placed.select("key", F.col("id").alias("a"), "i", "j", "component").join(side(classes, "a", True), "a")
-            other = placed.select("key", F.col("id").alias("b"), F.col("component").alias("other")).join(side(classes, "b", True), "b")
-            pairs = full.join(other, "key").filter(f"a < b and component <> other and {first_table('a_', 'b_')} and {can_link('a_', 'b_')}").select("a", "b")
+            #: Members of a bucket's largest component meet only those of others, so that a large family with a few strangers stays linear.
+            sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+            largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("x")).select("key", F.col("x.component").alias("largest"))
+            known = placed.join(largest, "key").withColumn("strange", F.col("component") <> F.col("largest"))
+            full = known.filter("strange").select("key", F.col("id").alias("a"), "i", "j", "component").join(side(classes, "a", True), "a")
+            other = known.select("key", F.col("id").alias("b"), F.col("component").alias("other"), "strange").join(side(classes, "b", True), "b")
+            pairs = full.join(other, "key").filter(f"(a < b or not strange) and component <> other and {first_table('a_', 'b_')} and {can_link('a_', 'b_')}")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = table(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.union(pairs)
         links = table(links.union(confirm(pairs, docs)), "links")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +42,25 @@ def table(df: DataFrame, name: str) -> DataFrame:
 _written: list[str] = []
 
 
-def drop_tables(spark: SparkSession) -> int:
-    """Deletes all tables that this process has written so, once the results that read them are stored; gives their number."""
-    jvm, n = spark.sparkContext._jvm, len(_written)
+def drop_tables(spark: SparkSession, first: int = 0) -> int:
+    """Deletes the tables that this process has written so, from number ``first`` on, once the results that read them are stored; gives their number."""
+    jvm, gone = spark.sparkContext._jvm, _written[first:]
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written:
+    for path in gone:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
-    _written.clear()
-    return n
+    del _written[first:]
+    return len(gone)
+
+
+def stored(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()`` as a written table, without the tables that were written on the way to it."""
+    first = len(_written)
+    out = table(frame := make(), name)
+    path = _written.pop()
+    drop_tables(frame.sparkSession, first)
+    _written.append(path)
+    return out
 
 
 def is_small(df: DataFrame, rows: int | None = None) -> bool:

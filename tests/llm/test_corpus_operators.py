@@ -599,6 +599,23 @@ def test_keep_one_judges_rows(spark):
     assert sorted(map(tuple, keep_one(df).collect()), key=str) == sorted([x for x in rows if x[:2] != (5, one)], key=str)
 
 
+def test_large_family_with_strangers(spark):
+    """Members of a large family, a second family near its buckets, and strangers: the components are those of all pairs."""
+    rng = random.Random(29)
+    vocabulary = [f"w{k}" for k in range(500)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    rows = []
+    for k in range(150):
+        text = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 4, 5, 6])):
+            text[rng.randrange(len(text))] = rng.choice(vocabulary)
+        rows.append(" ".join(text))
+    for k in range(25):
+        rows.append(" ".join(base[: 60 + 2 * k] + [rng.choice(vocabulary) for _ in range(12)]))
+    rng.shuffle(rows)
+    check_near(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+
+
 def test_rows_that_share_an_id_are_one_node(spark):
     from tachygraph.llm.near_dedup import near_duplicates
 

@@ -66,6 +66,33 @@ def test_pipeline_stages(spark, docs):
     assert corpus_pipeline.run(spark, SF).count() == last.count()
 
 
+def test_pipeline_on_odd_rows(spark, docs, empty):
+    """Nulls, repeated rows, long and empty texts, and columns with the operators' own names pass all stages; an empty table stays empty."""
+    import corpus_pipeline
+    from tachygraph.llm.scratch import stored
+
+    for have in (docs, empty):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before, have = have, stored(lambda stage=stage, have=have: stage(spark, have, SF), name)
+            assert have.columns == docs.columns and have.count() <= before.count()
+            if name == "line_dedup":
+                assert have.count() == before.count()
+        got = corpus_pipeline.STAGES[-1][1](spark, have, SF)
+        assert got.select("doc_id").distinct().count() == have.select("doc_id").distinct().count()
+    #: Each stage on the odd rows themselves, as no quality rule would let them pass.
+    rows = docs.count()
+    by = dict(corpus_pipeline.STAGES)
+    lines = by["line_dedup"](spark, docs, SF)
+    assert lines.count() == rows and lines.filter("text is null").count() == docs.filter("text is null").count()
+    once = by["near_dedup"](spark, docs, SF).collect()
+    assert sum(r["doc_id"] == 900_010 for r in once) == 1 and {900_001, 900_002, 900_003} <= {r["doc_id"] for r in once}
+    assert sum(r["doc_id"] in (900_004, 900_005, 900_006) for r in once) == 1
+    clean = by["decontamination"](spark, docs, SF).collect()
+    assert sum(r["doc_id"] == 900_010 for r in clean) == 2 and {900_001, 900_002, None} <= {r["doc_id"] for r in clean}
+    parts = by["packing"](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in parts} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
 def test_tables_can_be_dropped(spark):
     from tachygraph.llm.scratch import drop_tables, table
 
