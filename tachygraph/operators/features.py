@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tachygraph.functions.fractal import fractal_batch
-from tachygraph.functions.registry import FRACTAL, SPECTRAL
+from tachygraph.functions.registry import FEATURES_30, FEATURES_60, FRACTAL, SPECTRAL
 from tachygraph.functions.spectral import spectral_batch
 
 STEP_MS = 5000
@@ -145,6 +145,22 @@ def feature_steps(features: DataFrame, steps: int = 55) -> DataFrame:
     return features.select("record_id", "row", F.collect_list(values).over(w).alias("steps")).withColumn("n_steps", F.size("steps")).filter(F.col("n_steps") == steps)
 
 
+def feature_tensor(rr: DataFrame, steps: int = 55) -> DataFrame:
+    """(record_id, row, x): for each 300-s window with all its ``steps`` 30-s rows, an array of steps, each the 38 features in their order.
+
+    A step has the features of its own 30-s and 60-s windows and those of the whole 300 s; what can't be had is 0.
+    """
+    short, middle = time_features(rr, 30), time_features(rr, 60)
+    zero = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+    one = short.select("record_id", "row", F.array(*[zero(c) for c in FEATURES_30]).alias("a"))
+    two = middle.select("record_id", "row", F.array(*[zero(c) for c in FEATURES_60]).alias("b"))
+    empty = F.array_repeat(F.lit(0.0), len(FEATURES_60))
+    rows = one.join(two, ["record_id", "row"], "left").select("record_id", "row", F.concat("a", F.coalesce("b", empty)).alias("f"))
+    whole = shape_features(rr, 300).select("record_id", "row", F.array(*[zero(c) for c in (*SPECTRAL, *FRACTAL)]).alias("c"))
+    stepped = feature_steps(rows, steps).join(whole, ["record_id", "row"])
+    return stepped.select("record_id", "row", F.transform("steps", lambda x: F.concat(x["f"], F.col("c"))).alias("x"))
+
+
 def add_clock(rows: DataFrame, start: str = "start_ts") -> DataFrame:
     """The time of each row: five seconds a row from the record's start."""
     return rows.withColumn("row_ts", F.timestamp_add("SECOND", (F.col("row") * 5).cast("int"), F.col(start)))

@@ -10,14 +10,16 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.pipeline import Pipeline, PipelineModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STEPS = 55
 #: The deepest trees that the forest can grow.
 MAX_DEPTH = 30
+#: Tensors that are handled at once.
+TENSOR_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -57,6 +59,9 @@ class Model(ABC):
     @abstractmethod
     def save(self, path: str) -> None: ...
 
+    @abstractmethod
+    def load_internals(self, path: str) -> Model: ...
+
 
 MODELS: dict[str, Callable[[ModelConfig], Model]] = {}
 
@@ -103,6 +108,10 @@ class _Spark(Model):
     def save(self, path: str) -> None:
         self.stages.write().overwrite().save(path)
 
+    def load_internals(self, path: str) -> Model:
+        self.stages = PipelineModel.load(path)
+        return self
+
 
 class RandomForest(_Spark):
     def _classifier(self):
@@ -118,8 +127,8 @@ class Logistic(_Spark):
 MODELS |= {"RandomForest": RandomForest, "Logistic": Logistic}
 
 
-def transformer_scores(x: np.ndarray, w: dict[str, np.ndarray], layers: int, heads: int) -> np.ndarray:
-    """Scores of (n, steps, features): projection and ReLU, encoder layers with the norm after each part, max over steps, a linear end."""
+def transformer_pooled(x: np.ndarray, w: dict[str, np.ndarray], layers: int, heads: int) -> np.ndarray:
+    """(n, steps, features) to (n, d): projection and ReLU, encoder layers with the norm after each part, max over steps."""
 
     def norm(y: np.ndarray, k: str) -> np.ndarray:
         return (y - y.mean(-1, keepdims=True)) / np.sqrt(y.var(-1, keepdims=True) + 1e-5) * w[f"{k}.g"] + w[f"{k}.b"]
@@ -134,7 +143,12 @@ def transformer_scores(x: np.ndarray, w: dict[str, np.ndarray], layers: int, hea
         mixed = (a / a.sum(-1, keepdims=True) @ v).transpose(0, 2, 1, 3).reshape(n, s, d)
         h = norm(h + mixed @ w[f"{k}.o.w"] + w[f"{k}.o.b"], f"{k}.n1")
         h = norm(h + np.maximum(h @ w[f"{k}.f1.w"] + w[f"{k}.f1.b"], 0) @ w[f"{k}.f2.w"] + w[f"{k}.f2.b"], f"{k}.n2")
-    return 1 / (1 + np.exp(-(h.max(axis=1) @ w["out.w"] + w["out.b"]).ravel()))
+    return h.max(axis=1)
+
+
+def transformer_scores(x: np.ndarray, w: dict[str, np.ndarray], layers: int, heads: int) -> np.ndarray:
+    """Scores of (n, steps, features): the pooled steps and a linear end."""
+    return 1 / (1 + np.exp(-(transformer_pooled(x, w, layers, heads) @ w["out.w"] + w["out.b"]).ravel()))
 
 
 def transformer_weights(features: int, d: int = 64, ff: int = 128, layers: int = 1, seed: int = 42) -> dict[str, np.ndarray]:
@@ -157,16 +171,55 @@ def transformer_weights(features: int, d: int = 64, ff: int = 128, layers: int =
     return w
 
 
-def transformer_predict(tensors: DataFrame, weights: dict[str, np.ndarray], layers: int = 1, heads: int = 1) -> DataFrame:
-    """(record_id, row, score) of rows with ``x``: array of steps, each an array of features; in Arrow batches."""
+def transformer_predict(tensors: DataFrame, weights: dict[str, np.ndarray], layers: int = 1, heads: int = 1, pooled: bool = False) -> DataFrame:
+    """(record_id, row, score) of rows with ``x``: array of steps, each an array of features; in Arrow batches. With ``pooled``, what the linear end is given instead."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            if len(pdf):
-                x = np.array([np.stack(list(r)) for r in pdf["x"]], float)
-                yield pd.DataFrame({"record_id": pdf["record_id"], "row": pdf["row"], "score": transformer_scores(np.nan_to_num(x), weights, layers, heads)})
+            for k in range(0, len(pdf), TENSOR_ROWS):
+                part = pdf.iloc[k : k + TENSOR_ROWS]
+                x = np.nan_to_num(np.array([np.stack(list(r)) for r in part["x"]], float))
+                got = list(transformer_pooled(x, weights, layers, heads)) if pooled else transformer_scores(x, weights, layers, heads)
+                yield pd.DataFrame({"record_id": part["record_id"], "row": part["row"], "got": got})
+
+    kind = "pooled array<double>" if pooled else "score double"
+    return tensors.select("record_id", "row", "x").mapInPandas(lambda frames: (f.rename(columns={"got": kind.split()[0]}) for f in run(frames)), f"record_id long, row long, {kind}")
+
+
+class Transformer(Model):
+    """The encoder on tensors ``x`` (``feature_tensor``). Its end, the linear layer on the pooled steps, is trained; the encoder's weights are drawn
+    by a seed or loaded. params: d_model, d_ff, n_layers, n_heads, random_state, reg."""
+
+    def __init__(self, config: ModelConfig):
+        super().__init__(config)
+        p = config.params
+        self.layers, self.heads = p.get("n_layers", 1), p.get("n_heads", 1)
+        self.weights = transformer_weights(config.input_shape[1], p.get("d_model", 64), p.get("d_ff", 128), self.layers, p.get("random_state", 42))
+
+    def fit(self, rows: DataFrame, features: list[str] | None = None) -> Model:
+        """``rows``: record_id, row, x, label."""
+        w0, w1 = self.config.class_weights
+        pooled = transformer_predict(rows, self.weights, self.layers, self.heads, pooled=True)
+        data = pooled.join(rows.select("record_id", "row", "label"), ["record_id", "row"]).withColumn("weight_", F.when(F.col("label") == 1, w1).otherwise(w0))
+        end = LogisticRegression(featuresCol="x_", labelCol="label", weightCol="weight_", regParam=self.config.params.get("reg", 0.01)).fit(data.withColumn("x_", array_to_vector("pooled")))
+        self.weights = self.weights | {"out.w": end.coefficients.toArray().reshape(-1, 1), "out.b": np.array([end.intercept])}
+        return self
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        return transformer_predict(rows, self.weights, self.layers, self.heads)
+
+    def save(self, path: str) -> None:
+        """One row for each array of weights."""
+        rows = [(k, list(v.shape), v.ravel().tolist()) for k, v in self.weights.items()]
+        SparkSession.active().createDataFrame(rows, "name string, shape array<int>, weights array<double>").write.mode("overwrite").parquet(path)
+
+    def load_internals(self, path: str) -> Model:
+        rows = SparkSession.active().read.parquet(path).collect()
+        self.weights = {r["name"]: np.array(r["weights"]).reshape(r["shape"]) for r in rows}
+        return self
+
 
-    return tensors.select("record_id", "row", "x").mapInPandas(run, "record_id long, row long, score double")
+MODELS["Transformer"] = Transformer
 
 
 def sigmoid(x: Column) -> Column:

@@ -55,6 +55,17 @@ gp as (select record_id, row, t, t - lag(t) over (partition by record_id, row or
 rules as (select record_id, row, count(*) as n, avg(case when gap is not null then 60000.0 / greatest(gap, 1e-6) end) as mean_rate, max(gap)::double as longest, min(gap)::double as shortest from gp group by record_id, row),
 q as (select *, case when n < 3 or mean_rate <= 40 or mean_rate >= 180 or longest > 3000 or longest / greatest(shortest, 1e-6) >= 2.2 then 0.0 else 100.0 end::double as quality from rules)"""
 
+_MATCH = """
+p2_ as (select record_id, u.row, t from (select record_id, right_ms + (event_id * 37) % 400 - 200 as t from rr where event_id % 17 <> 0), unnest(range(greatest(t // 5000 - 3, 0), t // 5000 + 2)) as u(row) where u.row * 5000 < t and t < u.row * 5000 + 10000),
+l1 as (select record_id, row, list(t order by t) as one from inp group by 1, 2), l2 as (select record_id, row, list(t order by t) as other from p2_ group by 1, 2),
+both_ as (select record_id, row, coalesce(one, []) as one, coalesce(other, []) as other from l1 full join l2 using (record_id, row)),
+mt as (with recursive g as (
+  select record_id, row, one, other, 0 as i, []::bigint[] as used from both_
+  union all
+  select record_id, row, one, other, i + 1, case when best is null then used else list_append(used, best) end from (
+    select *, list_sort(list_transform(list_filter(range(1, len(other) + 1), lambda k: not list_contains(used, k) and abs(other[k] - one[i + 1]) <= 150), lambda k: [abs(other[k] - one[i + 1]), k]))[1][2] as best from g where i < len(one)))
+  select record_id, row, len(one) as n1, len(other) as n2, len(used) as tp from g where i = len(one))"""
+
 _SCORE = """
 n_ as (select record_id, greatest((max(right_ms) // 1000 - 30) // 5, 1)::bigint as rows from rr group by record_id),
 sr as (select record_id, u.row, u.row % 29 <> 0 as valid, case when u.row % 13 = 0 then 0 when ((u.row // 5) * 2654435761 + record_id * 97) % 1000 >= 450 then 1 else 0 end as hit from n_, unnest(range(rows)) as u(row)),
@@ -150,6 +161,10 @@ ORACLES: dict[str, str] = {
     "median_filter": _with(_RR) + " select record_id, seq, m as med from (select record_id, seq, quantile_cont(rr_ms, 0.5) over (partition by record_id order by seq rows 6 preceding) as m from rr) where seq >= 6",
     "peak_segments": _with(_RR, _PEAKS) + " select record_id, row, count(*) as n, sum(t)::bigint as sum_ms from inp group by 1, 2",
     "quality_rules": _with(_DIRTY, _PEAKS, _RULES) + " select record_id, row, n, " + _r("mean_rate", "longest", "shortest", "quality") + " from q",
+    "bsqi_match": _with(_RR, _PEAKS, _MATCH) + " select record_id, row, n1, n2, tp from mt",
+    "quality_series": _with(_DIRTY, _PEAKS, _RULES, _MATCH) + """, e as (select record_id, max(right_ms) as z from rr group by 1)
+      select record_id, row, case when n1 < 3 or n2 < 3 or mean_rate <= 40 or mean_rate >= 180 or longest > 3000 or longest / greatest(shortest, 1e-6) >= 2.2 then 0.0 else round(100 * tp::double / (n1 + n2 - tp), 2) end::double as quality
+      from mt left join (select record_id, row, mean_rate, longest, shortest from rules) using (record_id, row) join e using (record_id) where row * 5000 < z - 10000""",
     "bsqi_score": """with e as (select event_id, event_id % 7 as tp, event_id % 7 + event_id % 3 as n1, event_id % 7 + event_id % 5 as n2 from events)
       select event_id, round(case when n1 = 0 or n2 = 0 then 0 else tp * 100.0::double / n1 end, 6) as simple, round(case when n1 = 0 or n2 = 0 then 0 else 2.0::double * tp / (n1 + n2) end, 6) as matching, round(case when n1 = 0 or n2 = 0 then 0 else tp::double / (n1 + n2 - tp) end, 6) as n_double from e""",
     "quality_300s": _with(_DIRTY, _PEAKS, _RULES) + """, m as (select record_id, row, avg(quality) over (partition by record_id order by row rows between current row and 59 following) as mean_, max(row) over (partition by record_id) + 1 as n_ from q)
@@ -218,6 +233,28 @@ ORACLES: dict[str, str] = {
     "match_detections": _with(_EVAL.format(tol=300000)) + " select record_id, onset_id, onset_ms, det_id, start_ms from pairs",
     "match_detections_wide": _with(_EVAL.format(tol=21600000)) + " select record_id, onset_id, det_id from pairs",
     "seizure_hit_flags": _with(_EVAL.format(tol=21600000)) + " select * from hits",
+    "detection_status": _with(_EVAL.format(tol=21600000)) + " select det_id, record_id, case when det_id % 13 = 5 then 'bad_quality' else result end as status from res",
+    "study_front": """with l as (select 1 / (1 + exp(-(value - 245) / 100)) as score, (event_type = 'error')::int as label from events),
+      t as (select k as trial, k / 20.0::double as threshold, 100 * (count(*) filter (score >= k / 20.0::double and label = 1))::double / count(*) filter (label = 1) as s, (count(*) filter (score >= k / 20.0::double and label = 0))::double / count(*) filter (label = 0) as f
+            from l, range(20) as r(k) group by k)
+      select trial::int as trial, threshold, round(s, 6) as Total_Sensitivity, round(f, 6) as Total_FAR from t where not exists (select 1 from t o where o.s >= t.s and o.f <= t.f and (o.s > t.s or o.f < t.f))""",
+    "detector_slices": _with(_RR) + """, b as (select record_id, right_ms as t_ms, 'first' as which from rr union all select record_id, right_ms + (event_id * 37) % 400 - 200, 'second' from rr where event_id % 17 <> 0),
+      e as (select record_id, (max(right_ms) - 50000) // 1000 as z from rr group by 1), s as (select record_id, u.s, row_number() over (partition by record_id order by md5('42:' || record_id || ':' || u.s), u.s) as k from e, unnest(range(z + 1)) as u(s))
+      select s.record_id, s * 1000 as start, which, t_ms from s join b on b.record_id = s.record_id and t_ms > s * 1000 and t_ms < s * 1000 + 50000 where k <= 10""",
+    "comparison_points": _with(_DIRTY) + """, p as (select record_id, right_ms / 1000.0::double as t, 'original' as which from rr union all select record_id, right_ms / 1000.0::double, 'corrected' from rr where rr_ms >= 400),
+      m as (select record_id, which, t, lead(t) over (partition by record_id, which order by t) as u from p) select record_id, which, round((t + u) / 2, 6) as mid, round(u - t, 6) as rr from m where u is not null""",
+    "segment_points": _with(_DIRTY) + """, p as (select record_id, right_ms / 1000.0::double as t, 'original' as which from rr union all select record_id, right_ms / 1000.0::double, 'corrected' from rr where rr_ms >= 400),
+      mm as (select record_id, which, t, lead(t) over (partition by record_id, which order by t) as u from p), c0 as (select record_id, which, (t + u) / 2 as mid, u - t as r from mm where u is not null),
+      b as (select record_id, left_ms / 1000.0 as t from rr where rr_ms > 2500), c as (select *, count(*) over (partition by record_id) as n from b),
+      s as (select *, sum(f) over (partition by record_id order by t) as g from (select *, case when t - lag(t) over (partition by record_id order by t) <= 5 then 0 else 1 end as f from c where n >= 2)),
+      sp as (select record_id, min(t) - 60 as a, max(t) + 300 as z from s group by record_id, g), m as (select *, max(z) over (partition by record_id order by a, z rows between unbounded preceding and 1 preceding) as r from sp),
+      x as (select *, sum(case when a <= r then 0 else 1 end) over (partition by record_id order by a, z) as k from m), y as (select record_id, k, min(a) as a, max(z) as z from x group by record_id, k),
+      i as (select *, row_number() over (partition by record_id order by a) - 1 as segment_id from y)
+      select i.record_id, segment_id, which, round(mid, 6) as mid, round(r, 6) as rr from i join c0 on c0.record_id = i.record_id and mid > a and mid < z""",
+    "filter_table": _with(_DIRTY, _PEAKS, _RULES) + """, m as (select record_id, row, avg(quality) over (partition by record_id order by row rows between current row and 59 following) as mean_, max(row) over (partition by record_id) + 1 as n_ from q),
+      q3 as (select q.record_id, q.row, coalesce(m.mean_, 0) as quality from q left join (select record_id, row + 1 as row, mean_ from m where row <= n_ - 61) m using (record_id, row)),
+      n3 as (select record_id, greatest((max(right_ms) // 1000 - 300) // 5, 1)::bigint as rows from rr group by record_id), w3 as (select record_id, u.row from n3, unnest(range(rows)) as u(row))
+      select record_id, row, true as without_nan, true as without_seizure, false as label_seizures, true as event_filter_0, true as event_filter_1, round(coalesce(quality, 0), 6) as quality from w3 left join q3 using (record_id, row)""",
     "detection_results": _with(_EVAL.format(tol=21600000)) + " select * from res",
     "record_eval": _with(_EVAL.format(tol=21600000), _RECORDS) + " select record_id, patient_id, record_duration_s, deficiency_s, n_det_fp, n_det_tp from rec",
     "patient_metrics": _with(_EVAL.format(tol=21600000), _RECORDS, _PATIENTS) + " select patient_id, n_tp, n_fn, n_fp, " + _r("days", "ppv", "sensitivity", "f1", "far") + " from pm",

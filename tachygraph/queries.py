@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tachygraph.functions import point_process, scalars
 from tachygraph.functions.registry import FEATURES_30, FEATURES_60
 from tachygraph.operators import correction, detect, evaluate, features, intervals, models, quality, records, rr, sampling
+from tachygraph.operators.peaks import auto_label
 from tachygraph.plans.evaluation import evaluate as evaluate_plan
-from tachygraph.plans.study import pareto
+from tachygraph.plans.study import pareto, run_study
 from tachygraph.sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +176,13 @@ def feature_steps(spark, sf_dir):
     return _rounded(features.feature_steps(f).select("record_id", "row", "n_steps", F.try_divide(F.aggregate("steps", F.lit(0.0), lambda a, x: a + x["avg"]), F.col("n_steps")).alias("mean_avg")))
 
 
+@query
+def feature_tensor(spark, sf_dir):
+    x = features.feature_tensor(fixtures.rr(spark, sf_dir))
+    step = F.aggregate("x", F.lit(0.0), lambda a, s: a + s[0])
+    return _rounded(x.select("record_id", "row", F.size("x").alias("n_steps"), F.size(F.col("x")[0]).alias("n_features"), (step / F.size("x")).alias("mean_avg"), F.col("x")[0][12].alias("first_variance"), F.col("x")[0][16].alias("first_sd1"), F.col("x")[0][33].alias("total_power")))
+
+
 @query
 def row_clock(spark, sf_dir):
     e = fixtures.table(spark, sf_dir, "events").select("event_id", "ts")
@@ -252,6 +260,22 @@ def deficiency(spark, sf_dir):
     return quality.deficiency(_rule_quality(spark, sf_dir), 75)
 
 
+# signals
+
+
+@query
+def auto_labelled(spark, sf_dir):
+    return auto_label(fixtures.signal(fixtures.rr(spark, sf_dir)), "engzee")
+
+
+@query
+def detector_slices(spark, sf_dir):
+    from tachygraph.sources.recordings import detector_slices as slices
+
+    beats = fixtures.rr(spark, sf_dir)
+    return slices(_peaks(beats).select("record_id", "t_ms"), fixtures.second_detector(beats))
+
+
 # correction
 
 
@@ -310,6 +334,26 @@ def corrected_recording(spark, sf_dir):
     return correction.correct_recording(*_suspicious(spark, sf_dir)).select("record_id", "seq", F.round("t_s", 6).alias("t_s"))
 
 
+def _thinned(spark, sf_dir):
+    """Beats, and the same with the short intervals' ends left out, in place of a correction."""
+    beats = fixtures.rr_dirty(spark, sf_dir)
+    return [x.select("record_id", (F.col("right_ms") / 1000).alias("t_s")) for x in (beats, beats.filter("rr_ms >= 400"))]
+
+
+@query
+def comparison_points(spark, sf_dir):
+    from tachygraph.sources.recordings import comparison_points as points
+
+    return _rounded(points(*_thinned(spark, sf_dir)))
+
+
+@query
+def segment_points(spark, sf_dir):
+    from tachygraph.sources.recordings import segment_points as points
+
+    return _rounded(points(*_thinned(spark, sf_dir), correction.time_pairs(_bad_times(fixtures.rr_dirty(spark, sf_dir)))))
+
+
 @query
 def ig_log_density(spark, sf_dir):
     e = fixtures.rr(spark, sf_dir)
@@ -360,6 +404,12 @@ def prediction_rows(spark, sf_dir):
     return _rounded(sampling.prediction_rows(_table(spark, sf_dir), 75).select("record_id", "row", "avg"))
 
 
+@query
+def filter_table(spark, sf_dir):
+    rows = features.window_counts(fixtures.rr_dirty(spark, sf_dir), 300).select("record_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"))
+    return _rounded(sampling.filter_table(rows, 2, quality_300s(spark, sf_dir)))
+
+
 @query
 def event_filter(spark, sf_dir):
     f = features.time_features(fixtures.rr(spark, sf_dir), 30).select("record_id", "row", "avg")
@@ -422,7 +472,8 @@ def rf_scores(spark, sf_dir):
 def transformer_scores(spark, sf_dir):
     f = features.time_features(fixtures.rr(spark, sf_dir), 30).select("record_id", "row", "avg", "sd", "rmssd")
     x = features.feature_steps(f).withColumn("x", F.transform("steps", lambda s: F.array(s["avg"] / 1000, s["sd"] / 1000, s["rmssd"] / 1000)))
-    return models.transformer_predict(x, models.transformer_weights(3, 16, 32), 1, 2)
+    model = models.create(models.ModelConfig(0, "Transformer", input_shape=(models.STEPS, 3), params={"d_model": 16, "d_ff": 32, "n_heads": 2}))
+    return model.fit(x.withColumn("label", (F.col("row") % 5 == 0).cast("double"))).predict(x)
 
 
 def _logits(spark, sf_dir):
@@ -451,6 +502,19 @@ def pareto_trials(spark, sf_dir):
     return pareto(trials)
 
 
+@query
+def study_front(spark, sf_dir):
+    """Twenty thresholds, and those that no other one beats."""
+    rows = _logits(spark, sf_dir).select(models.sigmoid(F.col("logit")).alias("score"), "label")
+
+    def objective(params: dict) -> tuple[float, float]:
+        over = F.col("score") >= params["threshold"]
+        return tuple(rows.agg(100 * F.try_divide(F.count_if(over & (F.col("label") == 1)), F.count_if("label = 1")), F.try_divide(F.count_if(over & (F.col("label") == 0)), F.count_if("label = 0"))).first())
+
+    trials = run_study(spark, objective, [{"threshold": k / 20} for k in range(20)])
+    return _rounded(pareto(trials).select("trial", F.col("params")["threshold"].cast("double").alias("threshold"), "Total_Sensitivity", "Total_FAR"))
+
+
 # detection and evaluation
 
 
@@ -544,6 +608,12 @@ def detection_results(spark, sf_dir):
     return evaluate.flagged_detections(found, pairs, "det_id").select("det_id", "record_id", "result")
 
 
+@query
+def detection_status(spark, sf_dir):
+    found = detection_results(spark, sf_dir)
+    return detect.with_status(found, F.when(F.col("det_id") % 13 == 5, "bad_quality").otherwise(F.col("result"))).select("det_id", "record_id", "status")
+
+
 def _metrics(spark, sf_dir):
     onsets, found, pairs = _pairs(spark, sf_dir, 21_600_000)
     found = evaluate.flagged_detections(found, pairs, "det_id")

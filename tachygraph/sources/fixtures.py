@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,3 +51,20 @@ def scored_rows(beats: DataFrame) -> DataFrame:
     rows = window_counts(beats, 30).select("record_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"))
     hit = (F.floor(F.col("row") / 5) * 2654435761 + F.col("record_id") * 97) % 1000 >= 450
     return rows.select("record_id", "row", (F.col("row") % 29 != 0).alias("valid"), F.when(F.col("row") % 13 == 0, 0).otherwise(hit.cast("int")).alias("hit"))
+
+
+def signal(beats: DataFrame, freq: int = 128, seconds: int = 60) -> DataFrame:
+    """(record_id, freq, chunk, start_sample, raw): signals with a narrow wave at each beat, in chunks that share no beat's wave."""
+    length = seconds * 1000
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        record, chunk = key
+        t = np.arange(seconds * freq) / freq + chunk * seconds
+        raw = np.zeros(len(t))
+        for at in pdf["right_ms"].to_numpy() / 1000:
+            a, b = np.searchsorted(t, (at - 0.1, at + 0.1))
+            raw[a:b] += np.exp(-((t[a:b] - at) ** 2) / (2 * 0.015**2))
+        return pd.DataFrame({"record_id": [record], "freq": [freq], "chunk": [chunk], "start_sample": [chunk * seconds * freq], "raw": [raw]})
+
+    rows = beats.select("record_id", F.floor(F.col("right_ms") / length).cast("int").alias("chunk"), "right_ms")
+    return rows.groupBy("record_id", "chunk").applyInPandas(run, "record_id long, freq int, chunk int, start_sample long, raw array<double>")

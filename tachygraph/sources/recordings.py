@@ -7,7 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tachygraph.operators.intervals import contained
 from tachygraph.sources import matfile
 
 MAT_COLUMNS = "record_id string, freq int, start_sample long, r_peaks array<long>, ts array<double>, raw array<double>, error string"
@@ -36,11 +38,34 @@ def read_mat(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, MAT_COLUMNS)
 
 
+def read_mat_chunks(spark: SparkSession, path: str, seconds: int = 600) -> DataFrame:
+    """(record_id, freq, chunk, start_sample, raw): the signals under ``path`` in chunks, cut as each file is read; unreadable files have none."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mat").option("recursiveFileLookup", "true").load(path)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for name, blob in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    got = matfile.loads(blob)
+                    raw, freq = got["raw_data"].ravel(), int(got["frequency"].ravel()[0])
+                except Exception:
+                    continue
+                n = seconds * freq
+                for k in range(0, len(raw), n):
+                    yield pd.DataFrame({"record_id": [name.rsplit("/", 1)[-1].removesuffix(".mat")], "freq": [freq], "chunk": [k // n], "start_sample": [k], "raw": [raw[k : k + n]]})
+
+    return files.select("path", "content").mapInPandas(run, "record_id string, freq int, chunk int, start_sample long, raw array<double>")
+
+
 def chunk_signal(recordings: DataFrame, samples: int | None = None) -> DataFrame:
-    """(record_id, freq, chunk, start_sample, raw): signals in chunks of ``samples``; None leaves each as one chunk."""
+    """(record_id, freq, chunk, start_sample, raw): signals in chunks of ``samples``; None leaves each as one chunk.
+
+    A row's signal is cut before its chunks become rows, so it is not repeated.
+    """
     n = F.size("raw") if samples is None else F.lit(samples)
-    rows = recordings.select("record_id", "freq", "raw", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("raw") / n).cast("int") - 1, F.lit(0)))).alias("chunk"))
-    return rows.select("record_id", "freq", "chunk", (F.col("chunk") * n).cast("long").alias("start_sample"), F.slice("raw", (F.col("chunk") * n).cast("int") + 1, n.cast("int")).alias("raw"))
+    numbers = F.sequence(F.lit(0), F.greatest(F.ceil(F.size("raw") / n).cast("int") - 1, F.lit(0)))
+    cut = F.transform(numbers, lambda k: F.struct(k.alias("chunk"), (k * n).cast("long").alias("start_sample"), F.slice("raw", (k * n).cast("int") + 1, n.cast("int")).alias("raw")))
+    return recordings.select("record_id", "freq", F.explode(cut).alias("x")).select("record_id", "freq", "x.*")
 
 
 def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -67,6 +92,41 @@ def corrected_peaks(peaks: DataFrame, freq: int) -> DataFrame:
     return peaks.withColumn("sample", (F.col("t_s") * freq).cast("long"))
 
 
+def write_corrected(recordings: DataFrame, peaks: DataFrame, path: str) -> None:
+    """Recordings (record_id, freq, r_peaks, ...) stored again with the corrected beats ``peaks`` (record_id, t_s); those without keep theirs."""
+    fixed = peaks.join(recordings.select("record_id", "freq"), "record_id")
+    fixed = fixed.groupBy("record_id").agg(F.array_sort(F.collect_list((F.col("t_s") * F.col("freq")).cast("long"))).alias("fixed_"))
+    write_records(recordings.join(fixed, "record_id", "left").withColumn("r_peaks", F.coalesce("fixed_", "r_peaks")).drop("fixed_"), path)
+
+
+def midpoints(peaks: DataFrame, at: str = "t_s") -> DataFrame:
+    """(record_id, mid, rr): the intervals of beats at their midpoints, in the beats' unit."""
+    following = F.lead(at).over(Window.partitionBy("record_id").orderBy(at))
+    rows = peaks.select("record_id", ((F.col(at) + following) / 2).alias("mid"), (following - F.col(at)).alias("rr"))
+    return rows.filter("rr is not null")
+
+
+def comparison_points(before: DataFrame, after: DataFrame, at: str = "t_s") -> DataFrame:
+    """(record_id, which, mid, rr): the intervals before and after a correction, for one plot."""
+    return midpoints(before, at).withColumn("which", F.lit("original")).unionByName(midpoints(after, at).withColumn("which", F.lit("corrected")))
+
+
+def segment_points(before: DataFrame, after: DataFrame, spans: DataFrame, at: str = "t_s", width: int = 600) -> DataFrame:
+    """``comparison_points`` within each span (record_id, segment_id, start, end)."""
+    return contained(comparison_points(before, after, at), spans, ["record_id"], "mid", width).select("record_id", "segment_id", "which", "mid", "rr")
+
+
+def detector_slices(first: DataFrame, second: DataFrame, at: str = "t_ms", slices: int = 10, length: int = 50_000, seed: int = 42) -> DataFrame:
+    """(record_id, start, which, at): the beats of two detectors in ``slices`` stretches of each record, drawn by hash among its multiples of a second."""
+    ends = first.groupBy("record_id").agg(F.floor((F.max(at) - length) / 1000).alias("last_")).filter("last_ >= 0")
+    starts = ends.select("record_id", F.explode(F.sequence(F.lit(0).cast("long"), "last_")).alias("s_"))
+    order = Window.partitionBy("record_id").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "record_id", "s_")), "s_")
+    chosen = starts.withColumn("k_", F.row_number().over(order)).filter(F.col("k_") <= slices)
+    spans = chosen.select("record_id", (F.col("s_") * 1000).alias("start"), (F.col("s_") * 1000 + length).alias("end"))
+    both = first.select("record_id", at, F.lit("first").alias("which")).unionByName(second.select("record_id", at, F.lit("second").alias("which")))
+    return contained(both, spans, ["record_id"], at, length).select("record_id", "start", "which", at)
+
+
 def plot_points(rr: DataFrame, most: int = 10_000) -> DataFrame:
     """(record_id, mid_ms, rr_ms): intervals at their midpoints; records of more than ``most`` intervals are left out."""
     sizes = rr.groupBy("record_id").agg(F.count("*").alias("n")).filter(F.col("n") <= most).select("record_id")

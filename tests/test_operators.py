@@ -200,6 +200,56 @@ def test_models(spark):
         quality.agreement(F.lit(1), F.lit(1), F.lit(1), "other")
 
 
+def test_models_are_stored_and_loaded(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(0, k, [[rng.gauss(k % 2 * 2, 1) for _ in range(3)] for _ in range(4)], float(k % 2)) for k in range(60)]
+    df = spark.createDataFrame(rows, "record_id long, row long, x array<array<double>>, label double")
+    config = models.ModelConfig(0, "Transformer", input_shape=(4, 3), params={"d_model": 8, "d_ff": 16, "n_heads": 2})
+    model = models.create(config).fit(df)
+    scores = {r["row"]: r["score"] for r in model.predict(df).collect()}
+    assert sum(scores[k] for k in range(1, 60, 2)) / 30 > sum(scores[k] for k in range(0, 60, 2)) / 30 + 0.3
+    model.save(str(tmp_path / "t"))
+    again = models.create(config).load_internals(str(tmp_path / "t"))
+    assert {r["row"]: r["score"] for r in again.predict(df).collect()} == pytest.approx(scores)
+    flat = df.selectExpr("record_id", "row", "x[0][0] as a", "x[1][0] as b", "label")
+    forest = models.create(models.ModelConfig(0, "RandomForest", params={"n_estimators": 5})).fit(flat, ["a", "b"])
+    forest.save(str(tmp_path / "f"))
+    loaded = models.create(models.ModelConfig(0, "RandomForest")).load_internals(str(tmp_path / "f"))
+    key = lambda m: sorted((r["row"], round(r["score"], 9)) for r in m.predict(flat).select("row", "score").collect())
+    assert key(loaded) == key(forest)
+
+
+def test_corrected_beats_are_written_back(spark, tmp_path):
+    from tachygraph.sources import matfile, recordings
+
+    (tmp_path / "a.mat").write_bytes(matfile.dumps({"raw_data": list(range(300)), "frequency": [100], "r_peaks": [5, 250]}))
+    (tmp_path / "b.mat").write_bytes(matfile.dumps({"raw_data": list(range(150)), "frequency": [100], "r_peaks": [7]}))
+    recs = recordings.read_mat(spark, str(tmp_path))
+    recordings.write_corrected(recs.drop("error"), spark.createDataFrame([("a", 2.0), ("a", 0.5), ("x", 1.0)], "record_id string, t_s double"), str(tmp_path / "out"))
+    assert {r["record_id"]: r["r_peaks"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"a": [50, 200], "b": [7]}
+    chunks = {(r["record_id"], r["chunk"]): (r["start_sample"], r["raw"]) for r in recordings.read_mat_chunks(spark, str(tmp_path), 1).collect()}
+    assert len(chunks) == 5 and chunks["b", 1] == (100, [float(x) for x in range(100, 150)])
+    again = recordings.chunk_signal(recs, 100).collect()
+    assert {(r["record_id"], r["chunk"]): (r["start_sample"], r["raw"]) for r in again} == chunks
+
+
+def test_labelled_beats_and_tensor(spark):
+    from tachygraph.queries import QUERIES
+    from tachygraph.sources import fixtures
+
+    sf = "/root/testdata/sf0.001"
+    beats = fixtures.rr(spark, sf)
+    want = {(r["record_id"], r["right_ms"]) for r in beats.collect()}
+    got = [(r["record_id"], r["sample"] / 128 * 1000) for r in QUERIES["auto_labelled"](spark, sf).collect()]
+    near = [min(abs(t - w) for r, w in want if r == record) for record, t in got]
+    assert len(want) * 0.9 <= len(got) <= len(want) * 1.1 and sum(x < 40 for x in near) >= 0.9 * len(near)
+    rows = QUERIES["feature_tensor"](spark, "/root/testdata/sf0.01").collect()
+    assert rows and all((r["n_steps"], r["n_features"]) == (55, 38) for r in rows)
+    step = {(r["record_id"], r["row"]): r for r in QUERIES["feature_steps"](spark, "/root/testdata/sf0.01").collect()}
+    first = {(r["record_id"], r["row"]): r for r in features.time_features(fixtures.rr(spark, "/root/testdata/sf0.01"), 60).collect()}
+    assert all(r["mean_avg"] == pytest.approx(step[r["record_id"], r["row"]]["mean_avg"], abs=1e-5) and r["first_sd1"] == pytest.approx(first[r["record_id"], r["row"]]["sd1"], abs=1e-5) for r in rows)
+
+
 def test_bad_status_fails(spark):
     df = spark.createDataFrame([(1, "maybe")], "id int, s string")
     with pytest.raises(Exception, match="unknown status"):
