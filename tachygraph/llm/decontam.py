@@ -29,6 +29,8 @@ WINDOW = 13
 #: Words by which a proximity match may be displaced, and the hundredths of a window's distinct words that it must have.
 SLOP = 3
 NEAR_PERCENT = 80
+#: Words in a block of places.
+BLOCK = 256
 #: Windows up to which their words are broadcast.
 WINDOW_ROWS = 100_000
 #: A document is contaminated if this many hundredths of its words, one at least, are hit.
@@ -79,14 +81,14 @@ def probes(wins: DataFrame, counts: DataFrame) -> DataFrame:
 def candidates(postings: DataFrame, rare: DataFrame, slop: int = SLOP) -> DataFrame:
     """(tid, wid, begin, exact): where a window's two probe terms stand in ``slop`` words more or less of their distance, and whether in just that.
 
-    Positions are dealt into blocks of ``slop`` + 1 and each second term is looked for in its block and the two beside it. A window
-    of one term is found by that.
+    Places are dealt into blocks of BLOCK words, the first term's also into the next block where it is near an edge. A window of one
+    term is found by that.
     """
     lists = rare.groupBy("wid").agg(F.max("rank").alias("lists"))
     near = postings.join(small(rare.join(lists, "wid")), "term").select("tid", "wid", "rank", "lists", (F.col("pos") - F.col("offset")).alias("begin"))
-    block = F.floor(F.col("begin") / (slop + 1))
+    block = lambda x: F.floor(x / BLOCK)
     #: One shuffle, on the window and the block; a block holds a few places of one text.
-    blocks = F.when(F.col("rank") == 1, F.array(block - 1, block, block + 1)).otherwise(F.array(block))
+    blocks = F.when(F.col("rank") == 1, F.array_distinct(F.array(block(F.col("begin") - slop), block(F.col("begin") + slop)))).otherwise(F.array(block(F.col("begin"))))
     alone = near.filter("lists = 1").select("tid", "wid", "begin", F.lit(True).alias("exact"))
     two = near.filter("lists = 2").select("tid", "wid", "rank", "begin", F.explode(blocks).alias("block"))
     ends = two.groupBy("tid", "wid", "block").agg(F.collect_list(F.when(F.col("rank") == 1, F.col("begin"))).alias("one"), F.array_sort(F.collect_list(F.when(F.col("rank") == 2, F.col("begin")))).alias("other"))
