@@ -200,6 +200,22 @@ def test_models(spark):
         quality.agreement(F.lit(1), F.lit(1), F.lit(1), "other")
 
 
+def test_robust_parameters_are_exact(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    columns = {"a": rng.normal(size=501), "b": np.round(rng.exponential(size=501) * 3), "c": np.full(501, 7.0), "d": np.concatenate([np.zeros(500), [1e9]]), "e": rng.normal(size=501)}
+    rows = [tuple(float(columns[c][k]) if (c, k) != ("e", 3) else None for c in columns) for k in range(501)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(5)
+    for bins in (3, 4096):
+        got = {r["feature"]: (r["centre"], r["scale"]) for r in models.robust_parameters(df, list(columns), bins).collect()}
+        for c, x in columns.items():
+            x = np.delete(x, 3) if c == "e" else x
+            q = np.percentile(x, [25, 50, 75])
+            assert got[c] == pytest.approx((q[1], q[2] - q[0] or 1.0))
+    assert models.robust_parameters(df.limit(0), ["a"]).count() == 0
+
+
 def test_models_are_stored_and_loaded(spark, tmp_path):
     rng = random.Random(4)
     rows = [(0, k, [[rng.gauss(k % 2 * 2, 1) for _ in range(3)] for _ in range(4)], float(k % 2)) for k in range(60)]
