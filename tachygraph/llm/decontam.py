@@ -134,8 +134,13 @@ def confirmed(docs: DataFrame, found: DataFrame, slop: int = SLOP) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW, percent: int = MIN_HIT_PERCENT, slop: int = SLOP) -> DataFrame:
     """All columns of ``docs`` in a struct ``doc``, with n_words, n_hit, n_items, items_sha256, contaminated and n_near (items with a proximity match)."""
     hits = table(confirmed(docs, table(phrase_candidates(docs, items, width, slop), "candidates"), slop), "hits")
-    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("doc_tid"), F.sha2("text", 256).alias("doc_sha"))
-    joined = rows.join(small(hits), (F.col("doc_tid") == F.col("tid")) & (F.col("doc_sha") == F.col("sha")), "left")
+    #: The few texts of a hash as one row, so that only rows that meet one are told apart.
+    by_hash = table(hits.groupBy("tid").agg(F.collect_list(F.struct(*[c for c in hits.columns if c != "tid"])).alias("texts")), "hits_by_hash")
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("doc_tid"))
+    joined = rows.join(small(by_hash), F.col("doc_tid") == F.col("tid"), "left")
+    sha = F.sha2(F.col("doc.text"), 256)
+    own = F.when(F.col("texts").isNotNull(), F.try_element_at(F.filter("texts", lambda x: x["sha"] == sha), F.lit(1)))
+    joined = joined.withColumn("own", own).select("doc", "own.*")
     text = F.col("doc.text")
     n_words = F.when(text.isNull(), F.lit(0).cast("long")).otherwise(count_pieces(text, ANY_CASE_INDEX_GAP))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
