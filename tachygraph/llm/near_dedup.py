@@ -185,7 +185,7 @@ def class_links(classes: DataFrame, docs: DataFrame) -> DataFrame:
             #: Members of a bucket's largest component meet only those of others, so that a large family with a few strangers stays linear.
             sizes = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
             largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("x")).select("key", F.col("x.component").alias("largest"))
-            known = placed.join(largest, "key").withColumn("strange", F.col("component") <> F.col("largest"))
+            known = placed.join(largest, "key").withColumn("strange", F.col("component") != F.col("largest"))
             full = known.filter("strange").select("key", F.col("id").alias("a"), "i", "j", "component").join(side(classes, "a", True), "a")
             other = known.select("key", F.col("id").alias("b"), F.col("component").alias("other"), "strange").join(side(classes, "b", True), "b")
             pairs = full.join(other, "key").filter(f"(a < b or not strange) and component <> other and {first_table('a_', 'b_')} and {can_link('a_', 'b_')}")
