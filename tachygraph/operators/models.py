@@ -217,7 +217,9 @@ class Transformer(Model):
         self.weights = transformer_weights(config.input_shape[1], p.get("d_model", 64), p.get("d_ff", 128), self.layers, p.get("random_state", 42))
 
     def fit(self, rows: DataFrame, features: list[str] | None = None) -> Model:
-        """``rows``: record_id, row, x, label."""
+        """``rows``: record_id, row, x, label. Without rows the weights stay as they are."""
+        if rows.isEmpty():
+            return self
         w0, w1 = self.config.class_weights
         pooled = transformer_predict(rows, self.weights, self.layers, self.heads, pooled=True)
         data = pooled.join(rows.select("record_id", "row", "label"), ["record_id", "row"]).withColumn("weight_", F.when(F.col("label") == 1, w1).otherwise(w0))

@@ -509,7 +509,7 @@ def study_front(spark, sf_dir):
 
     def objective(params: dict) -> tuple[float, float]:
         over = F.col("score") >= params["threshold"]
-        return tuple(rows.agg(100 * F.try_divide(F.count_if(over & (F.col("label") == 1)), F.count_if("label = 1")), F.try_divide(F.count_if(over & (F.col("label") == 0)), F.count_if("label = 0"))).first())
+        return tuple(rows.agg(100 * F.try_divide(F.count_if(over & (F.col("label") == 1)), F.count_if(F.col("label") == 1)), F.try_divide(F.count_if(over & (F.col("label") == 0)), F.count_if(F.col("label") == 0))).first())
 
     trials = run_study(spark, objective, [{"threshold": k / 20} for k in range(20)])
     return _rounded(pareto(trials).select("trial", F.col("params")["threshold"].cast("double").alias("threshold"), "Total_Sensitivity", "Total_FAR"))
