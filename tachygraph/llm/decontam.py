@@ -91,7 +91,9 @@ def candidates(postings: DataFrame, rare: DataFrame, slop: int = SLOP) -> DataFr
     blocks = F.when(F.col("rank") == 1, F.array_distinct(F.array(block(F.col("begin") - slop), block(F.col("begin") + slop)))).otherwise(F.array(block(F.col("begin"))))
     alone = near.filter("lists = 1").select("tid", "wid", "begin", F.lit(True).alias("exact"))
     two = near.filter("lists = 2").select("tid", "wid", "rank", "begin", F.explode(blocks).alias("block"))
-    ends = two.groupBy("tid", "wid", "block").agg(F.collect_list(F.when(F.col("rank") == 1, F.col("begin"))).alias("one"), F.array_sort(F.collect_list(F.when(F.col("rank") == 2, F.col("begin")))).alias("other"))
+    ends = two.groupBy("tid", "wid", "block").agg(
+        F.collect_list(F.when(F.col("rank") == 1, F.col("begin"))).alias("one"), F.array_sort(F.collect_list(F.when(F.col("rank") == 2, F.col("begin")))).alias("other"),
+    )
     ends = ends.filter("size(one) > 0 and size(other) > 0").select("tid", "wid", "other", F.explode("one").alias("begin"))
     close = F.filter("other", lambda x: F.abs(x - F.col("begin")) <= slop)
     met = ends.select("tid", "wid", "begin", close.alias("close")).filter("size(close) > 0")

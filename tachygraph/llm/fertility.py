@@ -68,7 +68,10 @@ BANDS = {
     "other": Band(0.15, 8.0, 1.00, 0.25),
 }
 #: First UTF-8 bytes of a script's letters.
-_LEADS = {"latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xC9)], "greek": [(0xCE, 0xCF)], "cyrillic": [(0xD0, 0xD3)], "semitic": [(0xD6, 0xDB)], "indic": [(0xE0, 0xE0)], "cjk": [(0xE3, 0xE9)], "hangul": [(0xEA, 0xED)]}
+_LEADS = {
+    "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xC3, 0xC9)], "greek": [(0xCE, 0xCF)], "cyrillic": [(0xD0, 0xD3)], "semitic": [(0xD6, 0xDB)], "indic": [(0xE0, 0xE0)],
+    "cjk": [(0xE3, 0xE9)], "hangul": [(0xEA, 0xED)],
+}
 #: Bands by language code, for languages whose band is not their script's.
 LANGUAGE_BANDS: dict[str, Band] = {"en": Band(1.3, 8.0, 0.25, 0.45)}
 
@@ -115,7 +118,8 @@ def entropy(ids: np.ndarray) -> float:
 
 def in_band(band: Band, n_tokens: int, chars: float, chars_pieces: float, fallback: float, bits: float) -> bool:
     """Both vocabularies' characters per token, the fallback share and the entropy are ordinary."""
-    return band.min_chars <= chars <= band.max_chars and band.min_chars <= chars_pieces <= band.max_chars * 1.25 and fallback <= band.max_fallback and bits >= band.min_entropy_share * np.log2(min(max(n_tokens, 2), 256))
+    ordinary = band.min_chars <= chars <= band.max_chars and band.min_chars <= chars_pieces <= band.max_chars * 1.25
+    return ordinary and fallback <= band.max_fallback and bits >= band.min_entropy_share * np.log2(min(max(n_tokens, 2), 256))
 
 
 def base_counts(text: str, hashes: np.ndarray) -> tuple[int, int]:
@@ -140,7 +144,11 @@ def base_counts(text: str, hashes: np.ndarray) -> tuple[int, int]:
     return dup, int((np.cumsum(inside[:-1]) > 0).sum())
 
 
-_FIELDS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "script": pa.string(), "n_tokens": pa.int64(), "n_pieces": pa.int64(), "chars_per_token": pa.float64(), "chars_per_piece": pa.float64(), "fallback_share": pa.float64(), "token_entropy": pa.float64()}
+_FIELDS = {
+    "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(),
+    "kept": pa.bool_(), "script": pa.string(), "n_tokens": pa.int64(), "n_pieces": pa.int64(), "chars_per_token": pa.float64(), "chars_per_piece": pa.float64(),
+    "fallback_share": pa.float64(), "token_entropy": pa.float64(),
+}
 _TYPES = {pa.int64(): "long", pa.bool_(): "boolean", pa.string(): "string", pa.float64(): "double"}
 MEASURES = tuple(_FIELDS)
 
@@ -214,7 +222,9 @@ def language_bands(rows: DataFrame) -> DataFrame:
         values = good.select("key", F.col(chars).alias("x"), F.col(n).alias("tokens"))
         centre = table(_quantiles(values, 0.01, {f"centre{k}": 0.5}).drop("n"), "centres")
         off = values.join(small(centre), "key").select("key", ((F.col("x") - F.col(f"centre{k}")) * F.sqrt("tokens")).alias("x"))
-        spread = _quantiles(off, 0.05, {"low": 0.25, "high": 0.75}).select("key", (F.greatest((F.col("high") - F.col("low")) / 1.349, F.lit(0.05)) * (1 + PRIOR_TEXTS / F.col("n"))).alias(f"spread{k}"))
+        spread = _quantiles(off, 0.05, {"low": 0.25, "high": 0.75}).select(
+            "key", (F.greatest((F.col("high") - F.col("low")) / 1.349, F.lit(0.05)) * (1 + PRIOR_TEXTS / F.col("n"))).alias(f"spread{k}"),
+        )
         both = centre.join(spread, "key")
         out = both if out is None else out.join(both, "key")
     return out

@@ -95,7 +95,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                     keys.append(None)
                     bits.append(None)
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.string()), pa.array(keys, longs), pa.array(bits, longs), batch.column("tid")], ["doc_id", "n_shingles", "set_hash", "tuples", "bits", "tid"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sets, pa.string()), pa.array(keys, longs), pa.array(bits, longs), batch.column("tid")],
+                ["doc_id", "n_shingles", "set_hash", "tuples", "bits", "tid"],
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tid")).mapInArrow(run, _SIGNATURES)
 
@@ -104,7 +107,9 @@ def buckets(classes: DataFrame) -> DataFrame:
     """(key, id, i, j): TUPLES * TUPLES table keys of each class, from its tuples."""
     first = F.posexplode(F.slice("tuples", 1, TUPLES)).alias("i", "x")
     second = F.posexplode(F.slice("tuples", TUPLES + 1, TUPLES)).alias("j", "y")
-    return classes.select("id", "tuples", first).select("id", "i", "x", second).select(F.xxhash64("i", "x", "j", "y").alias("key"), "id", F.col("i").cast("byte").alias("i"), F.col("j").cast("byte").alias("j"))
+    return classes.select("id", "tuples", first).select("id", "i", "x", second).select(
+        F.xxhash64("i", "x", "j", "y").alias("key"), "id", F.col("i").cast("byte").alias("i"), F.col("j").cast("byte").alias("j"),
+    )
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, least: tuple[int, int] = MIN_SIMILARITY) -> DataFrame:
@@ -219,13 +224,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows' signatures, the classes of equal sets, and the links (a, b) between classes."""
     rows = table(signatures(docs), "signatures")
-    classes = table(rows.filter("doc_id is not null and set_hash is not null").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("tuples").alias("tuples"), F.first("bits").alias("bits"), F.count("*").alias("n")), "classes")
+    classes = table(
+        rows.filter("doc_id is not null and set_hash is not null").groupBy("set_hash").agg(
+            F.min("doc_id").alias("id"), F.first("n_shingles").alias("size"), F.first("tuples").alias("tuples"), F.first("bits").alias("bits"), F.count("*").alias("n"),
+        ),
+        "classes",
+    )
     return rows, classes, class_links(classes.select("id", "size", "tuples", "bits"), docs)
 
 
 def _placed(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, tid): each row with the component of its own set."""
-    placed = classes.join(small(labels), "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"), F.col("n").alias("copies"), F.col("component").isNotNull().alias("linked"))
+    placed = classes.join(small(labels), "id", "left").select(
+        "set_hash", F.coalesce("component", "id").alias("component_id"), F.col("n").alias("copies"), F.col("component").isNotNull().alias("linked"),
+    )
     #: Only classes that are larger than one row or linked with others need a lookup.
     placed = table(placed.filter("copies > 1 or linked").select("set_hash", "component_id"), "placed")
     out = rows.select("doc_id", "n_shingles", "set_hash", "tid").join(small(placed), "set_hash", "left")

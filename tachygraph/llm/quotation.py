@@ -57,11 +57,16 @@ def passages(messages: DataFrame) -> DataFrame:
     quoting = messages.filter(F.col("text").rlike("(?m)" + _MARK)).select("conv_id", "turn", F.col("text")).distinct()
     lines = quoting.select("conv_id", "turn", F.sha2("text", 256).alias("message"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     marks = F.regexp_extract("line", _MARKS, 1)
-    lines = lines.select("conv_id", "turn", "message", "at", F.length(F.translate(marks, " \t", "")).alias("level"), F.when(F.col("line").rlike(_MARK), F.regexp_extract("line", _MARKS, 2)).alias("words"))
+    lines = lines.select(
+        "conv_id", "turn", "message", "at", F.length(F.translate(marks, " \t", "")).alias("level"),
+        F.when(F.col("line").rlike(_MARK), F.regexp_extract("line", _MARKS, 2)).alias("words"),
+    )
     by = Window.partitionBy("conv_id", "turn", "message").orderBy("at")
     begins = (F.col("level") != F.lag("level", 1, 0).over(by)).cast("int")
     lines = lines.withColumn("run", F.sum(begins).over(by))
-    runs = lines.filter("level > 0").groupBy("conv_id", "turn", "message", "run", "level").agg(F.min("at").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"]), "\n").alias("passage"))
+    runs = lines.filter("level > 0").groupBy("conv_id", "turn", "message", "run", "level").agg(
+        F.min("at").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: x["words"]), "\n").alias("passage"),
+    )
     return runs.filter(normal(F.col("passage")) != "").select("conv_id", "turn", "at", "level", "passage")
 
 
@@ -134,7 +139,9 @@ def links(messages: DataFrame, quoted: DataFrame) -> DataFrame:
     originals = originals.unionByName(_stretches(own, quoted)).join(small(wanted), "key", "left_semi")
     originals = table(originals.unionByName(_contained(own, quoted)).distinct(), "originals")
     #: Quotes and originals of one hash in one conversation in the order of turns: the last original before a quote is its own.
-    both = originals.select("key", "conv_id", "turn", F.col("turn").alias("origin"), F.lit(None).cast("int").alias("at")).unionByName(keyed.select("key", "conv_id", "turn", F.lit(None).cast(originals.schema["turn"].dataType).alias("origin"), F.col("at")))
+    both = originals.select(
+        "key", "conv_id", "turn", F.col("turn").alias("origin"), F.lit(None).cast("int").alias("at"),
+    ).unionByName(keyed.select("key", "conv_id", "turn", F.lit(None).cast(originals.schema["turn"].dataType).alias("origin"), F.col("at")))
     before = Window.partitionBy("key", "conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = both.withColumn("near", F.max("origin").over(before)).filter("at is not null and near is not null").select("key", "conv_id", "turn", "at", F.col("near").alias("near_turn")).distinct()
     first = table(originals.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("first")), "first")
@@ -143,7 +150,10 @@ def links(messages: DataFrame, quoted: DataFrame) -> DataFrame:
     joined = joined.groupBy(*quoted.columns).agg(F.max("near_turn").alias("near_turn"), F.min("first").alias("first"), F.try_divide(F.count("*"), F.first("n_keys")).cast("int").alias("copies"))
     joined = joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     other = F.col("near_turn").isNull() & (F.col("first.conv_id") != F.col("conv_id"))
-    return joined.select("conv_id", "turn", "at", "level", "passage", F.when(F.col("near_turn").isNotNull(), F.col("conv_id")).when(other, F.col("first.conv_id")).alias("origin_conv"), F.coalesce("near_turn", F.when(other, F.col("first.turn"))).alias("origin_turn"))
+    return joined.select(
+        "conv_id", "turn", "at", "level", "passage", F.when(F.col("near_turn").isNotNull(), F.col("conv_id")).when(other, F.col("first.conv_id")).alias("origin_conv"),
+        F.coalesce("near_turn", F.when(other, F.col("first.turn"))).alias("origin_turn"),
+    )
 
 
 def threads(parents: DataFrame) -> DataFrame:
@@ -152,7 +162,10 @@ def threads(parents: DataFrame) -> DataFrame:
     while True:
         above = found.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("root").alias("next"), F.col("depth").alias("more"))
         moved = found.join(above, (F.col("conv_id") == F.col("c")) & (F.col("root") == F.col("t")), "left")
-        moved = table(moved.select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")), "threads")
+        moved = table(
+            moved.select("conv_id", "turn", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("moved")),
+            "threads",
+        )
         found = moved.drop("moved")
         if moved.filter("moved").isEmpty():
             return found
@@ -175,14 +188,30 @@ def places(nodes: DataFrame) -> DataFrame:
     known = nodes.join(eldest, ["conv_id", "turn"], "left").join(kin, ["conv_id", "turn"], "left")
     entry, out = F.lit(0), F.lit(1)
     down = F.when(F.col("child").isNotNull(), F.struct(F.col("child").alias("turn"), entry.alias("side"))).otherwise(F.struct(F.col("turn").alias("turn"), out.alias("side")))
-    up = F.when(F.col("sibling").isNotNull(), F.struct(F.col("sibling").alias("turn"), entry.alias("side"))).when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("turn"), out.alias("side")))
-    steps = F.explode(F.array(F.struct(entry.alias("side"), F.lit(1).cast("long").alias("entries"), down.alias("next")), F.struct(out.alias("side"), F.lit(0).cast("long").alias("entries"), up.alias("next"))))
-    tour = known.select("conv_id", "turn", "root", steps.alias("s")).select("conv_id", "turn", "root", "s.side", "s.entries", F.col("s.next.turn").alias("next_turn"), F.col("s.next.side").alias("next_side"))
+    up = F.when(
+        F.col("sibling").isNotNull(), F.struct(F.col("sibling").alias("turn"), entry.alias("side")),
+    ).when(F.col("parent").isNotNull(), F.struct(F.col("parent").alias("turn"), out.alias("side")))
+    steps = F.explode(F.array(
+        F.struct(entry.alias("side"), F.lit(1).cast("long").alias("entries"), down.alias("next")),
+        F.struct(out.alias("side"), F.lit(0).cast("long").alias("entries"), up.alias("next")),
+    ))
+    tour = known.select("conv_id", "turn", "root", steps.alias("s")).select(
+        "conv_id", "turn", "root", "s.side", "s.entries", F.col("s.next.turn").alias("next_turn"), F.col("s.next.side").alias("next_side"),
+    )
     tour = table(tour, "tour")
     while not tour.filter("next_turn is not null").isEmpty():
-        ahead = tour.select(F.col("conv_id").alias("c"), F.col("turn").alias("next_turn"), F.col("side").alias("next_side"), F.col("entries").alias("more"), F.col("next_turn").alias("far_turn"), F.col("next_side").alias("far_side"))
+        ahead = tour.select(
+            F.col("conv_id").alias("c"), F.col("turn").alias("next_turn"), F.col("side").alias("next_side"), F.col("entries").alias("more"),
+            F.col("next_turn").alias("far_turn"), F.col("next_side").alias("far_side"),
+        )
         met = tour.join(ahead.withColumnRenamed("c", "conv_id"), ["conv_id", "next_turn", "next_side"], "left")
-        tour = table(met.select("conv_id", "turn", "root", "side", (F.col("entries") + F.coalesce("more", F.lit(0))).alias("entries"), F.col("far_turn").alias("next_turn"), F.col("far_side").alias("next_side")), "tour")
+        tour = table(
+            met.select(
+                "conv_id", "turn", "root", "side", (F.col("entries") + F.coalesce("more", F.lit(0))).alias("entries"), F.col("far_turn").alias("next_turn"),
+                F.col("far_side").alias("next_side"),
+            ),
+            "tour",
+        )
     entered = tour.filter("side = 0")
     sizes = entered.filter("turn = root").select("conv_id", "root", F.col("entries").alias("size"))
     return entered.join(sizes, ["conv_id", "root"]).select("conv_id", "turn", (F.col("size") - F.col("entries")).alias("place"))
@@ -207,4 +236,8 @@ def reply_order(messages: DataFrame) -> DataFrame:
     roots = replies.select("conv_id", F.col("root").alias("turn"), "root").distinct().withColumn("parent", F.lit(None).cast(replies.schema["parent"].dataType))
     found = table(found.join(places(table(replies.unionByName(roots), "nodes")), ["conv_id", "turn"], "left"), "found")
     out = rows.join(small(found), ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", without_quotes(F.col("text")).alias("text"), F.coalesce("root", "turn").alias("thread"), F.coalesce("place", F.lit(0)).cast("long").alias("place"), F.coalesce("depth", F.lit(0)).alias("depth"), "parent_turn", F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
+    return out.select(
+        "conv_id", "turn", "role", without_quotes(F.col("text")).alias("text"), F.coalesce("root", "turn").alias("thread"),
+        F.coalesce("place", F.lit(0)).cast("long").alias("place"), F.coalesce("depth", F.lit(0)).alias("depth"), "parent_turn",
+        F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
+    )

@@ -235,7 +235,9 @@ def sanitised(found: DataFrame) -> DataFrame:
         def block(x: Column, start: Column, end: Column) -> Column:
             def cut(own: Column) -> Column:
                 put = lambda a, y: F.concat(a["out"], F.array(F.substring(own, a["p"] - start + 1, y["start"] - a["p"]), shown(y)))
-                step = lambda a, y: F.when(y["start"] < a["p"], F.struct(F.greatest(a["p"], y["end"]).alias("p"), a["out"].alias("out"))).otherwise(F.struct(y["end"].alias("p"), put(a, y).alias("out")))
+                step = lambda a, y: F.when(
+                    y["start"] < a["p"], F.struct(F.greatest(a["p"], y["end"]).alias("p"), a["out"].alias("out")),
+                ).otherwise(F.struct(y["end"].alias("p"), put(a, y).alias("out")))
                 return F.array_join(F.aggregate(x, F.struct(start.alias("p"), F.array().cast("array<string>").alias("out")), step, lambda a: a["out"]), "")
 
             return _let(F.substring(text, start + 1, end - start), cut)

@@ -92,7 +92,10 @@ class Prefix:
 def _thin(docs: DataFrame) -> DataFrame:
     text: Column = F.col("text")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.sha2(text, 256), F.lit("")).alias("hash"), size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.sha2(text, 256), F.lit("")).alias("hash"), size.alias("size"),
+        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
+    )
 
 
 def minimax_shards(docs: DataFrame, shards: int = SHARDS, block: int = BLOCK) -> DataFrame:

@@ -212,7 +212,9 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataF
     """(text, toxic): up to ``rows`` labelled documents of the training folds, those with the smallest hashes of their ids."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = table(known.filter(fold(F.col("doc_id")) != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumnRenamed("doc_id", "labelled"), "labelled")
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(chosen), F.col("doc_id") == F.col("labelled")).select(
+        "doc_id", "text", F.col("toxic").cast("int").alias("toxic"),
+    )
 
 
 def examples(scorer: Scorer, text: str, toxic: int) -> list[tuple[list[float], int]]:
@@ -268,7 +270,10 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, model: M
                 n.append((sum(h.exact for h in hits), sum(not h.exact for h in hits), sum(h.quoted for h in hits)))
             score = 1 / (1 + np.exp(-np.clip(np.array(x).reshape(-1, N_INPUTS) @ w[:-1] + w[-1], -30, 30)))
             counts = np.array(n, np.int64).reshape(-1, 3)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": score, "predicted": (score >= THRESHOLD).astype("int32"), "n_exact": counts[:, 0], "n_fuzzy": counts[:, 1], "n_quoted": counts[:, 2]})
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": score, "predicted": (score >= THRESHOLD).astype("int32"), "n_exact": counts[:, 0],
+                "n_fuzzy": counts[:, 1], "n_quoted": counts[:, 2],
+            })
 
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "text")
     return rows_.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int, n_exact long, n_fuzzy long, n_quoted long")
