@@ -67,7 +67,10 @@ def detections(starts: DataFrame, record_start: Column | None = None, row_s: int
     out = starts.select("*", (F.col("start_row") * row_s).cast("long").alias("start_s")).withColumn("end_s", F.col("start_s") + length_s)
     if record_start is None:
         return out.drop("start_row")
-    return out.select("record_id", F.timestamp_add("SECOND", F.col("start_s").cast("int"), record_start).alias("timestamp_start"), F.timestamp_add("SECOND", F.col("end_s").cast("int"), record_start).alias("timestamp_end"))
+    return out.select(
+        "record_id", F.timestamp_add("SECOND", F.col("start_s").cast("int"), record_start).alias("timestamp_start"),
+        F.timestamp_add("SECOND", F.col("end_s").cast("int"), record_start).alias("timestamp_end"),
+    )
 
 
 def detect(rows: DataFrame, scores: DataFrame, valid: Column, threshold: float, least: int = 3, max_gap: int = 2) -> DataFrame:

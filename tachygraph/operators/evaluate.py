@@ -31,7 +31,10 @@ def record_metrics(records: DataFrame, found: DataFrame, lost: DataFrame) -> Dat
     """(record_id, patient_id, record_duration_s, deficiency_s, n_det_fp, n_det_tp); records without detections have 0."""
     counts = found.groupBy("record_id").agg(F.count_if(F.col("result") == "fp").alias("fp_"), F.count_if(F.col("result") == "tp").alias("tp_"))
     out = records.join(counts, "record_id", "left").join(lost, "record_id", "left")
-    return out.select("record_id", "patient_id", "record_duration_s", F.coalesce("deficiency_s", F.lit(0)).alias("deficiency_s"), F.coalesce("fp_", F.lit(0)).alias("n_det_fp"), F.coalesce("tp_", F.lit(0)).alias("n_det_tp"))
+    return out.select(
+        "record_id", "patient_id", "record_duration_s", F.coalesce("deficiency_s", F.lit(0)).alias("deficiency_s"), F.coalesce("fp_", F.lit(0)).alias("n_det_fp"),
+        F.coalesce("tp_", F.lit(0)).alias("n_det_tp"),
+    )
 
 
 def patient_metrics(records: DataFrame, onsets: DataFrame) -> DataFrame:

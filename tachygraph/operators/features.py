@@ -90,7 +90,8 @@ def time_features(rr: DataFrame, seconds: int) -> DataFrame:
         F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmssd"), F.avg("d").alias("d_avg"), F.avg(F.col("d") * F.col("d")).alias("d_sq"), F.count("d").alias("n_d"), slope.alias("trend"),
         F.count_if(F.abs("d") >= 50).alias("nnx"), F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.stddev_pop("d").alias("sd_d"),
         F.regr_slope("m", F.col("seq").cast("double")).alias("slope"), F.stddev_pop("m").alias("sd_m"), F.stddev_pop("md").alias("sd_md"), F.count("m").alias("n_m"),
-        F.max_by(pair, seq_if(pair)).alias("last_two"), F.min_by(pair, seq_if(pair)).alias("first_two"), F.max_by(pair_m, seq_if(pair_m)).alias("last_m"), F.min_by(pair_m, seq_if(pair_m)).alias("first_m"), F.sort_array(F.collect_list(bin_)).alias("bins"),
+        F.max_by(pair, seq_if(pair)).alias("last_two"), F.min_by(pair, seq_if(pair)).alias("first_two"),
+        F.max_by(pair_m, seq_if(pair_m)).alias("last_m"), F.min_by(pair_m, seq_if(pair_m)).alias("first_m"), F.sort_array(F.collect_list(bin_)).alias("bins"),
     )
     a = a.withColumn("triangular_index", F.try_divide(F.size("bins"), _most_equal(F.col("bins")))).drop("bins")
     sd1, sd2 = _pair(F.col("sd"), F.col("sd_d"))
@@ -103,7 +104,9 @@ def time_features(rr: DataFrame, seconds: int) -> DataFrame:
     hrf = F.when(F.col("n_m") >= 3, (F.col("last_m") - F.col("first_m")) / 2).otherwise(F.lit(0.0))
     return a.select(
         "record_id", "row", "n_beats", "avg", "sd", "rmssd", F.sqrt(F.greatest(F.col("d_sq") - 2 * F.col("trend") * F.col("d_avg") + F.col("trend") * F.col("trend"), F.lit(0.0))).alias("rmssd_dt"),
-        "skew", "kurt", F.try_divide(F.col("nnx"), F.col("n_d")).alias("pnnx"), "nnx", "triangular_index", F.col("q")[0].alias("quantile_25"), F.col("q")[1].alias("quantile_50"), F.col("q")[2].alias("quantile_75"), "variance",
+        "skew", "kurt", F.try_divide(
+            F.col("nnx"), F.col("n_d"),
+        ).alias("pnnx"), "nnx", "triangular_index", F.col("q")[0].alias("quantile_25"), F.col("q")[1].alias("quantile_50"), F.col("q")[2].alias("quantile_75"), "variance",
         csi.alias("csi"), csim.alias("csim"), F.when(product > 0, F.log10(product)).alias("cvi"), "sd1", "sd2", (F.col("slope") * csi).alias("csi_slope"), (F.col("slope") * csim).alias("csim_slope"),
         fcsi.alias("csi_filtered"), fcsim.alias("csim_filtered"), (F.col("slope") * fcsi).alias("csi_filtered_slope"), (F.col("slope") * fcsim).alias("csim_filtered_slope"),
         hr.alias("hr_diff"), (hr * F.col("slope")).alias("hr_diff_slope"), hrf.alias("hr_diff_filtered"), (hrf * F.col("slope")).alias("hr_diff_filtered_slope"), "slope",
@@ -120,7 +123,9 @@ def shape_features(rr: DataFrame, seconds: int = 300, chunk_rows: int = SHAPE_RO
     step, width = chunk_rows * STEP_MS, seconds * 1000
     first = F.greatest(F.floor((F.col("right_ms") - width) / step), F.lit(0))
     last = F.floor(F.col("left_ms") / step)
-    beats = rr.join(window_counts(rr, seconds), "record_id").select("record_id", "rows", "seq", "left_ms", "right_ms", F.col("rr_ms").cast("double").alias("x"), F.explode(F.sequence(first, last)).alias("chunk"))
+    beats = rr.join(window_counts(rr, seconds), "record_id").select(
+        "record_id", "rows", "seq", "left_ms", "right_ms", F.col("rr_ms").cast("double").alias("x"), F.explode(F.sequence(first, last)).alias("chunk"),
+    )
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         record, chunk = key

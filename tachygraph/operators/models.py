@@ -87,7 +87,9 @@ def robust_parameters(rows: DataFrame, features: list[str], bins: int = 4096) ->
     counts = binned.groupBy("feature", "bin").agg(F.count("*").alias("k"), F.first("n").alias("n"))
     upto = F.sum("k").over(Window.partitionBy("feature").orderBy("bin"))
     #: For each quartile the two ranks (from 0) between which it lies, and the bins that hold them.
-    wanted = F.array(*[F.struct(F.lit(q).alias("q"), (f(F.lit(q) * (F.col("n") - 1))).cast("long").alias("rank"), (F.lit(q) * (F.col("n") - 1)).alias("at")) for q in (0.25, 0.5, 0.75) for f in (F.floor, F.ceil)])
+    wanted = F.array(*[F.struct(
+        F.lit(q).alias("q"), (f(F.lit(q) * (F.col("n") - 1))).cast("long").alias("rank"), (F.lit(q) * (F.col("n") - 1)).alias("at"),
+    ) for q in (0.25, 0.5, 0.75) for f in (F.floor, F.ceil)])
     holding = counts.withColumn("before", upto - F.col("k")).select("feature", "bin", "before", "k", F.explode(wanted).alias("w")).filter("w.rank >= before and w.rank < before + k")
     holding = holding.select("feature", "bin", "w.q", "w.at", "w.rank", (F.col("w.rank") - F.col("before")).alias("inside"))
     chosen = F.broadcast(holding.groupBy("feature", "bin").agg(F.collect_set(F.struct("q", "at", "rank", "inside")).alias("asked")))
@@ -136,7 +138,11 @@ class _Spark(Model):
 class RandomForest(_Spark):
     def _classifier(self):
         p = self.config.params
-        return RandomForestClassifier(featuresCol="x_", labelCol="label", weightCol="weight_", seed=p.get("random_state", 42), numTrees=p.get("n_estimators", 100), maxDepth=min(p.get("max_depth") or MAX_DEPTH, MAX_DEPTH), minInstancesPerNode=p.get("min_samples_leaf") or 1, featureSubsetStrategy=str(p.get("max_features") or "auto"))
+        return RandomForestClassifier(
+            featuresCol="x_", labelCol="label", weightCol="weight_", seed=p.get("random_state", 42), numTrees=p.get("n_estimators", 100),
+            maxDepth=min(p.get("max_depth") or MAX_DEPTH, MAX_DEPTH), minInstancesPerNode=p.get("min_samples_leaf") or 1,
+            featureSubsetStrategy=str(p.get("max_features") or "auto"),
+        )
 
 
 class Logistic(_Spark):

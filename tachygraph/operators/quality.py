@@ -53,7 +53,10 @@ def rule_inputs(peaks: DataFrame, at: str) -> DataFrame:
     inside = peaks_in_windows(peaks, at)
     w = Window.partitionBy("record_id", "row").orderBy(at)
     gaps = inside.withColumn("gap", (F.col(at) - F.lag(at).over(w)).cast("double"))
-    return gaps.groupBy("record_id", "row").agg(F.count("*").alias("n"), F.avg(F.when(F.col("gap").isNotNull(), 60000.0 / F.greatest("gap", F.lit(1e-6)))).alias("mean_rate"), F.max("gap").alias("longest"), F.min("gap").alias("shortest"))
+    return gaps.groupBy("record_id", "row").agg(
+        F.count("*").alias("n"), F.avg(F.when(F.col("gap").isNotNull(), 60000.0 / F.greatest("gap", F.lit(1e-6)))).alias("mean_rate"), F.max("gap").alias("longest"),
+        F.min("gap").alias("shortest"),
+    )
 
 
 def verdict(n1: Column, n2: Column, rate: Column, longest: Column, shortest: Column, score: Column) -> Column:

@@ -50,7 +50,10 @@ def split_in_two(rr: DataFrame, which: Column, left: Column | None = None) -> Da
     """Chosen intervals in two; the left part is half of them (half-even) unless given."""
     half = (F.bround(F.col("rr_ms") / 2) if left is None else left).cast("long")
     whole = F.array(F.struct("left_ms", "right_ms", "rr_ms"))
-    two = F.array(F.struct(F.col("left_ms").alias("left_ms"), (F.col("left_ms") + half).alias("right_ms"), half.alias("rr_ms")), F.struct((F.col("left_ms") + half).alias("left_ms"), F.col("right_ms").alias("right_ms"), (F.col("rr_ms") - half).alias("rr_ms")))
+    two = F.array(
+        F.struct(F.col("left_ms").alias("left_ms"), (F.col("left_ms") + half).alias("right_ms"), half.alias("rr_ms")),
+        F.struct((F.col("left_ms") + half).alias("left_ms"), F.col("right_ms").alias("right_ms"), (F.col("rr_ms") - half).alias("rr_ms")),
+    )
     return _renumbered(rr.select("record_id", "seq", F.posexplode(F.when(which, two).otherwise(whole)).alias("k", "x")).select("record_id", "seq", "k", "x.*"))
 
 
@@ -79,7 +82,9 @@ def validated(rr: DataFrame) -> DataFrame:
     rows = rr.withColumn("next_", F.lead("left_ms").over(Window.partitionBy("record_id").orderBy("seq")))
     ok = F.coalesce(F.col("rr_ms") == F.col("right_ms") - F.col("left_ms"), F.lit(True))
     chained = F.coalesce(F.col("next_") == F.col("right_ms"), F.lit(True))
-    return rows.groupBy("record_id").agg(F.count("*").alias("n"), F.bool_and(ok).alias("lengths_ok"), F.bool_and(chained).alias("chained_ok")).withColumn("valid", F.col("lengths_ok") & F.col("chained_ok"))
+    return rows.groupBy("record_id").agg(
+        F.count("*").alias("n"), F.bool_and(ok).alias("lengths_ok"), F.bool_and(chained).alias("chained_ok"),
+    ).withColumn("valid", F.col("lengths_ok") & F.col("chained_ok"))
 
 
 def bounded(rr: DataFrame, least: float, most: float) -> DataFrame:

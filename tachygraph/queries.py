@@ -152,7 +152,9 @@ def patient_of_samples(spark, sf_dir):
 @query
 def window_counts(spark, sf_dir):
     beats = fixtures.rr(spark, sf_dir)
-    return features.window_counts(beats, 30).withColumn("w", F.lit(30)).unionByName(features.window_counts(beats, 60).withColumn("w", F.lit(60))).unionByName(features.window_counts(beats, 300).withColumn("w", F.lit(300)))
+    return features.window_counts(beats, 30).withColumn("w", F.lit(30)).unionByName(features.window_counts(beats, 60).withColumn("w", F.lit(60))).unionByName(features.window_counts(beats, 300).withColumn(
+        "w", F.lit(300),
+    ))
 
 
 @query
@@ -180,7 +182,10 @@ def feature_steps(spark, sf_dir):
 def feature_tensor(spark, sf_dir):
     x = features.feature_tensor(fixtures.rr(spark, sf_dir))
     step = F.aggregate("x", F.lit(0.0), lambda a, s: a + s[0])
-    return _rounded(x.select("record_id", "row", F.size("x").alias("n_steps"), F.size(F.col("x")[0]).alias("n_features"), (step / F.size("x")).alias("mean_avg"), F.col("x")[0][12].alias("first_variance"), F.col("x")[0][16].alias("first_sd1"), F.col("x")[0][33].alias("total_power")))
+    return _rounded(x.select(
+        "record_id", "row", F.size("x").alias("n_steps"), F.size(F.col("x")[0]).alias("n_features"), (step / F.size("x")).alias("mean_avg"),
+        F.col("x")[0][12].alias("first_variance"), F.col("x")[0][16].alias("first_sd1"), F.col("x")[0][33].alias("total_power"),
+    ))
 
 
 @query
@@ -223,7 +228,10 @@ def bsqi_match(spark, sf_dir):
 
 @query
 def bsqi_score(spark, sf_dir):
-    e = fixtures.table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 7).alias("tp"), (F.col("event_id") % 7 + F.col("event_id") % 3).alias("n1"), (F.col("event_id") % 7 + F.col("event_id") % 5).alias("n2"))
+    e = fixtures.table(spark, sf_dir, "events").select(
+        "event_id", (F.col("event_id") % 7).alias("tp"), (F.col("event_id") % 7 + F.col("event_id") % 3).alias("n1"),
+        (F.col("event_id") % 7 + F.col("event_id") % 5).alias("n2"),
+    )
     scores = {m: quality.agreement(F.col("tp"), F.col("n1"), F.col("n2"), m) for m in ("simple", "matching", "n_double")}
     return _rounded(e.withColumns(scores).select("event_id", *scores))
 
@@ -509,7 +517,10 @@ def study_front(spark, sf_dir):
 
     def objective(params: dict) -> tuple[float, float]:
         over = F.col("score") >= params["threshold"]
-        return tuple(rows.agg(100 * F.try_divide(F.count_if(over & (F.col("label") == 1)), F.count_if(F.col("label") == 1)), F.try_divide(F.count_if(over & (F.col("label") == 0)), F.count_if(F.col("label") == 0))).first())
+        return tuple(rows.agg(
+            100 * F.try_divide(F.count_if(over & (F.col("label") == 1)), F.count_if(F.col("label") == 1)),
+            F.try_divide(F.count_if(over & (F.col("label") == 0)), F.count_if(F.col("label") == 0)),
+        ).first())
 
     trials = run_study(spark, objective, [{"threshold": k / 20} for k in range(20)])
     return _rounded(pareto(trials).select("trial", F.col("params")["threshold"].cast("double").alias("threshold"), "Total_Sensitivity", "Total_FAR"))
@@ -658,7 +669,16 @@ def evaluation_e2e(spark, sf_dir):
 def scalar_functions(spark, sf_dir):
     e = fixtures.table(spark, sf_dir, "events")
     start = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
-    return _rounded(e.select("event_id", scalars.span_seconds(start, F.col("ts")).alias("seconds"), scalars.span_milliseconds(start, F.col("ts")).alias("millis"), F.round(scalars.span_days(start, F.col("ts")), 9).alias("days"), scalars.sql_string(F.col("ts")).alias("sql_string"), scalars.file_name(F.col("ts")).alias("file_name"), scalars.readable(F.col("event_id") * 37).alias("readable"), scalars.nan_to_neg(F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))).alias("filled"), scalars.replace_ordered(F.col("event_type"), {"view": "V", "err": "E", "error": "X", "purchase": "P"}).alias("replaced")), "days")
+    return _rounded(
+        e.select(
+            "event_id", scalars.span_seconds(start, F.col("ts")).alias("seconds"), scalars.span_milliseconds(start, F.col("ts")).alias("millis"),
+            F.round(scalars.span_days(start, F.col("ts")), 9).alias("days"), scalars.sql_string(F.col("ts")).alias("sql_string"),
+            scalars.file_name(F.col("ts")).alias("file_name"), scalars.readable(F.col("event_id") * 37).alias("readable"),
+            scalars.nan_to_neg(F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value"))).alias("filled"),
+            scalars.replace_ordered(F.col("event_type"), {"view": "V", "err": "E", "error": "X", "purchase": "P"}).alias("replaced"),
+        ),
+        "days",
+    )
 
 
 @query

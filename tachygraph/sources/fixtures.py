@@ -29,7 +29,9 @@ def rr_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals with gaps, extra and missed beats, so that every quality rule fires."""
     b, e = 600 + F.floor("value"), F.col("event_id")
     block = F.floor(e / 100) % 20
-    length = F.when(e % 997 == 0, 12000).when(e % 499 == 0, 4600).when(block == 0, F.floor(b * 5 / 2)).when(block == 1, F.floor(b / 4)).when(e % 97 == 0, 3 * b).when(e % 89 == 0, F.floor(b / 3)).otherwise(b)
+    length = F.when(e % 997 == 0, 12000).when(e % 499 == 0, 4600).when(
+        block == 0, F.floor(b * 5 / 2),
+    ).when(block == 1, F.floor(b / 4)).when(e % 97 == 0, 3 * b).when(e % 89 == 0, F.floor(b / 3)).otherwise(b)
     return _beats(table(spark, sf_dir, "events"), length)
 
 
@@ -41,7 +43,10 @@ def second_detector(beats: DataFrame) -> DataFrame:
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seizure_id, patient_id, record_start, record_end, path): one seizure for each order."""
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("seizure_id"), F.col("o_custkey").alias("patient_id"), F.col("o_orderdate").cast("date").alias("record_start"), F.date_add(F.col("o_orderdate").cast("date"), 1).alias("record_end"), F.concat(F.lit("rec/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return o.select(
+        F.col("o_orderkey").alias("seizure_id"), F.col("o_custkey").alias("patient_id"), F.col("o_orderdate").cast("date").alias("record_start"),
+        F.date_add(F.col("o_orderdate").cast("date"), 1).alias("record_end"), F.concat(F.lit("rec/"), F.col("o_orderkey").cast("string")).alias("path"),
+    )
 
 
 def scored_rows(beats: DataFrame) -> DataFrame:

@@ -10,4 +10,6 @@ def live_rates(beats: DataFrame, at: str = "ts", seconds: int = 30, step: int =
     """(record_id, start, n_beats, avg_rr, mean_rate) of epoch-aligned sliding windows of beats (record_id, ts, rr_ms)."""
     w = F.window(at, f"{seconds} seconds", f"{step} seconds")
     rates = F.avg(F.try_divide(F.lit(60000.0), F.col("rr_ms")))
-    return beats.withWatermark(at, late).groupBy("record_id", w).agg(F.count("*").alias("n_beats"), F.avg("rr_ms").alias("avg_rr"), rates.alias("mean_rate")).select("record_id", F.col("window.start").alias("start"), "n_beats", "avg_rr", "mean_rate")
+    return beats.withWatermark(at, late).groupBy("record_id", w).agg(
+        F.count("*").alias("n_beats"), F.avg("rr_ms").alias("avg_rr"), rates.alias("mean_rate"),
+    ).select("record_id", F.col("window.start").alias("start"), "n_beats", "avg_rr", "mean_rate")
