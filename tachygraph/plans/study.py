@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+BINS = 1024
 
 
 def pareto(trials: DataFrame, up: str = "Total_Sensitivity", down: str = "Total_FAR") -> DataFrame:
     """Trials for which no other is at least as good in both objectives and better in one.
 
     With two objectives a sweep does it: in each group of equal ``up`` the least ``down`` counts, and it must lie below that
-    of all higher groups. The groups are summed up first, so the sweep sees one row for each value of ``up``.
+    of all higher groups. The groups are summed up first; the sweep goes over BINS equal ranges of ``up``, then within each, so that no
+    task sees all groups.
     """
-    from pyspark.sql.window import Window
-
     best = trials.groupBy(up).agg(F.min(down).alias("down_"))
-    higher = F.min("down_").over(Window.orderBy(F.col(up).desc()).rowsBetween(Window.unboundedPreceding, -1))
-    front = best.withColumn("higher_", higher).filter("higher_ is null or down_ < higher_")
+    ends = F.broadcast(best.agg(F.min(up).cast("double").alias("lo_"), F.max(up).cast("double").alias("hi_")))
+    share = (F.col(up) - F.col("lo_")) / (F.col("hi_") - F.col("lo_"))
+    best = best.join(ends).withColumn("bin_", F.when(F.col("hi_") > F.col("lo_"), F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)))
+    above = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    bins = best.groupBy("bin_").agg(F.min("down_").alias("least_"))
+    bins = F.broadcast(bins.select("bin_", F.min("least_").over(above(Window.orderBy(F.col("bin_").desc()))).alias("beyond_")))
+    higher = F.min("down_").over(above(Window.partitionBy("bin_").orderBy(F.col(up).desc())))
+    front = best.withColumn("higher_", higher).join(bins, "bin_").filter("(higher_ is null or down_ < higher_) and (beyond_ is null or down_ < beyond_)")
     return trials.join(front.select(F.col(up).alias("up_"), "down_"), (F.col(up) == F.col("up_")) & (F.col(down) == F.col("down_"))).drop("up_", "down_")
 
 
