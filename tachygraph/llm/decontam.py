@@ -71,11 +71,12 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def probes(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """(wid, rank, term, offset): the rarest term of each window (rank 1) and the rarest at another place (rank 2)."""
+    """(wid, rank, term, offset, lists): the rarest term of each window (rank 1) and the rarest at another place (rank 2), and how many of them there are."""
     terms = wins.select("wid", F.posexplode("words").alias("offset", "word")).select("wid", "offset", F.lower("word").alias("term"))
     rated = terms.join(small(counts), "term", "left").select("wid", "offset", "term", F.coalesce("n", F.lit(0)).alias("n"))
     ranked = rated.groupBy("wid").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))), 1, 2).alias("best"))
-    return ranked.select("wid", F.posexplode("best").alias("rank", "x")).select("wid", (F.col("rank") + 1).alias("rank"), "x.term", "x.offset")
+    ranked = ranked.select("wid", F.size("best").alias("lists"), F.posexplode("best").alias("rank", "x"))
+    return ranked.select("wid", (F.col("rank") + 1).alias("rank"), "x.term", "x.offset", "lists")
 
 
 def candidates(postings: DataFrame, rare: DataFrame, slop: int = SLOP) -> DataFrame:
@@ -84,8 +85,7 @@ def candidates(postings: DataFrame, rare: DataFrame, slop: int = SLOP) -> DataFr
     Places are dealt into blocks of BLOCK words, the first term's also into the next block where it is near an edge. A window of one
     term is found by that.
     """
-    lists = rare.groupBy("wid").agg(F.max("rank").alias("lists"))
-    near = postings.join(small(rare.join(lists, "wid")), "term").select("tid", "wid", "rank", "lists", (F.col("pos") - F.col("offset")).alias("begin"))
+    near = postings.join(small(rare), "term").select("tid", "wid", "rank", "lists", (F.col("pos") - F.col("offset")).alias("begin"))
     block = lambda x: F.floor(x / BLOCK)
     #: One shuffle, on the window and the block; a block holds a few places of one text.
     blocks = F.when(F.col("rank") == 1, F.array_distinct(F.array(block(F.col("begin") - slop), block(F.col("begin") + slop)))).otherwise(F.array(block(F.col("begin"))))

@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a measured table of keys and short values may be broadcast (about 16 MB of longs).
+#: Rows, and bytes as they are stored, up to which a written table may be broadcast.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,9 +65,10 @@ def stored(make: Callable[[], DataFrame], name: str) -> DataFrame:
 
 
 def is_small(df: DataFrame, rows: int | None = None) -> bool:
-    """``df`` (a written table) has at most ``rows`` rows (BROADCAST_ROWS)."""
+    """``df`` (a written table) has at most ``rows`` rows (BROADCAST_ROWS) and BROADCAST_BYTES."""
     rows = BROADCAST_ROWS if rows is None else min(rows, BROADCAST_ROWS)
-    return df.limit(rows + 1).count() <= rows
+    stored_bytes = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return stored_bytes <= BROADCAST_BYTES and df.limit(rows + 1).count() <= rows
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -98,3 +98,14 @@ def test_tables_can_be_dropped(spark):
 
     path = table(spark.range(3), "x").inputFiles()[0]
     assert drop_tables(spark) >= 1 and not Path(path.removeprefix("file:")).exists()
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from tachygraph.llm import scratch
+
+    thin = scratch.table(spark.range(5000), "thin")
+    fat = scratch.table(spark.range(50).select(F.sha2(F.col("id").cast("string"), 512).alias("x"), F.expr("transform(sequence(1, 200), k -> sha2(cast(id * 1000 + k as string), 256))").alias("y")), "fat")
+    assert scratch.is_small(thin) and scratch.is_small(fat) and not scratch.is_small(thin, 4999)
+    monkeypatch.setattr(scratch, "BROADCAST_BYTES", 50_000)
+    assert scratch.is_small(thin) and not scratch.is_small(fat)
