@@ -145,7 +145,7 @@ ORACLES: dict[str, str] = {
     "record_duration": _with(_RR) + " select record_id, (max(right_ms) - min(left_ms)) // 1000 as duration_s from rr group by 1",
     "rr_plot_points": _with(_RR) + " select record_id, seq, (left_ms + right_ms) / 2.0 as mid_ms, rr_ms from rr",
     "records_build": _with(_CAT, _BUILD) + " select record_id, patient_id, record_start, record_end, path, seizures, unmasked from built",
-    "records_build_legacy": _with(_CAT) + """, first_ as (select record_start, arg_min(patient_id, seizure_id) as patient_id, arg_min(path, seizure_id) as path from cat where patient_id % 10 <> 0 group by 1),
+    "records_build_legacy": _with(_CAT) + """, first_ as (select record_start, arg_min(patient_id, seizure_id) as patient_id, arg_min(path, seizure_id) as path from cat where patient_id not in (select c_custkey from customer where c_acctbal < 0) group by 1),
       all_ as (select record_start, string_agg(seizure_id::varchar, ',' order by seizure_id) as seizures, max(seizure_id)::varchar || '/unmasked' as unmasked from cat group by 1)
       select record_start::varchar as record_id, patient_id, path, seizures, unmasked from first_ join all_ using (record_start)""",
     "records_by_patient": _with(_CAT) + " select patient_id, count(distinct record_start) as n_records, count(*) as n_seizures from cat group by 1",
