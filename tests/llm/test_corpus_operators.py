@@ -59,6 +59,42 @@ def test_fertility_bands(spark, empty):
     assert measured(empty, ["doc_id"]).count() == 0
 
 
+def test_fertility_measures_against_plain_tokenising(spark, docs):
+    """Every measure and the wide bands' verdict, text by text, with the tokenisers called directly."""
+    import base64
+    import math
+
+    import sentencepiece
+    import tiktoken
+
+    from tachygraph.llm import fertility
+
+    with open(f"{fertility.VOCABULARY_DIR}/{fertility.BYTE_VOCABULARY}", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f.read().splitlines() if x)}
+    encoder = tiktoken.Encoding("plain", pat_str=fertility.BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    pieces = sentencepiece.SentencePieceProcessor(model_file=f"{fertility.VOCABULARY_DIR}/{fertility.PIECE_VOCABULARY}")
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect()]
+    got = {r["doc_id"]: r for r in fertility.measured(docs, ["doc_id"]).collect()}
+    for r in rows:
+        text, g = r["text"] or "", got[r["doc_id"]]
+        one, two = encoder.encode(text, disallowed_special=()), pieces.encode(text)
+        assert (g["n_tokens"], g["n_pieces"]) == (len(one), len(two))
+        if not one or not two:
+            assert g["chars_per_token"] is None and not g["kept"]
+            continue
+        chars, chars2 = len(text) / len(one), len(text) / len(two)
+        fallback = sum(bool(re.fullmatch("<0x[0-9A-F]{2}>", pieces.id_to_piece(i))) for i in two) / len(two)
+        bits = -sum(n / len(one) * math.log2(n / len(one)) for n in Counter(one).values())
+        assert [g[c] for c in ("chars_per_token", "chars_per_piece", "fallback_share", "token_entropy")] == pytest.approx([chars, chars2, fallback, bits], abs=1e-9)
+        band = fertility.LANGUAGE_BANDS.get(r["lang"]) or fertility.BANDS[g["script"]]
+        inside = band.min_chars <= chars <= band.max_chars and band.min_chars <= chars2 <= 1.25 * band.max_chars
+        inside = inside and fallback <= band.max_fallback and bits >= band.min_entropy_share * math.log2(min(max(len(one), 2), 256)) - 1e-12
+        assert g["kept"] == (inside and not g["base_failed"])
+    by_script = {"latin": "Ünïcödé words", "cyrillic": "слово за словом", "cjk": "漢字", "greek": "λόγος", "other": "123 ."}
+    made = spark.createDataFrame([(k, t, None) for k, t in enumerate(by_script.values())], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["script"] for r in fertility.measured(made, ["doc_id"]).collect()} == dict(enumerate(by_script))
+
+
 def test_fertility_learned_bands(spark, empty):
     """The narrow bands against the same rule in plain Python."""
     import math
