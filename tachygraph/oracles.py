@@ -259,6 +259,11 @@ ORACLES: dict[str, str] = {
     "record_eval": _with(_EVAL.format(tol=21600000), _RECORDS) + " select record_id, patient_id, record_duration_s, deficiency_s, n_det_fp, n_det_tp from rec",
     "patient_metrics": _with(_EVAL.format(tol=21600000), _RECORDS, _PATIENTS) + " select patient_id, n_tp, n_fn, n_fp, " + _r("days", "ppv", "sensitivity", "f1", "far") + " from pm",
     "cohort_metrics": _with(_EVAL.format(tol=21600000), _RECORDS, _PATIENTS) + ' select round(100.0 * sum(n_tp) / (sum(n_tp) + sum(n_fn)), 6)::double as "Total_Sensitivity", round(sum(n_fp) / sum(days), 6) as "Total_FAR", round(median(f1), 6) as "med_F1", round(median(far), 6) as "med_FAR", median(n_fp) as "med_FP", round(median(ppv), 6) as "med_PPV", round(median(sensitivity), 6) as "med_Sensitivity", sum(n_tp)::bigint as n_tp, sum(n_fn)::bigint as n_fn, sum(n_fp)::bigint as n_fp, sum(n_tp + n_fn)::bigint as n_seizures from pm',
+    "header_dates": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') as header from events",
+    "feature_registry": """with n as (select string_split('avg sd rmssd rmssd_dt skew kurt pnnx nnx triangular_index quantile_25 quantile_50 quantile_75 variance csi csim cvi sd1 sd2 csi_slope csim_slope csi_filtered csim_filtered
+      csi_filtered_slope csim_filtered_slope hr_diff hr_diff_slope hr_diff_filtered hr_diff_filtered_slope ulf vlf lf hf lf_hf_ratio total_power mf_hurst_max mf_coef_left mf_coef_center mf_coef_right', ' ') as raw),
+      l as (select list_filter(list_transform(raw, lambda x: trim(x, chr(10) || ' ')), lambda x: x <> '') as l from n)
+      select (k - 1)::int as position, l[k] as name, (k - 1)::int as index from l, unnest(range(1, len(l) + 1)) as u(k)""",
     "scalar_functions": """select event_id, epoch(date_trunc('second', ts) - timestamp '2024-01-01')::bigint as seconds, (epoch_us(ts) // 1000 - epoch_ms(timestamp '2024-01-01')) as millis, round(epoch(date_trunc('second', ts) - timestamp '2024-01-01') / 86400, 9) as days,
       strftime(ts, '%Y-%m-%d %H:%M:%S') as sql_string, strftime(ts, '%Y_%m_%d__%H_%M_%S') as file_name, format('{}h {:02d}m {:02d}s', (event_id * 37) // 3600, (event_id * 37) % 3600 // 60, (event_id * 37) % 60) as readable,
       round(case when event_id % 5 = 0 then -1 else value end, 6) as filled, replace(replace(replace(replace(event_type, 'purchase', 'P'), 'error', 'X'), 'view', 'V'), 'err', 'E') as replaced from events""",

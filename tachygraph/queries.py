@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tachygraph.functions import point_process, scalars
-from tachygraph.functions.registry import FEATURES_30, FEATURES_60
+from tachygraph.functions.registry import FEATURES, FEATURES_30, FEATURES_60, feature_to_index, index_to_feature
 from tachygraph.operators import correction, detect, evaluate, features, intervals, models, quality, records, rr, sampling
 from tachygraph.operators.peaks import auto_label
 from tachygraph.plans.evaluation import evaluate as evaluate_plan
@@ -682,6 +682,16 @@ def scalar_functions(spark, sf_dir):
     )
 
 
+@query
+def header_dates(spark, sf_dir):
+    return fixtures.table(spark, sf_dir, "events").select("event_id", scalars.header_date(F.col("ts")).alias("header"))
+
+
+@query
+def feature_registry(spark, sf_dir):
+    return spark.createDataFrame([(k, index_to_feature(k), feature_to_index(index_to_feature(k))) for k in range(len(FEATURES))], "position int, name string, index int")
+
+
 @query
 def session_spans(spark, sf_dir):
     e = fixtures.table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("record_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
