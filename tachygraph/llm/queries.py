@@ -76,7 +76,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_lines(docs, "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_fertility, op2_quotation, op3_sanitise, op4_shards, op5_best_fit, op6_decontam, op7_near_dedup, op8_toxicity, op9_html_extract, op10_line_dedup)}
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tachygraph.llm.neighbours import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_fertility, op2_quotation, op3_sanitise, op4_shards, op5_best_fit, op6_decontam, op7_near_dedup, op8_toxicity, op9_html_extract,
+        op10_line_dedup, op11_neighbours,
+    )
+}
 
 ORACLES = {
     "op10_line_dedup": """
