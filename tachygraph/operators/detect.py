@@ -1,19 +1,18 @@
 """From window scores to detections: threshold, scatter over rows, gap filling, smoothing, spaced blocks.
 
-A row's value is 1, 0 or -1 (not scored).
+A row's value is 1, 0 or -1 (not scored). Rows are numbered without gaps. A record is worked on in chunks, with a few rows of overlap
+where rows look around. Possible tiles and starts are written to the shared folder, as choosing among them reads them several times.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window, WindowSpec
+from pyspark.sql.window import Window
 
 from tachygraph.operators.intervals import spaced
-
-
-def _by_row() -> WindowSpec:
-    return Window.partitionBy("record_id").orderBy("row")
+from tachygraph.operators.scans import numbered, overlapping, owned
+from tachygraph.sources.shared import stored
 
 
 def thresholded(score: Column, threshold: float) -> Column:
@@ -23,22 +22,24 @@ def thresholded(score: Column, threshold: float) -> Column:
 
 def scattered(rows: DataFrame, predictions: DataFrame, valid: Column) -> DataFrame:
     """(record_id, row, value): predictions (record_id, i, value) in order on the valid rows; -1 on others and where they run out."""
-    ranked = rows.filter(valid).select("record_id", "row", (F.row_number().over(_by_row()) - 1).cast("long").alias("i"))
+    ranked = numbered(rows.filter(valid).select("record_id", "row"), ["record_id"], "row", "i")
     placed = ranked.join(predictions.select("record_id", "i", F.col("value").alias("v_")), ["record_id", "i"], "left").select("record_id", "row", "v_")
     return rows.select("record_id", "row").join(placed, ["record_id", "row"], "left").select("record_id", "row", F.coalesce("v_", F.lit(-1)).cast("int").alias("value"))
 
 
 def gaps_filled(rows: DataFrame, max_gap: int = 2) -> DataFrame:
-    """Zeros between two ones become ones if they are at most ``max_gap`` and none of the rows between is -1."""
-    one = F.when(F.col("value") == 1, F.col("row"))
-    before = F.last(one, ignorenulls=True).over(_by_row().rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(one, ignorenulls=True).over(_by_row().rowsBetween(0, Window.unboundedFollowing))
-    unknown = F.sum((F.col("value") == -1).cast("int")).over(_by_row().rowsBetween(Window.unboundedPreceding, 0))
-    marked = rows.withColumn("a_", before).withColumn("z_", after).withColumn("u_", unknown)
-    inside = F.min("u_").over(Window.partitionBy("record_id", "a_")), F.max(F.when(F.col("value") != 1, F.col("u_"))).over(Window.partitionBy("record_id", "a_"))
-    marked = marked.withColumn("lo_", inside[0]).withColumn("hi_", inside[1])
-    fill = (F.col("value") == 0) & F.col("a_").isNotNull() & F.col("z_").isNotNull() & (F.col("z_") - F.col("a_") - 1 <= max_gap) & (F.coalesce("hi_", "lo_") == F.col("lo_"))
-    return marked.withColumn("value", F.when(fill, 1).otherwise(F.col("value"))).select("record_id", "row", "value")
+    """Zeros between two ones become ones if they are at most ``max_gap`` and none of the rows between is -1.
+
+    Rows are numbered without gaps, so the ones on both sides are within ``max_gap`` rows of a zero that may be filled.
+    """
+    near = overlapping(rows.select("record_id", "row", "value"), "row", max_gap, max_gap)
+    w = Window.partitionBy("record_id", "chunk_").orderBy("row")
+    at = lambda v, f, a, z: f(F.when(F.col("value") == v, F.col("row"))).over(w.rowsBetween(a, z))
+    one_before, one_after = at(1, F.max, -max_gap, -1), at(1, F.min, 1, max_gap)
+    unknown_before, unknown_after = at(-1, F.max, -max_gap, -1), at(-1, F.min, 1, max_gap)
+    marked = near.withColumns({"a_": one_before, "z_": one_after, "ua_": unknown_before, "uz_": unknown_after})
+    fill = (F.col("value") == 0) & (F.col("z_") - F.col("a_") - 1 <= max_gap) & (F.coalesce("ua_", F.col("a_") - 1) < F.col("a_")) & (F.coalesce("uz_", F.col("z_") + 1) > F.col("z_"))
+    return owned(marked).select("record_id", "row", F.when(fill, 1).otherwise(F.col("value")).alias("value"))
 
 
 def smoothed(rows: DataFrame, least: int = 3) -> DataFrame:
@@ -46,9 +47,11 @@ def smoothed(rows: DataFrame, least: int = 3) -> DataFrame:
 
     A tile begins at a one, not before the last tile's end, and only where it stays within the record and holds no -1.
     """
-    ahead = _by_row().rowsBetween(0, least - 1)
-    tiles = rows.withColumn("low_", F.min("value").over(ahead)).withColumn("n_", F.count("*").over(ahead)).withColumn("ones_", F.count_if(F.col("value") == 1).over(ahead))
-    may = tiles.filter((F.col("value") == 1) & (F.col("low_") >= 0) & (F.col("n_") == least))
+    ahead = Window.partitionBy("record_id", "chunk_").orderBy("row").rowsBetween(0, least - 1)
+    tiles = overlapping(rows.select("record_id", "row", "value"), "row", ahead=least - 1)
+    tiles = tiles.withColumn("low_", F.min("value").over(ahead)).withColumn("n_", F.count("*").over(ahead)).withColumn("ones_", F.count_if(F.col("value") == 1).over(ahead))
+    may = owned(tiles).filter((F.col("value") == 1) & (F.col("low_") >= 0) & (F.col("n_") == least)).select("record_id", "row", "ones_")
+    may = stored(may, "tiles")
     begun = spaced(may.select("record_id", "row"), ["record_id"], "row", least)
     short = may.filter(F.col("ones_") < least).select("record_id", "row").join(begun, ["record_id", "row"])
     gone = short.select("record_id", F.explode(F.sequence("row", F.col("row") + least - 1)).alias("row"), F.lit(True).alias("gone_"))
@@ -57,9 +60,11 @@ def smoothed(rows: DataFrame, least: int = 3) -> DataFrame:
 
 def block_starts(rows: DataFrame, least: int = 3, jump: int = 60) -> DataFrame:
     """(record_id, start_row): from the left, rows that begin ``least`` ones, each at least ``jump`` after the one before."""
-    full = F.sum((F.col("value") == 1).cast("int")).over(_by_row().rowsBetween(0, least - 1)) == least
-    starts = rows.withColumn("full_", full).filter("full_").select("record_id", "row")
-    return spaced(starts, ["record_id"], "row", jump).withColumnRenamed("row", "start_row")
+    ahead = Window.partitionBy("record_id", "chunk_").orderBy("row").rowsBetween(0, least - 1)
+    near = overlapping(rows.select("record_id", "row", "value"), "row", ahead=least - 1)
+    full = F.sum((F.col("value") == 1).cast("int")).over(ahead) == least
+    starts = owned(near.withColumn("full_", full)).filter("full_").select("record_id", "row")
+    return spaced(stored(starts, "starts"), ["record_id"], "row", jump).withColumnRenamed("row", "start_row")
 
 
 def detections(starts: DataFrame, record_start: Column | None = None, row_s: int = 5, length_s: int = 300) -> DataFrame:

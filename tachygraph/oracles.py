@@ -18,7 +18,7 @@ rr as (select record_id, event_id, event_type, seq, right_ms - rr_ms as left_ms,
          (sum(rr_ms) over (partition by record_id order by ts, event_id rows unbounded preceding))::bigint as right_ms from cut_))"""
 
 
-def _windows(w: int) -> str:
+def windows_sql(w: int) -> str:
     return f"""
 n_ as (select record_id, greatest((max(right_ms) // 1000 - {w}) // 5, 1)::bigint as rows from rr group by record_id),
 win as (select record_id, u.row, u.row * 5000 as a, u.row * 5000 + {w * 1000} as z from n_, unnest(range(rows)) as u(row)),
@@ -46,11 +46,11 @@ sd_ as (select record_id, row, n_beats, sd_d / sqrt(2) as sd1, case when 2 * sd
         from base join xs using (record_id, row) left join fil using (record_id, row)),
 csi_ as (select *, sd2 / nullif(sd1, 0) as csi, pow(4 * sd2, 2) / nullif(4 * sd1, 0) as csim, f2 / nullif(f1, 0) as fcsi, pow(4 * f2, 2) / nullif(4 * f1, 0) as fcsim from sd_)"""
 
-_PEAKS = """
+PEAKS_SQL = """
 pk as (select record_id, event_id, right_ms as t from rr),
 inp as (select record_id, u.row, t from pk, unnest(range(greatest(t // 5000 - 3, 0), t // 5000 + 2)) as u(row) where u.row * 5000 < t and t < u.row * 5000 + 10000)"""
 
-_RULES = """
+RULES_SQL = """
 gp as (select record_id, row, t, t - lag(t) over (partition by record_id, row order by t) as gap from inp),
 rules as (select record_id, row, count(*) as n, avg(case when gap is not null then 60000.0 / greatest(gap, 1e-6) end) as mean_rate, max(gap)::double as longest, min(gap)::double as shortest from gp group by record_id, row),
 q as (select *, case when n < 3 or mean_rate <= 40 or mean_rate >= 180 or longest > 3000 or longest / greatest(shortest, 1e-6) >= 2.2 then 0.0 else 100.0 end::double as quality from rules)"""
@@ -71,20 +71,20 @@ n_ as (select record_id, greatest((max(right_ms) // 1000 - 30) // 5, 1)::bigint
 sr as (select record_id, u.row, u.row % 29 <> 0 as valid, case when u.row % 13 = 0 then 0 when ((u.row // 5) * 2654435761 + record_id * 97) % 1000 >= 450 then 1 else 0 end as hit from n_, unnest(range(rows)) as u(row)),
 v0 as (select record_id, row, case when valid then hit else -1 end as value from sr)"""
 
-_FILL = """
+FILL_SQL = """
 lists as (select record_id, list(value order by row) as l from v0 group by record_id),
 ones as (select record_id, row, lead(row) over (partition by record_id order by row) as nxt from v0 where value = 1),
 gap as (select record_id, row as a, nxt as z from ones where nxt - row between 2 and 3 and not exists (select 1 from v0 where v0.record_id = ones.record_id and v0.row > ones.row and v0.row < ones.nxt and v0.value = -1)),
 v1 as (select v0.record_id, v0.row, case when v0.value = 0 and exists (select 1 from gap where gap.record_id = v0.record_id and v0.row > a and v0.row < z) then 1 else v0.value end as value from v0)"""
 
-_SMOOTH = """
+SMOOTH_SQL = """
 runs as (select record_id, min(row) as s, count(*) as l from (select record_id, row, row - row_number() over (partition by record_id order by row) as g from v1 where value = 1) group by record_id, g),
 tails as (select record_id, s + 3 * (l // 3) as a, s + l - 1 as z from runs where l % 3 <> 0),
 gone as (select t.record_id, t.a, t.z from tails t join (select record_id, max(row) as e from v1 group by 1) m using (record_id) where t.a + 2 <= m.e
          and not exists (select 1 from v1 where v1.record_id = t.record_id and v1.row between t.a and t.a + 2 and v1.value = -1)),
 v2 as (select record_id, row, case when exists (select 1 from gone g where g.record_id = v1.record_id and v1.row between g.a and g.z) then 0 else value end as value from v1)"""
 
-_BLOCKS = """
+BLOCKS_SQL = """
 cand as (select record_id, list(row order by row) as l from (select record_id, row from (select record_id, row, value, lead(value, 1) over w as b, lead(value, 2) over w as c from v2 window w as (partition by record_id order by row)) where value = 1 and b = 1 and c = 1) group by record_id),
 blocks as (select record_id, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: case when x[1] >= acc[-1] + 60 then list_concat(acc, x) else acc end)) as start_row from cand)"""
 
@@ -154,24 +154,24 @@ ORACLES: dict[str, str] = {
     "seizures_of_record": _with(_CAT, _BUILD) + ' select record_id, cat.seizure_id, e.ts as onset, e.ts + interval 60 seconds as "offset", true as has_valid_data, true as is_event from built join cat using (patient_id, record_start) left join events e on e.event_id * 3 = cat.seizure_id',
     "patient_of_samples": _with(_CAT, _BUILD) + " select record_id, cat.seizure_id, patient_id from built join cat using (patient_id, record_start)",
     "window_counts": _with(_RR) + " select record_id, greatest((max(right_ms) // 1000 - w) // 5, 1)::bigint as rows, w from rr, unnest([30, 60, 300]) as u(w) group by record_id, w",
-    "features_30": _with(_RR, _windows(30), _F) + " select record_id, row, n_beats, " + _r("avg", "sd", "rmssd", "rmssd_dt", "skew", "kurt") + ", round(nnx::double / nullif(n_beats - 1, 0), 6) as pnnx, nnx, " + _r("triangular_index", "quantile_25", "quantile_50", "quantile_75", "variance") + " from base left join det using (record_id, row) left join his using (record_id, row)",
-    "features_60": _with(_RR, _windows(60), _F, _F60) + " select record_id, row, n_beats, " + _r("csi", "csim") + ", round(case when sd1 * sd2 > 0 then log10(16 * sd1 * sd2) end, 6) as cvi, " + _r("sd1", "sd2") + ", round(slope * csi, 6) as csi_slope, round(slope * csim, 6) as csim_slope, round(fcsi, 6) as csi_filtered, round(fcsim, 6) as csim_filtered, round(slope * fcsi, 6) as csi_filtered_slope, round(slope * fcsim, 6) as csim_filtered_slope, round(hr, 6) as hr_diff, round(hr * slope, 6) as hr_diff_slope, round(hrf, 6) as hr_diff_filtered, round(hrf * slope, 6) as hr_diff_filtered_slope from csi_",
-    "feature_steps": _with(_RR, _windows(30)) + ", f as (select record_id, row, avg(x) as avg from inw group by 1, 2), s as (select record_id, row, avg(avg) over w as mean_avg, count(*) over w as n_steps from f window w as (partition by record_id order by row rows between current row and 54 following)) select record_id, row, n_steps::int as n_steps, round(mean_avg, 6) as mean_avg from s where n_steps = 55",
+    "features_30": _with(_RR, windows_sql(30), _F) + " select record_id, row, n_beats, " + _r("avg", "sd", "rmssd", "rmssd_dt", "skew", "kurt") + ", round(nnx::double / nullif(n_beats - 1, 0), 6) as pnnx, nnx, " + _r("triangular_index", "quantile_25", "quantile_50", "quantile_75", "variance") + " from base left join det using (record_id, row) left join his using (record_id, row)",
+    "features_60": _with(_RR, windows_sql(60), _F, _F60) + " select record_id, row, n_beats, " + _r("csi", "csim") + ", round(case when sd1 * sd2 > 0 then log10(16 * sd1 * sd2) end, 6) as cvi, " + _r("sd1", "sd2") + ", round(slope * csi, 6) as csi_slope, round(slope * csim, 6) as csim_slope, round(fcsi, 6) as csi_filtered, round(fcsim, 6) as csim_filtered, round(slope * fcsi, 6) as csi_filtered_slope, round(slope * fcsim, 6) as csim_filtered_slope, round(hr, 6) as hr_diff, round(hr * slope, 6) as hr_diff_slope, round(hrf, 6) as hr_diff_filtered, round(hrf * slope, 6) as hr_diff_filtered_slope from csi_",
+    "feature_steps": _with(_RR, windows_sql(30)) + ", f as (select record_id, row, avg(x) as avg from inw group by 1, 2), s as (select record_id, row, avg(avg) over w as mean_avg, count(*) over w as n_steps from f window w as (partition by record_id order by row rows between current row and 54 following)) select record_id, row, n_steps::int as n_steps, round(mean_avg, 6) as mean_avg from s where n_steps = 55",
     "row_clock": "select event_id, row, timestamp '2024-01-01 00:00:00' + to_seconds(row * 5) as row_ts from (select event_id, epoch(ts - timestamp '2024-01-01 00:00:00')::bigint // 5 as row from (select event_id, date_trunc('second', ts) as ts from events))",
     "median_filter": _with(_RR) + " select record_id, seq, m as med from (select record_id, seq, quantile_cont(rr_ms, 0.5) over (partition by record_id order by seq rows 6 preceding) as m from rr) where seq >= 6",
-    "peak_segments": _with(_RR, _PEAKS) + " select record_id, row, count(*) as n, sum(t)::bigint as sum_ms from inp group by 1, 2",
-    "quality_rules": _with(_DIRTY, _PEAKS, _RULES) + " select record_id, row, n, " + _r("mean_rate", "longest", "shortest", "quality") + " from q",
-    "bsqi_match": _with(_RR, _PEAKS, _MATCH) + " select record_id, row, n1, n2, tp from mt",
-    "quality_series": _with(_DIRTY, _PEAKS, _RULES, _MATCH) + """, e as (select record_id, max(right_ms) as z from rr group by 1)
+    "peak_segments": _with(_RR, PEAKS_SQL) + " select record_id, row, count(*) as n, sum(t)::bigint as sum_ms from inp group by 1, 2",
+    "quality_rules": _with(_DIRTY, PEAKS_SQL, RULES_SQL) + " select record_id, row, n, " + _r("mean_rate", "longest", "shortest", "quality") + " from q",
+    "bsqi_match": _with(_RR, PEAKS_SQL, _MATCH) + " select record_id, row, n1, n2, tp from mt",
+    "quality_series": _with(_DIRTY, PEAKS_SQL, RULES_SQL, _MATCH) + """, e as (select record_id, max(right_ms) as z from rr group by 1)
       select record_id, row, case when n1 < 3 or n2 < 3 or mean_rate <= 40 or mean_rate >= 180 or longest > 3000 or longest / greatest(shortest, 1e-6) >= 2.2 then 0.0 else round(100 * tp::double / (n1 + n2 - tp), 2) end::double as quality
       from mt left join (select record_id, row, mean_rate, longest, shortest from rules) using (record_id, row) join e using (record_id) where row * 5000 < z - 10000""",
     "bsqi_score": """with e as (select event_id, event_id % 7 as tp, event_id % 7 + event_id % 3 as n1, event_id % 7 + event_id % 5 as n2 from events)
       select event_id, round(case when n1 = 0 or n2 = 0 then 0 else tp * 100.0::double / n1 end, 6) as simple, round(case when n1 = 0 or n2 = 0 then 0 else 2.0::double * tp / (n1 + n2) end, 6) as matching, round(case when n1 = 0 or n2 = 0 then 0 else tp::double / (n1 + n2 - tp) end, 6) as n_double from e""",
-    "quality_300s": _with(_DIRTY, _PEAKS, _RULES) + """, m as (select record_id, row, avg(quality) over (partition by record_id order by row rows between current row and 59 following) as mean_, max(row) over (partition by record_id) + 1 as n_ from q)
+    "quality_300s": _with(_DIRTY, PEAKS_SQL, RULES_SQL) + """, m as (select record_id, row, avg(quality) over (partition by record_id order by row rows between current row and 59 following) as mean_, max(row) over (partition by record_id) + 1 as n_ from q)
       select q.record_id, q.row, round(coalesce(m.mean_, 0), 6) as quality from q left join (select record_id, row + 1 as row, mean_ from m where row <= n_ - 61) m using (record_id, row)""",
-    "quality_binary": _with(_DIRTY, _PEAKS, _RULES) + " select record_id, row, coalesce(mean_rate > 40 and mean_rate < 180 and longest <= 3000 and longest / greatest(shortest, 1e-6) < 2.2, false)::int as good from rules",
-    "quality_fraction": _with(_DIRTY, _PEAKS, _RULES) + ", g as (select record_id, row, coalesce(mean_rate > 40 and mean_rate < 180 and longest <= 3000 and longest / greatest(shortest, 1e-6) < 2.2, false)::int as good from rules), f as (select record_id, row, avg(good) over w as fraction, count(*) over w as n from g window w as (partition by record_id order by row rows 59 preceding)) select record_id, row, round(fraction, 6) as fraction from f where n = 60",
-    "deficiency": _with(_DIRTY, _PEAKS, _RULES) + ", i as (select record_id, row - row_number() over (partition by record_id order by row) as g from q where quality < 75), l as (select record_id, sum((n - 1) * 5 + 300)::bigint as s from (select record_id, g, count(*) as n from i group by 1, 2) group by 1) select record_id, coalesce(s, 0) as deficiency_s from (select distinct record_id from q) left join l using (record_id)",
+    "quality_binary": _with(_DIRTY, PEAKS_SQL, RULES_SQL) + " select record_id, row, coalesce(mean_rate > 40 and mean_rate < 180 and longest <= 3000 and longest / greatest(shortest, 1e-6) < 2.2, false)::int as good from rules",
+    "quality_fraction": _with(_DIRTY, PEAKS_SQL, RULES_SQL) + ", g as (select record_id, row, coalesce(mean_rate > 40 and mean_rate < 180 and longest <= 3000 and longest / greatest(shortest, 1e-6) < 2.2, false)::int as good from rules), f as (select record_id, row, avg(good) over w as fraction, count(*) over w as n from g window w as (partition by record_id order by row rows 59 preceding)) select record_id, row, round(fraction, 6) as fraction from f where n = 60",
+    "deficiency": _with(_DIRTY, PEAKS_SQL, RULES_SQL) + ", i as (select record_id, row - row_number() over (partition by record_id order by row) as g from q where quality < 75), l as (select record_id, sum((n - 1) * 5 + 300)::bigint as s from (select record_id, g, count(*) as n from i group by 1, 2) group by 1) select record_id, coalesce(s, 0) as deficiency_s from (select distinct record_id from q) left join l using (record_id)",
     "time_pairs": _with(_DIRTY) + """, b as (select record_id, left_ms / 1000.0 as t from rr where rr_ms > 2500), c as (select *, count(*) over (partition by record_id) as n from b),
       s as (select *, sum(f) over (partition by record_id order by t) as g from (select *, case when t - lag(t) over (partition by record_id order by t) <= 5 then 0 else 1 end as f from c where n >= 2)),
       p as (select record_id, min(t) - 60 as a, max(t) + 300 as z from s group by record_id, g), m as (select *, max(z) over (partition by record_id order by a, z rows between unbounded preceding and 1 preceding) as r from p),
@@ -199,29 +199,29 @@ ORACLES: dict[str, str] = {
       select record_id, round(ev, 3) as t_s, round(coalesce(sum(case when idx >= lo + 7 then exp(-0.02 * (ev - t)) * lf end), 0), 4) as loglik from p group by record_id, ev""",
     "corrected_samples": _with(_RR) + " select record_id, seq, floor(right_ms / 1000.0::double * 250)::bigint as sample from rr",
     "record_filter": _with(_RR) + " select record_id, seq, rr_ms from rr where record_id = 2",
-    "prediction_rows": _with(_DIRTY, _windows(30), _PEAKS, _RULES, _TABLE) + " select record_id, row, round(avg, 6) as avg from tab where quality >= 75",
-    "event_filter": _with(_RR, _windows(30)) + ", f as (select record_id, row, avg(x) as avg from inw group by 1, 2), s as (select record_id, row, avg((60000.0 / avg > 71.0)::int) over w as share, count(*) over w as n from f window w as (partition by record_id order by row rows between current row and 54 following)) select record_id, row, share > 0.5 as is_event from s where n = 55",
-    "sampling_windows": _with(_DIRTY, _windows(30), _PEAKS, _RULES, _TABLE) + ', a as (select record_id, event_id as seizure_id, left_ms // 5000 as row from rr where event_type = \'error\') select a.record_id, tab.row, w as "window", seizure_id from a, unnest([-6, -3, 0]) as u(w), tab where tab.record_id = a.record_id and tab.row = a.row + w and quality >= 75 and is_event',
-    "seizure_samples": _with(_DIRTY, _windows(30), _PEAKS, _RULES, _TABLE) + ', a as (select record_id, event_id as seizure_id, left_ms // 5000 as row from rr where event_type = \'error\') select a.record_id, tab.row, w as "window", seizure_id, 1 as label from a, unnest([-2, -1, 0]) as u(w), tab where tab.record_id = a.record_id and tab.row = a.row + w and quality >= 75 and is_event',
-    "regular_samples": _with(_DIRTY, _windows(30), _PEAKS, _RULES, _TABLE) + """, o as (select *, row_number() over (order by record_id, md5('42:' || record_id || ':' || row), row) as k from tab where without_seizure and quality >= 75)
+    "prediction_rows": _with(_DIRTY, windows_sql(30), PEAKS_SQL, RULES_SQL, _TABLE) + " select record_id, row, round(avg, 6) as avg from tab where quality >= 75",
+    "event_filter": _with(_RR, windows_sql(30)) + ", f as (select record_id, row, avg(x) as avg from inw group by 1, 2), s as (select record_id, row, avg((60000.0 / avg > 71.0)::int) over w as share, count(*) over w as n from f window w as (partition by record_id order by row rows between current row and 54 following)) select record_id, row, share > 0.5 as is_event from s where n = 55",
+    "sampling_windows": _with(_DIRTY, windows_sql(30), PEAKS_SQL, RULES_SQL, _TABLE) + ', a as (select record_id, event_id as seizure_id, left_ms // 5000 as row from rr where event_type = \'error\') select a.record_id, tab.row, w as "window", seizure_id from a, unnest([-6, -3, 0]) as u(w), tab where tab.record_id = a.record_id and tab.row = a.row + w and quality >= 75 and is_event',
+    "seizure_samples": _with(_DIRTY, windows_sql(30), PEAKS_SQL, RULES_SQL, _TABLE) + ', a as (select record_id, event_id as seizure_id, left_ms // 5000 as row from rr where event_type = \'error\') select a.record_id, tab.row, w as "window", seizure_id, 1 as label from a, unnest([-2, -1, 0]) as u(w), tab where tab.record_id = a.record_id and tab.row = a.row + w and quality >= 75 and is_event',
+    "regular_samples": _with(_DIRTY, windows_sql(30), PEAKS_SQL, RULES_SQL, _TABLE) + """, o as (select *, row_number() over (order by record_id, md5('42:' || record_id || ':' || row), row) as k from tab where without_seizure and quality >= 75)
       select record_id, row, 0 as "window", 0 as label from o where k <= 300""",
-    "training_set": _with(_DIRTY, _windows(30), _PEAKS, _RULES, _TABLE) + """, a as (select record_id, event_id as seizure_id, left_ms // 5000 as row from rr where event_type = 'error'),
+    "training_set": _with(_DIRTY, windows_sql(30), PEAKS_SQL, RULES_SQL, _TABLE) + """, a as (select record_id, event_id as seizure_id, left_ms // 5000 as row from rr where event_type = 'error'),
       pos as (select a.record_id, tab.row, 1 as label from a, unnest([-1, 0]) as u(w), tab where tab.record_id = a.record_id and tab.row = a.row + w and quality >= 75 and is_event),
       neg as (select record_id, row, 0 as label from (select *, row_number() over (order by record_id, md5('42:' || record_id || ':' || row), row) as k from tab where without_seizure and quality >= 75) where k <= floor(0.5 * (select count(*) from pos)))
       select record_id + 100 as patient_id, label, count(*) as n, sum(row)::bigint as rows from (select * from pos union all select * from neg) group by 1, 2""",
-    "robust_scale": _with(_RR, _windows(30), _F) + ", z as (select median(avg) as a0, quantile_cont(avg, .75) - quantile_cont(avg, .25) as a1, median(sd) as s0, quantile_cont(sd, .75) - quantile_cont(sd, .25) as s1, median(rmssd) as r0, quantile_cont(rmssd, .75) - quantile_cont(rmssd, .25) as r1 from base) select record_id, row, round((avg - a0) / a1, 6) as avg, round((sd - s0) / s1, 6) as sd, round((rmssd - r0) / r1, 6) as rmssd from base, z",
+    "robust_scale": _with(_RR, windows_sql(30), _F) + ", z as (select median(avg) as a0, quantile_cont(avg, .75) - quantile_cont(avg, .25) as a1, median(sd) as s0, quantile_cont(sd, .75) - quantile_cont(sd, .25) as s1, median(rmssd) as r0, quantile_cont(rmssd, .75) - quantile_cont(rmssd, .25) as r1 from base) select record_id, row, round((avg - a0) / a1, 6) as avg, round((sd - s0) / s1, 6) as sd, round((rmssd - r0) / r1, 6) as rmssd from base, z",
     "weighted_bce": "select user_id, round(avg((greatest(z, 0) - z * y + ln(1 + exp(-abs(z)))) * case when y = 1 then 5.0 else 1.0 end), 6) as loss from (select user_id, (value - 245) / 100 as z, (event_type = 'error')::int as y from events) group by 1",
     "window_sensitivity": "select user_id, coalesce(round(count(*) filter (1 / (1 + exp(-z)) > 0.5 and y = 1)::double / nullif(count(*) filter (y = 1), 0), 3), 0) as sensitivity from (select user_id, (value - 245) / 100 as z, (event_type = 'error')::int as y from events) group by 1",
     "legacy_scores": "select event_id, round(1 / (1 + exp(-(1 / (1 + exp(-(value - 245) / 100))))), 6) as score from events",
     "pareto_trials": "with t as (select user_id, floor(avg(value))::bigint as \"Total_Sensitivity\", count(*) as \"Total_FAR\" from events group by 1) select * from t where not exists (select 1 from t o where o.\"Total_Sensitivity\" >= t.\"Total_Sensitivity\" and o.\"Total_FAR\" <= t.\"Total_FAR\" and (o.\"Total_Sensitivity\" > t.\"Total_Sensitivity\" or o.\"Total_FAR\" < t.\"Total_FAR\"))",
     "threshold": "select event_id, case when 1 / (1 + exp(-(value - 245) / 100)) >= 0.5 then 1 else 0 end as value from events",
     "chain_scatter": _with(_RR, _SCORE) + " select record_id, row, value::int as value from v0",
-    "gap_fill": _with(_RR, _SCORE, _FILL) + " select record_id, row, value::int as value from v1",
-    "smooth_runs": _with(_RR, _SCORE, _FILL, _SMOOTH) + " select record_id, row, value::int as value from v2",
-    "detection_blocks": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + " select record_id, start_row from blocks",
-    "detections": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + " select record_id, start_row * 5 as start_s, start_row * 5 + 300 as end_s from blocks",
-    "detections_e2e": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + " select record_id, start_row * 5 as start_s, start_row * 5 + 300 as end_s from blocks",
-    "evaluation_e2e": _with(_RR, _SCORE, _FILL, _SMOOTH, _BLOCKS) + """, d as (select record_id, start_row * 5000 as ms from blocks), o as (select event_id, record_id, record_id % 2 as patient_id, left_ms from rr where event_type = 'error'),
+    "gap_fill": _with(_RR, _SCORE, FILL_SQL) + " select record_id, row, value::int as value from v1",
+    "smooth_runs": _with(_RR, _SCORE, FILL_SQL, SMOOTH_SQL) + " select record_id, row, value::int as value from v2",
+    "detection_blocks": _with(_RR, _SCORE, FILL_SQL, SMOOTH_SQL, BLOCKS_SQL) + " select record_id, start_row from blocks",
+    "detections": _with(_RR, _SCORE, FILL_SQL, SMOOTH_SQL, BLOCKS_SQL) + " select record_id, start_row * 5 as start_s, start_row * 5 + 300 as end_s from blocks",
+    "detections_e2e": _with(_RR, _SCORE, FILL_SQL, SMOOTH_SQL, BLOCKS_SQL) + " select record_id, start_row * 5 as start_s, start_row * 5 + 300 as end_s from blocks",
+    "evaluation_e2e": _with(_RR, _SCORE, FILL_SQL, SMOOTH_SQL, BLOCKS_SQL) + """, d as (select record_id, start_row * 5000 as ms from blocks), o as (select event_id, record_id, record_id % 2 as patient_id, left_ms from rr where event_type = 'error'),
       h as (select patient_id, exists (select 1 from d where d.record_id = o.record_id and abs(d.ms - o.left_ms) <= 300000) as hit from o),
       sp as (select patient_id, count(*) filter (hit) as n_tp, count(*) filter (not hit) as n_fn from h group by 1),
       fp as (select record_id % 2 as patient_id, count(*) as n_fp from d where not exists (select 1 from o where o.record_id = d.record_id and abs(d.ms - o.left_ms) <= 300000) group by 1),
@@ -251,7 +251,7 @@ ORACLES: dict[str, str] = {
       x as (select *, sum(case when a <= r then 0 else 1 end) over (partition by record_id order by a, z) as k from m), y as (select record_id, k, min(a) as a, max(z) as z from x group by record_id, k),
       i as (select *, row_number() over (partition by record_id order by a) - 1 as segment_id from y)
       select i.record_id, segment_id, which, round(mid, 6) as mid, round(r, 6) as rr from i join c0 on c0.record_id = i.record_id and mid > a and mid < z""",
-    "filter_table": _with(_DIRTY, _PEAKS, _RULES) + """, m as (select record_id, row, avg(quality) over (partition by record_id order by row rows between current row and 59 following) as mean_, max(row) over (partition by record_id) + 1 as n_ from q),
+    "filter_table": _with(_DIRTY, PEAKS_SQL, RULES_SQL) + """, m as (select record_id, row, avg(quality) over (partition by record_id order by row rows between current row and 59 following) as mean_, max(row) over (partition by record_id) + 1 as n_ from q),
       q3 as (select q.record_id, q.row, coalesce(m.mean_, 0) as quality from q left join (select record_id, row + 1 as row, mean_ from m where row <= n_ - 61) m using (record_id, row)),
       n3 as (select record_id, greatest((max(right_ms) // 1000 - 300) // 5, 1)::bigint as rows from rr group by record_id), w3 as (select record_id, u.row from n3, unnest(range(rows)) as u(row))
       select record_id, row, true as without_nan, true as without_seizure, false as label_seizures, true as event_filter_0, true as event_filter_1, round(coalesce(quality, 0), 6) as quality from w3 left join q3 using (record_id, row)""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tachygraph.functions import point_process, scalars
 from tachygraph.functions.registry import FEATURES, FEATURES_30, FEATURES_60, feature_to_index, index_to_feature
-from tachygraph.operators import correction, detect, evaluate, features, intervals, models, quality, records, rr, sampling
+from tachygraph.operators import correction, detect, evaluate, features, intervals, models, quality, records, rr, sampling, scans
 from tachygraph.operators.peaks import auto_label
 from tachygraph.plans.evaluation import evaluate as evaluate_plan
 from tachygraph.plans.study import pareto, run_study
@@ -534,12 +534,14 @@ def _score_rows(spark, sf_dir):
     return fixtures.scored_rows(fixtures.rr(spark, sf_dir))
 
 
-def _scattered(spark, sf_dir):
-    from pyspark.sql.window import Window
+def _scores_in_order(rows, name):
+    """(record_id, i, ``name``): the scores of the valid rows, numbered."""
+    return scans.numbered(rows.filter("valid").select("record_id", "row", F.col("hit").alias(name)), ["record_id"], "row", "i").drop("row")
+
 
+def _scattered(spark, sf_dir):
     rows = _score_rows(spark, sf_dir)
-    ranked = rows.filter("valid").select("record_id", (F.row_number().over(Window.partitionBy("record_id").orderBy("row")) - 1).cast("long").alias("i"), F.col("hit").alias("value"))
-    return detect.scattered(rows, ranked, F.col("valid"))
+    return detect.scattered(rows, _scores_in_order(rows, "value"), F.col("valid"))
 
 
 @query
@@ -574,11 +576,8 @@ def detections(spark, sf_dir):
 
 @query
 def detections_e2e(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     rows = _score_rows(spark, sf_dir)
-    scores = rows.filter("valid").select("record_id", (F.row_number().over(Window.partitionBy("record_id").orderBy("row")) - 1).cast("long").alias("i"), F.col("hit").alias("score"))
-    return detect.detect(rows, scores, F.col("valid"), 0.5)
+    return detect.detect(rows, _scores_in_order(rows, "score"), F.col("valid"), 0.5)
 
 
 @query
@@ -655,9 +654,7 @@ def cohort_metrics(spark, sf_dir):
 def evaluation_e2e(spark, sf_dir):
     beats = fixtures.rr(spark, sf_dir)
     rows = fixtures.scored_rows(beats).withColumn("quality", F.when(F.col("valid"), 100).otherwise(0))
-    from pyspark.sql.window import Window
-
-    scores = rows.filter("valid").select("record_id", (F.row_number().over(Window.partitionBy("record_id").orderBy("row")) - 1).cast("long").alias("i"), F.col("hit").alias("score"))
+    scores = _scores_in_order(rows, "score")
     onsets = beats.filter("event_type = 'error'").select(F.col("event_id").alias("onset_id"), "record_id", (F.col("record_id") % 2).alias("patient_id"), F.col("left_ms").alias("onset_ms"))
     recs = rr.durations(beats).select("record_id", (F.col("record_id") % 2).alias("patient_id"), F.col("duration_s").alias("record_duration_s"))
     return _rounded(evaluate_plan(rows, scores, onsets, recs, F.col("valid"), 0.5, 50)["patients"])
