@@ -154,7 +154,8 @@ def prefix_trie(rows: DataFrame) -> DataFrame:
     convs, turns = rebuilt(ranked(rows))
     longest = convs.agg(F.max("length")).first()[0] or 0
     levels = blocks(turns, longest) if longest else []
-    paths = prefixes(convs, levels)
+    #: One table, so that later plans hold one scan and not one for each round.
+    paths = table(prefixes(convs, levels), "paths")
     nodes = table(paths.groupBy("node").agg(F.count("*").alias("n_convs"), F.min("conv_id").alias("owner"), F.min("depth").alias("depth")), "nodes")
 
     #: The first own node of a conversation hangs on another one's.
