@@ -2,13 +2,14 @@
 
 1. Windows: every 13 words on end of an item, or all words of a shorter one.
 2. Counts: how often each word of the items stands in the documents (all of them).
-3. Index: postings (term, text, position) of the probe terms: for each window, its rarest and its second rarest term.
-4. Intersection: a posting less the term's offset in the window is where the window would begin. Begins that both lists
-   share are candidates of an exact phrase; begins that differ by SLOP words at most are candidates of a proximity match.
+3. Index: postings (term, text, position) of the probe terms: for each window, its PROBES rarest terms of those that the documents hold.
+4. Intersection: a posting less the term's offset in the window is where the window would begin. Begins that all its lists
+   share are candidates of an exact phrase; begins of two lists that differ by SLOP words at most are candidates of a proximity match. So a match
+   may lack two of the probe terms: a window of 13 words that has NEAR_PERCENT of them in order is always met.
 5. Confirmation, on the document's whole text: an exact phrase has the window's words, one by one. A proximity match has
    NEAR_PERCENT of the window's distinct words, in any order, in the window's place and SLOP words before and after it.
 
-The index folds case wholly, which finds more; step 5 folds A-Z only and decides. Postings name a text by a hash of 64 bits, so
+All steps fold A-Z only. Postings name a text by a hash of 64 bits, so
 copies share them; step 5 tells texts apart by SHA-256. The largest lists are those of the rarest terms of windows, and a
 task holds one document's candidates at most. Proximity matches are counted in ``n_near``; only exact phrases contaminate.
 
@@ -26,6 +27,8 @@ from tachygraph.llm.scratch import is_small, small, table
 from tachygraph.llm.textwords import ANY_CASE_INDEX_GAP, INDEX_GAP, count_pieces, lower_ascii
 
 WINDOW = 13
+#: Terms of a window whose lists are asked for; two of them must agree.
+PROBES = 4
 #: Words by which a proximity match may be displaced, and the hundredths of a window's distinct words that it must have.
 SLOP = 3
 NEAR_PERCENT = 80
@@ -43,10 +46,10 @@ def _words(text: Column) -> Column:
 
 
 def _folded_tokens(docs: DataFrame) -> DataFrame:
-    """(tid, pos, term) of each word, case folded wholly; ``tid`` is the text's hash."""
+    """(tid, pos, term) of each word, A-Z folded; ``tid`` is the text's hash."""
     #: A text that begins with a break has an empty first piece.
     shift = F.when(F.col("text").rlike("^" + ANY_CASE_INDEX_GAP), 1).otherwise(0)
-    rows = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid"), shift.alias("shift"), F.split(F.lower("text"), INDEX_GAP).alias("words"))
+    rows = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid"), shift.alias("shift"), F.split(lower_ascii(F.col("text")), INDEX_GAP).alias("words"))
     return rows.select("tid", "shift", F.posexplode("words").alias("pos", "term")).select("tid", (F.col("pos") - F.col("shift")).alias("pos"), "term")
 
 
@@ -71,33 +74,34 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def probes(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """(wid, rank, term, offset, lists): the rarest term of each window (rank 1) and the rarest at another place (rank 2), and how many of them there are."""
-    terms = wins.select("wid", F.posexplode("words").alias("offset", "word")).select("wid", "offset", F.lower("word").alias("term"))
-    rated = terms.join(small(counts), "term", "left").select("wid", "offset", "term", F.coalesce("n", F.lit(0)).alias("n"))
-    ranked = rated.groupBy("wid").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))), 1, 2).alias("best"))
+    """(wid, rank, term, offset, lists): the PROBES places of each window whose terms are rarest in the documents, from rank 1, and how many there are.
+
+    Terms that the documents lack have no list; a window of such terms only has no probes, and no match.
+    """
+    terms = wins.select("wid", F.posexplode("words").alias("offset", "term"))
+    rated = terms.join(small(counts), "term").select("wid", "offset", "term", "n")
+    ranked = rated.groupBy("wid").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))), 1, PROBES).alias("best"))
     ranked = ranked.select("wid", F.size("best").alias("lists"), F.posexplode("best").alias("rank", "x"))
     return ranked.select("wid", (F.col("rank") + 1).alias("rank"), "x.term", "x.offset", "lists")
 
 
 def candidates(postings: DataFrame, rare: DataFrame, slop: int = SLOP) -> DataFrame:
-    """(tid, wid, begin, exact): where a window's two probe terms stand in ``slop`` words more or less of their distance, and whether in just that.
+    """(tid, wid, begin, exact): where two of a window's probe terms stand in ``slop`` words more or less of their distance, and whether all stand in just that.
 
-    Places are dealt into blocks of BLOCK words, the first term's also into the next block where it is near an edge. A window of one
-    term is found by that.
+    Places are dealt into blocks of BLOCK words, and into the next block too where they are near an edge. A window of one term is
+    found by that.
     """
     near = postings.join(small(rare), "term").select("tid", "wid", "rank", "lists", (F.col("pos") - F.col("offset")).alias("begin"))
     block = lambda x: F.floor(x / BLOCK)
     #: One shuffle, on the window and the block; a block holds a few places of one text.
-    blocks = F.when(F.col("rank") == 1, F.array_distinct(F.array(block(F.col("begin") - slop), block(F.col("begin") + slop)))).otherwise(F.array(block(F.col("begin"))))
+    blocks = F.array_distinct(F.array(block(F.col("begin")), block(F.col("begin") + slop)))
     alone = near.filter("lists = 1").select("tid", "wid", "begin", F.lit(True).alias("exact"))
-    two = near.filter("lists = 2").select("tid", "wid", "rank", "begin", F.explode(blocks).alias("block"))
-    ends = two.groupBy("tid", "wid", "block").agg(
-        F.collect_list(F.when(F.col("rank") == 1, F.col("begin"))).alias("one"), F.array_sort(F.collect_list(F.when(F.col("rank") == 2, F.col("begin")))).alias("other"),
-    )
-    ends = ends.filter("size(one) > 0 and size(other) > 0").select("tid", "wid", "other", F.explode("one").alias("begin"))
-    close = F.filter("other", lambda x: F.abs(x - F.col("begin")) <= slop)
-    met = ends.select("tid", "wid", "begin", close.alias("close")).filter("size(close) > 0")
-    met = met.groupBy("tid", "wid", "begin").agg(F.max(F.array_contains("close", F.col("begin"))).alias("exact"))
+    more = near.filter("lists > 1").select("tid", "wid", "rank", "lists", "begin", F.explode(blocks).alias("block"))
+    held = more.groupBy("tid", "wid", "block").agg(F.first("lists").alias("lists"), F.collect_set(F.struct("begin", "rank")).alias("xs")).filter("size(xs) > 1")
+    agrees = lambda x: F.exists("xs", lambda y: (y["rank"] != x["rank"]) & (F.abs(y["begin"] - x["begin"]) <= slop))
+    in_place = lambda x: F.size(F.filter("xs", lambda y: y["begin"] == x["begin"])) == F.col("lists")
+    met = F.transform(F.filter("xs", agrees), lambda x: F.struct(x["begin"].alias("begin"), in_place(x).alias("exact")))
+    met = held.select("tid", "wid", F.explode(met).alias("x")).groupBy("tid", "wid", "x.begin").agg(F.max("x.exact").alias("exact"))
     return met.unionByName(alone).select("tid", "wid", "begin", (F.col("exact") & (F.col("begin") >= 0)).alias("exact"))
 
 
@@ -105,7 +109,7 @@ def phrase_candidates(docs: DataFrame, items: DataFrame, width: int = WINDOW, sl
     """(tid, found): for each text with candidates, an array of (item_id, begin, words, exact)."""
     wins = windows(items, width)
     wins = table(wins.groupBy("item_id", "words").agg(F.min("at").alias("at")).withColumn("wid", F.xxhash64("item_id", "words")), "windows")
-    terms = table(wins.select(F.explode("words").alias("word")).select(F.lower("word").alias("term")).distinct(), "terms")
+    terms = table(wins.select(F.explode("words").alias("term")).distinct(), "terms")
     counts = table(term_counts(docs, terms), "counts")
     rare = table(probes(wins, counts), "probes")
     postings = table(index(docs, rare.select("term").distinct()), "postings")

@@ -518,8 +518,8 @@ def test_decontamination(docs, empty, bench_items):
 
 
 def test_proximity_against_plain_search(spark):
-    """Items with a proximity match: a window whose two rarest terms stand nearly at their distance, and most of whose words are there."""
-    from tachygraph.llm.decontam import NEAR_PERCENT, SLOP, candidates, contamination, index, probes, term_counts, windows
+    """Items with a proximity match: a window of which two probe terms stand nearly at their distance, and most of whose words are there."""
+    from tachygraph.llm.decontam import NEAR_PERCENT, PROBES, SLOP, candidates, contamination, index, probes, term_counts, windows
 
     rng = random.Random(23)
     vocabulary = [f"t{k}" for k in range(400)]
@@ -545,10 +545,10 @@ def test_proximity_against_plain_search(spark):
             x = text.split()
             for k in range(max(1, len(x) - 12)):
                 win = x[k : k + 13]
-                rare = sorted((n[v], v, o) for o, v in enumerate(win))[:2]
-                begins = [[p - o for p, v in enumerate(w) if v == term] for _, term, o in rare]
-                for b in begins[0]:
-                    if len(rare) == 1 or any(abs(b - c) <= SLOP for c in begins[1]):
+                rare = sorted((n[v], v, o) for o, v in enumerate(win) if n[v])[:PROBES]
+                begins = [(p - o, r) for r, (_, term, o) in enumerate(rare) for p, v in enumerate(w) if v == term]
+                for b, r in begins:
+                    if len(rare) == 1 or any(abs(b - c) <= SLOP and r != q for c, q in begins):
                         place = w[max(b - SLOP, 0) : max(0, b + len(win) + SLOP)]
                         if b + len(win) > 0 and 100 * len(set(place) & set(win)) >= NEAR_PERCENT * len(set(win)):
                             found.add(item)
@@ -565,6 +565,38 @@ def test_proximity_against_plain_search(spark):
     assert candidates(posts, rare, 5).select("tid").distinct().count() == 2
 
 
+@pytest.mark.parametrize("size", [400, 20_000])
+def test_proximity_recall(spark, size):
+    """Items that stand in one document each with one or two words replaced are found, as a search over all places would."""
+    from tachygraph.llm.decontam import contamination
+
+    rng = random.Random(size)
+    vocabulary = [f"t{k}" for k in range(size)]
+    items = [(k, " ".join(rng.sample(vocabulary, 13))) for k in range(200)]
+    rows = []
+    for k, t in items:
+        for replaced in (1, 2):
+            words = t.split()
+            for n, at in enumerate(rng.sample(range(13), replaced)):
+                words[at] = f"new{k}x{n}"
+            rows.append((2 * k + replaced - 1, " ".join([*rng.choices(vocabulary, k=20), *words, *rng.choices(vocabulary, k=20)])))
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: r[1] for r in contamination(docs, bench).select("doc.doc_id", "n_near").collect()}
+    for replaced in (1, 2):
+        assert sum(got[2 * k + replaced - 1] >= 1 for k in range(200)) >= 0.9 * 200
+
+
+def test_letters_beyond_ascii_keep_their_case(spark):
+    """The lower case of a capital sigma hangs on what stands around it, so only A-Z is folded, in documents and items alike."""
+    from tachygraph.llm.decontam import contamination
+
+    items = [(1, "ΟΔΟΣ"), (2, "ΟΔΟΣ.ΑΘΗΝΑ"), (3, "İstanbul:ÄRGER Street"), (4, "οδος")]
+    rows = [(k, t) for k, t in enumerate(["ΟΔΟΣ.ΑΘΗΝΑ", "ΟΔΟΣ ΑΘΗΝΑ", "'ΟΔΟΣ':x", "οδος", "a İstanbul ÄRGER sTREET", "a istanbul ärger street", "ΟΔΟΣΑ"])]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: tuple(r[1:]) for r in contamination(docs, bench).select("doc.doc_id", "n_hit", "n_items").collect()}
+    assert got == {0: (2, 2), 1: (2, 2), 2: (1, 1), 3: (1, 1), 4: (3, 1), 5: (0, 0), 6: (0, 0)}
+
+
 def test_texts_of_one_hash_are_told_apart(spark):
     """Two texts that share the index' hash each get their own verdict."""
     from tachygraph.llm.decontam import confirmed
