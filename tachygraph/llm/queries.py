@@ -99,13 +99,11 @@ QUERIES = {
 ORACLES = {
     "op10_line_dedup": """
 with d as (select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
-     one as (select distinct source, text from d where text is not null),
-     totals as (select source, count(*) as pages from one group by source),
-     ln as (select distinct source, text, trim(u.line) as line
-            from one, unnest(string_split(text, chr(10))) as u(line) where trim(u.line) <> ''),
+     totals as (select source, count(*) as pages from d where text is not null group by source),
+     ln as (select source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x)), lambda x: x <> ''))) as line from d where text is not null),
      freq as (select source, line, count(*) as n from ln group by source, line),
      bad as (select f.source, list(f.line) as bad from freq f join totals t on f.source is not distinct from t.source
-             where f.n > (t.pages + 100) * 0.02 group by f.source)
+             where f.n >= 2 and f.n > t.pages * 0.02 group by f.source)
 select d.doc_id, d.source,
        case when bad.bad is null then d.text
             else array_to_string(list_filter(d.lines, lambda x: trim(x) = '' or not list_contains(bad.bad, trim(x))), chr(10)) end as text,

@@ -929,24 +929,41 @@ def test_line_dedup(docs, empty):
     from tachygraph.llm.line_dedup import drop_lines
 
     rows = pairs_of(docs, "doc_id", "source", "text")
-    pages = defaultdict(set)
+    pages = defaultdict(list)
     for _, s, t in rows:
         if t is not None:
-            pages[s].add(t)
+            pages[s].append(t)
     bad = {}
     for s, texts in pages.items():
         n = Counter(x for t in texts for x in {x.strip(" ") for x in t.split("\n")} if x)
-        bad[s] = {x for x, k in n.items() if k > 0.1 * (len(texts) + 20)}
+        bad[s] = {x for x, k in n.items() if k >= 2 and k > 0.1 * len(texts)}
     want = []
     for i, s, t in rows:
         lines = None if t is None else t.split("\n")
         left = None if t is None else [x for x in lines if not x.strip(" ") or x.strip(" ") not in bad.get(s, ())]
         want.append((i, s, None if t is None else "\n".join(left), 0 if t is None else len(lines) - len(left)))
-    got = drop_lines(docs, "source", max_ratio=0.1, prior_pages=20)
+    got = drop_lines(docs, "source", max_ratio=0.1)
     assert sorted(pairs_of(got.select("doc_id", "source", "text", got.columns[-1]).toDF("doc_id", "source", "text", "n"), "doc_id", "source", "text", "n"), key=str) == sorted(want, key=str)
     assert sum(x[3] for x in want) > 0 and drop_lines(empty, "source").count() == 0
 
 
+def test_line_dedup_of_small_hosts(spark):
+    """The dealt ratio at every size: two pages that share a line lose it, one page keeps all its lines, copies are pages each."""
+    from tachygraph.llm.line_dedup import drop_lines
+
+    rows = [("two", "menu\nfirst"), ("two", " menu \nsecond\nmenu"), ("one", "menu\nmenu\nalone"), ("copies", "same\ntext"), ("copies", "same\ntext"), (None, "x"), (None, "x\ny"), ("null", None)]
+    rows += [("large", f"page {k}\n" + ("footer\n" if k < 3 else "") + ("rare" if k < 2 else "z")) for k in range(100)]
+    got = sorted(map(tuple, drop_lines(spark.createDataFrame(rows, "host string, text string"), "host").collect()), key=str)
+    assert [r for r in got if r[0] == "two"] == [("two", "first", 1), ("two", "second", 2)]
+    assert [r for r in got if r[0] == "one"] == [("one", "menu\nmenu\nalone", 0)]
+    assert [r for r in got if r[0] == "copies"] == [("copies", "", 2), ("copies", "", 2)]
+    assert [r for r in got if r[0] is None] == [(None, "", 1), (None, "y", 1)]
+    assert [r for r in got if r[0] == "null"] == [("null", None, 0)]
+    large = [r[1] for r in got if r[0] == "large"]
+    #: Three of a hundred are above 2 %, two are not.
+    assert not any("footer" in t for t in large) and sum("rare" in t for t in large) == 2 and not any("z" in t for t in large)
+
+
 # the ways beyond a broadcast
 
 
