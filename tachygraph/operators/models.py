@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.pipeline import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from tachygraph.operators.quantiles import exact_quantiles
 
 STEPS = 55
 #: The deepest trees that the forest can grow.
@@ -74,30 +74,9 @@ def create(config: ModelConfig) -> Model:
 
 
 def robust_parameters(rows: DataFrame, features: list[str], bins: int = 4096) -> DataFrame:
-    """(feature, centre, scale): median and interquartile range, exact; a range of 0 scales by 1.
-
-    Counts by equal bins between the least and the largest value tell in which bins the wanted ranks lie; only the values of those
-    bins are looked at one by one. So no task holds all values of a feature, and the result is that of a full sort.
-    """
+    """(feature, centre, scale): median and interquartile range, exact; a range of 0 scales by 1."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])).alias("x")).select("x.*")
-    long = long.filter("v is not null and not isnan(v)")
-    ends = F.broadcast(long.groupBy("feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")))
-    place = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))).otherwise(F.lit(0))
-    binned = long.join(ends, "feature").withColumn("bin", place)
-    counts = binned.groupBy("feature", "bin").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    upto = F.sum("k").over(Window.partitionBy("feature").orderBy("bin"))
-    #: For each quartile the two ranks (from 0) between which it lies, and the bins that hold them.
-    wanted = F.array(*[F.struct(
-        F.lit(q).alias("q"), (f(F.lit(q) * (F.col("n") - 1))).cast("long").alias("rank"), (F.lit(q) * (F.col("n") - 1)).alias("at"),
-    ) for q in (0.25, 0.5, 0.75) for f in (F.floor, F.ceil)])
-    holding = counts.withColumn("before", upto - F.col("k")).select("feature", "bin", "before", "k", F.explode(wanted).alias("w")).filter("w.rank >= before and w.rank < before + k")
-    holding = holding.select("feature", "bin", "w.q", "w.at", "w.rank", (F.col("w.rank") - F.col("before")).alias("inside"))
-    chosen = F.broadcast(holding.groupBy("feature", "bin").agg(F.collect_set(F.struct("q", "at", "rank", "inside")).alias("asked")))
-    order = Window.partitionBy("feature", "bin").orderBy("v")
-    found = binned.join(chosen, ["feature", "bin"]).withColumn("i", F.row_number().over(order) - 1).select("feature", "v", F.explode(F.filter("asked", lambda x: x["inside"] == F.col("i"))).alias("x"))
-    ends_of = found.groupBy("feature", "x.q").agg(F.min(F.struct("x.rank", "v")).alias("a"), F.max(F.struct("x.rank", "v")).alias("b"), F.first("x.at").alias("at"))
-    value = F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("at") - F.floor("at"))
-    q = ends_of.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct(F.col("q"), value.alias("value")))).alias("q"))
+    q = exact_quantiles(long, "feature", "v", (0.25, 0.5, 0.75), bins)
     spread = F.col("q")[F.lit(0.75)] - F.col("q")[F.lit(0.25)]
     return q.select("feature", F.col("q")[F.lit(0.5)].alias("centre"), F.when(spread == 0, 1.0).otherwise(spread).alias("scale"))
 

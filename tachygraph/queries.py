@@ -321,9 +321,8 @@ def negative_rr_audit(spark, sf_dir):
 
 @query
 def interpolated_outliers(spark, sf_dir):
-    arrays = fixtures.rr_dirty(spark, sf_dir).groupBy("record_id").agg(F.array_sort(F.collect_list((F.col("right_ms") / 1000).cast("double"))).alias("peaks"))
-    out = correction.cleaned_by_bounds(arrays)
-    return out.select("record_id", F.posexplode("peaks").alias("k", "t_s")).select("record_id", F.col("k").cast("long").alias("k"), F.round("t_s", 4).alias("t_s"))
+    beats = fixtures.rr_dirty(spark, sf_dir).select("record_id", F.col("seq").alias("idx"), (F.col("right_ms") / 1000).cast("double").alias("t_s"))
+    return correction.cleaned_by_bounds(beats).select("record_id", F.col("idx").alias("k"), F.round("t_s", 4).alias("t_s"))
 
 
 def _suspicious(spark, sf_dir):
