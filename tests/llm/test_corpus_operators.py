@@ -519,7 +519,7 @@ def test_decontamination(docs, empty, bench_items):
 
 def test_proximity_against_plain_search(spark):
     """Items with a proximity match: a window of which two probe terms stand nearly at their distance, and most of whose words are there."""
-    from tachygraph.llm.decontam import NEAR_PERCENT, PROBES, SLOP, candidates, contamination, index, probes, term_counts, windows
+    from tachygraph.llm.decontam import NEAR_PERCENT, PROBES, SLOP, candidates, contamination, index, item_words, probes, term_counts
 
     rng = random.Random(23)
     vocabulary = [f"t{k}" for k in range(400)]
@@ -543,26 +543,29 @@ def test_proximity_against_plain_search(spark):
         w, found = t.split(), set()
         for item, text in items:
             x = text.split()
-            for k in range(max(1, len(x) - 12)):
-                win = x[k : k + 13]
-                rare = sorted((n[v], v, o) for o, v in enumerate(win) if n[v])[:PROBES]
-                begins = [(p - o, r) for r, (_, term, o) in enumerate(rare) for p, v in enumerate(w) if v == term]
-                for b, r in begins:
-                    if len(rare) == 1 or any(abs(b - c) <= SLOP and r != q for c, q in begins):
-                        place = w[max(b - SLOP, 0) : max(0, b + len(win) + SLOP)]
-                        if b + len(win) > 0 and 100 * len(set(place) & set(win)) >= NEAR_PERCENT * len(set(win)):
-                            found.add(item)
+            wins = {k: x[k : k + 13] for k in range(max(1, len(x) - 12))}
+            places = {k + o for k, win in wins.items() for _, _, o in sorted((n[v], v, o) for o, v in enumerate(win) if n[v])[:PROBES]}
+            begins = [(at - p, p) for p in places for at, v in enumerate(w) if v == x[p]]
+            for b, p in begins:
+                if len(x) == 1 or any(abs(b - c) <= SLOP and p != q and abs(p - q) < 13 for c, q in begins):
+                    for k, win in wins.items():
+                        if k <= p < k + len(win) and b + k + len(win) > 0:
+                            place = w[max(b + k - SLOP, 0) : max(0, b + k + len(win) + SLOP)]
+                            if 100 * len(set(place) & set(win)) >= NEAR_PERCENT * len(set(win)):
+                                found.add(item)
         want[i] = len(found)
     rows_n = contamination(docs, bench).select("doc.doc_id", "n_near", "n_items").collect()
     assert {r["doc_id"]: r["n_near"] for r in rows_n} == want
     assert all(r["n_near"] >= r["n_items"] for r in rows_n) and any(r["n_near"] > r["n_items"] for r in rows_n)
     one = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     texts = spark.createDataFrame([(1, "alpha x x beta gamma delta x"), (2, "alpha beta gamma delta"), (3, "delta only")], "doc_id long, text string")
-    wins = windows(one).withColumn("wid", F.xxhash64("item_id", "words"))
-    rare = probes(wins, term_counts(texts, wins.select(F.explode("words").alias("term")).distinct()))
+    its = item_words(one)
+    rare = probes(its, term_counts(texts, its.select(F.explode("words").alias("term")).distinct()))
     posts = index(texts, rare.select("term").distinct())
-    assert [candidates(posts, rare, s).filter("exact").select("tid").distinct().count() for s in (0, 5)] == [1, 1]
-    assert candidates(posts, rare, 5).select("tid").distinct().count() == 2
+    got = {(r["begin"], len(r["ps"])) for r in candidates(posts, rare, slop=0).collect()}
+    assert got == {(2, 3), (0, 4)}
+    wide = candidates(posts, rare, slop=5)
+    assert wide.select("tid").distinct().count() == 2 and (0, 1) in {(r["begin"], len(r["ps"])) for r in wide.collect()}
 
 
 @pytest.mark.parametrize("size", [400, 20_000])
@@ -602,7 +605,7 @@ def test_texts_of_one_hash_are_told_apart(spark):
     from tachygraph.llm.decontam import confirmed
 
     docs = spark.createDataFrame([(1, "one two three four")], "doc_id long, text string")
-    found = docs.select(F.xxhash64("text").alias("tid"), F.expr("array(struct(7L as item_id, 0 as begin, array('one', 'two') as words, true as exact), struct(8L as item_id, 1 as begin, array('one', 'two') as words, true as exact))").alias("found"))
+    found = docs.select(F.xxhash64("text").alias("tid"), F.expr("array(struct(7L as item_id, 0 as begin, array(0) as ps, array('one', 'two') as words), struct(8L as item_id, 1 as begin, array(0, 1) as ps, array('one', 'two') as words))").alias("found"))
     got = confirmed(docs, found).collect()
     assert [(r["n_hit"], r["n_items"], r["sha"]) for r in got] == [(2, 1, hashlib.sha256(b"one two three four").hexdigest())]
 
