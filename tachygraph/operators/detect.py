@@ -15,7 +15,7 @@ from tachygraph.operators.scans import numbered, overlapping, owned
 from tachygraph.sources.shared import stored
 
 
-def thresholded(score: Column, threshold: float) -> Column:
+def thresholded(score: Column, threshold: float | Column) -> Column:
     """1 at or above the threshold, else 0."""
     return F.when(score >= threshold, 1).otherwise(0)
 
@@ -78,7 +78,7 @@ def detections(starts: DataFrame, record_start: Column | None = None, row_s: int
     )
 
 
-def detect(rows: DataFrame, scores: DataFrame, valid: Column, threshold: float, least: int = 3, max_gap: int = 2) -> DataFrame:
+def detect(rows: DataFrame, scores: DataFrame, valid: Column, threshold: float | Column, least: int = 3, max_gap: int = 2) -> DataFrame:
     """Scores (record_id, i, score) of the valid rows to detections."""
     predictions = scores.withColumn("value", thresholded(F.col("score"), threshold))
     return detections(block_starts(smoothed(gaps_filled(scattered(rows, predictions, valid), max_gap), least), least))

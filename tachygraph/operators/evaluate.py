@@ -48,10 +48,10 @@ def patient_metrics(records: DataFrame, onsets: DataFrame) -> DataFrame:
     return j.select("patient_id", "n_tp", "n_fn", "n_fp", "days", "ppv", "sensitivity", "f1", "far")
 
 
-def cohort_metrics(patients: DataFrame) -> DataFrame:
-    """One row: total sensitivity in percent, total false alarms a day, medians over patients and totals."""
+def cohort_metrics(patients: DataFrame, *by: str) -> DataFrame:
+    """One row, or one for each value of ``by``: total sensitivity in percent, total false alarms a day, medians over patients and totals."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return patients.agg(
+    return patients.groupBy(*by).agg(
         zero(100 * F.try_divide(F.sum("n_tp"), F.sum("n_tp") + F.sum("n_fn"))).alias("Total_Sensitivity"), zero(F.try_divide(F.sum("n_fp"), F.sum("days"))).alias("Total_FAR"),
         F.median("f1").alias("med_F1"), F.median("far").alias("med_FAR"), F.median("n_fp").alias("med_FP"), F.median("ppv").alias("med_PPV"), F.median("sensitivity").alias("med_Sensitivity"),
         F.sum("n_tp").alias("n_tp"), F.sum("n_fn").alias("n_fn"), F.sum("n_fp").alias("n_fp"), F.sum(F.col("n_tp") + F.col("n_fn")).alias("n_seizures"),

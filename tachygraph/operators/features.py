@@ -16,11 +16,14 @@ from pyspark.sql.window import Window
 from tachygraph.functions.fractal import fractal_batch
 from tachygraph.functions.registry import FEATURES_30, FEATURES_60, FRACTAL, SPECTRAL
 from tachygraph.functions.spectral import spectral_batch
+from tachygraph.operators.scans import numbered, overlapping
 
 STEP_MS = 5000
 MEDIAN_BEATS = 7
 CHUNK_BEATS = 50_000
 SHAPE_ROWS = 120
+#: Feature rows in a block from which tensors are sliced.
+BLOCK_ROWS = 512
 #: Fixed values of the triangular index: bin width and the last bin's index.
 BIN_MS, LAST_BIN = 7.8125, 318
 
@@ -143,14 +146,28 @@ def shape_features(rr: DataFrame, seconds: int = 300, chunk_rows: int = SHAPE_RO
     return beats.groupBy("record_id", "chunk").applyInPandas(run, f"record_id long, row long, {', '.join(f'{k} double' for k in names)}")
 
 
-def feature_steps(features: DataFrame, steps: int = 55) -> DataFrame:
-    """(record_id, row, n_steps, steps): each row with the feature rows of its ``steps`` following windows, for a model's tensor."""
-    w = Window.partitionBy("record_id").orderBy("row").rowsBetween(0, steps - 1)
+def _stepped(features: DataFrame, steps: int, block: int) -> DataFrame:
+    """(record_id, row, first, steps): each row's values as a struct, and those of the ``steps`` rows from it on; rows with fewer after them have none.
+
+    A record's rows are stored in blocks of ``block`` with the rows that the last of them needs after it, so a row is shuffled and held
+    once or twice; a step's array is a slice of its block's, made where it is used.
+    """
     values = F.struct(*[c for c in features.columns if c not in ("record_id", "row")])
-    return features.select("record_id", "row", F.collect_list(values).over(w).alias("steps")).withColumn("n_steps", F.size("steps")).filter(F.col("n_steps") == steps)
+    ranked = numbered(features.select("record_id", "row", values.alias("x")), ["record_id"], "row", "k_")
+    near = overlapping(ranked, "k_", ahead=steps - 1, width=block)
+    blocks = near.groupBy("record_id", "chunk_").agg(F.array_sort(F.collect_list(F.struct("k_", "row", "x"))).alias("held_"))
+    last = F.least(F.lit(block), F.size("held_") - steps + 1)
+    starts = blocks.withColumn("all_", F.transform("held_", lambda h: h["x"])).filter(F.size("held_") >= steps).withColumn("i_", F.explode(F.sequence(F.lit(1), last)))
+    at = F.element_at("held_", F.col("i_"))
+    return starts.select("record_id", at["row"].alias("row"), at["x"].alias("first"), F.slice("all_", F.col("i_"), steps).alias("steps"))
+
 
+def feature_steps(features: DataFrame, steps: int = 55, block: int = BLOCK_ROWS) -> DataFrame:
+    """(record_id, row, steps, n_steps): each row with the feature rows of its ``steps`` following windows, for a model's tensor."""
+    return _stepped(features, steps, block).drop("first").withColumn("n_steps", F.size("steps"))
 
-def feature_tensor(rr: DataFrame, steps: int = 55) -> DataFrame:
+
+def feature_tensor(rr: DataFrame, steps: int = 55, block: int = BLOCK_ROWS) -> DataFrame:
     """(record_id, row, x): for each 300-s window with all its ``steps`` 30-s rows, an array of steps, each the 38 features in their order.
 
     A step has the features of its own 30-s and 60-s windows and those of the whole 300 s; what can't be had is 0.
@@ -159,11 +176,11 @@ def feature_tensor(rr: DataFrame, steps: int = 55) -> DataFrame:
     zero = lambda c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
     one = short.select("record_id", "row", F.array(*[zero(c) for c in FEATURES_30]).alias("a"))
     two = middle.select("record_id", "row", F.array(*[zero(c) for c in FEATURES_60]).alias("b"))
-    empty = F.array_repeat(F.lit(0.0), len(FEATURES_60))
-    rows = one.join(two, ["record_id", "row"], "left").select("record_id", "row", F.concat("a", F.coalesce("b", empty)).alias("f"))
     whole = shape_features(rr, 300).select("record_id", "row", F.array(*[zero(c) for c in (*SPECTRAL, *FRACTAL)]).alias("c"))
-    stepped = feature_steps(rows, steps).join(whole, ["record_id", "row"])
-    return stepped.select("record_id", "row", F.transform("steps", lambda x: F.concat(x["f"], F.col("c"))).alias("x"))
+    empty = F.array_repeat(F.lit(0.0), len(FEATURES_60))
+    rows = one.join(two, ["record_id", "row"], "left").join(whole, ["record_id", "row"], "left").select("record_id", "row", F.concat("a", F.coalesce("b", empty)).alias("f"), "c")
+    stepped = _stepped(rows, steps, block).filter("first.c is not null")
+    return stepped.select("record_id", "row", F.transform("steps", lambda x: F.concat(x["f"], F.col("first.c"))).alias("x"))
 
 
 def add_clock(rows: DataFrame, start: str = "start_ts") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tachygraph.functions.scalars import check_windows
+from tachygraph.sources.shared import stored
 
 #: Records whose counts one task adds up.
 RECORDS_BLOCK = 10_000
@@ -69,27 +70,34 @@ def seizure_samples(onsets: DataFrame, rows: DataFrame, windows: list[int], qual
     return got.select("record_id", "row", "window", "seizure_id", F.lit(1).alias("label"))
 
 
-def regular_samples(rows: DataFrame, n: int, quality: float, seed: int = 42) -> DataFrame:
-    """(record_id, row, window, seizure_id, label 0): up to ``n`` rows, shuffled by hash in each record, records in order.
+def regular_samples(rows: DataFrame, n: int | Column, quality: float, seed: int = 42) -> DataFrame:
+    """(record_id, row, window, seizure_id, label 0): up to ``n`` rows, in each record those of the least hashes, records in order.
 
     Each record's count before it decides how many it still gives, so no global sort is needed: counts are summed by blocks of
-    RECORDS_BLOCK ids, then within each block.
+    RECORDS_BLOCK ids, then within each block. Counts by the hash's first three digits tell below which of them all of a record's rows are
+    drawn, so only the rows of one more are put in order. ``n`` may be a scalar subquery.
     """
-    good = rows.filter(F.col("without_seizure") & (F.col("quality") >= quality))
-    sizes = good.groupBy("record_id").agg(F.count("*").alias("n_"))
-    sizes = sizes.withColumn("block_", F.floor(F.col("record_id") / RECORDS_BLOCK))
+    key = F.md5(F.concat_ws(":", F.lit(seed), "record_id", "row"))
+    good = rows.filter(F.col("without_seizure") & (F.col("quality") >= quality)).select("record_id", "row", key.alias("key_"), F.substring(key, 1, 3).alias("prefix_"))
+    good = stored(good, "good")
+    counts = good.groupBy("record_id", "prefix_").agg(F.count("*").alias("n_"))
+    sizes = counts.groupBy("record_id").agg(F.sum("n_").alias("n_")).withColumn("block_", F.floor(F.col("record_id") / RECORDS_BLOCK))
+    n = n if isinstance(n, Column) else F.lit(n)
     upto = lambda w: F.coalesce(F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = sizes.groupBy("block_").agg(F.sum("n_").alias("n_")).select("block_", upto(Window.orderBy("block_")).alias("blocks_before_"))
-    sizes = sizes.join(F.broadcast(blocks.filter(F.col("blocks_before_") < n)), "block_")
+    sizes = sizes.join(blocks.filter(F.col("blocks_before_") < n), "block_")
     before = F.col("blocks_before_") + upto(Window.partitionBy("block_").orderBy("record_id"))
-    quota = sizes.select("record_id", F.greatest(F.least(F.lit(n) - before, F.col("n_")), F.lit(0)).alias("quota_")).filter("quota_ > 0")
-    shuffled = F.row_number().over(Window.partitionBy("record_id").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "record_id", "row")), "row"))
-    drawn = good.join(quota, "record_id").withColumn("k_", shuffled).filter(F.col("k_") <= F.col("quota_"))
+    quota = sizes.select("record_id", F.least(n - before, F.col("n_")).alias("quota_")).filter("quota_ > 0")
+    below = upto(Window.partitionBy("record_id").orderBy("prefix_"))
+    asked = counts.withColumn("below_", below).join(quota, "record_id").filter("below_ < quota_").select("record_id", "prefix_", (F.col("quota_") - F.col("below_")).alias("take_"))
+    order = F.row_number().over(Window.partitionBy("record_id", "prefix_").orderBy("key_", "row"))
+    drawn = good.join(asked, ["record_id", "prefix_"]).withColumn("k_", order).filter(F.col("k_") <= F.col("take_"))
     return drawn.select("record_id", "row", F.lit(0).alias("window"), F.lit(None).cast("long").alias("seizure_id"), F.lit(0).alias("label"))
 
 
 def training_set(positive: DataFrame, rows: DataFrame, records: DataFrame, class_ratio: float, quality: float, seed: int = 42) -> DataFrame:
-    """Positives, ``class_ratio`` times as many regular samples, and their patients."""
-    n = int(class_ratio * positive.count())
+    """Positives, ``class_ratio`` times as many regular samples, and their patients. The positives are written once; their count is part of the plan."""
+    positive = stored(positive, "positives")
+    n = positive.agg((F.lit(class_ratio) * F.count("*")).cast("long")).scalar()
     both = positive.unionByName(regular_samples(rows, n, quality, seed))
     return both.join(records.select("record_id", "patient_id"), "record_id", "left")

@@ -229,6 +229,16 @@ ORACLES: dict[str, str] = {
       pj as (select patient_id, coalesce(n_tp, 0) as n_tp, coalesce(n_fn, 0) as n_fn, coalesce(n_fp, 0) as n_fp, days from rp left join sp using (patient_id) left join fp using (patient_id)),
       pm as (select *, coalesce(2 * ppv * sensitivity / nullif(ppv + sensitivity, 0), 0) as f1 from (select *, coalesce(n_tp::double / nullif(n_tp + n_fp, 0), 0) as ppv, coalesce(n_tp::double / nullif(n_tp + n_fn, 0), 0) as sensitivity, coalesce(n_fp / nullif(days, 0), 0) as far from pj))
       select patient_id, n_tp, n_fn, n_fp, """ + _r("days", "ppv", "sensitivity", "f1", "far") + " from pm",
+    "package_sweep": _with(_RR, _SCORE.replace("v0 as (select record_id, row, case when valid then hit else -1 end as value from sr)", """
+th as (select unnest([0.15, 0.35, 0.5, 0.55, 0.8])::double as t, unnest(range(5)) as k),
+v0 as (select record_id * 5 + k as record_id, row, case when not valid then -1 when case when hit = 1 then 0.5 + (row % 7)::double / 14 else (row % 5)::double / 10 end >= t then 1 else 0 end as value from sr, th)"""), FILL_SQL, SMOOTH_SQL, BLOCKS_SQL) + """,
+      d as (select record_id, start_row * 5000 as ms from blocks), o as (select event_id, record_id * 5 + k as record_id, k, left_ms from rr, th where event_type = 'error'),
+      h as (select k, exists (select 1 from d where d.record_id = o.record_id and abs(d.ms - o.left_ms) <= 300000) as hit from o),
+      sp as (select k, count(*) filter (hit) as n_tp, count(*) filter (not hit) as n_fn from h group by 1),
+      fp as (select record_id % 5 as k, count(*) as n_fp from d where not exists (select 1 from o where o.record_id = d.record_id and abs(d.ms - o.left_ms) <= 300000) group by 1),
+      rp as (select sum(s) / 86400.0 as days from (select record_id, (max(right_ms) - min(left_ms)) // 1000 as s from rr group by 1))
+      select t as threshold, round(100 * n_tp::double / (n_tp + n_fn), 6) as Total_Sensitivity, round(coalesce(n_fp, 0) / days, 6) as Total_FAR, n_tp, n_fn, coalesce(n_fp, 0) as n_fp
+      from th left join sp using (k) left join fp using (k), rp""",
     "seizure_flags": _with(_EVAL.format(tol=21600000)) + " select onset_id, record_id, is_detected, false as is_correct_type, false as has_valid_data, false as is_event, false as is_detectable from hits",
     "match_detections": _with(_EVAL.format(tol=300000)) + " select record_id, onset_id, onset_ms, det_id, start_ms from pairs",
     "match_detections_wide": _with(_EVAL.format(tol=21600000)) + " select record_id, onset_id, det_id from pairs",

@@ -12,8 +12,10 @@ from tachygraph.functions.registry import FEATURES, FEATURES_30, FEATURES_60, fe
 from tachygraph.operators import correction, detect, evaluate, features, intervals, models, quality, records, rr, sampling, scans
 from tachygraph.operators.peaks import auto_label
 from tachygraph.plans.evaluation import evaluate as evaluate_plan
-from tachygraph.plans.study import pareto, run_study
+from tachygraph.plans.evaluation import sweep
+from tachygraph.plans.study import pareto, threshold_sweep
 from tachygraph.sources import fixtures
+from tachygraph.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -448,7 +450,8 @@ def regular_samples(spark, sf_dir):
 
 @query
 def training_set(spark, sf_dir):
-    rows = _table(spark, sf_dir)
+    #: Both kinds of samples are taken from one stored table.
+    rows = stored(_table(spark, sf_dir), "samples")
     positive = sampling.seizure_samples(_onsets(spark, sf_dir), rows, [-1, 0], 75)
     patients = rows.select("record_id").distinct().withColumn("patient_id", F.col("record_id") + 100)
     return sampling.training_set(positive, rows, patients, 0.5, 75).groupBy("patient_id", "label").agg(F.count("*").alias("n"), F.sum("row").alias("rows"))
@@ -514,16 +517,7 @@ def pareto_trials(spark, sf_dir):
 def study_front(spark, sf_dir):
     """Twenty thresholds, and those that no other one beats."""
     rows = _logits(spark, sf_dir).select(models.sigmoid(F.col("logit")).alias("score"), "label")
-
-    def objective(params: dict) -> tuple[float, float]:
-        over = F.col("score") >= params["threshold"]
-        return tuple(rows.agg(
-            100 * F.try_divide(F.count_if(over & (F.col("label") == 1)), F.count_if(F.col("label") == 1)),
-            F.try_divide(F.count_if(over & (F.col("label") == 0)), F.count_if(F.col("label") == 0)),
-        ).first())
-
-    trials = run_study(spark, objective, [{"threshold": k / 20} for k in range(20)])
-    return _rounded(pareto(trials).select("trial", F.col("params")["threshold"].cast("double").alias("threshold"), "Total_Sensitivity", "Total_FAR"))
+    return _rounded(pareto(threshold_sweep(rows, [k / 20 for k in range(20)])).select("trial", "threshold", "Total_Sensitivity", "Total_FAR"))
 
 
 # detection and evaluation
@@ -649,14 +643,28 @@ def cohort_metrics(spark, sf_dir):
     return _rounded(evaluate.cohort_metrics(evaluate.patient_metrics(*_metrics(spark, sf_dir))))
 
 
-@query
-def evaluation_e2e(spark, sf_dir):
+def _package(spark, sf_dir):
+    """Rows, onsets and records of a data package."""
     beats = fixtures.rr(spark, sf_dir)
     rows = fixtures.scored_rows(beats).withColumn("quality", F.when(F.col("valid"), 100).otherwise(0))
-    scores = _scores_in_order(rows, "score")
     onsets = beats.filter("event_type = 'error'").select(F.col("event_id").alias("onset_id"), "record_id", (F.col("record_id") % 2).alias("patient_id"), F.col("left_ms").alias("onset_ms"))
     recs = rr.durations(beats).select("record_id", (F.col("record_id") % 2).alias("patient_id"), F.col("duration_s").alias("record_duration_s"))
-    return _rounded(evaluate_plan(rows, scores, onsets, recs, F.col("valid"), 0.5, 50)["patients"])
+    return rows, onsets, recs
+
+
+@query
+def evaluation_e2e(spark, sf_dir):
+    rows, onsets, recs = _package(spark, sf_dir)
+    return _rounded(evaluate_plan(rows, _scores_in_order(rows, "score"), onsets, recs, F.col("valid"), 0.5, 50)["patients"])
+
+
+@query
+def package_sweep(spark, sf_dir):
+    """Detection and evaluation of a whole package at five thresholds, in one plan."""
+    rows, onsets, recs = _package(spark, sf_dir)
+    score = F.when(F.col("hit") == 1, 0.5 + F.col("row") % 7 / 14).otherwise(F.col("row") % 5 / 10)
+    scores = scans.numbered(rows.filter("valid").select("record_id", "row", score.alias("score")), ["record_id"], "row", "i").drop("row")
+    return _rounded(sweep(rows, scores, onsets, recs, F.col("valid"), [0.15, 0.35, 0.5, 0.55, 0.8], 50).select("threshold", "Total_Sensitivity", "Total_FAR", "n_tp", "n_fn", "n_fp"))
 
 
 # scalars
