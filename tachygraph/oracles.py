@@ -239,6 +239,16 @@ v0 as (select record_id * 5 + k as record_id, row, case when not valid then -1 w
       rp as (select sum(s) / 86400.0 as days from (select record_id, (max(right_ms) - min(left_ms)) // 1000 as s from rr group by 1))
       select t as threshold, round(100 * n_tp::double / (n_tp + n_fn), 6) as Total_Sensitivity, round(coalesce(n_fp, 0) / days, 6) as Total_FAR, n_tp, n_fn, coalesce(n_fp, 0) as n_fp
       from th left join sp using (k) left join fp using (k), rp""",
+    "signal_chunks": _with(_RR) + """ select record_id::varchar as record_id, 4 as freq, seq // 100 as chunk, seq // 100 * 100 as start_sample, count(*)::int as n, sum(rr_ms)::double as total, arg_min(rr_ms, seq)::double as first
+      from rr group by record_id, seq // 100""",
+    "bucketed_join": _with(_DIRTY, windows_sql(30), PEAKS_SQL, RULES_SQL) + """, f as (select record_id, row, count(*) as n_beats, avg(x) as avg from inw group by 1, 2)
+      select record_id, row, n_beats, round(avg, 6) as avg, quality from f join q using (record_id, row)""",
+    "catalogue_json": _with(_CAT) + " select seizure_id::varchar as seizure_id, patient_id, record_start::varchar as start, path as sensor, null::int as missing from cat",
+    "event_properties": "select event_type, count(k) as n, sum(k)::bigint as total, min(k) as least, max(k) as most from (select event_type, (props::json->>'$.k')::bigint as k from events) group by 1",
+    "seizure_log": _with(_CAT) + """, s as (select *, record_start::varchar || case when seizure_id % 5 = 0 then ' 99:00:00' else ' 10:00:00' end as t from cat)
+      select seizure_id::int as seizure_id, t as seizure_start, case when seizure_id % 5 <> 0 then t end as start, seizure_id % 2 = 0 as has_valid_data, seizure_id % 3 = 0 as is_event,
+      seizure_id % 7 = 0 as is_detectable, seizure_id % 11 = 0 as is_detected, (seizure_id % 100)::double / 4 as duration_seconds from s""",
+    "record_lookup": _with(_CAT, _BUILD) + " select record_id, patient_id, case when patient_id % 3 <> 0 then patient_id % 5 * 64 + 128 end as freq from built",
     "seizure_flags": _with(_EVAL.format(tol=21600000)) + " select onset_id, record_id, is_detected, false as is_correct_type, false as has_valid_data, false as is_event, false as is_detectable from hits",
     "match_detections": _with(_EVAL.format(tol=300000)) + " select record_id, onset_id, onset_ms, det_id, start_ms from pairs",
     "match_detections_wide": _with(_EVAL.format(tol=21600000)) + " select record_id, onset_id, det_id from pairs",
@@ -265,15 +275,15 @@ v0 as (select record_id * 5 + k as record_id, row, case when not valid then -1 w
       q3 as (select q.record_id, q.row, coalesce(m.mean_, 0) as quality from q left join (select record_id, row + 1 as row, mean_ from m where row <= n_ - 61) m using (record_id, row)),
       n3 as (select record_id, greatest((max(right_ms) // 1000 - 300) // 5, 1)::bigint as rows from rr group by record_id), w3 as (select record_id, u.row from n3, unnest(range(rows)) as u(row))
       select record_id, row, true as without_nan, true as without_seizure, false as label_seizures, true as event_filter_0, true as event_filter_1, round(coalesce(quality, 0), 6) as quality from w3 left join q3 using (record_id, row)""",
+    "filter_table_stored": _with(_DIRTY, PEAKS_SQL, RULES_SQL) + """, m as (select record_id, row, avg(quality) over (partition by record_id order by row rows between current row and 59 following) as mean_, max(row) over (partition by record_id) + 1 as n_ from q),
+      q3 as (select q.record_id, q.row, coalesce(m.mean_, 0) as quality from q left join (select record_id, row + 1 as row, mean_ from m where row <= n_ - 61) m using (record_id, row)),
+      n3 as (select record_id, greatest((max(right_ms) // 1000 - 300) // 5, 1)::bigint as rows from rr group by record_id), w3 as (select record_id, u.row from n3, unnest(range(rows)) as u(row))
+      select record_id, row, true as without_nan, true as without_seizure, false as label_seizures, true as event_filter_0, true as event_filter_1, round(coalesce(quality, 0), 6) as quality from w3 left join q3 using (record_id, row)""",
     "detection_results": _with(_EVAL.format(tol=21600000)) + " select * from res",
     "record_eval": _with(_EVAL.format(tol=21600000), _RECORDS) + " select record_id, patient_id, record_duration_s, deficiency_s, n_det_fp, n_det_tp from rec",
     "patient_metrics": _with(_EVAL.format(tol=21600000), _RECORDS, _PATIENTS) + " select patient_id, n_tp, n_fn, n_fp, " + _r("days", "ppv", "sensitivity", "f1", "far") + " from pm",
     "cohort_metrics": _with(_EVAL.format(tol=21600000), _RECORDS, _PATIENTS) + ' select round(100.0 * sum(n_tp) / (sum(n_tp) + sum(n_fn)), 6)::double as "Total_Sensitivity", round(sum(n_fp) / sum(days), 6) as "Total_FAR", round(median(f1), 6) as "med_F1", round(median(far), 6) as "med_FAR", median(n_fp) as "med_FP", round(median(ppv), 6) as "med_PPV", round(median(sensitivity), 6) as "med_Sensitivity", sum(n_tp)::bigint as n_tp, sum(n_fn)::bigint as n_fn, sum(n_fp)::bigint as n_fp, sum(n_tp + n_fn)::bigint as n_seizures from pm',
     "header_dates": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') as header from events",
-    "feature_registry": """with n as (select string_split('avg sd rmssd rmssd_dt skew kurt pnnx nnx triangular_index quantile_25 quantile_50 quantile_75 variance csi csim cvi sd1 sd2 csi_slope csim_slope csi_filtered csim_filtered
-      csi_filtered_slope csim_filtered_slope hr_diff hr_diff_slope hr_diff_filtered hr_diff_filtered_slope ulf vlf lf hf lf_hf_ratio total_power mf_hurst_max mf_coef_left mf_coef_center mf_coef_right', ' ') as raw),
-      l as (select list_filter(list_transform(raw, lambda x: trim(x, chr(10) || ' ')), lambda x: x <> '') as l from n)
-      select (k - 1)::int as position, l[k] as name, (k - 1)::int as index from l, unnest(range(1, len(l) + 1)) as u(k)""",
     "scalar_functions": """select event_id, epoch(date_trunc('second', ts) - timestamp '2024-01-01')::bigint as seconds, (epoch_us(ts) // 1000 - epoch_ms(timestamp '2024-01-01')) as millis, round(epoch(date_trunc('second', ts) - timestamp '2024-01-01') / 86400, 9) as days,
       strftime(ts, '%Y-%m-%d %H:%M:%S') as sql_string, strftime(ts, '%Y_%m_%d__%H_%M_%S') as file_name, format('{}h {:02d}m {:02d}s', (event_id * 37) // 3600, (event_id * 37) % 3600 // 60, (event_id * 37) % 60) as readable,
       round(case when event_id % 5 = 0 then -1 else value end, 6) as filled, replace(replace(replace(replace(event_type, 'purchase', 'P'), 'error', 'X'), 'view', 'V'), 'err', 'E') as replaced from events""",

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tachygraph.functions import point_process, scalars
-from tachygraph.functions.registry import FEATURES, FEATURES_30, FEATURES_60, feature_to_index, index_to_feature
+from tachygraph.functions.registry import FEATURES_30, FEATURES_60
 from tachygraph.operators import correction, detect, evaluate, features, intervals, models, quality, records, rr, sampling, scans
 from tachygraph.operators.peaks import auto_label
 from tachygraph.plans.evaluation import evaluate as evaluate_plan
 from tachygraph.plans.evaluation import sweep
 from tachygraph.plans.study import pareto, threshold_sweep
 from tachygraph.sources import fixtures
-from tachygraph.sources.shared import stored
+from tachygraph.sources.shared import fresh, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -149,6 +149,93 @@ def patient_of_samples(spark, sf_dir):
     return records.with_patient(samples, r)
 
 
+# storage
+
+
+@query
+def signal_chunks(spark, sf_dir):
+    """Intervals stored as signals in MAT files, one a record, and read back by ranges of bytes."""
+    from tachygraph.sources import signals
+    from tachygraph.sources.recordings import write_mat
+
+    at = fresh(spark, "signals")
+    beats = fixtures.rr(spark, sf_dir).groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("seq", "rr_ms", "right_ms"))).alias("b"))
+    peaks = F.transform("b", lambda x: x["right_ms"])
+    write_mat(beats.select("record_id", F.lit(4).alias("freq"), F.transform("b", lambda x: x["rr_ms"]).alias("raw"), peaks.alias("r_peaks"), F.array(F.lit(0.0)).alias("ts")), at)
+    signals.register(spark)
+    got = spark.read.format("mat_signals").option("chunk", 100).option("rows", 2).load(at)
+    total = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x)
+    return got.select("record_id", "freq", "chunk", "start_sample", F.size("raw").alias("n"), total.alias("total"), F.element_at("raw", 1).alias("first"))
+
+
+@query
+def bucketed_join(spark, sf_dir):
+    """Features and quality of a record, stored in the same buckets and joined without a shuffle."""
+    from tachygraph.sources.recordings import write_bucketed
+
+    at, keys = fresh(spark, "records"), ("record_id", "row")
+    made = features.time_features(fixtures.rr_dirty(spark, sf_dir), 30).select(*keys, "n_beats", "avg")
+    left, right = write_bucketed(made, f"{at}/features", 8, *keys), write_bucketed(_rule_quality(spark, sf_dir), f"{at}/quality", 8, *keys)
+    return _rounded(left.hint("merge").join(right, list(keys)).select(*keys, "n_beats", "avg", "quality"))
+
+
+@query
+def catalogue_json(spark, sf_dir):
+    """The catalogue as JSON objects keyed by seizure, a patient a line, and what is asked of its entries."""
+    from tachygraph.sources.catalogue import catalogue_entries
+
+    at = fresh(spark, "catalogue")
+    cat = fixtures.catalogue(spark, sf_dir)
+    entry = F.struct(F.col("patient_id").alias("patient_id"), F.col("record_start").cast("string").alias("record_start_sen"), F.struct(F.col("path").alias("sensor"), F.lit(4).alias("channels")).alias("paths"))
+    lines = cat.groupBy("patient_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("seizure_id").cast("string"), entry.alias("e")))).alias("m"))
+    lines.select(F.to_json("m").alias("value")).write.text(at)
+    return catalogue_entries(spark, at, patient_id="$.patient_id:long", start="$.record_start_sen:string", sensor="$.paths.sensor:string", missing="$.nothing:int")
+
+
+@query
+def event_properties(spark, sf_dir):
+    """The nested properties of events, by path."""
+    e = fixtures.table(spark, sf_dir, "events").select("event_id", "event_type", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+    return e.groupBy("event_type").agg(F.count("k").alias("n"), F.sum("k").alias("total"), F.min("k").alias("least"), F.max("k").alias("most"))
+
+
+@query
+def seizure_log(spark, sf_dir):
+    """Seizures of the catalogue written as the per-seizure log and read back, with times that are no dates."""
+    from tachygraph.sources.catalogue import read_seizure_log
+
+    at = fresh(spark, "log")
+    cat = fixtures.catalogue(spark, sf_dir)
+    start = F.concat(F.col("record_start").cast("string"), F.when(F.col("seizure_id") % 5 == 0, " 99:00:00").otherwise(" 10:00:00"))
+    flag = lambda k: (F.col("seizure_id") % k == 0)
+    log = cat.select(
+        "seizure_id", start.alias("seizure_start"), start.alias("seizure_end"), F.lit("true").alias("is_correct_type"), F.lit("A").alias("recording_center"), flag(2).alias("has_valid_data"),
+        flag(3).alias("is_event"), flag(7).alias("is_detectable"), flag(11).alias("is_detected"), (F.col("seizure_id") % 100 / 4).alias("duration_seconds"),
+    )
+    log.write.option("header", True).csv(at)
+    return read_seizure_log(spark, at).select("seizure_id", "seizure_start", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start"), "has_valid_data", "is_event", "is_detectable", "is_detected", "duration_seconds")
+
+
+@query
+def record_lookup(spark, sf_dir):
+    """Records with what is known of their recordings; some have none."""
+    from tachygraph.sources.catalogue import with_recording
+
+    recs = records.build_records(fixtures.catalogue(spark, sf_dir)).select("record_id", "patient_id")
+    found = recs.filter("patient_id % 3 <> 0").select("record_id", (F.col("patient_id") % 5 * 64 + 128).alias("freq"))
+    return with_recording(recs, found)
+
+
+@query
+def filter_table_stored(spark, sf_dir):
+    """The filter table written and read back."""
+    from tachygraph.sources.catalogue import write_filter_table
+
+    at = fresh(spark, "filter")
+    write_filter_table(filter_table(spark, sf_dir), at)
+    return spark.read.parquet(at)
+
+
 # windows and features
 
 
@@ -691,11 +778,6 @@ def header_dates(spark, sf_dir):
     return fixtures.table(spark, sf_dir, "events").select("event_id", scalars.header_date(F.col("ts")).alias("header"))
 
 
-@query
-def feature_registry(spark, sf_dir):
-    return spark.createDataFrame([(k, index_to_feature(k), feature_to_index(index_to_feature(k))) for k in range(len(FEATURES))], "position int, name string, index int")
-
-
 @query
 def session_spans(spark, sf_dir):
     e = fixtures.table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("record_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))

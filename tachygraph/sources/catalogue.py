@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,20 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(parsed).alias("seizure_id", "entry")).select("seizure_id", "entry.*")
 
 
+def catalogue_entries(spark: SparkSession, path: str, **paths: str) -> DataFrame:
+    """(seizure_id, ...): the entries of JSON objects keyed by seizure id, one object a line; each named column is a path in the entry and a type.
+
+    For large catalogues: objects are parsed to variants, and only the ``paths`` (such as location="$.path_sensor:string") are taken out of
+    them, whatever else the entries hold. What an entry lacks, or has in another type, is null; lines that are no object have no rows.
+    """
+    objects = spark.read.text(path).select(F.try_parse_json("value").alias("v")).filter("v is not null and schema_of_variant(v) like 'OBJECT%'")
+    objects.createOrReplaceTempView(view := f"objects_{uuid.uuid4().hex}")
+    entries = spark.sql(f"select e.key as seizure_id, e.value as entry from {view}, lateral variant_explode(v) e")
+    spark.catalog.dropTempView(view)
+    taken = [F.try_variant_get("entry", p.rsplit(":", 1)[0], p.rsplit(":", 1)[1]).alias(c) for c, p in paths.items()]
+    return entries.select("seizure_id", *taken)
+
+
 def location_of(path: str) -> str:
     """The location's name: the last part of a path with either kind of slash."""
     return path.replace("\\", "/").rstrip("/").rsplit("/", 1)[-1]

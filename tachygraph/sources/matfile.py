@@ -9,9 +9,9 @@ from io import BytesIO
 import numpy as np
 
 #: Fixed values of the published format: data types of elements, and array classes.
-_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8", 16: "u1", 17: "u2"}
+TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8", 16: "u1", 17: "u2"}
 _CLASSES = {4: "char", 6: "f8", 7: "f4", 8: "i1", 9: "u1", 10: "i2", 11: "u2", 12: "i4", 13: "u4", 14: "i8", 15: "u8"}
-_MATRIX, _COMPRESSED = 14, 15
+MATRIX, COMPRESSED = 14, 15
 
 
 def _element(buf: BytesIO, order: str) -> tuple[int, bytes] | None:
@@ -22,7 +22,7 @@ def _element(buf: BytesIO, order: str) -> tuple[int, bytes] | None:
     if kind >> 16:
         return kind & 0xFFFF, head[4 : 4 + (kind >> 16)]
     data = buf.read(size)
-    if kind != _COMPRESSED and size % 8:
+    if kind != COMPRESSED and size % 8:
         buf.read(8 - size % 8)
     return kind, data
 
@@ -38,7 +38,7 @@ def _array(data: bytes, order: str) -> tuple[str, np.ndarray] | None:
     shape = np.frombuffer(parts[1][1], order + "i4")
     if sort not in _CLASSES:
         return None
-    values = np.frombuffer(parts[3][1], order + _TYPES[parts[3][0]])
+    values = np.frombuffer(parts[3][1], order + TYPES[parts[3][0]])
     if _CLASSES[sort] == "char":
         return parts[2][1].decode(), np.array("".join(map(chr, values)))
     return parts[2][1].decode(), values.astype(_CLASSES[sort]).reshape(tuple(shape), order="F")
@@ -50,12 +50,12 @@ def loads(blob: bytes) -> dict[str, np.ndarray]:
     buf, out = BytesIO(blob[128:]), {}
     while (x := _element(buf, order)) is not None:
         kind, data = x
-        if kind == _COMPRESSED:
+        if kind == COMPRESSED:
             inner = _element(BytesIO(zlib.decompress(data)), order)
             if inner is None:
                 continue
             kind, data = inner
-        if kind == _MATRIX and (found := _array(data, order)) is not None:
+        if kind == MATRIX and (found := _array(data, order)) is not None:
             out[found[0]] = found[1]
     return out
 
@@ -70,5 +70,5 @@ def dumps(arrays: dict[str, np.ndarray]) -> bytes:
     for name, values in arrays.items():
         values = np.atleast_2d(np.asarray(values, float))
         body = element(6, struct.pack("<II", 6, 0)) + element(5, np.array(values.shape, "<i4").tobytes()) + element(1, name.encode()) + element(9, values.tobytes(order="F"))
-        out += element(_MATRIX, body)
+        out += element(MATRIX, body)
     return out

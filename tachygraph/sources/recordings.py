@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.window import Window
 
 from tachygraph.operators.intervals import contained
 from tachygraph.sources import matfile
+from tachygraph.sources.signals import opened
 
 MAT_COLUMNS = "record_id string, freq int, start_sample long, r_peaks array<long>, ts array<double>, raw array<double>, error string"
 
@@ -77,16 +79,31 @@ def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_mat(df: DataFrame, folder: str) -> None:
     """One MAT file for each row (record_id, freq, r_peaks, ts, raw), written by the tasks to a folder that all of them share."""
+    system, at = opened(folder)
+    system.create_dir(at, recursive=True)
 
     def run(rows: Iterator) -> None:
-        from pathlib import Path
-
+        system, at = opened(folder)
         for r in rows:
-            Path(folder, f"{r['record_id']}.mat").write_bytes(matfile.dumps({"raw_data": r["raw"], "frequency": [r["freq"]], "r_peaks": r["r_peaks"], "ts": r["ts"] or []}))
+            with system.open_output_stream(f"{at}/{r['record_id']}.mat") as out:
+                out.write(matfile.dumps({"raw_data": r["raw"], "frequency": [r["freq"]], "r_peaks": r["r_peaks"], "ts": r["ts"] or []}))
 
     df.select("record_id", "freq", "r_peaks", "ts", "raw").foreachPartition(run)
 
 
+def write_bucketed(df: DataFrame, path: str, buckets: int, *keys: str) -> DataFrame:
+    """``df`` as Parquet in ``buckets`` of its ``keys``, sorted by them in each, and the same read back with that layout known.
+
+    Tables that are written alike by the same keys join and group on them without a shuffle. Keys should be finer than a record, so
+    that a long one is many buckets. The table's name is dropped again; its files stay.
+    """
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(name)
+    back = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return back
+
+
 def corrected_peaks(peaks: DataFrame, freq: int) -> DataFrame:
     """Beats in seconds as whole samples (r_peaks), for writing back."""
     return peaks.withColumn("sample", (F.col("t_s") * freq).cast("long"))
