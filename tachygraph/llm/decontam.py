@@ -100,7 +100,8 @@ def candidates(postings: DataFrame, rare: DataFrame, width: int = WINDOW, slop:
     block = lambda x: F.floor(x / BLOCK)
     #: One shuffle, on the item and the block; a block holds a few places of one text.
     blocks = F.array_distinct(F.array(block(F.col("begin")), block(F.col("begin") + slop)))
-    alone = near.filter("alone").select("tid", "iid", "begin", F.array("p").alias("ps"))
+    #: Copies of a text repeat its places; both ways drop repeats before the shuffle.
+    alone = near.filter("alone").select("tid", "iid", "begin", F.array("p").alias("ps")).distinct()
     more = near.filter("not alone").select("tid", "iid", "p", "begin", F.explode(blocks).alias("block"))
     held = more.groupBy("tid", "iid", "block").agg(F.collect_set(F.struct("begin", "p")).alias("xs")).filter("size(xs) > 1")
     apart = lambda x, y, c: F.abs(y[c] - x[c])
@@ -116,7 +117,7 @@ def phrase_candidates(docs: DataFrame, items: DataFrame, width: int = WINDOW, sl
     counts = table(term_counts(docs, terms), "counts")
     rare = table(probes(its, counts, width), "probes")
     postings = table(index(docs, table(rare.select("term").distinct(), "probe_terms")), "postings")
-    met = candidates(postings.distinct(), rare, width, slop)
+    met = candidates(postings, rare, width, slop)
     full = met.join(small(its, WINDOW_ROWS), "iid")
     return full.groupBy("tid").agg(F.collect_list(F.struct("item_id", "begin", "ps", "words")).alias("found"))
 
