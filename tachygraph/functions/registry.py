@@ -15,14 +15,6 @@ FEATURES_60 = FEATURES[13:28]
 SPECTRAL = FEATURES[28:34]
 FRACTAL = FEATURES[34:]
 
-
-def feature_to_index(name: str) -> int:
-    if name not in FEATURES:
-        raise RuntimeError(f"unknown feature {name!r}")
-    return FEATURES.index(name)
-
-
-def index_to_feature(index: int) -> str:
-    if not 0 <= index < len(FEATURES):
-        raise RuntimeError(f"no feature at {index}")
-    return FEATURES[index]
+#: A feature's name by its position, and its position by its name; what is not there is a KeyError.
+NAMES = dict(enumerate(FEATURES))
+POSITIONS = {name: position for position, name in NAMES.items()}

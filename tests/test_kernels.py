@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tachygraph.functions import fractal, peaks, point_process, spectral
-from tachygraph.functions.registry import FEATURES, feature_to_index, index_to_feature
+from tachygraph.functions.registry import FEATURES, NAMES, POSITIONS
 from tachygraph.functions.scalars import check_windows
 from tachygraph.operators.quality import match_peaks
 from tachygraph.sources import matfile
@@ -17,9 +17,9 @@ V = [800, 810, 790, 1000, 805, 795, 700, 812, 799, 803]
 
 
 def test_registry():
-    assert len(FEATURES) == 38 and all(feature_to_index(index_to_feature(k)) == k for k in range(38))
-    with pytest.raises(RuntimeError):
-        feature_to_index("nothing")
+    assert len(FEATURES) == 38 and all(POSITIONS[NAMES[k]] == k for k in range(38))
+    with pytest.raises(KeyError):
+        POSITIONS["nothing"]
 
 
 def test_spline_is_exact_on_cubics():
