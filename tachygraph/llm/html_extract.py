@@ -3,7 +3,7 @@ r"""Main text of web pages by a tree-structured graphical model.
 A page's DOM is a tree of binary variables (content or not): one for each element that holds blocks and one for each run of
 text. Each has a potential of its own, from its tag, its names, its length, punctuation and links, and from its place: in,
 around or outside of the page's body (its ``main`` or ``article``, else the element that holds most text in paragraphs), with
-inputs, or as one of several elements of one make; each parent and child share a potential. Sum-product messages go upward from the leaves and downward from the root, and give each run of text its
+inputs, as one of several elements of one make, or as one of several that begin with a name (as readers' comments do); each parent and child share a potential. Sum-product messages go upward from the leaves and downward from the root, and give each run of text its
 marginal. Runs with a marginal of one half or more are the content.
 
 The potentials are trained from labelled pages: LABELLED_PAGES pages made from templates by a fixed seed, whose runs are
@@ -31,6 +31,8 @@ from tachygraph.llm.dom import Node, hints, parse
 from tachygraph.llm.logistic import fit
 
 LABELLED_PAGES = 400
+#: Characters that a reader's name and date have at most.
+BYLINE = 40
 SEED = 11
 #: Private-use characters that mark the runs of training pages.
 _MARK = {True: "\ue000", False: "\ue001"}
@@ -56,9 +58,9 @@ NAMES = {
 _TAG_OF = {t: k for k, v in TAGS.items() for t in v.split()}
 _NAMES = {k: frozenset(v.split()) for k, v in NAMES.items()}
 #: Places by the body's element, told by its tag or by its text; and what else a node's surroundings say.
-_PLACES = ["around told", "inside told", "outside told", "around found", "inside found", "outside found", "controls", "one of many"]
+_PLACES = ["around told", "inside told", "outside told", "around found", "inside found", "outside found", "controls", "one of many", "with a byline", "holds bylines", "under a byline"]
 _ELEMENT = [f"tag:{k}" for k in (*TAGS, "other")] + [f"name:{k}" for k in NAMES] + ["hidden"]
-_RUN = [f"in:{k}" for k in (*TAGS, "other")] + ["short", "medium", "long", "stop", "comma", "some links", "all links", "sign"]
+_RUN = [f"in:{k}" for k in (*TAGS, "other", "box of content", "box of other")] + ["short", "medium", "long", "stop", "comma", "some links", "all links", "sign"]
 _PLACE_AT = {k: i for i, k in enumerate(_PLACES)}
 _SIGNS = ("©",)
 
@@ -78,11 +80,11 @@ def element_features(tag: str, attrs: str) -> tuple[int, ...]:
 _RUN_AT = {k: i for i, k in enumerate(_RUN)}
 
 
-def run_features(node: Node, parent_tag: str) -> list[int]:
-    """The indices of a run's features."""
+def run_features(node: Node, parent: Node) -> list[int]:
+    """The indices of a run's features; in an element of names, those count too."""
     text = node.text
     n = len(text)
-    out = [_RUN_AT[f"in:{_TAG_OF.get(parent_tag, 'other')}"], _RUN_AT["short" if n < 25 else "medium" if n < 100 else "long"]]
+    out = [_RUN_AT[f"in:{sort_of(parent.tag, parent.attrs)}"], _RUN_AT["short" if n < 25 else "medium" if n < 100 else "long"]]
     if text[-1] in ".!?…:;。！？\"'”»)":
         out.append(_RUN_AT["stop"])
     if "," in text or "，" in text or "、" in text:
@@ -98,12 +100,21 @@ def body_of(nodes: list[Node]) -> tuple[int, bool]:
     """The element that holds the page's body, and whether a tag tells so; without one, that whose paragraphs hold most text."""
     mass = [0.0] * len(nodes)
     votes = [0.0] * len(nodes)
+    #: Blocks: elements that hold text and no elements. A box among other blocks stands for a paragraph.
+    holds, blocks = [False] * len(nodes), [0] * len(nodes)
+    for node in nodes[1:]:
+        if node.text is None:
+            holds[node.parent] = True
+    sorts = [_TAG_OF.get(node.tag) for node in nodes]
+    for k in {node.parent for node in nodes if node.text is not None}:
+        if k > 0 and not holds[k] and sorts[k] in ("box", "p", "h", "quote"):
+            blocks[nodes[k].parent] += 1
     for i in range(len(nodes) - 1, 0, -1):
         node = nodes[i]
         if node.text is not None:
             mass[i] = max(0, len(node.text) - node.linked)
             holder = node.parent
-            if _TAG_OF.get(nodes[holder].tag) in ("p", "h", "h1", "li", "quote") and nodes[holder].parent >= 0:
+            if nodes[holder].parent >= 0 and (sorts[holder] in ("p", "h", "h1", "li", "quote") or sorts[holder] == "box" and not holds[holder] and blocks[nodes[holder].parent] > 1):
                 holder = nodes[holder].parent
             votes[holder] += mass[i]
             if nodes[holder].parent >= 0:
@@ -129,18 +140,43 @@ def place_features(nodes: list[Node]) -> list[list[int]]:
         if node.text is None and _TAG_OF.get(node.tag, "other") in ("box", "other", "main"):
             key = node.parent, node.tag, node.attrs
             kin[key] = kin.get(key, 0) + 1
+    bylines = byline_elements(nodes, kin)
+    holders = {nodes[i].parent for i in bylines}
+    under = [False] * len(nodes)
     out = []
     for i, node in enumerate(nodes):
+        under[i] = i > 0 and (under[node.parent] or node.parent in bylines)
         inside[i] = i > 0 and (inside[node.parent] or node.parent == body)
         own = [_PLACE_AT[f"{'around' if i in around else 'inside' if inside[i] else 'outside'} {sort}"]]
         if node.controls:
             own.append(_PLACE_AT["controls"])
         if node.text is None and kin.get((node.parent, node.tag, node.attrs), 0) > 1:
             own.append(_PLACE_AT["one of many"])
+        own += [_PLACE_AT[k] for k, is_so in (("with a byline", i in bylines), ("holds bylines", i in holders), ("under a byline", under[i])) if is_so]
         out.append(own)
     return out
 
 
+def byline_elements(nodes: list[Node], kin: dict[tuple[int, str, str], int]) -> set[int]:
+    """Elements of a make that is there more than once, each of which begins with a short run that is no heading and no sentence, and goes on."""
+    first: dict[int, int] = {}
+    runs = [0] * len(nodes)
+    for i in range(len(nodes) - 1, 0, -1):
+        if nodes[i].text is not None:
+            first[i], runs[i] = i, 1
+        if i in first:
+            first[nodes[i].parent] = first[i]
+            runs[nodes[i].parent] += runs[i]
+    made: dict[tuple[int, str, str], list[int]] = {}
+    for i, node in enumerate(nodes):
+        key = node.parent, node.tag, node.attrs
+        if node.text is None and kin.get(key, 0) > 1 and runs[i] > 1:
+            lead = nodes[first[i]]
+            if len(lead.text) < BYLINE and lead.text[-1] not in ".!?…" and _TAG_OF.get(nodes[lead.parent].tag) not in ("h", "h1", "li"):
+                made.setdefault(key, []).append(i)
+    return {i for key, own in made.items() if len(own) > 1 and 2 * len(own) > kin[key] for i in own}
+
+
 def sort_of(tag: str, attrs: str) -> str:
     """The sort of parent that an element is: its tag's, for boxes also whether they are named as content or as something else."""
     sort = _TAG_OF.get(tag, "other")
@@ -199,7 +235,7 @@ class Model:
                 own.append(known[0] + here)
                 pairs.append(known[1])
             else:
-                own.append(here + self.run[-1] + sum(self.run[k] for k in run_features(node, nodes[node.parent].tag)))
+                own.append(here + self.run[-1] + sum(self.run[k] for k in run_features(node, nodes[node.parent])))
                 pairs.append(self.pairs[""])
         return own, pairs
 
@@ -260,7 +296,9 @@ def labelled_page(rng: random.Random) -> str:
         title = f"<h3>{run(False, 1, 3)}</h3>"
         if rng.random() < 0.35:
             own = name("comment", 0.1)
-            item = lambda: f"<div{own}><span>{run(False, 1, 2)}</span><p>{_words(rng, rng.randint(3, 60))}.</p></div>"
+            lead = rng.choice(["<span>{}</span>", "<div>{}</div>", "<p>{}</p>", "<b>{}</b><br>"])
+            item = lambda: f"<div{own}>{lead.format(run(False, 1, 3))}<p>{_words(rng, rng.randint(3, 60))}.</p></div>"
+            title = rng.choice([title, ""])
             return f"<section{name('comment', 0.1)}>{title}{''.join(item().replace('<p>', '<p>' + _MARK[False]) for _ in range(rng.randint(1, 6)))}</section>"
         return part("comment", title + "".join(one() for _ in range(rng.randint(1, 6))), "div", "section", "div", "aside")
 
@@ -279,8 +317,13 @@ def labelled_page(rng: random.Random) -> str:
     def share() -> str:
         return part("share", links(rng.randint(2, 5)) if rng.random() < 0.5 else run(False, 2, 6), "div", "p", "ul")
 
+    #: Some pages tell nothing by names, and have boxes for paragraphs.
+    bare = rng.random() < 0.25
+
     def body_block() -> str:
         x = rng.random()
+        if bare and x < 0.5:
+            return f"<div>{run(True, 1, rng.choice([6, 60]), rng.random() < 0.9)}</div>"
         if x < 0.66:
             text = run(True, 1, 90, rng.random() < 0.9)
             if rng.random() < 0.04:
@@ -315,7 +358,9 @@ def labelled_page(rng: random.Random) -> str:
         inner.append(comments())
     body = title + "".join(inner)
     shape = rng.random()
-    if shape < 0.4:
+    if bare:
+        main = f"<div{name('content', 0)}>{body}</div>"
+    elif shape < 0.4:
         main = f"<article{name('content', 0.3)}>{body}</article>"
     elif shape < 0.6:
         main = f"<main{name('content', 0.3)}>{body}</main>"
@@ -356,7 +401,7 @@ def trained(pages: int = LABELLED_PAGES, seed: int = SEED) -> Model:
         nodes, y = labelled_nodes(rng)
         for i, (node, place) in enumerate(zip(nodes, place_features(nodes), strict=True)):
             which = 0 if node.text is None else 1
-            own = element_features(node.tag, node.attrs) if which == 0 else run_features(node, nodes[node.parent].tag)
+            own = element_features(node.tag, node.attrs) if which == 0 else run_features(node, nodes[node.parent])
             rows[which].append([*own, *(k + len((_ELEMENT, _RUN)[which]) for k in place)])
             labels[which].append(y[i])
             if i:

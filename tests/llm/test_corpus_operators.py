@@ -785,6 +785,10 @@ def test_toxicity_context_and_spelling(spark):
     own = spark.createDataFrame([(k, f"{filler} {v}") for k, v in enumerate(made.values())], "doc_id long, text string")
     got = dict(zip(made, (r["score"] for r in scored(own, labels, model=model).orderBy("doc_id").collect())))
     assert got["clean"] < got["quoted"] < got["misspelled"] < got["open"] <= got["addressed"] and got["open"] >= 0.7 and got["quoted"] < 0.5
+    #: One open insult in ordinary prose is enough; the same quoted or reported is not.
+    single = {k: f"{filler} {v} the end of the week" for k, v in {"one": words[0], "report": f"said {words[0]}", "mark": f'"{words[0]}"', "near": words[0][:2] + "q" + words[0][3:]}.items()}
+    one = dict(zip(single, (r["score"] for r in scored(spark.createDataFrame(list(enumerate(single.values())), "doc_id long, text string"), labels, model=model).orderBy("doc_id").collect())))
+    assert one["one"] >= 0.7 and one["one"] > one["near"] > max(one["report"], one["mark"]) and max(one["report"], one["mark"]) < 0.3
 
     def bare(w):
         return re.sub(r"^[\W\d_]+|[\W\d_]+$", "", w)
@@ -825,7 +829,7 @@ def test_toxicity_context_and_spelling(spark):
                 hits.append((x, *known[x], k in places or bool(around & REPORTING), bool(around & ADDRESSING)))
         free = [h for h in hits if not h[3]]
         strength = {h[0]: h[2] * (1 if h[1] else FUZZY) for h in free}
-        top = sorted(strength.values(), reverse=True)
+        top = sorted((v * v / 10 for v in strength.values()), reverse=True)
         sums = [sum(h[2] * (1 if h[1] else FUZZY) for h in hits), sum(h[1] for h in hits), len(free), sum(h[1] for h in free), sum(h[4] for h in free)]
         x = [math.log1p(s) for s in sums] + [top[0] if top else 0, sum(top[1:4]), min(20, 100 * len(free) / max(len(w), 1)), math.log1p(len(w)), 1]
         z = max(-30, min(30, sum(a * b for a, b in zip(x, weights))))
@@ -891,7 +895,16 @@ def test_html_by_structure(spark):
         (2, f'<body><article><h1>Title here</h1><p>{text}</p><address>12 Long Street, Oldtown</address><p>{text}</p></article><div><h3>Stay in touch</h3><p>Get our letter each week, free.</p><input name="e"><button>Go</button></div></body>'),
         (3, f'<body><div><h1>Title here</h1><p>{text}</p><p>{text}</p><p>{text}</p></div><section><h3>What people think</h3><div class="zz"><span>Ann</span><p>I liked this, and you?</p></div><div class="zz"><span>Bob</span><p>So did I, thank you.</p></div></section></body>'),
     ]
+    item = lambda who, what: f'<div class="c-item"><div>{who}</div><p>{what}</p></div>'
+    rows += [
+        (4, f"<body><div><h2>Bridge</h2><div>{text}</div><div>Short.</div></div></body>"),
+        (5, f'<body><div class="nav"><a href="x">Home</a></div><div><h2>Bridge</h2><div>{text}</div><div>Short.</div><div>{text}</div></div><div class="footer">&copy; 2020 Us</div></body>'),
+        (6, f'<body><article><h1>Title</h1><p>{text}</p><p>{text}</p><div class="c-list">{item("Ann", "I liked this, and you?")}{item("Bob", "So did I, but not all of it, thank you.")}</div></article></body>'),
+        (7, f'<body><article><h1>Title</h1><div class="step"><h3>First</h3><p>{text}</p></div><div class="step"><h3>Then</h3><p>Rest.</p></div></article></body>'),
+    ]
     got = {r["page_id"]: r["text"] for r in extracted(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")).collect()}
+    assert got[4] == f"Bridge\n\n{text}\n\nShort." and got[5] == f"Bridge\n\n{text}\n\nShort.\n\n{text}"
+    assert got[6] == f"Title\n\n{text}\n\n{text}" and got[7] == f"Title\n\nFirst\n\n{text}\n\nThen\n\nRest."
     assert got[1] == f"Title here\n\n{text}\n\n{text}"
     assert got[2] == f"Title here\n\n{text}\n\n12 Long Street, Oldtown\n\n{text}"
     assert got[3] == f"Title here\n\n{text}\n\n{text}\n\n{text}"
