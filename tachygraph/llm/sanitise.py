@@ -1,18 +1,18 @@
 r"""Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
 Base: e-mail addresses, IP addresses, card and phone numbers by pattern, each kind leftmost and without overlap. They are
-the protected entities. Method: the corpus tells how strongly a term reveals an entity. A term co-occurs with an entity in a text
+the protected entities, and so are their classes: a mail domain, a network, a card's issuer, a block of phone numbers, each of which
+stands in many texts. Method: the corpus tells how strongly a term reveals an entity. A term co-occurs with an entity in a text
 if it stands in the entity's context there, the CONTEXT characters before and after it (up to the next match of its kind). With
 n_e, n_t and n_et the numbers of distinct texts that hold entity e, hold term t, and hold t in a context of e, of n in all,
 
-    p(e) = n_e / n        p(e|t) = (n_et + SMOOTHING * p(e)) / (n_t + SMOOTHING)        IC(e) = -log2 p(e)
-    disclosure(t, e) = PMI(t; e) / IC(e) = 1 + log2 p(e|t) / IC(e)
+    p(e) = n_e / n        p(e|t) = n_et / n_t        disclosure(t, e) = the lower bound of p(e|t) at CONFIDENCE (Wilson's)
+    PMI(t; e) = log2 disclosure(t, e) / p(e)
 
-which nears 1 if t gives e away and is 0 if t says nothing about it. Entities may have any support: smoothing, and no cut, takes
-the place of evidence that few texts can't give. Terms at or above MIN_DISCLOSURE for an entity, which must also be likelier
-than not in their texts (p(e|t) >= MIN_POSTERIOR, so that a larger corpus, which raises IC, marks no commoner terms), become
-spans of kind ``term`` wherever they stand: at or above REMOVE they are removed, below it generalised to their class. All counts are
-over distinct texts, so copies add no evidence.
+Terms that disclose an entity with MIN_DISCLOSURE at least, and tell MIN_BITS of information about it at least, become spans
+of kind ``term`` wherever they stand: at or above REMOVE they are removed, below it generalised to their class. The bound rises with the
+number of texts that agree: a term of one or two texts is no evidence, one of three that all agree is. Neither threshold moves with
+the size of the corpus. All counts are over distinct texts, so copies add no evidence.
 
 To count pairs without forming all of them: only terms of contexts are paired; the number of texts in whose contexts a term
 stands bounds p(e|t) from above and leaves few terms; only they are counted in the whole corpus.
@@ -45,12 +45,13 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 TERM_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TERM_CHAR = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
-#: Characters on either side of an entity, and the texts that smoothing adds to a term's.
+#: Characters on either side of an entity.
 CONTEXT = 80
-SMOOTHING = 0.5
-MIN_DISCLOSURE = 0.9
-MIN_POSTERIOR = 0.5
-REMOVE = 0.97
+#: Standard deviations that the bound lies below a share: 95 of 100 true shares are above it.
+CONFIDENCE = 1.645
+MIN_DISCLOSURE = 0.5
+MIN_BITS = 3.0
+REMOVE = 0.8
 #: Texts with disclosing terms up to which their lists are broadcast.
 LIST_ROWS = 100_000
 #: Matches that are laid out at once; two levels keep a text of very many matches linear.
@@ -156,11 +157,24 @@ def _entity(kind: str, span: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), {"email": F.lower(value), "ip": value}.get(kind, _digits(value)))
 
 
+def _class(kind: str, span: Column) -> Column:
+    """What an entity has in common with others of its kind."""
+    value = span["value"]
+    part = {"email": F.lower(F.substring_index(value, "@", -1)), "ip": F.substring_index(value, ".", 3)}.get(kind, F.left(_digits(value), F.lit(6)))
+    return F.concat(F.lit(f"class of {kind}:"), part)
+
+
 def _mentions() -> Column:
-    """(entity, near) of each span of a row: the entity by kind and normal form, and its context."""
-    empty = F.array().cast("array<struct<entity:string,near:string>>")
-    parts = [F.coalesce(F.transform(f"{k}_spans", partial(lambda kind, x: F.struct(_entity(kind, x).alias("entity"), x["near"].alias("near")), k)), empty) for k in KINDS]
-    return F.concat(*parts)
+    """(entities, near) of each span of a row: the entity by kind and normal form and its class, and its context."""
+    empty = F.array().cast("array<struct<entities:array<string>,near:string>>")
+    mention = lambda kind, x: F.struct(F.array(_entity(kind, x), _class(kind, x)).alias("entities"), x["near"].alias("near"))
+    return F.concat(*[F.coalesce(F.transform(f"{k}_spans", partial(mention, k)), empty) for k in KINDS])
+
+
+def lower_bound(k: Column, n: Column) -> Column:
+    """The lower bound, at CONFIDENCE, of the share that ``k`` of ``n`` say."""
+    z, p = CONFIDENCE, F.least(k / n, F.lit(1.0))
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def _terms(text: Column) -> Column:
@@ -178,27 +192,26 @@ def disclosing_terms(docs: DataFrame, min_disclosure: float = MIN_DISCLOSURE) ->
     by_hash = docs.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("tid"), "text")
     texts = base_spans(by_hash, CONTEXT)
     holds = texts.filter(" or ".join(f"size({k}_spans) > 0" for k in KINDS)).select("tid", F.explode(_mentions()).alias("x"))
-    mentions = table(holds.select("tid", "x.entity", "x.near"), "mentions")
-    entities = table(mentions.select("tid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e")), "entities")
-    met = table(mentions.select("tid", "entity", F.explode(_terms(F.col("near"))).alias("term")).filter("term <> ''").distinct(), "met")
+    mentions = table(holds.select("tid", "x.entities", "x.near"), "mentions")
+    entities = table(mentions.select("tid", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e")), "entities")
+    #: A context's terms are found once, for the entity and its class.
+    met = mentions.select("tid", "entities", F.explode(_terms(F.col("near"))).alias("term")).filter("term <> ''").select("tid", "term", F.explode("entities").alias("entity"))
+    met = table(met.distinct(), "met")
     pairs = table(met.groupBy("entity", "term").agg(F.count("*").alias("n_et")), "pairs")
     n_texts = by_hash.select("tid").distinct().count()
 
-    def posterior(n_et: str, n_t: str, p_e: str) -> Column:
-        return F.expr(f"({n_et} + {SMOOTHING}D * {p_e}) / ({n_t} + {SMOOTHING}D)")
-
     inside = met.select("tid", "term").distinct().groupBy("term").agg(F.count("*").alias("n_in"))
     most = pairs.groupBy("term").agg(F.max("n_et").alias("most"))
-    wanted = table(inside.join(most, "term").filter(posterior("most", "n_in", "1") >= MIN_POSTERIOR).select("term"), "wanted")
+    wanted = table(inside.join(most, "term").filter(lower_bound(F.col("most"), F.col("n_in")) >= min_disclosure).select("term"), "wanted")
     #: A text that stands in n rows counts 1 / n in each, so that no distinct is needed over the corpus. An inner join stays above the sums.
     copies = by_hash.groupBy("tid").agg(F.count("*").alias("n")).filter("n > 1")
     copies = table(copies.select(F.col("tid").alias("copied"), (1.0 / F.col("n")).alias("weight")), "copies")
     weighed = by_hash.join(small(copies), F.col("tid") == F.col("copied"), "left").select(F.coalesce("weight", F.lit(1.0)).alias("weight"), F.explode(_terms(F.col("text"))).alias("term"))
     counts = weighed.groupBy("term").agg(F.sum("weight").alias("n"))
     counts = table(counts.join(small(wanted), "term").select("term", F.greatest(F.round("n"), F.lit(1.0)).alias("n_t")), "counts")
-    rated = pairs.join(small(counts), "term").join(small(entities), "entity").withColumn("p_e", F.col("n_e") / F.lit(n_texts)).filter("p_e < 1").withColumn("p_et", posterior("n_et", "n_t", "p_e"))
-    rated = rated.filter(F.col("p_et") >= MIN_POSTERIOR).select("term", (1 + F.log2("p_et") / -F.log2("p_e")).alias("disclosure"))
-    told = rated.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= min_disclosure)
+    rated = pairs.join(small(counts), "term").join(small(entities), "entity").select("term", lower_bound(F.col("n_et"), F.col("n_t")).alias("disclosure"), (F.col("n_e") / F.lit(n_texts)).alias("p_e"))
+    rated = rated.filter((F.col("disclosure") >= min_disclosure) & (F.log2(F.col("disclosure") / F.col("p_e")) >= MIN_BITS))
+    told = rated.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
     told = table(told, "told_terms")
     places = by_hash.select("tid", F.explode(_terms(F.col("text"))).alias("term")).join(small(told), "term").distinct()
     return places.select("tid", "term", "disclosure")

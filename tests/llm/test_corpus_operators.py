@@ -299,23 +299,34 @@ def test_sanitise_terms(spark):
     assert "zanzibar" not in sanitised(got).filter("doc.doc_id = 3").first()["clean"]
 
 
-def test_sanitise_terms_of_rare_entities(spark):
+def test_sanitise_terms_need_support(spark):
+    """One or two texts are no evidence, three that agree are; a class has the support that its single entities lack; the corpus' size does not count."""
     from tachygraph.llm.sanitise import personal_data, span_text
 
-    rows = [(k, f"ask quillfeather {k} at rare@corp.example") for k in range(2)] + [(9, "quillwort writes to single@corp.example")] + [(100 + k, f"ask at usual {k}") for k in range(200)]
-    got = {r[0]: r[1] for r in personal_data(spark.createDataFrame(rows, "doc_id long, text string")).select("doc.doc_id", span_text("spans")).collect()}
-    assert got[0] == got[1] == "term:4:16,email:22:39"
-    assert got[9] == "term:0:9,term:10:16,term:17:19,email:20:39"
-    assert not any(got[100 + k] for k in range(200))
+    rows = [(k, f"ask quillfeather {k} at rare@corp.example") for k in range(2)] + [(9, "quillwort writes to single@one.example")]
+    rows += [(20 + k, f"write the borough desk to clerk{k}@council.example today {k}") for k in range(6)]
+    rows += [(40 + k, f"the ferry {k} calls 10.20.30.{k} at night") for k in range(3)] + [(60, "the ferry is late")]
+    for size in (200, 3000):
+        docs = rows + [(100 + k, f"ask at usual writes the calls desk night today write to {k}") for k in range(size)]
+        got = {r[0]: r[1] for r in personal_data(spark.createDataFrame(docs, "doc_id long, text string")).select("doc.doc_id", span_text("spans")).collect()}
+        assert got[0] == got[1] == "email:22:39" and got[9] == "email:20:38"
+        #: No two texts share an address, all share its domain.
+        assert all(got[20 + k] == f"term:10:17,email:26:{26 + len(f'clerk{k}@council.example')}" for k in range(6))
+        #: Three of four texts: the bound is too low.
+        assert all(got[40 + k] == "ip:18:28" for k in range(3)) and got[60] == ""
+        assert not any(got[100 + k] for k in range(size))
 
 
 def test_sanitise_against_plain_counts(spark):
     """Spans of kind term and the clean text, against counts in plain Python over a whole table."""
     import math
 
-    from tachygraph.llm.sanitise import CONTEXT, KINDS as NAMES, MASKS, MIN_DISCLOSURE, MIN_POSTERIOR, REMOVE, SMOOTHING, personal_data, sanitised, span_text
+    from tachygraph.llm.sanitise import CONFIDENCE, CONTEXT, KINDS as NAMES, MASKS, MIN_BITS, MIN_DISCLOSURE, REMOVE, personal_data, sanitised, span_text
 
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    #: Some terms that go with a domain, to differing degrees.
+    planted = [(2_000_000 + 100 * d + k, f"note {k} of unit{d} and desk{d % 2} " + (f"to p{k}@org{d}.example" if k < 12 - d else "without")) for d in range(6) for k in range(12)]
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
     rows = dict(pairs_of(docs, "doc_id", "text"))
     word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -336,18 +347,21 @@ def test_sanitise_against_plain_counts(spark):
                     before, after = t[found[i - 1].end() if i else 0 : m.start()], t[m.end() : found[i + 1].start() if i + 1 < len(found) else len(t)]
                     before = re.sub(r"^[^\s]*", "", before[-CONTEXT:], flags=re.A) if len(before) > CONTEXT else before
                     after = re.sub(r"[^\s]+\Z", "", after[:CONTEXT], flags=re.A) if len(after) > CONTEXT else after
-                    holds[entity].add(t)
-                    for term in terms(before + " " + after):
-                        n_et[entity, term].add(t)
+                    group = "class of " + k + ":" + (m[0].lower().rsplit("@", 1)[1] if k == "email" else m[0].rsplit(".", 1)[0] if k == "ip" else re.sub("[^0-9]", "", m[0])[:6])
+                    for e in (entity, group):
+                        holds[e].add(t)
+                        for term in terms(before + " " + after):
+                            n_et[e, term].add(t)
     n_t = Counter(x for t in texts for x in terms(t))
     told = {}
     for (e, x), where in n_et.items():
-        p_e = len(holds[e]) / len(texts)
-        p = (len(where) + SMOOTHING * p_e) / (n_t[x] + SMOOTHING)
-        if p_e < 1 and p >= MIN_POSTERIOR and (d := 1 + math.log2(p) / -math.log2(p_e)) >= MIN_DISCLOSURE:
+        n, z = n_t[x], CONFIDENCE
+        p = len(where) / n
+        d = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        if d >= MIN_DISCLOSURE and math.log2(d / (len(holds[e]) / len(texts))) >= MIN_BITS:
             told[x] = max(d, told.get(x, 0))
     got = sanitised(personal_data(docs)).select("doc.doc_id", span_text("spans").alias("spans"), "clean").collect()
-    assert len(got) == len(rows) and len(told) > 20
+    assert len(got) == len(rows) and len(set(told.values())) > 3 and all(n_t[x] >= 3 for x in told)
     for r in got:
         t = rows[r["doc_id"]] or ""
         base = base_spans(t)
