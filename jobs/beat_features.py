@@ -7,7 +7,8 @@ A file stream takes the files of ``source`` that its checkpoint has not seen (av
 1. is stored in ``out``/beats, partitioned by day and batch: a batch that is run again after a failure replaces its own partitions only;
    rows without a time, a value or an id are kept apart (whole=false) and used no further;
 2. names the days that it touches, late ones too; of these days all stored beats are read again (other days' partitions are pruned),
-   and intervals, 30-second features and signal quality are made anew;
+   and intervals, 30-second features, signal quality and detections are made anew: windows of a fast rate and good quality go
+   through the chain that makes detections of a model's scores, and those at which a detection of five minutes begins are marked;
 3. replaces these days' partitions of ``out``/features (dynamic overwrite). Beats that were delivered twice count once.
 
 So a run without new files changes nothing, and any order and cut of the same files ends in the same features.
@@ -24,7 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs.common import configured, log, main
-from tachygraph.operators import features, quality, scans
+from tachygraph.operators import detect, features, quality, scans
+from tachygraph.sources.shared import passing, stored
 
 #: Channels' numbers within a day's recording ids.
 CHANNELS = 1_000_000
@@ -32,12 +34,17 @@ CHANNELS = 1_000_000
 
 @dataclass(frozen=True)
 class Config:
-    """records: channels. base_ms: what is added to an event's value to make an interval. seconds: width of a window. max_files: files in a batch."""
+    """records: channels. base_ms: what is added to an event's value to make an interval. seconds: width of a window. max_files: files in a batch.
+
+    rate: beats a minute from which a window counts as fast. min_quality: windows below are not judged.
+    """
 
     records: int = 4
     base_ms: int = 600
     seconds: int = 30
     max_files: int = 1000
+    rate: float = 72.0
+    min_quality: float = 75.0
 
 
 def beats_of(events: DataFrame, config: Config) -> DataFrame:
@@ -58,14 +65,27 @@ def intervals_of(beats: DataFrame) -> DataFrame:
 
 
 def features_of(beats: DataFrame, config: Config) -> DataFrame:
-    """(day, record, row, n_beats, avg, sd, rmssd, quality) of the windows of the recordings in ``beats``."""
-    rr = intervals_of(beats)
+    """(day, record, row, n_beats, avg, sd, rmssd, quality, detected) of the windows of the recordings in ``beats``."""
+    rr = stored(intervals_of(beats), "intervals")
     made = features.time_features(rr, config.seconds).select("record_id", "row", "n_beats", "avg", "sd", "rmssd")
     rules = quality.rule_inputs(rr.select("record_id", "event_id", F.col("right_ms").alias("t_ms")), "t_ms")
     verdict = quality.verdict(F.col("n"), F.col("n"), F.col("mean_rate"), F.col("longest"), F.col("shortest"), F.lit(1.0))
-    joined = made.join(rules.select("record_id", "row", verdict.alias("quality")), ["record_id", "row"], "left")
+    windows = stored(made.join(rules.select("record_id", "row", verdict.alias("quality")), ["record_id", "row"], "left"), "windows")
+    starts = detections_in(features.window_counts(rr, config.seconds), windows, config).withColumn("detected", F.lit(True))
+    joined = windows.join(starts, ["record_id", "row"], "left")
     day: Column = F.date_from_unix_date(F.floor(F.col("record_id") / CHANNELS).cast("int"))
-    return joined.select(day.alias("day"), (F.col("record_id") % CHANNELS).alias("record"), "row", "n_beats", "avg", "sd", "rmssd", "quality")
+    return joined.select(
+        day.alias("day"), (F.col("record_id") % CHANNELS).alias("record"), "row", "n_beats", "avg", "sd", "rmssd", "quality", F.coalesce("detected", F.lit(False)).alias("detected"),
+    )
+
+
+def detections_in(counts: DataFrame, windows: DataFrame, config: Config) -> DataFrame:
+    """(record_id, row): the windows at which a detection begins. counts: (record_id, rows), all windows; those without beats are not judged."""
+    rows = counts.select("record_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("row"))
+    good = F.coalesce(F.col("quality") >= config.min_quality, F.lit(False))
+    value = F.when(good, detect.thresholded(F.try_divide(F.lit(60000.0), F.col("avg")), config.rate)).otherwise(-1)
+    judged = stored(rows.join(windows, ["record_id", "row"], "left").select("record_id", "row", value.alias("value")), "judged")
+    return detect.block_starts(detect.smoothed(detect.gaps_filled(judged))).withColumnRenamed("start_row", "row")
 
 
 def _replace(df: DataFrame, path: str, *by: str) -> None:
@@ -88,7 +108,8 @@ def handle_batch(batch: DataFrame, number: int, out: str, config: Config) -> dic
         days = own.filter("whole").select("day").distinct()
         #: At most one row for each day there is.
         touched = every.filter("whole").join(F.broadcast(days), "day", "left_semi")
-        _replace(features_of(touched, config), f"{out}/features", "day")
+        with passing(spark):
+            _replace(features_of(touched, config), f"{out}/features", "day")
         counts["windows"] = read_features(spark, out).join(F.broadcast(days), "day", "left_semi").count()
     log.info("batch %d: %s, to %s", number, ", ".join(f"{k} {v}" for k, v in counts.items()), out)
     return counts
@@ -117,7 +138,7 @@ def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: Con
 
 def read_features(spark: SparkSession, out: str) -> DataFrame:
     """The job's output."""
-    columns = "record long, row long, n_beats long, avg double, sd double, rmssd double, quality double, day date"
+    columns = "record long, row long, n_beats long, avg double, sd double, rmssd double, quality double, detected boolean, day date"
     return spark.read.schema(columns).parquet(f"{out}/features")
 
 

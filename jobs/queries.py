@@ -16,7 +16,7 @@ def job1_beat_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         beat_features.run(spark, f"{sf_dir}/events.parquet", f"{at}/out", f"{at}/checkpoint", beat_features.Config())
     got = beat_features.read_features(spark, f"{at}/out")
-    return got.select("day", "record", "row", "n_beats", *[F.round(c, 6).alias(c) for c in ("avg", "sd", "rmssd", "quality")])
+    return got.select("day", "record", "row", "n_beats", "detected", *[F.round(c, 6).alias(c) for c in ("avg", "sd", "rmssd", "quality")])
 
 
 def job2_report_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +39,13 @@ rr as (select record_id, event_id, seq, right_ms - rr_ms as left_ms, right_ms, r
   select *, row_number() over w - 1 as seq, (sum(rr_ms) over (partition by record_id order by ts, event_id rows unbounded preceding))::bigint as right_ms
   from ev window w as (partition by record_id order by ts, event_id))),
 {windows_sql(30)}, {PEAKS_SQL}, {RULES_SQL},
-f as (select record_id, row, count(*) as n_beats, avg(x) as avg, stddev_pop(x) as sd, sqrt(avg(d * d)) as rmssd from inw group by record_id, row)
-select date '1970-01-01' + (record_id // 1000000)::int as day, record_id % 1000000 as record, row, n_beats,
+f as (select record_id, row, count(*) as n_beats, avg(x) as avg, stddev_pop(x) as sd, sqrt(avg(d * d)) as rmssd from inw group by record_id, row),
+v0 as (select record_id, row, case when coalesce(q.quality, 0) < 75 or f.avg is null then -1 when 60000.0 / f.avg >= 72 then 1 else 0 end as value
+       from win left join f using (record_id, row) left join q using (record_id, row)),
+{FILL_SQL}, {SMOOTH_SQL}, {BLOCKS_SQL}
+select date '1970-01-01' + (f.record_id // 1000000)::int as day, f.record_id % 1000000 as record, row, n_beats, blocks.start_row is not null as detected,
        round(avg, 6) as avg, round(sd, 6) as sd, round(rmssd, 6) as rmssd, round(q.quality, 6) as quality
-from f left join q using (record_id, row)""",
+from f left join q using (record_id, row) left join blocks on blocks.record_id = f.record_id and blocks.start_row = f.row""",
     "job2_report_passages": f"""
 with s0 as (select doc_id as record_id, coalesce(lang, 'none') as lang, coalesce(source, 'none') as source,
                    list_filter(list_transform(regexp_split_to_array(text, '[.!?\\n]+'), lambda s: trim(s)), lambda s: s <> '') as sentences

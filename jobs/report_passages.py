@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import configured, log, main
 from tachygraph.operators import detect
+from tachygraph.sources.shared import passing
 
 #: What ends a sentence, and what separates words; ASCII capitals are folded.
 SENTENCE_END, WORD_GAP = r"[.!?\n]+", r"[\x20\x09-\x0D,;:]+"
@@ -81,7 +82,8 @@ def run(spark: SparkSession, source: str, out: str, config: Config | None = None
     reports = reports_of(documents)
     scored(reports, config).write.mode("overwrite").parquet(f"{out}/scores")
     scores = spark.read.schema("record_id long, row long, score double").parquet(f"{out}/scores")
-    passages_of(reports, scores, config).hint("rebalance", "lang").write.mode("overwrite").partitionBy("lang").parquet(f"{out}/passages")
+    with passing(spark):
+        passages_of(reports, scores, config).hint("rebalance", "lang").write.mode("overwrite").partitionBy("lang").parquet(f"{out}/passages")
 
     passages = read_passages(spark, out)
     sizes = reports.groupBy("record_id", "lang", "source").agg(F.count("*").alias("rows")).groupBy("lang", "source").agg(F.sum("rows").alias("n_rows"), F.count("*").alias("n_reports"))

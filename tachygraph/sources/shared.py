@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +39,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Deletes what ``stored`` has written in this process, once the results that read it are kept elsewhere; gives the number of tables."""
-    gone = len(_written)
-    for path in _written:
+def drop_stored(spark: SparkSession, first: int = 0) -> int:
+    """Deletes what ``stored`` has written in this process, from table number ``first`` on, once the results that read it are kept elsewhere; gives the number of tables."""
+    gone = _written[first:]
+    for path in gone:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _written.clear()
-    return gone
+    del _written[first:]
+    return len(gone)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what ``stored`` has written within, so results that read it must be kept by then."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        drop_stored(spark, first)

@@ -82,6 +82,34 @@ def test_a_batch_run_again_replaces_itself(spark, tmp_path):
     assert stored.count() == events.count()
 
 
+def test_detections_are_those_of_the_plain_chain(spark):
+    """Windows of a fast rate and good quality, through the chain row by row."""
+    import numpy as np
+
+    from tests.test_long_records import loops
+
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    config = beat_features.Config(records=2, rate=70.5)
+    beats = beat_features.beats_of(events, config)
+    got = beat_features.features_of(beats, config).toPandas()
+    assert got["detected"].sum() > 5
+    for _, g in got.groupby(["day", "record"]):
+        values = np.full(int(g["row"].max()) + 1, -1)
+        fast = (60000 / g["avg"] >= 70.5).astype(int)
+        values[g["row"]] = np.where(g["quality"].fillna(0) >= 75, fast, -1)
+        assert sorted(g.loc[g["detected"], "row"]) == loops(values)[2]
+
+
+def test_jobs_leave_no_passing_tables(spark, tmp_path):
+    from tachygraph.sources import shared
+
+    kept = shared.stored(spark.range(3), "kept")
+    before = list(shared._written)
+    beat_features.run(spark, f"{SF}/events.parquet", str(tmp_path / "out"), str(tmp_path / "mark"))
+    report_passages.run(spark, f"{SF}/documents.parquet", str(tmp_path / "reports"))
+    assert shared._written == before and kept.count() == 3
+
+
 def test_a_folder_and_a_file_are_both_sources(spark, tmp_path):
     got = [beat_features.run(spark, f"{SF}/events.parquet", str(tmp_path / "a"), str(tmp_path / "ma"))["stored"]]
     spark.read.parquet(f"{SF}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events"))
