@@ -26,6 +26,8 @@ from tachygraph.sources import matfile
 SCHEMA = "record_id string, freq int, chunk long, start_sample long, raw array<double>"
 #: Samples in a row, and rows in a partition.
 CHUNK, ROWS = 65_536, 64
+#: Partitions of a folder, about: where ``rows`` in each would make more, a partition has more rows.
+PARTITIONS = 512
 HEADER = 128
 
 
@@ -119,17 +121,18 @@ class Reader(DataSourceReader):
         system, at = opened(self.path)
         files = [x.path for x in system.get_file_info(fs.FileSelector(at, recursive=True)) if x.path.endswith(".mat")]
         scheme = self.path.split(at, 1)[0] if "://" in self.path else ""
-        out = []
+        found = []
         for path in sorted(files):
             if not self._may_hold(Signal(path, 0, -1, "", 0, 0)):
                 continue
             with system.open_input_file(path) as f:
                 whole = located(f, f"{scheme}{path}")
-            if whole is not None and whole.offset < 0:
-                out.append(whole)
-            elif whole is not None:
-                step = self.chunk * self.rows
-                out.extend(replace(whole, first=k, last=min(k + step, whole.last)) for k in range(0, whole.last, step))
+            if whole is not None:
+                found.append(whole)
+        step = self.chunk * max(self.rows, -(-sum(-(-x.last // self.chunk) for x in found) // PARTITIONS))
+        out = []
+        for whole in found:
+            out.extend([whole] if whole.offset < 0 else (replace(whole, first=k, last=min(k + step, whole.last)) for k in range(0, whole.last, step)))
         return [s for s in out if self._may_hold(s)]
 
     def read(self, s: Signal) -> Iterator[tuple]:
@@ -161,7 +164,7 @@ class FilteringReader(Reader):
 
 
 class MatSignals(DataSource):
-    """The source ``mat_signals``; options: chunk (samples in a row), rows (rows in a partition), pushdown (false)."""
+    """The source ``mat_signals``; options: chunk (samples in a row), rows (rows in a partition, at least), pushdown (false)."""
 
     @classmethod
     def name(cls) -> str:
