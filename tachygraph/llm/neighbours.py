@@ -11,6 +11,8 @@
 5. Search: a query takes all lists whose centroids are within the ratio PRUNE of its nearest one's distance, and more until they hold
    enough rows. Neighbouring lists form shards of about CELL_ROWS rows; a query is sent once to a shard. Shards that are longer, and
    the queries of one, are dealt into chunks, so a task holds CELL_ROWS rows and CELL_QUERIES queries, whatever a list holds.
+   The lists nearest to a query are searched first, in its home shard. Its k-th best score there is the least that can be among its nearest, so
+   from its other shards only rows that reach it are given back, and what comes back does not grow with the number of shards.
 6. Scores are products of the original vectors in double precision, summed from the first component on.
 
 Nulls: vectors null, zero or with null, NaN or infinite components take no part. Rows that share a vec_id are told apart; a row's
@@ -190,7 +192,8 @@ def _probes(graph: Graph, place: Place, sizes: np.ndarray, shard_of: np.ndarray,
                 at, lists = np.nonzero(taken)
                 got = pd.DataFrame({"k": at, "shard": shard_of[lists], "lists": lists}).groupby(["k", "shard"], sort=False)["lists"].agg(list).reset_index()
                 out = pdf.iloc[got["k"]][["uid", "vec_id", "v"]].reset_index(drop=True)
-                yield out.assign(shard=got["shard"].astype("int32"), lists=got["lists"])
+                home = shard_of[np.where(taken, far, np.inf).argmin(1)]
+                yield out.assign(shard=got["shard"].astype("int32"), lists=got["lists"], home=got["shard"].to_numpy() == home[got["k"]])
 
     return run
 
@@ -203,7 +206,7 @@ def _best(place: Place, wanted: int):
             v, uid, lists = place.stacked(rank["v"]), rank["uid"].to_numpy(), rank["list"].to_numpy()
             for a in range(0, len(queries), 256):
                 some = queries.iloc[a : a + 256]
-                q, own = place.stacked(some["v"]), some["uid"].to_numpy()
+                q, own, least = place.stacked(some["v"]), some["uid"].to_numpy(), some["least"].to_numpy(float)
                 local = {x: k for k, x in enumerate(np.unique(lists).tolist())}
                 met = np.zeros((len(some), len(local)), bool)
                 for k, probes in enumerate(some["lists"]):
@@ -221,6 +224,7 @@ def _best(place: Place, wanted: int):
                     exact += q[at, d] * v[row, d]
                 #: Rows are in the order of their ids already, so a stable sort by score breaks ties.
                 order = np.lexsort((row, -exact, at))
+                order = order[~(exact[order] < least[at[order]])]
                 at, row, exact = at[order], row[order], exact[order]
                 pairs = pd.DataFrame({"at": at, "uid": uid[row], "row": row, "score": exact}).drop_duplicates(["at", "uid"])
                 pairs = pairs[pairs.groupby("at").cumcount() < wanted]
@@ -258,18 +262,25 @@ def nearest(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     shard_rows = np.bincount(shard_of, weights=full)
 
     queries = have.filter(F.col("vec_id") % every == 0)
-    probes = table(queries.mapInPandas(_probes(graph, place, own, shard_of, k + 1), f"{kept}, shard int, lists array<int>"), "probes")
+    probes = table(queries.mapInPandas(_probes(graph, place, own, shard_of, k + 1), f"{kept}, shard int, lists array<int>, home boolean"), "probes")
     asked = {r["shard"]: r["n"] for r in probes.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     cells = [(int(s), math.ceil(shard_rows[s] / CELL_ROWS) or 1, math.ceil(asked[s] / CELL_QUERIES)) for s in sorted(asked)]
     cells = F.broadcast(spark.createDataFrame(cells, "shard int, n_rows int, n_queries int"))
     shards = F.broadcast(spark.createDataFrame([(int(j), int(s)) for j, s in enumerate(shard_of)], "list int, shard int"))
     deal = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = probes.join(cells, "shard").select("shard", each("n_rows").alias("part"), deal("n_queries").alias("turn"), "uid", "vec_id", "v", "lists")
     right = postings.join(shards, "list").join(cells, "shard").select("shard", deal("n_rows").alias("part"), each("n_queries").alias("turn"), "uid", "vec_id", "v", "list")
     at = ["shard", "part", "turn"]
-    #: A list that is in several chunks is all there for a query that asks for it, so no chunk's best are lost.
-    found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(_best(place, k), "query_uid long, query_id long, uid long, vec_id long, score double")
+
+    def searched(some: DataFrame) -> DataFrame:
+        #: A list that is in several chunks is all there for a query that asks for it, so no chunk's best are lost.
+        left = some.join(cells, "shard").select("shard", each("n_rows").alias("part"), deal("n_queries").alias("turn"), "uid", "vec_id", "v", "lists", "least")
+        return left.groupBy(*at).cogroup(right.groupBy(*at)).applyInPandas(_best(place, k), "query_uid long, query_id long, uid long, vec_id long, score double")
+
+    first = table(searched(probes.filter("home").withColumn("least", F.lit(None).cast("double"))), "found")
+    ordered = Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "uid")
+    reached = first.select("query_uid", "score", F.row_number().over(ordered).alias("n_")).filter(F.col("n_") == k).select(F.col("query_uid").alias("uid"), F.col("score").alias("least"))
+    found = first.unionByName(searched(probes.filter("not home").join(reached, "uid", "left")))
     #: A pair found in two lists has one rank; the limit on ranks also works before the shuffle.
     rank = F.dense_rank().over(Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "vec_id", "uid"))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_uid", "query_id", "rank", "vec_id", "score").distinct()
