@@ -45,8 +45,9 @@ LINKS, ENTRIES, BEAM = 16, 16, 8
 CELL_ROWS, CELL_QUERIES = 4096, 2048
 #: Stands for a null vec_id on the way.
 NO_ID = -(2**63)
-#: Rows handled at once in a worker.
+#: Rows handled at once in a worker, and what their search of the graph holds besides their distances: links, and bytes of vectors.
 BATCH = 512
+EDGES, EDGE_BYTES = 1 << 18, 8 << 20
 
 
 def _gaps(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -94,9 +95,10 @@ class Graph:
                 links[k].update(near.tolist())
                 for j in near.tolist():
                     links[j].add(k)
-        most = max(1, max(map(len, links)))
-        #: A node with fewer links than the most is filled up with itself.
-        self.links = np.array([sorted(x) + [k] * (most - len(x)) for k, x in enumerate(links)])
+        #: All nodes' links one after another: a few nodes have very many.
+        self.links = np.array([j for x in links for j in sorted(x)], int)
+        self.degree = np.array([len(x) for x in links])
+        self.start = np.cumsum(self.degree) - self.degree
         self.entries = np.unique(np.linspace(0, len(centroids) - 1, min(ENTRIES, len(centroids))).astype(int))
 
     def search(self, q: np.ndarray, ratio: float) -> np.ndarray:
@@ -112,11 +114,18 @@ class Graph:
             if not len(at):
                 return far
             followed[at, node] = True
-            at, node = np.repeat(at, self.links.shape[1]), self.links[node].ravel()
-            new = np.unique(at[np.isinf(far[at, node])] * len(self.c) + node[np.isinf(far[at, node])])
-            at, node = new // len(self.c), new % len(self.c)
-            gap = own[at] + self.norms[node] - 2 * np.einsum("ij,ij->i", q[at], self.c[node])
-            far[at, node] = np.sqrt(np.maximum(gap, 0))
+            met = np.zeros(far.shape, bool)
+            ends = np.cumsum(self.degree[node])
+            for part in np.split(np.arange(len(at)), np.searchsorted(ends, np.arange(EDGES, ends[-1], EDGES), "right")):
+                each = self.degree[node[part]]
+                link = np.arange(each.sum()) + np.repeat(self.start[node[part]] - np.cumsum(each) + each, each)
+                met[np.repeat(at[part], each), self.links[link]] = True
+            at, node = np.nonzero(met & np.isinf(far))
+            step = max(1, EDGE_BYTES // (8 * q.shape[1]))
+            for a in range(0, len(at), step):
+                row, to = at[a : a + step], node[a : a + step]
+                gap = own[row] + self.norms[to] - 2 * np.einsum("ij,ij->i", q[row], self.c[to])
+                far[row, to] = np.sqrt(np.maximum(gap, 0))
 
 
 class Place:
